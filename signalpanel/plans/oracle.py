@@ -205,3 +205,61 @@ from a1 a join mom m using ({k}, channel) left join peak p using ({k}, channel)
 def grid_values_sql() -> str:
     g = threshold_grid()
     return ", ".join(f"({i}, {repr(v)})" for i, v in enumerate(g))
+
+
+B4_CTE = B3_BASE + """,
+b4 as (
+  select c.scaler, c.model, f.fold, case when b.fold = f.fold then 'test' else 'train' end as part,
+         b.subject_id, b.doc_id, b.label, b.y,
+         case c.model when 'cfg_a' then b.p when 'cfg_b' then b.p * b.p
+              else 1.0e0 - (1.0e0 - b.p) * (1.0e0 - b.p) end as p
+  from b3s b
+  cross join (values ('StandardScaler', 'cfg_a'), ('MinMaxScaler', 'cfg_b'), ('RobustScaler', 'cfg_c')) c(scaler, model)
+  cross join (values (0), (1), (2)) f(fold))"""
+
+
+def subj_cte(source: str = "b4", by: str = "scaler, model, fold, part", mode: str = "p90") -> str:
+    agg = {"p90": "quantile_cont(p, 0.9)", "max": "max(p)",
+           "noisy_or": "1.0e0 - product(1.0e0 - least(greatest(p, 1e-6), 1.0e0 - 1e-6))"}[mode]
+    return f"""subj as (
+  select {by}{',' if by else ''} subject_id, label, round({agg}, 12) as p, cast(max(y) as int) as y,
+         starts_with(subject_id, 'C') as is_control
+  from {source} group by {by}{',' if by else ''} subject_id, label)"""
+
+
+def cfg_cte(rows) -> str:
+    vals = ", ".join(f"('{r[0]}', {r[1]}, {r[2]!r}, {r[3]}, {r[4]!r}, {r[5]!r}, {r[6]!r})" for r in rows)
+    return f"cfg(label, k_best, alpha, fp_max, fpr_target, spec_target, recall_min) as (values {vals})"
+
+
+def grid_cte() -> str:
+    return f"grid(i, t) as (values {grid_values_sql()})"
+
+
+def naive_counts_cte(src: str = "subj", by: str = "scaler, model, fold", where: str = "part = 'train'") -> str:
+    """Confusion counts at every grid point by brute force (rows × grid)."""
+    w = f"where {where}" if where else ""
+    return f"""cnt as (
+  select {by}{',' if by else ''} s.label, g.i, g.t,
+         sum(case when y = 1 and p >= g.t then 1 else 0 end) as tp,
+         sum(case when y = 0 and p >= g.t then 1 else 0 end) as fp,
+         sum(case when y = 1 and p < g.t then 1 else 0 end) as fn,
+         sum(case when y = 0 and p < g.t then 1 else 0 end) as tn,
+         sum(case when is_control and y = 0 and p >= g.t then 1 else 0 end) as c_fp,
+         sum(case when is_control and y = 0 then 1 else 0 end) as c_n,
+         sum(case when is_control then 1 else 0 end) as n_ctrl,
+         count(distinct y) as ncls
+  from {src} s cross join grid g {w}
+  group by {by}{',' if by else ''} s.label, g.i, g.t),
+rates as (
+  select c.*, f.alpha, f.fp_max, f.fpr_target, f.spec_target, f.recall_min,
+         tp + fn as P, tn + fp as N,
+         case when tp + fn > 0 then tp / (tp + fn) else 0.0e0 end as recall,
+         case when tn + fp > 0 then tn / (tn + fp) end as spec,
+         case when tn + fp > 0 then fp / (tn + fp) end as fpr,
+         case when tp + fn > 0 then fn / (tp + fn) end as fnr,
+         case when 2 * tp + fp + fn > 0 then 2.0e0 * tp / (2 * tp + fp + fn) else 0.0e0 end as f1,
+         case when c_n > 0 then c_fp / c_n end as c_fpr,
+         (fp + fn) / greatest(1, tp + fp + fn + tn) as err,
+         (n_ctrl = 0 or (c_fp <= f.fp_max and (c_n = 0 or c_fp / c_n <= f.fpr_target))) as ctrl_ok
+  from cnt c join cfg f using (label))"""

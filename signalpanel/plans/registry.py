@@ -63,3 +63,281 @@ def q_part_signal_features(spark, sf):
     """F1–F22 over one long signal per part (lineitem quantities in ship
     order) — the heavy feature workload of the bench."""
     return rounded(window_features(fx.signals_b6(spark, sf), WK, fx.B6_CHANNELS))
+
+
+# ------------------------------------------------------------ A1–A8
+from ..config import FIXTURE_SETTINGS, LabelSettings  # noqa: E402
+from ..operators import aggregate as A  # noqa: E402
+from ..operators import metrics as E  # noqa: E402
+from ..operators import thresholds as TH  # noqa: E402
+
+PANEL_BY = ["scaler", "model", "fold"]
+
+
+def _b3_windows(spark, sf):
+    return fx.scores_b3(spark, sf)
+
+
+for _mode in ("max", "topk", "p90", "noisy_or"):
+    if _mode == "topk":
+        _sql = f"""with {O.B3_BASE},
+r as (select *, row_number() over (partition by subject_id, label order by p desc) as rk from b3s)
+select subject_id, label, {O.rnd('avg(p)')} as p, cast(max(y) as int) as y,
+       starts_with(subject_id, 'C') as is_control
+from (select subject_id, label, p, y, rk from r where rk <= 2) t
+join (select subject_id, label, max(y) as y2 from b3s group by all) u using (subject_id, label)
+group by subject_id, label"""
+        _sql = f"""with {O.B3_BASE},
+r as (select *, row_number() over (partition by subject_id, label order by p desc) as rk from b3s),
+top as (select subject_id, label, round(avg(p), 12) as p from r where rk <= 2 group by all),
+yy as (select subject_id, label, cast(max(y) as int) as y from b3s group by all)
+select subject_id, label, {O.rnd('p')} as p, y, starts_with(subject_id, 'C') as is_control
+from top join yy using (subject_id, label)"""
+    else:
+        _sql = f"""with {O.B3_BASE}, {O.subj_cte('b3s', '', _mode)}
+select subject_id, label, {O.rnd('p')} as p, y, is_control from subj"""
+
+    def _mk(mode):
+        def q(spark, sf):
+            return rounded(A.aggregate_scores(_b3_windows(spark, sf), mode=mode, k=2, q=90))
+        q.__doc__ = f"A1–A6: subject score by {mode}, OR of window labels, control flag."
+        return q
+
+    register(f"subject_scores_{_mode}", _sql)(_mk(_mode))
+
+
+@register("majority_vote", f"""with {O.B3_BASE},
+v as (select label, subject_id, cast(avg(case when p >= 0.5 then 1.0e0 else 0.0e0 end) >= 0.5 as int) as vote,
+             cast(max(y) as int) as y from b3s group by all)
+select label, {O.rnd('(sum(case when vote = y then 1 else 0 end)) / greatest(1, count(*))')} as vote_accuracy,
+       {O.rnd('sum(case when vote = 1 and y = 1 then 1 else 0 end) / greatest(1, sum(case when y = 1 then 1 else 0 end))')} as vote_sensitivity,
+       {O.rnd('sum(case when vote = 0 and y = 0 then 1 else 0 end) / greatest(1, sum(case when y = 0 then 1 else 0 end))')} as vote_specificity
+from v group by label""")
+def q_majority_vote(spark, sf):
+    """Window votes (p ≥ 0.5) → subject majority vote → accuracy,
+    sensitivity, specificity per label."""
+    w = _b3_windows(spark, sf).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    return rounded(A.vote_metrics(A.majority_vote(w, by=["label"]), by=["label"]))
+
+
+# ------------------------------------------------------------ T1–T10
+_CFG_ROWS = LabelSettings(labels=fx.B3_LABELS, **FIXTURE_SETTINGS).rows()
+_T_PRE = f"""with {O.B4_CTE}, {O.subj_cte()}, {O.cfg_cte(_CFG_ROWS)}, {O.grid_cte()}, {O.naive_counts_cte()}"""
+
+
+def _panel_subjects(spark, sf, mode="p90"):
+    return A.aggregate_scores(fx.scores_b4(spark, sf), mode=mode, by=[*PANEL_BY, "part"])
+
+
+def _cfg(spark):
+    return fx.fixture_label_config(spark, fx.B3_LABELS)
+
+
+@register("threshold_counts", f"""{_T_PRE}
+select scaler, model, fold, label, i, {O.rnd('t')} as t, cast(tp as bigint) as tp, cast(fp as bigint) as fp,
+       cast(fn as bigint) as fn, cast(tn as bigint) as tn
+from cnt""")
+def q_threshold_counts(spark, sf):
+    """Confusion counts at all 199 grid points per (config, fold, label)
+    on train subjects, by bucket + reverse running sum."""
+    s = _panel_subjects(spark, sf).filter(F.col("part") == "train")
+    c = TH.threshold_counts(s, by=PANEL_BY)
+    return rounded(c.select(*PANEL_BY, "label", "i", "t", "tp", "fp", "fn", "tn"))
+
+
+def _policy_sql(policy: str) -> str:
+    score = {"balanced": "0.5e0 * (recall + spec)", "f1": "f1",
+             "clinical_cost": "-((1.0e0 - alpha) * fpr + alpha * fnr)"}
+    if policy == "fixed":
+        return f"""{_T_PRE}
+select scaler, model, fold, label, 0.5e0 as threshold from subj where part = 'train' group by all"""
+    if policy == "spec_at_least":
+        pick = """
+a1 as (select scaler, model, fold, label, t from (
+  select *, row_number() over (partition by scaler, model, fold, label order by recall desc, i) as rk
+  from rates where ctrl_ok and spec is not null and spec >= spec_target) where rk = 1),
+a2 as (select scaler, model, fold, label, t from (
+  select *, row_number() over (partition by scaler, model, fold, label order by 0.5e0 * (recall + spec) desc, i) as rk
+  from rates where ctrl_ok and spec is not null) where rk = 1),
+pick as (select scaler, model, fold, label, coalesce(a1.t, a2.t) as t
+         from a2 full join a1 using (scaler, model, fold, label))"""
+    else:
+        pick = f"""
+pick as (select scaler, model, fold, label, t from (
+  select *, row_number() over (partition by scaler, model, fold, label order by {score[policy]} desc, i) as rk
+  from rates where ctrl_ok and ({score[policy]}) is not null) where rk = 1)"""
+    return f"""{_T_PRE},{pick},
+base as (select scaler, model, fold, label, count(distinct y) as ncls from subj where part = 'train' group by all)
+select scaler, model, fold, label,
+       {O.rnd('case when ncls < 2 then 0.5e0 else coalesce(pick.t, 0.5e0) end')} as threshold
+from base left join pick using (scaler, model, fold, label)"""
+
+
+for _pol in TH.POLICIES:
+    def _mkp(policy):
+        def q(spark, sf):
+            s = _panel_subjects(spark, sf).filter(F.col("part") == "train")
+            return rounded(TH.tune_thresholds(s, _cfg(spark), policy=policy, by=PANEL_BY))
+        q.__doc__ = f"T2–T8: per-label threshold by policy {policy!r} on train subjects."
+        return q
+    register(f"tune_{_pol}", _policy_sql(_pol))(_mkp(_pol))
+
+
+@register("min_error_threshold", f"""{_T_PRE},
+lv(level) as (values (0), (1), (2), (3), (4)),
+f as (select r.*, lv.level from rates r cross join lv
+      where (lv.level = 4)
+         or (lv.level = 3 and (n_ctrl = 0 or c_fp <= fp_max))
+         or (lv.level = 2 and (n_ctrl = 0 or c_fp <= fp_max) and (P = 0 or recall >= recall_min))
+         or (lv.level = 1 and (n_ctrl = 0 or (c_fp <= fp_max and (c_fpr is null or c_fpr <= fpr_target)))
+                          and (P = 0 or recall >= recall_min))
+         or (lv.level = 0 and (n_ctrl = 0 or (c_fp <= fp_max and (c_fpr is null or c_fpr <= fpr_target)))
+                          and (P = 0 or recall >= recall_min) and (spec is null or spec >= spec_target))),
+best as (select * from (select *, row_number() over (partition by scaler, model, fold, label
+                                                      order by level, err, i) as rk from f) where rk = 1),
+base as (select scaler, model, fold, label, count(distinct y) as ncls from subj where part = 'train' group by all)
+select scaler, model, fold, label,
+       {O.rnd('case when base.ncls < 2 then 0.5e0 else coalesce(best.t, 0.5e0) end')} as threshold,
+       case when base.ncls < 2 then null else cast(best.level as int) end as relax_level,
+       {O.rnd('case when base.ncls < 2 then null else best.err end')} as train_error
+from base left join best using (scaler, model, fold, label)""")
+def q_min_error_threshold(spark, sf):
+    """Minimum-error threshold with constraint relaxation levels 0–4."""
+    s = _panel_subjects(spark, sf).filter(F.col("part") == "train")
+    return rounded(TH.min_error_threshold(s, _cfg(spark), by=PANEL_BY))
+
+
+# ------------------------------------------------------------ E1–E18
+def _panel_preds(spark, sf, policy="clinical_cost"):
+    s = _panel_subjects(spark, sf)
+    thr = TH.tune_thresholds(s.filter(F.col("part") == "train"), _cfg(spark), policy=policy, by=PANEL_BY)
+    return TH.apply_thresholds(s.filter(F.col("part") == "test"), thr, by=PANEL_BY)
+
+
+_CC = """
+a1 as (select scaler, model, fold, label, t from (
+  select *, row_number() over (partition by scaler, model, fold, label
+                               order by -((1.0e0 - alpha) * fpr + alpha * fnr) desc, i) as rk
+  from rates where ctrl_ok and fpr is not null and fnr is not null) where rk = 1),
+base as (select scaler, model, fold, label, count(distinct y) as ncls from subj where part = 'train' group by all),
+thr as (select scaler, model, fold, label,
+               case when ncls < 2 then 0.5e0 else coalesce(a1.t, 0.5e0) end as threshold
+        from base left join a1 using (scaler, model, fold, label)),
+pred as (select s.*, coalesce(thr.threshold, 0.5e0) as threshold,
+                cast(s.p >= coalesce(thr.threshold, 0.5e0) as int) as pred
+         from subj s left join thr using (scaler, model, fold, label) where s.part = 'test')"""
+_E_PRE = _T_PRE + "," + _CC
+
+
+@register("apply_thresholds", f"""{_E_PRE}
+select scaler, model, fold, subject_id, label, y, {O.rnd('p')} as p, {O.rnd('threshold')} as threshold, pred
+from pred""")
+def q_apply_thresholds(spark, sf):
+    """Test subjects predicted with the train-tuned thresholds."""
+    p = _panel_preds(spark, sf)
+    return rounded(p.select(*PANEL_BY, "subject_id", "label", "y", "p", "threshold", "pred"))
+
+
+_BIN_SQL = f"""{_E_PRE},
+c as (select scaler, model, fold, label,
+             sum(case when y = 1 and pred = 1 then 1 else 0 end) as tp,
+             sum(case when y = 0 and pred = 1 then 1 else 0 end) as fp,
+             sum(case when y = 1 and pred = 0 then 1 else 0 end) as fn,
+             sum(case when y = 0 and pred = 0 then 1 else 0 end) as tn
+      from pred group by all),
+auc as (select a.scaler, a.model, a.fold, a.label,
+               case when count(distinct a.y) = 2 then
+                 sum(case when a.y = 1 and b.y = 0 and a.p > b.p then 1.0e0
+                          when a.y = 1 and b.y = 0 and a.p = b.p then 0.5e0 else 0.0e0 end)
+                 / (sum(case when a.y = 1 and b.y = 0 then 1.0e0 else 0.0e0 end)) end as auc
+        from pred a join pred b using (scaler, model, fold, label) group by all),
+ap as (select scaler, model, fold, label,
+              case when sum(y) > 0 and sum(1 - y) > 0 then
+                sum(case when y = 1 then prec else 0 end) / sum(y) end as auprc
+       from (select p1.*, (select count(*) from pred p2 where p2.scaler = p1.scaler and p2.model = p1.model
+                              and p2.fold = p1.fold and p2.label = p1.label and p2.y = 1 and p2.p >= p1.p)
+                          / (select count(*) from pred p2 where p2.scaler = p1.scaler and p2.model = p1.model
+                              and p2.fold = p1.fold and p2.label = p1.label and p2.p >= p1.p) as prec
+             from pred p1) group by all)"""
+
+
+@register("label_metrics", f"""{_BIN_SQL}
+select scaler, model, fold, label, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn,
+       cast(tn as bigint) as tn, cast(tp + fn as bigint) as support_pos, cast(tn + fp as bigint) as support_neg,
+       {O.rnd('case when tn + fp > 0 then fp / (tn + fp) end')} as fpr,
+       {O.rnd('case when tp + fn > 0 then fn / (tp + fn) end')} as fnr,
+       {O.rnd('case when tp + fp > 0 then tp / (tp + fp) else 0 end')} as precision,
+       {O.rnd('case when tp + fn > 0 then tp / (tp + fn) else 0 end')} as recall,
+       {O.rnd('case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end')} as f1,
+       {O.rnd('case when tn + fp > 0 then tn / (tn + fp) end')} as specificity,
+       {O.rnd('0.5 * ((case when tp + fn > 0 then tp / (tp + fn) else 0 end) + (case when tn + fp > 0 then tn / (tn + fp) end))')} as balanced_accuracy,
+       {O.rnd('(tp + tn) / (tp + tn + fp + fn)')} as accuracy,
+       {O.rnd('case when 2 * tn + fn + fp > 0 then 2 * tn / (2 * tn + fn + fp) else 0 end')} as f1_neg,
+       {O.rnd('(fp + fn) / (tp + tn + fp + fn)')} as error_rate,
+       {O.rnd('auc')} as auc, {O.rnd('auprc')} as auprc
+from c left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)""")
+def q_label_metrics(spark, sf):
+    """E1–E7, E16, E17 per (config, fold, label) on test subjects."""
+    return rounded(E.label_metrics(_panel_preds(spark, sf), by=PANEL_BY))
+
+
+@register("fold_metrics", f"""{_BIN_SQL},
+m as (select scaler, model, fold, avg(auc) as macro_auc, avg(auprc) as macro_auprc,
+             2.0e0 * sum(tp) / greatest(1, 2 * sum(tp) + sum(fp) + sum(fn)) as micro_f1,
+             avg(case when 2 * tp + fp + fn > 0 then 2.0e0 * tp / (2 * tp + fp + fn) else 0 end) as macro_f1,
+             avg(case when tn + fp > 0 and tp + fn > 0 then 0.5 * (fp / (tn + fp) + fn / (tp + fn)) end) as clinical_cost,
+             avg(case when tn + fp > 0 and tp + fn > 0 then (1 - f.alpha) * (fp / (tn + fp)) + f.alpha * (fn / (tp + fn)) end) as clinical_cost_weighted
+      from c left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)
+      join cfg f using (label) group by all),
+s as (select scaler, model, fold, subject_id,
+             sum(case when y = 1 and pred = 1 then 1 else 0 end) as i,
+             sum(case when y = 1 or pred = 1 then 1 else 0 end) as u,
+             sum(case when y <> pred then 1 else 0 end) as d, count(*) as l
+      from pred group by all),
+j as (select scaler, model, fold, avg(case when u > 0 then i / u else 0 end) as jaccard_samples,
+             sum(d) / sum(l) as hamming_loss, avg(case when d = 0 then 1.0e0 else 0.0e0 end) as exact_match
+      from s group by all)
+select scaler, model, fold, {O.rnd('macro_auc')} as macro_auc, {O.rnd('macro_auprc')} as macro_auprc,
+       {O.rnd('micro_f1')} as micro_f1, {O.rnd('macro_f1')} as macro_f1, {O.rnd('jaccard_samples')} as jaccard_samples,
+       {O.rnd('hamming_loss')} as hamming_loss, {O.rnd('1 - hamming_loss')} as hamming_acc,
+       {O.rnd('exact_match')} as exact_match, {O.rnd('clinical_cost')} as clinical_cost,
+       {O.rnd('clinical_cost_weighted')} as clinical_cost_weighted
+from m join j using (scaler, model, fold)""")
+def q_fold_metrics(spark, sf):
+    """Macro AUC/AUPRC, micro/macro F1, Jaccard, Hamming, exact
+    match, clinical cost (plain and α-weighted) per (config, fold)."""
+    p = _panel_preds(spark, sf)
+    lm = E.label_metrics(p, by=PANEL_BY)
+    out = (E.macro(lm, by=PANEL_BY)
+           .join(E.multilabel_metrics(p, by=PANEL_BY), on=PANEL_BY)
+           .join(E.clinical_cost(p, _cfg(spark), by=PANEL_BY), on=PANEL_BY))
+    return rounded(out.select(*PANEL_BY, "macro_auc", "macro_auprc", "micro_f1", "macro_f1",
+                              "jaccard_samples", "hamming_loss", "hamming_acc", "exact_match",
+                              "clinical_cost", "clinical_cost_weighted"))
+
+
+@register("controls_report", f"""{_E_PRE}
+select scaler, model, fold, label, count_if(is_control) as n_controls,
+       case when count_if(is_control) > 0 then count_if(is_control and y = 0 and pred = 1) end as controls_fp,
+       {O.rnd('case when count_if(is_control) > 0 and count_if(is_control and y = 0) > 0 then count_if(is_control and y = 0 and pred = 1) / count_if(is_control and y = 0) end')} as controls_fpr
+from pred group by all""")
+def q_controls_report(spark, sf):
+    """False positives and FPR among test controls per label."""
+    return rounded(E.controls_report(_panel_preds(spark, sf), by=PANEL_BY))
+
+
+@register("error_decomposition", f"""{_E_PRE}
+select scaler, model, label, cast(sum(y) as bigint) as P, cast(sum(1 - y) as bigint) as N,
+       {O.rnd('sum(y) / count(*)')} as prevalence,
+       cast(sum(case when y = 1 and pred = 1 then 1 else 0 end) as bigint) as TP,
+       cast(sum(case when y = 1 and pred = 0 then 1 else 0 end) as bigint) as FN,
+       cast(sum(case when y = 0 and pred = 1 then 1 else 0 end) as bigint) as FP,
+       cast(sum(case when y = 0 and pred = 0 then 1 else 0 end) as bigint) as TN,
+       {O.rnd('case when sum(y) > 0 then sum(case when y = 1 and pred = 0 then 1 else 0 end) / sum(y) end')} as FNR,
+       {O.rnd('case when sum(1 - y) > 0 then sum(case when y = 0 and pred = 1 then 1 else 0 end) / sum(1 - y) end')} as FPR,
+       cast(sum(case when y <> pred then 1 else 0 end) as bigint) as errors,
+       {O.rnd('sum(case when y <> pred then 1 else 0 end) / count(*)')} as errors_per_patient
+from pred group by all""")
+def q_error_decomposition(spark, sf):
+    """Per config and label over all test folds pooled."""
+    return rounded(E.error_decomposition(_panel_preds(spark, sf), by=["scaler", "model"]))

@@ -141,3 +141,27 @@ def detections_b5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixture_label_config(spark: SparkSession, labels) -> DataFrame:
     return label_config(spark, labels, **FIXTURE_SETTINGS)
+
+
+# Three score "configs" over B3 (transforms of p), replicated per outer
+# fold with the part each subject plays in that fold.
+B4_CONFIGS = [("StandardScaler", "cfg_a"), ("MinMaxScaler", "cfg_b"), ("RobustScaler", "cfg_c")]
+
+
+def scores_b4(spark: SparkSession, sf_dir: str, n_folds: int = 3) -> DataFrame:
+    """A5-shaped window scores: ``scaler, model, fold, part, subject_id,
+    doc_id, label, y, p`` (train rows of a fold are the other folds)."""
+    b3 = scores_b3(spark, sf_dir)
+    cfg = F.explode(F.array(*[F.struct(F.lit(s).alias("scaler"), F.lit(m).alias("model"))
+                              for s, m in B4_CONFIGS])).alias("c")
+    p = F.col("p")
+    pc = (F.when(F.col("c.model") == "cfg_a", p)
+          .when(F.col("c.model") == "cfg_b", p * p)
+          .otherwise(F.lit(1.0) - (F.lit(1.0) - p) * (F.lit(1.0) - p)))
+    x = b3.select("*", cfg).select(
+        F.col("c.scaler").alias("scaler"), F.col("c.model").alias("model"),
+        F.col("fold").alias("_sf"), "subject_id", "doc_id", "label", "y", pc.alias("p"))
+    f = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold")
+    return (x.select("*", f)
+            .withColumn("part", F.when(F.col("_sf") == F.col("fold"), "test").otherwise("train"))
+            .drop("_sf"))
