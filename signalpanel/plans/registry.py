@@ -341,3 +341,163 @@ from pred group by all""")
 def q_error_decomposition(spark, sf):
     """Per config and label over all test folds pooled."""
     return rounded(E.error_decomposition(_panel_preds(spark, sf), by=["scaler", "model"]))
+
+
+# ------------------------------------------------------------ R1–R8, R15
+from ..operators import summary as R  # noqa: E402
+
+_FM_CTES = f"""{_BIN_SQL},
+m as (select scaler, model, fold, avg(auc) as macro_auc, avg(auprc) as macro_auprc,
+             2.0e0 * sum(tp) / greatest(1, 2 * sum(tp) + sum(fp) + sum(fn)) as micro_f1,
+             avg(case when 2 * tp + fp + fn > 0 then 2.0e0 * tp / (2 * tp + fp + fn) else 0 end) as macro_f1,
+             avg(case when tn + fp > 0 and tp + fn > 0 then 0.5 * (fp / (tn + fp) + fn / (tp + fn)) end) as clinical_cost,
+             avg(case when tn + fp > 0 and tp + fn > 0 then (1 - f.alpha) * (fp / (tn + fp)) + f.alpha * (fn / (tp + fn)) end) as clinical_cost_weighted
+      from c left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)
+      join cfg f using (label) group by all),
+s as (select scaler, model, fold, subject_id,
+             sum(case when y = 1 and pred = 1 then 1 else 0 end) as i,
+             sum(case when y = 1 or pred = 1 then 1 else 0 end) as u,
+             sum(case when y <> pred then 1 else 0 end) as d, count(*) as l
+      from pred group by all),
+j as (select scaler, model, fold, avg(case when u > 0 then i / u else 0 end) as jaccard_samples,
+             sum(d) / sum(l) as hamming_loss, avg(case when d = 0 then 1.0e0 else 0.0e0 end) as exact_match
+      from s group by all),
+fm as (select *, 1 - hamming_loss as hamming_acc from m join j using (scaler, model, fold)),
+board as (select scaler, model,
+  {", ".join(f"avg({c}) as {c}_mean, stddev_samp({c}) as {c}_std" for c in R.FOLD_METRICS)},
+  count(fold) as n_folds from fm group by scaler, model)"""
+
+
+def _panel_fold_metrics(spark, sf):
+    p = _panel_preds(spark, sf)
+    lm = E.label_metrics(p, by=PANEL_BY)
+    return (E.macro(lm, by=PANEL_BY).join(E.multilabel_metrics(p, by=PANEL_BY), on=PANEL_BY)
+            .join(E.clinical_cost(p, _cfg(spark), by=PANEL_BY), on=PANEL_BY))
+
+
+def _board_cols():
+    return ", ".join(f"{O.rnd(c + '_mean')} as {c}_mean, {O.rnd(c + '_std')} as {c}_std" for c in R.FOLD_METRICS)
+
+
+@register("fold_summary_pop", f"""{_FM_CTES}
+select scaler, model,
+  {", ".join(f"{O.rnd('avg(' + c + ')')} as {c}_mean, {O.rnd('stddev_pop(' + c + ')')} as {c}_std" for c in R.FOLD_METRICS)},
+  count(fold) as n_folds
+from fm group by scaler, model""")
+def q_fold_summary_pop(spark, sf):
+    """Per-config mean and population std over folds."""
+    return rounded(R.fold_summary(_panel_fold_metrics(spark, sf), R.FOLD_METRICS, std="pop"))
+
+
+@register("leaderboard", f"""{_FM_CTES}
+select scaler, model, {_board_cols()}, n_folds from board""")
+def q_leaderboard(spark, sf):
+    """R2: mean / sample std leaderboard sorted by AUPRC, AUC, micro F1."""
+    return rounded(R.leaderboard(_panel_fold_metrics(spark, sf)))
+
+
+@register("label_summary", f"""{_BIN_SQL}
+, lm as (select c.*, tp / nullif(tp + fp, 0) as prc, auc.auc, ap.auprc from c
+         left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)),
+thx as (select scaler, model, fold, label, max(threshold) as threshold from pred group by all)
+select scaler, model, label,
+  {O.rnd('avg(coalesce(prc, 0))')} as precision_mean,
+  {O.rnd('avg(case when tp + fn > 0 then tp / (tp + fn) else 0 end)')} as recall_mean,
+  {O.rnd('avg(case when tn + fp > 0 then tn / (tn + fp) end)')} as specificity_mean,
+  {O.rnd('avg(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end)')} as f1_mean,
+  {O.rnd('avg(auc)')} as auc_mean, {O.rnd('avg(auprc)')} as auprc_mean,
+  {O.rnd('avg(threshold)')} as threshold_mean,
+  {O.rnd('avg(tp + fn)')} as support_pos_mean, {O.rnd('avg(tn + fp)')} as support_neg_mean
+from lm join thx using (scaler, model, fold, label) group by scaler, model, label""")
+def q_label_summary(spark, sf):
+    """Per config and label means over folds."""
+    p = _panel_preds(spark, sf)
+    lm = E.label_metrics(p, by=PANEL_BY).join(
+        p.groupBy(*PANEL_BY, "label").agg(F.max("threshold").alias("threshold")), on=[*PANEL_BY, "label"])
+    return rounded(R.label_summary(lm))
+
+
+@register("controls_summary", f"""{_E_PRE},
+cr as (select scaler, model, fold, label,
+              case when count_if(is_control) > 0 then
+                   case when count_if(is_control and y = 0) > 0
+                        then count_if(is_control and y = 0 and pred = 1) / count_if(is_control and y = 0) end end as fpr,
+              case when count_if(is_control) > 0 then count_if(is_control and y = 0 and pred = 1) end as fp
+       from pred group by all)
+select scaler, model, label, {O.rnd('avg(fpr)')} as controls_fpr_mean, {O.rnd('stddev_samp(fpr)')} as controls_fpr_std,
+       {O.rnd('avg(fp)')} as controls_fp_mean, {O.rnd('stddev_samp(fp)')} as controls_fp_std, count(fold) as n_folds
+from cr group by scaler, model, label""")
+def q_controls_summary(spark, sf):
+    """Fold rows carry JSON maps of test-control FP/FPR per label;
+    parsed back to long rows and summarised per config and label."""
+    s = _panel_subjects(spark, sf)
+    p = _panel_preds(spark, sf)
+    res = R.fold_results(s, p, fx.scores_b4(spark, sf), _cfg(spark))
+    return rounded(R.controls_summary(R.controls_table(res)))
+
+
+_BEST_SQL = f"""{_FM_CTES},
+crit as (
+  select 'auprc' as criterion, scaler, model from board
+    order by macro_auprc_mean desc nulls last, macro_auc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+c2 as (select 'hamming' as criterion, scaler, model from board
+    order by hamming_acc_mean desc nulls last, jaccard_samples_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+c3 as (select 'jaccard' as criterion, scaler, model from board
+    order by jaccard_samples_mean desc nulls last, hamming_acc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+c4 as (select 'auc' as criterion, scaler, model from board
+    order by macro_auc_mean desc nulls last, macro_auprc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+c5 as (select 'cost' as criterion, scaler, model from board
+    order by clinical_cost_mean asc nulls last, hamming_acc_mean desc nulls last, jaccard_samples_mean desc nulls last, scaler, model limit 1),
+best as (select * from crit union all select * from c2 union all select * from c3 union all select * from c4 union all select * from c5)"""
+
+
+@register("best_configs", f"""{_BEST_SQL}
+select b.criterion, b.scaler, b.model, cast(count(distinct fm.fold) as bigint) as n_folds,
+       count(distinct fm.fold) = 3 as complete
+from best b left join fm using (scaler, model) group by all""")
+def q_best_configs(spark, sf):
+    """R5 + R6: best config per criterion, checked for all folds."""
+    fm = _panel_fold_metrics(spark, sf)
+    board = R.leaderboard(fm)
+    return R.check_complete(fm, R.best_configs(board), k=3)
+
+
+@register("best_decomposition", f"""{_BEST_SQL}
+select b.criterion, b.scaler, b.model, label, cast(sum(y) as bigint) as P, cast(sum(1 - y) as bigint) as N,
+       {O.rnd('sum(y) / count(*)')} as prevalence,
+       cast(sum(case when y = 1 and pred = 1 then 1 else 0 end) as bigint) as TP,
+       cast(sum(case when y = 1 and pred = 0 then 1 else 0 end) as bigint) as FN,
+       cast(sum(case when y = 0 and pred = 1 then 1 else 0 end) as bigint) as FP,
+       cast(sum(case when y = 0 and pred = 0 then 1 else 0 end) as bigint) as TN,
+       {O.rnd('case when sum(y) > 0 then sum(case when y = 1 and pred = 0 then 1 else 0 end) / sum(y) end')} as FNR,
+       {O.rnd('case when sum(1 - y) > 0 then sum(case when y = 0 and pred = 1 then 1 else 0 end) / sum(1 - y) end')} as FPR,
+       cast(sum(case when y <> pred then 1 else 0 end) as bigint) as errors,
+       {O.rnd('sum(case when y <> pred then 1 else 0 end) / count(*)')} as errors_per_patient
+from best b join pred using (scaler, model) group by all""")
+def q_best_decomposition(spark, sf):
+    """Error decomposition of every best config."""
+    p = _panel_preds(spark, sf)
+    board = R.leaderboard(_panel_fold_metrics(spark, sf))
+    return rounded(R.decompose_best(E.error_decomposition(p, by=R.CONFIG), R.best_configs(board)))
+
+
+@register("top_configs", f"""{_FM_CTES}
+select scaler, model, {_board_cols()}, n_folds from board
+order by macro_auprc_mean desc nulls last, macro_auc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model
+limit 10""")
+def q_top_configs(spark, sf):
+    """Top-10 leaderboard rows (a top-k report)."""
+    return rounded(R.top_configs(R.leaderboard(_panel_fold_metrics(spark, sf)), 10))
+
+
+@register("union_results", f"""{_FM_CTES}
+select scaler, model, fold, {O.rnd('macro_auprc')} as macro_auprc, 'panel' as branch from fm
+union all
+select scaler, model, fold, {O.rnd('macro_auc')} as macro_auprc, 'nested' as branch from fm""")
+def q_union_results(spark, sf):
+    """Union of result tables by column name (illustrated with two
+    branches built from the same fold rows)."""
+    fm = _panel_fold_metrics(spark, sf)
+    a = fm.select(*PANEL_BY, "macro_auprc", F.lit("panel").alias("branch"))
+    b = fm.select(*PANEL_BY, F.col("macro_auc").alias("macro_auprc"), F.lit("nested").alias("branch"))
+    return rounded(R.union_results(a, b))
