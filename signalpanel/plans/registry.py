@@ -501,3 +501,236 @@ def q_union_results(spark, sf):
     a = fm.select(*PANEL_BY, "macro_auprc", F.lit("panel").alias("branch"))
     b = fm.select(*PANEL_BY, F.col("macro_auc").alias("macro_auprc"), F.lit("nested").alias("branch"))
     return rounded(R.union_results(a, b))
+
+
+# ------------------------------------------------------------ S1–S10, W1–W12, F23
+from ..functions.matrix import feature_columns  # noqa: E402
+from ..operators import windows as W  # noqa: E402
+from ..sources import detections as D  # noqa: E402
+from ..sources import report as REP  # noqa: E402
+from ..config import KEYPOINTS  # noqa: E402
+
+_RAW_CTE = O.B1_BASE + """,
+raw as (select subject_id, win_from, win_to, frame_idx,
+               case when event_id % 97 = 0 then 'bad'
+                    when event_id % 7 = 0 then replace(cast(d_value as varchar), '.', ',')
+                    else cast(d_value as varchar) end as d_value, d_k from b1),
+cl as (select subject_id, win_from, win_to, frame_idx,
+              try_cast(replace(d_value, ',', '.') as double) as d_value, d_k from raw),
+fr as (select subject_id, win_from, win_to,
+              cast(row_number() over (partition by subject_id, win_from, win_to order by frame_idx) - 1 as int) as frame_idx,
+              d_value, d_k
+       from cl where d_value is not null and d_k is not null and not isnan(d_value) and not isnan(d_k))"""
+
+
+@register("clean_frames", f"""with {_RAW_CTE}
+select subject_id, win_from, win_to, frame_idx, {O.rnd('d_value')} as d_value, {O.rnd('d_k')} as d_k from fr""")
+def q_clean_frames(spark, sf):
+    """Decimal-comma repair, junk → NULL, incomplete frames dropped,
+    frame index renumbered densely within the window."""
+    raw = fx.frames_b1_raw(spark, sf)
+    c = S.coerce_numeric(raw, ["d_value", "d_k"], decimal_comma=True)
+    out = S.drop_incomplete(c, ["d_value", "d_k"])
+    return rounded(out.select(*WK, "frame_idx", "d_value", "d_k"))
+
+
+@register("clean_channel_features", O.features_sql(_RAW_CTE, fx.B1_CHANNELS, WK))
+def q_clean_channel_features(spark, sf):
+    """S3–S4 then F1–F22: features of the repaired signal."""
+    raw = fx.frames_b1_raw(spark, sf)
+    out = S.drop_incomplete(S.coerce_numeric(raw, ["d_value", "d_k"]), ["d_value", "d_k"])
+    return rounded(window_features(out, WK, fx.B1_CHANNELS))
+
+
+@register("require_columns", O.B1_BASE.join(["with ", ""]) + """,
+g as (select subject_id, max(case when user_id % 5 = 0 then null else value_k end) as has_k from
+      (select *, d_k as value_k from b1) group by subject_id)
+select subject_id, count(*) as n_frames from b1 where subject_id in (select subject_id from g where has_k is not null)
+group by subject_id""")
+def q_require_columns(spark, sf):
+    """Subjects whose source lacks a required column (here: ``d_k``
+    absent for every fifth user) are skipped."""
+    b = fx._b1_base(spark, sf)
+    b = b.withColumn("d_k", F.when(F.col("user_id") % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("d_k")))
+    kept = S.require_columns(b, ["d_value", "d_k", "win_from", "win_to"])
+    return kept.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_frames"))
+
+
+@register("filter_controls", f"""with {O.b1_frames_cte()}
+select subject_id, win_from, win_to, count(*) as n_frames from fr where not starts_with(subject_id, 'C')
+group by all""")
+def q_filter_controls(spark, sf):
+    """S5 + W1: non-control windows and their frame counts."""
+    fr = S.by_window(S.filter_controls(fx.frames_b1(spark, sf), include=False))
+    return fr.groupBy(*WK).agg(F.count(F.lit(1)).alias("n_frames"))
+
+
+_KP_SQL_COLS = []
+for _i, _k in enumerate(KEYPOINTS):
+    _x = f"case when vec_id % 11 = 0 then null else cast(trunc(abs(cast(embedding[{2 * _i + 1}] as double)) * 640) as int) end"
+    _y = f"case when vec_id % 11 = 0 then null else cast(trunc(abs(cast(embedding[{2 * _i + 2}] as double)) * 480) as int) end"
+    _KP_SQL_COLS += [f"{_x} as {_k}_x", f"{_y} as {_k}_y",
+                     f"{O.rnd(f'sqrt(cast(({_x}) as double) * ({_x}) + cast(({_y}) as double) * ({_y}))')} as {_k}_distance"]
+
+
+@register("keypoint_frames", f"""select concat('V', lpad(cast(vec_id // 100 as varchar), 3, '0')) as video_id,
+       {O.rnd('round((vec_id % 100) * (1000.0e0 / 30.0e0) / 1000.0e0, 2)')} as time,
+       {", ".join(_KP_SQL_COLS)}
+from embeddings""")
+def q_keypoint_frames(spark, sf):
+    """Detections → pixel keypoints (first person, truncation),
+    distances from the origin, time in seconds."""
+    return rounded(D.detections_to_frames(fx.detections_b5(spark, sf)))
+
+
+@register("window_labels", f"""with {O.b1_frames_cte()}
+select subject_id, win_from, win_to, count(*) as n_frames,
+       cast(max(case when lab_a = 1 then 1 else 0 end) as int) as lab_a,
+       cast(max(case when lab_b = 1 then 1 else 0 end) as int) as lab_b,
+       cast(max(case when lab_c = 1 then 1 else 0 end) as int) as lab_c
+from fr where win_from is not null and win_to is not null group by all""")
+def q_window_labels(spark, sf):
+    """Per window frame count and one 0/1 label per column
+    (2 = ambiguous counts as not-1)."""
+    return W.window_labels(S.by_window(fx.frames_b1(spark, sf)), fx.B1_LABELS)
+
+
+_W2_CTE = O.b1_frames_cte() + """,
+amb as (select subject_id, win_from, win_to from fr group by all having max(case when lab_a = 2 then 1 else 0 end) = 1),
+kept as (select * from fr where (subject_id, win_from, win_to) not in (select (subject_id, win_from, win_to) from amb)),
+wl as (select subject_id, win_from, win_to, cast(max(case when lab_a = 1 then 1 else 0 end) as int) as y
+       from kept group by all)"""
+
+
+@register("positives_and_controls", f"""with {_W2_CTE}
+select subject_id, win_from, win_to, y from wl where y = 1 or starts_with(subject_id, 'C')""")
+def q_positives_and_controls(spark, sf):
+    """Drop windows with an ambiguous frame, label each window,
+    keep positives and all control windows."""
+    fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
+    return W.positives_and_controls(W.window_label(fr, "lab_a"))
+
+
+@register("drop_all_zero", f"""with {O.b1_frames_cte()},
+wl as (select subject_id, win_from, win_to, count(*) as n_frames,
+       cast(max(case when lab_a = 1 then 1 else 0 end) as int) as lab_a,
+       cast(max(case when lab_b = 1 then 1 else 0 end) as int) as lab_b,
+       cast(max(case when lab_c = 1 then 1 else 0 end) as int) as lab_c from fr group by all)
+select * from wl where greatest(lab_a, lab_b, lab_c) > 0""")
+def q_drop_all_zero(spark, sf):
+    """Windows with at least one positive label."""
+    return W.drop_all_zero(W.window_labels(fx.frames_b1(spark, sf), fx.B1_LABELS), fx.B1_LABELS)
+
+
+_SUBJ_CTE = O.b1_frames_cte() + """,
+wl as (select subject_id, win_from, win_to,
+       cast(max(case when lab_a = 1 then 1 else 0 end) as int) as lab_a,
+       cast(max(case when lab_b = 1 then 1 else 0 end) as int) as lab_b,
+       cast(max(case when lab_c = 1 then 1 else 0 end) as int) as lab_c from fr group by all),
+sl as (select subject_id, count(*) as n_windows, cast(max(lab_a) as int) as lab_a, cast(max(lab_b) as int) as lab_b,
+              cast(max(lab_c) as int) as lab_c, starts_with(subject_id, 'C') as is_control from wl group by subject_id)"""
+
+
+@register("subject_labels", f"""with {_SUBJ_CTE} select * from sl""")
+def q_subject_labels(spark, sf):
+    """Subject label = OR over its windows."""
+    return W.subject_labels(W.window_labels(fx.frames_b1(spark, sf), fx.B1_LABELS), fx.B1_LABELS)
+
+
+@register("prevalence", f"""with {_SUBJ_CTE}
+select label, cast(sum(y) as bigint) as n_pos, count(*) as n_subjects, {O.rnd('avg(y)')} as prevalence
+from (select subject_id, 'lab_a' as label, lab_a as y from sl union all
+      select subject_id, 'lab_b', lab_b from sl union all select subject_id, 'lab_c', lab_c from sl)
+group by label""")
+def q_prevalence(spark, sf):
+    """Subject-level prevalence per label."""
+    sl = W.subject_labels(W.window_labels(fx.frames_b1(spark, sf), fx.B1_LABELS), fx.B1_LABELS)
+    return rounded(W.prevalence(sl, fx.B1_LABELS))
+
+
+@register("availability", f"""with {O.b1_frames_cte()},
+t as (select *, case win_from when 0 then 'Rest' when 10 then 'Action' when 20 then 'Posture' end as task from fr),
+p as (select subject_id, task,
+             cast(max(case when lab_a = 1 then 1 else 0 end) as int) as lab_a,
+             cast(max(case when lab_b = 1 then 1 else 0 end) as int) as lab_b,
+             cast(max(case when lab_c = 1 then 1 else 0 end) as int) as lab_c from t group by all),
+l as (select subject_id, task, 'lab_a' as label, lab_a as y from p union all
+      select subject_id, task, 'lab_b', lab_b from p union all select subject_id, task, 'lab_c', lab_c from p)
+select label, task, count_if(y = 1 and not starts_with(subject_id, 'C')) as n_positive,
+       count_if(y = 0 and starts_with(subject_id, 'C')) as n_controls
+from l group by all""")
+def q_availability(spark, sf):
+    """Per label × task: positive non-control subjects and
+    negative controls."""
+    return W.availability(fx.frames_b7(spark, sf), fx.B1_LABELS)
+
+
+@register("task_windows", f"""with {O.b1_frames_cte()}
+select subject_id, win_from, win_to, count(*) as n_frames,
+       cast(max(case when lab_b = 1 then 1 else 0 end) as int) as lab_b
+from fr where win_from = 10 group by all""")
+def q_task_windows(spark, sf):
+    """One task segment (Action) as a partition filter, then labels."""
+    return W.window_labels(W.for_task(fx.frames_b7(spark, sf), "Action"), ["lab_b"])
+
+
+_W7_CTE = O.B1_BASE + """,
+f0 as (select subject_id, win_from, win_to, frame_idx, d_value, d_k, lab_a from b1),
+amb as (select subject_id, win_from, win_to from f0 group by all having max(case when lab_a = 2 then 1 else 0 end) = 1),
+kept as (select * from f0 where (subject_id, win_from, win_to) not in (select (subject_id, win_from, win_to) from amb)),
+fr as (select subject_id, 0 as win_from, 0 as win_to,
+              cast(row_number() over (partition by subject_id order by win_from, win_to, frame_idx) - 1 as bigint) as frame_idx,
+              d_value, d_k
+       from kept)"""
+
+
+@register("subject_signal_features", O.features_sql(_W7_CTE, fx.B1_CHANNELS, WK, fps=1.0, variant="subject"))
+def q_subject_signal_features(spark, sf):
+    """W2 + W7 + F (subject variant): drop ambiguous windows, concatenate a
+    subject's kept windows into one signal, 20 features per channel."""
+    fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
+    kept = W.window_label(fr, "lab_a")
+    sig = W.subject_signal(fr, kept)
+    return rounded(window_features(sig, WK, fx.B1_CHANNELS, SPECS["subject"]))
+
+
+def _matrix_sql(frames_cte: str) -> str:
+    names = SPECS["multilabel"].names()
+    base = O.features_sql(frames_cte, fx.B1_CHANNELS, WK)
+    cols = []
+    for ch in fx.B1_CHANNELS:
+        for f in names:
+            cols.append(f"coalesce(max(case when channel = '{ch}' then {f} end), 0) + 0.0e0 as {ch}_{f}")
+    return f"""with feat as ({base.strip()}),
+{frames_cte.strip()},
+wl as (select subject_id, win_from, win_to, count(*) as n_frames,
+       cast(max(case when lab_a = 1 then 1 else 0 end) as int) as lab_a,
+       cast(max(case when lab_b = 1 then 1 else 0 end) as int) as lab_b,
+       cast(max(case when lab_c = 1 then 1 else 0 end) as int) as lab_c from fr group by all),
+piv as (select subject_id, win_from, win_to, {", ".join(cols)} from feat group by all)
+select wl.*, {", ".join(f"coalesce(piv.{ch}_{f}, 0.0e0) + 0.0e0 as {ch}_{f}" for ch in fx.B1_CHANNELS for f in names)}
+from wl left join piv using (subject_id, win_from, win_to)"""
+
+
+@register("feature_matrix", _matrix_sql(O.b1_frames_cte("short")))
+def q_feature_matrix(spark, sf):
+    """F23 + W4 + W12 (flagship): one row per window with labels and
+    ``<channel>_<feature>`` columns, missing → 0."""
+    fr = fx.frames_b1_short(spark, sf)
+    feats = window_features(fr, WK, fx.B1_CHANNELS)
+    wl = W.window_labels(fr, fx.B1_LABELS)
+    return rounded(feature_matrix(feats, wl, WK, fx.B1_CHANNELS))
+
+
+@register("run_meta", f"""with {O.b1_frames_cte()},
+wl as (select subject_id, win_from, win_to from fr group by all)
+select count(distinct subject_id) as n_subjects,
+       count(distinct case when starts_with(subject_id, 'C') then subject_id end) as n_controls,
+       count(*) as n_windows, {len(feature_columns(fx.B1_CHANNELS))} as n_features, 3 as n_labels
+from wl""")
+def q_run_meta(spark, sf):
+    """Run metadata (counts; the config snapshot column is dropped
+    for the gate)."""
+    wl = W.window_labels(fx.frames_b1(spark, sf), fx.B1_LABELS)
+    m = REP.run_meta(spark, wl, len(feature_columns(fx.B1_CHANNELS)), fx.B1_LABELS, {"fps": 30.0})
+    return m.drop("config_json")
