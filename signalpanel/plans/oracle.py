@@ -263,3 +263,20 @@ rates as (
          (fp + fn) / greatest(1, tp + fp + fn + tn) as err,
          (n_ctrl = 0 or (c_fp <= f.fp_max and (c_n = 0 or c_fp / c_n <= f.fpr_target))) as ctrl_ok
   from cnt c join cfg f using (label))"""
+
+
+B2_CTE = """
+b2 as (
+  select concat(case when (vec_id // 4) % 4 = 0 then 'C' else 'P' end, lpad(cast(vec_id // 4 as varchar), 5, '0')) as subject_id,
+         cast(vec_id % 4 as int) as win_from, cast(vec_id % 4 + 1 as int) as win_to,
+         list_transform(embedding, lambda e: cast(e as double)) as x,
+         case when (vec_id // 4) % 4 = 0 then 0 else cast(label < 3 as int) end as lo,
+         case when (vec_id // 4) % 4 = 0 then 0 else cast(label in (3, 4) as int) end as mid,
+         case when (vec_id // 4) % 4 = 0 then 0 else cast(label % 2 = 0 as int) end as even
+  from embeddings),
+b2s as (select subject_id, cast(max(lo) as int) as lo, cast(max(mid) as int) as mid, cast(max(even) as int) as even
+        from b2 group by subject_id),
+b2f as (select subject_id,
+               cast((row_number() over (order by concat(cast(lo as varchar), cast(mid as varchar), cast(even as varchar)),
+                                        md5('42:' || subject_id)) - 1) % 3 as int) as fold
+        from b2s)"""

@@ -734,3 +734,166 @@ def q_run_meta(spark, sf):
     wl = W.window_labels(fx.frames_b1(spark, sf), fx.B1_LABELS)
     m = REP.run_meta(spark, wl, len(feature_columns(fx.B1_CHANNELS)), fx.B1_LABELS, {"fps": 30.0})
     return m.drop("config_json")
+
+
+# ------------------------------------------------------------ C1–C8, P1–P8
+from ..operators import prep as P  # noqa: E402
+from ..operators import split as C  # noqa: E402
+
+
+@register("grouped_folds", f"""with {O.b1_frames_cte()},
+wl as (select subject_id, win_from, win_to, max(case when lab_b = 1 then 1 else 0 end) as y from fr group by all),
+s as (select subject_id, max(y) as cls from wl group by subject_id)
+select subject_id, cast((row_number() over (order by cls, md5('42:' || subject_id)) - 1) % 5 as int) as fold from s""")
+def q_grouped_folds(spark, sf):
+    """Stratified grouped 5-fold over subjects (class = any positive
+    window of lab_b)."""
+    wl = W.window_label(fx.frames_b1(spark, sf), "lab_b")
+    return C.grouped_folds(wl, k=5, seed=42)
+
+
+def _b2_folds(spark, sf):
+    sl = W.subject_labels(fx.features_b2(spark, sf), fx.B2_LABELS)
+    return C.multilabel_folds(sl, fx.B2_LABELS, k=3, seed=42)
+
+
+@register("multilabel_folds", f"""with {O.B2_CTE} select subject_id, fold from b2f""")
+def q_multilabel_folds(spark, sf):
+    """Multi-label stratified 3-fold over subjects (dealt by label
+    combination and md5)."""
+    return _b2_folds(spark, sf)
+
+
+@register("inner_folds", f"""with {O.B2_CTE},
+o as (select f.fold, s.* from b2s s join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)
+      where b2f.fold <> f.fold),
+n as (select fold, count(*) as n from o group by fold)
+select fold, subject_id,
+       cast((row_number() over (partition by fold order by concat(cast(lo as varchar), cast(mid as varchar), cast(even as varchar)),
+                                md5('42:inner:' || subject_id)) - 1) % least(3, n) as int) as inner
+from o join n using (fold)""")
+def q_inner_folds(spark, sf):
+    """C4: inner folds on each outer fold's train subjects, min(3, n)."""
+    sl = W.subject_labels(fx.features_b2(spark, sf), fx.B2_LABELS)
+    return C.inner_folds(sl, _b2_folds(spark, sf), fx.B2_LABELS, k_outer=3, k_inner=3, seed=42)
+
+
+@register("split_check", f"""with {O.B2_CTE},
+sp as (select f.fold, b2.subject_id, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold))
+select fold, 0 as n_overlap, count(distinct case when part = 'train' then subject_id end) as n_train_subjects,
+       count(distinct case when part = 'test' then subject_id end) as n_test_subjects,
+       count_if(part = 'test') as n_test_windows
+from sp group by fold""")
+def q_split_check(spark, sf):
+    """train/test materialisation for every fold, disjointness (0
+    shared subjects) and sizes."""
+    sp = C.all_splits(fx.features_b2(spark, sf).drop("x"), _b2_folds(spark, sf), 3)
+    sizes = sp.groupBy("fold").agg(
+        F.countDistinct(F.when(F.col("part") == "train", F.col("subject_id"))).alias("n_train_subjects"),
+        F.countDistinct(F.when(F.col("part") == "test", F.col("subject_id"))).alias("n_test_subjects"),
+        F.count_if(F.col("part") == "test").alias("n_test_windows"))
+    return C.disjoint_check(sp).join(sizes, on="fold").select(
+        "fold", F.col("n_overlap").cast("int").alias("n_overlap"), "n_train_subjects", "n_test_subjects", "n_test_windows")
+
+
+@register("valid_folds", f"""with {O.B3_BASE}
+select fold, label, count(distinct y) as n_classes, count(distinct y) = 2 as valid from b3 group by all""")
+def q_valid_folds(spark, sf):
+    """(fold, label) groups with both classes."""
+    return C.valid_folds(fx.scores_b3(spark, sf), by=["fold", "label"])
+
+
+@register("class_weights", f"""with {O.B3_BASE},
+c as (select fold, label, y, count(*) as nc from b3 group by all)
+select fold, label, y, {O.rnd('case when count(*) over (partition by fold, label) = 2 then sum(nc) over (partition by fold, label) / (2.0e0 * nc) else 1.0e0 end')} as weight
+from c""")
+def q_class_weights(spark, sf):
+    """Balanced class weights n / (2·n_c) per (fold, label)."""
+    return rounded(C.class_weights(fx.scores_b3(spark, sf), by=["fold", "label"]))
+
+
+@register("smote_plan", f"""with {O.B3_BASE},
+c as (select fold, label, count_if(y = 1) as n_pos, count_if(y = 0) as n_neg from b3 group by all)
+select fold, label, n_pos, n_neg,
+       case when n_pos > 0 and n_neg > 0 and least(n_pos, n_neg) >= 2 then cast(least(5, least(n_pos, n_neg) - 1) as int) end as smote_k,
+       case when n_pos > 0 and n_neg > 0 and n_pos < n_neg and n_pos / greatest(n_neg, 1) < 0.25 then 0.25e0 end as smote_ratio,
+       (n_pos > 0 and n_neg > 0 and least(n_pos, n_neg) >= 2) and (n_pos > 0 and n_neg > 0 and n_pos < n_neg and n_pos / greatest(n_neg, 1) < 0.25) as smote_used
+from c""")
+def q_smote_plan(spark, sf):
+    """SMOTE eligibility, neighbour count and target ratio per group."""
+    return C.smote_plan(fx.scores_b3(spark, sf), by=["fold", "label"])
+
+
+def _scaled_sql(kind: str) -> str:
+    stat = {"standard": ("avg(v)", "stddev_pop(v)"), "minmax": ("min(v)", "max(v) - min(v)"),
+            "robust": ("quantile_cont(v, 0.5)", "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)")}[kind]
+    return f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lv as (select fold, part, subject_id, win_from, unnest(x) as v, unnest(generate_series(1, len(x))) as j from sp),
+st as (select fold, j, {stat[0]} as a, {stat[1]} as s0 from lv where part = 'train' group by fold, j),
+st2 as (select fold, j, a, case when s0 is null or s0 = 0 then 1.0e0 else s0 end as s from st)
+select fold, part, subject_id, win_from,
+       list(round((v - a) / s, 6) + 0.0e0 order by j) as x
+from lv join st2 using (fold, j) group by fold, part, subject_id, win_from"""
+
+
+for _kind in ("standard", "minmax", "robust"):
+    def _mks(kind):
+        def q(spark, sf):
+            sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3)
+            params = P.fit_scaler(sp.filter(F.col("part") == "train"), kind, by=["fold"])
+            out = P.apply_scaler(sp, params, kind, by=["fold"])
+            return out.select("fold", "part", "subject_id", "win_from",
+                              F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"))
+        q.__doc__ = f"P1–P3, P7: {kind} scaler fitted on each fold's train rows, applied to all rows."
+        return q
+    register(f"scale_{_kind}", _scaled_sql(_kind))(_mks(_kind))
+
+
+@register("nan_to_num", """select vec_id,
+  list_transform(list_transform(embedding, lambda e: case when label = 4 then cast(e as double) * 'infinity'::double
+                                                         else cast(e as double) / (cast(label as double) - 4.0e0) end),
+     lambda v: case when isnan(v) then 0.0e0 when v = 'infinity'::double then 1e6 when v = '-infinity'::double then -1e6
+               else round(v, 6) + 0.0e0 end) as x
+from embeddings""")
+def q_nan_to_num(spark, sf):
+    """NaN → 0, ±inf → ±1e6 (division by (label − 4) makes all three)."""
+    emb = fx.table(spark, sf, "embeddings")
+    raw = F.transform("embedding", lambda e: F.when(F.col("label") == 4, e.cast("double") * F.lit(float("inf")))
+                      .otherwise(e.cast("double") / (F.col("label").cast("double") - F.lit(4.0))))
+    x = P.nan_to_num(raw)
+    return emb.select("vec_id", F.transform(x, lambda v: F.when(F.abs(v) >= 1e6, v)
+                                            .otherwise(F.round(v, 6) + F.lit(0.0))).alias("x"))
+
+
+@register("select_k_best", f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lw as (select fold, x, 'lo' as label, lo as y from sp where part = 'train' union all
+       select fold, x, 'mid', mid from sp where part = 'train' union all
+       select fold, x, 'even', even from sp where part = 'train'),
+lv as (select fold, label, y, unnest(x) as v, unnest(generate_series(0, len(x) - 1)) as j from lw),
+rg as (select fold, label, j, min(v) as lo, max(v) as hi from lv group by all),
+b as (select lv.*, case when hi > lo then least(9, cast(floor((v - lo) / (hi - lo) * 10) as int)) else 0 end as bin
+      from lv join rg using (fold, label, j)),
+c as (select fold, label, j, bin, y, count(*) as n_by from b group by all),
+c2 as (select *, sum(n_by) over (partition by fold, label, j) as n,
+              sum(n_by) over (partition by fold, label, j, bin) as n_b,
+              sum(n_by) over (partition by fold, label, j, y) as n_y from c),
+mi as (select fold, label, j, sum((n_by / n) * ln((n_by * n) / (n_b * n_y))) as mi from c2 group by all),
+r as (select *, row_number() over (partition by fold, label order by mi desc, j) as rank from mi)
+select fold, label, cast(j as int) as feature, {O.rnd('mi')} as mi, rank from r
+where rank <= case label when 'mid' then 8 else 12 end""")
+def q_select_k_best(spark, sf):
+    """Top-K features per (fold, label) by binned mutual information
+    on train rows (K per label from the settings table)."""
+    sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3).filter(F.col("part") == "train")
+    lw = sp.select("fold", "x", F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y"))
+                                                     for l in fx.B2_LABELS])).alias("_l")) \
+        .select("fold", "x", "_l.label", "_l.y")
+    from ..config import label_config
+    kcfg = label_config(spark, fx.B2_LABELS, k_best=12, k_by_label={"mid": 8})
+    return rounded(P.select_k_best(lw, kcfg, by=["fold"]).select(
+        "fold", "label", F.col("feature").cast("int").alias("feature"), "mi", "rank"))
