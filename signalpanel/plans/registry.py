@@ -897,3 +897,96 @@ def q_select_k_best(spark, sf):
     kcfg = label_config(spark, fx.B2_LABELS, k_best=12, k_by_label={"mid": 8})
     return rounded(P.select_k_best(lw, kcfg, by=["fold"]).select(
         "fold", "label", F.col("feature").cast("int").alias("feature"), "mi", "rank"))
+
+
+# ------------------------------------------------------------ M1–M18
+from . import models as M  # noqa: E402
+
+
+def _b2_rows(spark, sf):
+    """Long model rows over B2: (fold, part, subject, window, label, y, x)."""
+    sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3)
+    lab = F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y")) for l in fx.B2_LABELS]))
+    return (sp.select("fold", "part", "subject_id", "win_from", "x", lab.alias("_l"))
+            .select("fold", "part", "subject_id", "win_from", "_l.label", F.col("_l.y").cast("int").alias("y"), "x")
+            .withColumn("row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string"))))
+
+
+@register("knn_scores", f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
+              concat_ws(':', subject_id, cast(win_from as varchar)) as row_id
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lr as (select fold, part, subject_id, win_from, row_id, x, 'lo' as label, lo as y from sp union all
+       select fold, part, subject_id, win_from, row_id, x, 'mid', mid from sp union all
+       select fold, part, subject_id, win_from, row_id, x, 'even', even from sp),
+pairs as (select q.fold, q.label, q.part, q.subject_id, q.win_from, q.row_id, q.y, t.y as ty, t.row_id as tid,
+                 sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as d
+          from lr q join lr t on q.fold = t.fold and q.label = t.label and t.part = 'train'),
+r as (select *, row_number() over (partition by fold, label, row_id order by d, tid) as rk from pairs)
+select fold, part, subject_id, win_from, label, cast(y as int) as y, {O.rnd('avg(ty)')} as p
+from r where rk <= 9 group by fold, part, subject_id, win_from, label, y""")
+def q_knn_scores(spark, sf):
+    """M7: exact 9-NN scores (uniform) per (fold, label), blocked
+    distributed search with per-block top-k and a merge per scored row."""
+    rows = _b2_rows(spark, sf)
+    parts = []
+    for f in range(3):
+        for lab in fx.B2_LABELS:
+            g = rows.filter((F.col("fold") == f) & (F.col("label") == lab))
+            parts.append(M.knn_score(g.filter(F.col("part") == "train"), g, k=9, p=2))
+    from functools import reduce as _r
+    out = _r(DataFrame.unionByName, parts)
+    return rounded(out.select("fold", "part", "subject_id", "win_from", "label", "y", "p"))
+
+
+@register("margin_to_prob", """select vec_id, round(1.0e0 / (1.0e0 + exp(-(cast(embedding[1] as double) - cast(embedding[2] as double)) * 10.0e0)), 6) + 0.0e0 as p
+from embeddings""")
+def q_margin_to_prob(spark, sf):
+    """Decision margin → probability by the logistic map."""
+    emb = fx.table(spark, sf, "embeddings")
+    m = (F.col("embedding")[0].cast("double") - F.col("embedding")[1].cast("double")) * 10.0
+    return rounded(emb.select("vec_id", M.margin_to_prob(m).alias("p")))
+
+
+@register("constant_scores", f"""with {O.B3_BASE}
+select fold, label, {O.rnd('avg(y)')} as p, count(distinct y) as n_classes
+from b3 where starts_with(subject_id, 'C') group by all""")
+def q_constant_scores(spark, sf):
+    """Single-class training groups (controls only) get the constant
+    score mean(y) instead of a model."""
+    b3 = fx.scores_b3(spark, sf).filter(S.is_control("subject_id"))
+    g = b3.groupBy("fold", "label").agg(F.avg(F.col("y").cast("double")).alias("p"),
+                                         F.countDistinct("y").alias("n_classes"))
+    return rounded(g.filter(F.col("n_classes") < 2).unionByName(g.filter(F.col("n_classes") >= 2)))
+
+
+MODEL_SPECS = {
+    "logreg": M.ModelSpec("logreg", {"C": 0.3, "max_iter": 30}, "minmax", "LogReg(C=0.3)"),
+    "sgd_log": M.ModelSpec("sgd_log", {"alpha": 1e-4, "max_iter": 30}, "standard", "SGDLog(alpha=1e-4)"),
+    "linear_svc": M.ModelSpec("linear_svc", {"C": 3.0, "max_iter": 15}, "power", "LinearSVC+SafeCalib(C=3.0)"),
+    "rbf_svm": M.ModelSpec("rbf_svm", {"C": 1.0, "gamma": "scale", "dim": 128, "max_iter": 15}, "standard",
+                           "SVM(C=1.0,gamma=scale)"),
+    "random_forest": M.ModelSpec("random_forest", {"n_estimators": 30, "max_depth": 6, "min_samples_leaf": 2}, "none", "RF"),
+    "extra_trees": M.ModelSpec("extra_trees", {"n_estimators": 30, "max_depth": 6, "min_samples_leaf": 2}, "none", "ET"),
+    "mlp": M.ModelSpec("mlp", {"hidden": (16,), "max_iter": 20}, "standard", "MLP(h=16)"),
+    "adaboost": M.ModelSpec("adaboost", {"n_estimators": 5, "learning_rate": 0.5}, "none", "AdaBoost(n=5)"),
+    "gbt": M.ModelSpec("gb", {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.9}, "none", "GB"),
+}
+
+
+def _scaler_fn(g, kind):
+    if kind == "none":
+        return g
+    params = P.fit_scaler(g.filter(F.col("part") == "train"), kind)
+    return P.apply_scaler(g, params, kind)
+
+
+for _fam, _spec in MODEL_SPECS.items():
+    def _mkm(spec):
+        def q(spark, sf):
+            rows = _b2_rows(spark, sf)
+            sc = M.fit_panel(rows, [spec], fx.B2_LABELS, folds=[0, 1, 2], scaler_fn=_scaler_fn, parallelism=9)
+            return rounded(sc.select("scaler", "model", "fold", "part", "subject_id", "win_from", "label", "y", "p"))
+        q.__doc__ = f"M1–M16: {spec.family} scorer per (fold, label), scaler {spec.scaler}, fit once, train+test scored."
+        return q
+    register(f"model_scores_{_fam}")(_mkm(_spec))
