@@ -112,7 +112,7 @@ def inner_folds(subject_labels: DataFrame, outer: DataFrame, labels: Sequence[st
                 k_inner: int = 3, seed: int = 42, subject: str = "subject_id") -> DataFrame:
     """C4: inner folds over each outer fold's train subjects, with
     min(k_inner, n_train) splits, stratified by label combination.
-    Returns ``(fold, subject, inner)``."""
+    Returns ``(fold, subject, inner_fold)``."""
     f = F.explode(F.sequence(F.lit(0), F.lit(k_outer - 1))).alias("fold")
     tr = (subject_labels.join(outer.select(subject, F.col("fold").alias("_of")), on=subject)
           .select("*", f).filter(F.col("_of") != F.col("fold")).drop("_of"))
@@ -124,7 +124,7 @@ def inner_folds(subject_labels: DataFrame, outer: DataFrame, labels: Sequence[st
     x = tr.withColumn("_h", h).withColumn(
         "_key", F.struct("_combo", (F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % RANK_BUCKETS).alias("_b")))
     r = dealt_rank(x, ["_key", "_h"], part=["fold"])
-    return r.select("fold", subject, (F.col("_rank") % kk).cast("int").alias("inner"))
+    return r.select("fold", subject, (F.col("_rank") % kk).cast("int").alias("inner_fold"))
 
 
 def valid_folds(rows: DataFrame, by: Sequence[str] = ("fold", "label"), y: str = "y") -> DataFrame:

@@ -280,3 +280,25 @@ b2f as (select subject_id,
                cast((row_number() over (order by concat(cast(lo as varchar), cast(mid as varchar), cast(even as varchar)),
                                         md5('42:' || subject_id)) - 1) % 3 as int) as fold
         from b2s)"""
+
+
+def min_error_ctes(by: list[str], subj: str = "subj", train_where: str = "part = 'train'") -> str:
+    """CTEs ``cnt, rates, lv, f, best, base, thr`` — T9 by brute force."""
+    b = ", ".join(by)
+    return f"""{naive_counts_cte(subj, b, train_where)},
+lv(level) as (values (0), (1), (2), (3), (4)),
+f as (select r.*, lv.level from rates r cross join lv
+      where (lv.level = 4)
+         or (lv.level = 3 and (n_ctrl = 0 or c_fp <= fp_max))
+         or (lv.level = 2 and (n_ctrl = 0 or c_fp <= fp_max) and (P = 0 or recall >= recall_min))
+         or (lv.level = 1 and (n_ctrl = 0 or (c_fp <= fp_max and (c_fpr is null or c_fpr <= fpr_target)))
+                          and (P = 0 or recall >= recall_min))
+         or (lv.level = 0 and (n_ctrl = 0 or (c_fp <= fp_max and (c_fpr is null or c_fpr <= fpr_target)))
+                          and (P = 0 or recall >= recall_min) and (spec is null or spec >= spec_target))),
+best as (select * from (select *, row_number() over (partition by {b}, label order by level, err, i) as rk from f)
+         where rk = 1),
+base as (select {b}, label, count(distinct y) as ncls from {subj} where {train_where} group by all),
+thr as (select {b}, label,
+               case when base.ncls < 2 then 0.5e0 else coalesce(best.t, 0.5e0) end as threshold,
+               case when base.ncls < 2 then null else best.level end as relax_level
+        from base left join best using ({b}, label))"""

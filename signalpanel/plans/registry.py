@@ -770,7 +770,7 @@ o as (select f.fold, s.* from b2s s join b2f using (subject_id) cross join (valu
 n as (select fold, count(*) as n from o group by fold)
 select fold, subject_id,
        cast((row_number() over (partition by fold order by concat(cast(lo as varchar), cast(mid as varchar), cast(even as varchar)),
-                                md5('42:inner:' || subject_id)) - 1) % least(3, n) as int) as inner
+                                md5('42:inner:' || subject_id)) - 1) % least(3, n) as int) as inner_fold
 from o join n using (fold)""")
 def q_inner_folds(spark, sf):
     """C4: inner folds on each outer fold's train subjects, min(3, n)."""
@@ -990,3 +990,150 @@ for _fam, _spec in MODEL_SPECS.items():
         q.__doc__ = f"M1–M16: {spec.family} scorer per (fold, label), scaler {spec.scaler}, fit once, train+test scored."
         return q
     register(f"model_scores_{_fam}")(_mkm(_spec))
+
+
+# ------------------------------------------------------------ R9–R14
+from ..operators import importance as IMP  # noqa: E402
+from ..operators import nested as NS  # noqa: E402
+
+_NEST_BY = ["fold", "candidate", "cand_order", "inner_fold"]
+
+
+def _inner_scores_b3(spark, sf):
+    """Inner-CV score table from B3: outer fold = B3 fold; inner split of
+    the outer-train subjects = (subject div 3) mod 3; candidates = the B4
+    score transforms."""
+    b3 = fx.scores_b3(spark, sf).withColumn("_sub", F.expr("doc_id div 10"))
+    outer = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_of")
+    x = b3.select("*", outer).filter(F.col("fold") != F.col("_of"))
+    x = x.withColumn("_in", F.expr("(_sub div 3) % 3"))
+    inner = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("inner_fold")
+    cands = F.explode(F.array(*[F.struct(F.lit(f"{s}__{m}").alias("candidate"), F.lit(i).alias("cand_order"))
+                                for i, (s, m) in enumerate(fx.B4_CONFIGS)])).alias("_c")
+    x = x.select("*", inner).select("*", cands)
+    p = F.col("p")
+    pc = (F.when(F.col("_c.cand_order") == 0, p).when(F.col("_c.cand_order") == 1, p * p)
+          .otherwise(F.lit(1.0) - (F.lit(1.0) - p) * (F.lit(1.0) - p)))
+    return x.select(F.col("_of").alias("fold"), "_c.candidate", "_c.cand_order", "inner_fold",
+                    F.when(F.col("_in") == F.col("inner_fold"), "inner_val").otherwise("inner_train").alias("part"),
+                    "subject_id", "doc_id", "label", "y", pc.alias("p"))
+
+
+_NEST_SQL_PRE = f"""with {O.B3_BASE},
+inr as (
+  select o.ofold as fold, c.candidate, c.cand_order, i.inner_fold,
+         case when ((doc_id // 10) // 3) % 3 = i.inner_fold then 'inner_val' else 'inner_train' end as part,
+         b.subject_id, b.doc_id, b.label, b.y,
+         case c.cand_order when 0 then b.p when 1 then b.p * b.p else 1.0e0 - (1.0e0 - b.p) * (1.0e0 - b.p) end as p
+  from b3s b cross join (values (0), (1), (2)) o(ofold) cross join (values (0), (1), (2)) i(inner_fold)
+  cross join (values ('StandardScaler__cfg_a', 0), ('MinMaxScaler__cfg_b', 1), ('RobustScaler__cfg_c', 2)) c(candidate, cand_order)
+  where b.fold <> o.ofold),
+{O.subj_cte('inr', 'fold, candidate, cand_order, inner_fold, part')},
+{O.cfg_cte(_CFG_ROWS)}, {O.grid_cte()},
+{O.min_error_ctes(_NEST_BY, 'subj', "part = 'inner_train'")},
+val as (select s.*, cast(s.p >= coalesce(t.threshold, 0.5e0) as int) as pred
+        from subj s left join thr t using (fold, candidate, cand_order, inner_fold, label) where s.part = 'inner_val'),
+err as (select fold, candidate, cand_order, inner_fold, label,
+               sum(case when y <> pred then 1 else 0 end) / greatest(1, count(*)) as err
+        from val group by all),
+me as (select e.fold, e.label, e.candidate, e.cand_order, avg(err) as mean_err, avg(t.relax_level) as relax_level_mean,
+              count(*) as n_inner
+       from err e left join thr t using (fold, candidate, cand_order, inner_fold, label) group by all),
+ch as (select * from (select *, row_number() over (partition by fold, label order by mean_err, cand_order) as rk from me)
+       where rk = 1)"""
+
+
+@register("nested_selection", f"""{_NEST_SQL_PRE}
+select fold, label, candidate as chosen_key, {O.rnd('mean_err')} as mean_err, {O.rnd('1 - mean_err')} as mean_hamming_acc,
+       {O.rnd('relax_level_mean')} as relax_level_mean, n_inner from ch""")
+def q_nested_selection(spark, sf):
+    """Per outer fold and label, the candidate with the lowest mean
+    inner-validation subject error at T9 thresholds tuned on inner-train."""
+    err = NS.inner_errors(_inner_scores_b3(spark, sf), _cfg(spark))
+    return rounded(NS.nested_select(err))
+
+
+@register("nested_choices", f"""{_NEST_SQL_PRE}
+select fold, max(case when label = 'low' then candidate end) as low,
+       max(case when label = 'toxic' then candidate end) as toxic from ch group by fold""")
+def q_nested_choices(spark, sf):
+    """Choice table — one row per outer fold, one column per label."""
+    err = NS.inner_errors(_inner_scores_b3(spark, sf), _cfg(spark))
+    return NS.nested_choices(NS.nested_select(err), fx.B3_LABELS)
+
+
+# fixed linear scorer for the importance gate (a model with a closed form)
+_W = [((j % 5) - 2) * 0.5 for j in range(64)]
+
+
+def _linear_scorer(df):
+    w = F.array(*[F.lit(float(v)) for v in _W])
+    z = F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return df.withColumn("p", M.margin_to_prob(z))
+
+
+def _imp_sql_pre() -> str:
+    wlist = "[" + ", ".join(f"{v!r}" for v in _W) + "]"
+    return f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
+              concat_ws(':', subject_id, cast(win_from as varchar)) as row_id
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lr as (select fold, part, subject_id, row_id, x, 'lo' as label, 0 as li, lo as y from sp union all
+       select fold, part, subject_id, row_id, x, 'mid', 1, mid from sp union all
+       select fold, part, subject_id, row_id, x, 'even', 2, even from sp),
+te as (select * from lr where part = 'test'),
+ex as (select te.*, j.j, r.r from te cross join range(0, 50) j(j) cross join range(0, 5) r(r)),
+ra as (select *, row_number() over (partition by fold, label, j, r
+                                    order by md5(concat_ws(':', cast(42 + 1000 * fold + 13 * li as varchar), cast(j as varchar), cast(r as varchar), row_id))) as ka,
+              row_number() over (partition by fold, label, j, r order by md5('id:' || row_id)) as kb
+       from ex),
+pe as (select t.fold, t.label, t.j, t.r, t.subject_id, t.y,
+              list_transform(generate_series(1, 64), lambda i: case when i = t.j + 1 then s.x[t.j + 1] else t.x[i] end) as x
+       from ra t join ra s on t.fold = s.fold and t.label = s.label and t.j = s.j and t.r = s.r and t.kb = s.ka),
+sc0 as (select fold, label, subject_id, y,
+               1.0e0 / (1.0e0 + exp(-list_sum(list_transform(generate_series(1, 64), lambda i: x[i] * {wlist}[i])))) as p
+        from te),
+sc1 as (select fold, label, j, r, subject_id, y,
+               1.0e0 / (1.0e0 + exp(-list_sum(list_transform(generate_series(1, 64), lambda i: x[i] * {wlist}[i])))) as p
+        from pe),
+s0 as (select fold, label, subject_id, max(y) as y, round(quantile_cont(p, 0.9), 12) as p from sc0 group by all),
+s1 as (select fold, label, j, r, subject_id, max(y) as y, round(quantile_cont(p, 0.9), 12) as p from sc1 group by all),
+e0 as (select fold, label, sum(case when y <> cast(p >= 0.5 as int) then 1 else 0 end) / greatest(1, count(*)) as base
+       from s0 group by all),
+e1 as (select fold, label, j, r, sum(case when y <> cast(p >= 0.5 as int) then 1 else 0 end) / greatest(1, count(*)) as err
+       from s1 group by all),
+imp as (select fold, label, j as feature_index, avg(err - base) as m, stddev_pop(err - base) as sd,
+               max(base) as baseline_error, count(*) as n_repeats
+        from e1 join e0 using (fold, label) group by all)"""
+
+
+def _importance_long(spark, sf):
+    rows = _b2_rows(spark, sf)
+    test = rows.filter(F.col("part") == "test")
+    li = (F.when(F.col("label") == "lo", 0).when(F.col("label") == "mid", 1).otherwise(2))
+    feats = (test.select("fold", "label").distinct()
+             .select("fold", "label", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("feature")))
+    thr = test.select("fold", "label").distinct().withColumn("threshold", F.lit(0.5))
+    return IMP.permutation_importance(test.withColumn("_li", li), _linear_scorer, thr, feats, n_repeats=5,
+                                      seed=42, label_index=F.col("_li"), by=["fold"])
+
+
+@register("permutation_importance", f"""{_imp_sql_pre()}
+select fold, label, cast(feature_index as int) as feature_index, {O.rnd('m')} as importance_delta_error_mean,
+       {O.rnd('sd')} as importance_delta_error_std, {O.rnd('baseline_error')} as baseline_error, n_repeats from imp""")
+def q_permutation_importance(spark, sf):
+    """Subject-level permutation importance (first 50 slots, 5
+    repeats, md5 permutations, one batched scoring pass) with a fixed
+    linear scorer and the fixed 0.5 threshold policy."""
+    out = _importance_long(spark, sf)
+    return rounded(out.withColumn("feature_index", F.col("feature_index").cast("int")))
+
+
+@register("importance_summary", f"""{_imp_sql_pre()}
+select label, cast(feature_index as int) as feature_index, {O.rnd('avg(m)')} as importance_delta_error_mean,
+       {O.rnd('stddev_samp(m)')} as importance_delta_error_std, {O.rnd('avg(baseline_error)')} as baseline_error_mean,
+       count(distinct fold) as n_folds from imp group by all""")
+def q_importance_summary(spark, sf):
+    """Importance over folds by (label, feature)."""
+    out = _importance_long(spark, sf).withColumn("feature_index", F.col("feature_index").cast("int"))
+    return rounded(IMP.importance_summary(out))
