@@ -90,7 +90,9 @@ def channel_features(long_df: DataFrame, window_key: Sequence[str],
         agg = agg.withColumns({f"mean_w{w}": F.when(n >= w, F.col(f"mean_w{w}"))
                                for w in spec.rolling_widths})
     peak = spectral.dft_peak(rows, keys, spec.dft_max_n)
-    out = agg.join(peak, on=keys, how="left")
+    # every key with n >= 2 has a peak row, so the inner join loses nothing;
+    # it lets both branches infer the same filters and share one exchange
+    out = agg.join(peak, on=keys, how="inner")
     out = out.withColumns({
         "fft_peak": F.col("fft_k"),
         "fft_peak_freq": spectral.fft_freq(F.col("fft_k"), n, spec.fps),

@@ -48,7 +48,13 @@ def signal_rows(long_df: DataFrame, window_key: Sequence[str],
 def long_frames(frames: DataFrame, window_key: Sequence[str],
                 channels: Sequence[str]) -> DataFrame:
     """Unpivot wide channel columns to ``(…, channel, frame_idx, x)``.
-    Row-local (no shuffle); keeps the input partitioning."""
-    return (frames.select(*window_key, "frame_idx",
-                          *[F.col(c).cast("double").alias(c) for c in channels])
-            .unpivot([*window_key, "frame_idx"], list(channels), "channel", "x"))
+
+    Written as an explode of ``array<struct<channel, x>>`` rather than
+    ``unpivot``: a generator keeps the child's partitioning, so frames that
+    arrive clustered by the window key are not shuffled again (an Expand
+    would forget the clustering and re-shuffle the 17× larger long table).
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("x"))
+                      for c in channels])
+    return (frames.select(*window_key, "frame_idx", F.explode(pairs).alias("_cx"))
+            .select(*window_key, "frame_idx", "_cx.channel", "_cx.x"))

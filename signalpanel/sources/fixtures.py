@@ -25,23 +25,26 @@ def _b1_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     uid = F.col("user_id")
     ctrl = uid % 3 == 0
-    day_blk = F.floor((F.dayofmonth("ts") - 1) / 10)
-    w = Window.partitionBy("user_id", "_blk").orderBy("ts", "event_id")
+    blk = F.floor((F.dayofmonth("ts") - 1) / 10)
     et, v = F.col("event_type"), F.col("value")
-    return (ev.withColumn("_blk", day_blk)
-            .select(
-                F.concat(F.when(ctrl, "C").otherwise("P"),
-                         F.lpad(uid.cast("string"), 5, "0")).alias("subject_id"),
-                (F.col("_blk") * 10).cast("int").alias("win_from"),
-                (F.col("_blk") * 10 + 10).cast("int").alias("win_to"),
-                (F.row_number().over(w) - 1).cast("int").alias("frame_idx"),
-                "event_id", "user_id",
-                v.alias("d_value"),
-                F.get_json_object("props", "$.k").cast("double").alias("d_k"),
-                F.when((et == "signup") & (v > 250), 2)
-                 .when(~ctrl & (et == "error") & (v > 150), 1).otherwise(0).alias("lab_a"),
-                F.when(~ctrl & (et == "purchase") & (v > 120), 1).otherwise(0).alias("lab_b"),
-                F.when(~ctrl & (et == "click") & (v > 200), 1).otherwise(0).alias("lab_c")))
+    keyed = ev.select(
+        F.concat(F.when(ctrl, "C").otherwise("P"), F.lpad(uid.cast("string"), 5, "0")).alias("subject_id"),
+        (blk * 10).cast("int").alias("win_from"),
+        (blk * 10 + 10).cast("int").alias("win_to"),
+        "ts", "event_id", "user_id",
+        v.alias("d_value"),
+        F.get_json_object("props", "$.k").cast("double").alias("d_k"),
+        F.when((et == "signup") & (v > 250), 2)
+         .when(~ctrl & (et == "error") & (v > 150), 1).otherwise(0).alias("lab_a"),
+        F.when(~ctrl & (et == "purchase") & (v > 120), 1).otherwise(0).alias("lab_b"),
+        F.when(~ctrl & (et == "click") & (v > 200), 1).otherwise(0).alias("lab_c"))
+    # numbered within the window key, so the frames come out clustered the
+    # way every window-level operator needs them (no second exchange)
+    w = Window.partitionBy("subject_id", "win_from", "win_to").orderBy("ts", "event_id")
+    keyed = keyed.repartition("subject_id", "win_from", "win_to")
+    return keyed.withColumn("frame_idx", (F.row_number().over(w) - 1).cast("int")).select(
+        "subject_id", "win_from", "win_to", "frame_idx", "event_id", "user_id",
+        "d_value", "d_k", "lab_a", "lab_b", "lab_c")
 
 
 def frames_b1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +83,14 @@ def frames_b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals_b6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long signal per part (l_quantity in ship order)."""
     li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    return li.select(
+    keyed = li.select(
         F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("subject_id"),
         F.lit(0).alias("win_from"), F.lit(1).alias("win_to"),
-        (F.row_number().over(w) - 1).cast("int").alias("frame_idx"),
-        F.col("l_quantity"))
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    w = Window.partitionBy("subject_id", "win_from", "win_to").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
+    keyed = keyed.repartition("subject_id")  # window bounds are constant here
+    return keyed.select("subject_id", "win_from", "win_to",
+                        (F.row_number().over(w) - 1).cast("int").alias("frame_idx"), "l_quantity")
 
 
 def features_b2(spark: SparkSession, sf_dir: str) -> DataFrame:
