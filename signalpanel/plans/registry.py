@@ -1137,3 +1137,90 @@ def q_importance_summary(spark, sf):
     """Importance over folds by (label, feature)."""
     out = _importance_long(spark, sf).withColumn("feature_index", F.col("feature_index").cast("int"))
     return rounded(IMP.importance_summary(out))
+
+
+# ------------------------------------------------------------ C6, R13, P4
+@register("downsample", f"""with {O.b1_frames_cte()},
+wl as (select subject_id, win_from, cast(max(case when lab_b = 1 then 1 else 0 end) as int) as y,
+              concat_ws(':', subject_id, cast(win_from as varchar)) as row_id from fr group by subject_id, win_from),
+c as (select count_if(y = 0) as n0, count_if(y = 1) as n1 from wl),
+p as (select n0, n1, case when n0 > n1 then 0 else 1 end as maj, least(n0, n1) as nmin, greatest(n0, n1) as nmaj,
+             abs(n0 - n1) / greatest(n0, n1) > 0.2 as do from c),
+keep as (select wl.* from wl, p where not p.do or wl.y <> p.maj),
+mj as (select wl.*, row_number() over (order by md5('42:' || row_id)) - 1 as rk from wl, p where p.do and wl.y = p.maj),
+dr as (select (('0x' || substr(md5('42:' || cast(j as varchar)), 1, 12))::BIGINT) % p.nmaj as rk
+       from p, range(0, cast(p.nmin as bigint)) r(j) where p.do)
+select subject_id, win_from, y from keep
+union all select mj.subject_id, mj.win_from, mj.y from dr join mj using (rk)""")
+def q_downsample(spark, sf):
+    """Majority windows drawn with replacement (md5 draws over the
+    majority's md5 order) down to the minority size."""
+    wl = W.window_label(fx.frames_b1(spark, sf), "lab_b").withColumn(
+        "row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string")))
+    out = C.downsample(wl, tol=0.2, replacement=True, seed=42)
+    return out.select("subject_id", "win_from", "y")
+
+
+@register("selected_features", f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lw as (select fold, x, 'lo' as label, lo as y from sp where part = 'train' union all
+       select fold, x, 'mid', mid from sp where part = 'train' union all
+       select fold, x, 'even', even from sp where part = 'train'),
+lv as (select fold, label, y, unnest(x) as v, unnest(generate_series(0, len(x) - 1)) as j from lw),
+rg as (select fold, label, j, min(v) as lo, max(v) as hi from lv group by all),
+b as (select lv.*, case when hi > lo then least(9, cast(floor((v - lo) / (hi - lo) * 10) as int)) else 0 end as bin
+      from lv join rg using (fold, label, j)),
+c as (select fold, label, j, bin, y, count(*) as n_by from b group by all),
+c2 as (select *, sum(n_by) over (partition by fold, label, j) as n,
+              sum(n_by) over (partition by fold, label, j, bin) as n_b,
+              sum(n_by) over (partition by fold, label, j, y) as n_y from c),
+mi as (select fold, label, j, sum((n_by / n) * ln((n_by * n) / (n_b * n_y))) as mi from c2 group by all),
+r as (select *, row_number() over (partition by fold, label order by mi desc, j) as rank from mi),
+s as (select fold, label, j from r where rank <= case label when 'mid' then 8 else 12 end),
+o as (select *, row_number() over (partition by fold, label order by j) as i from s)
+select fold, label, cast(j as int) as feature from o where i <= 5""")
+def q_selected_features(spark, sf):
+    """Selected slots in index order (first 5 here; 50 in the
+    importance settings)."""
+    sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3).filter(F.col("part") == "train")
+    lw = sp.select("fold", "x", F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y"))
+                                                     for l in fx.B2_LABELS])).alias("_l")) \
+        .select("fold", "x", "_l.label", "_l.y")
+    from ..config import label_config
+    kcfg = label_config(spark, fx.B2_LABELS, k_best=12, k_by_label={"mid": 8})
+    sel = P.select_k_best(lw, kcfg, by=["fold"])
+    return IMP.selected_features(sel, max_features=5).select(
+        "fold", "label", F.col("feature").cast("int").alias("feature"))
+
+
+def _power_sql() -> str:
+    lams = ", ".join(f"({v!r})" for v in P.POWER_LAMBDAS)
+    yj = ("case when v >= 0 then (case when abs(lam) < 1e-12 then ln(1 + v) else (power(v + 1, lam) - 1) / lam end) "
+          "else (case when abs(2 - lam) < 1e-12 then -ln(1 - v) else -(power(1 - v, 2 - lam) - 1) / (2 - lam) end) end")
+    return f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lv as (select fold, part, subject_id, win_from, unnest(x) as v, unnest(generate_series(1, len(x))) as j from sp),
+lg(lam) as (values {lams}),
+ll as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
+       from lv cross join lg where part = 'train' group by all),
+best as (select fold, j, lam from (
+           select *, row_number() over (partition by fold, j order by -n / 2.0 * ln(greatest(vt, 1e-300)) + (lam - 1) * sl desc,
+                                                             abs(lam - 1) asc) as rk from ll) where rk = 1),
+tr as (select lv.fold, lv.part, lv.subject_id, lv.win_from, lv.j, {yj} as t from lv join best using (fold, j)),
+st as (select fold, j, avg(t) as a, case when stddev_pop(t) = 0 or stddev_pop(t) is null then 1.0 else stddev_pop(t) end as s
+       from tr where part = 'train' group by all)
+select fold, part, subject_id, win_from, list(round((t - a) / s, 6) + 0.0e0 order by j) as x
+from tr join st using (fold, j) group by fold, part, subject_id, win_from"""
+
+
+@register("scale_power", _power_sql())
+def q_scale_power(spark, sf):
+    """P4 + P7: Yeo-Johnson (λ by maximum likelihood on a λ grid, per
+    feature and fold) then standardisation, fitted on train rows."""
+    sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3)
+    params = P.fit_scaler(sp.filter(F.col("part") == "train"), "power", by=["fold"])
+    out = P.apply_scaler(sp, params, "power", by=["fold"])
+    return out.select("fold", "part", "subject_id", "win_from",
+                      F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"))
