@@ -21,7 +21,8 @@ LABEL_METRICS = ["precision", "recall", "specificity", "f1", "auc", "auprc", "th
 
 
 def fold_results(subj: DataFrame, preds: DataFrame, windows: DataFrame,
-                 label_cfg: DataFrame, by: Sequence[str] = ("scaler", "model", "fold")) -> DataFrame:
+                 label_cfg: DataFrame, by: Sequence[str] = ("scaler", "model", "fold"),
+                 window_col: str = "doc_id") -> DataFrame:
     """One row per (config, fold): sizes, E8–E14, and the per-label
     thresholds and test-control FP/FPR as JSON maps (as the original fold
     rows store them). ``subj`` holds train and test subject rows (``part``),
@@ -32,8 +33,7 @@ def fold_results(subj: DataFrame, preds: DataFrame, windows: DataFrame,
         F.countDistinct(F.when(F.col("part") == "test", F.col("subject_id"))).alias("n_test_subjects"),
         F.countDistinct(F.when((F.col("part") == "test") & is_control("subject_id"),
                                F.col("subject_id"))).alias("n_controls_test"))
-    wkey = F.concat_ws("|", *[F.col(c).cast("string") for c in ("subject_id", "win_from", "win_to")
-                              if c in windows.columns]) if "win_from" in windows.columns else F.col("doc_id")
+    wkey = F.col(window_col)
     sizes_w = windows.groupBy(*by).agg(
         F.countDistinct(F.when(F.col("part") == "train", wkey)).alias("n_train_windows"),
         F.countDistinct(F.when(F.col("part") == "test", wkey)).alias("n_test_windows"))
@@ -48,8 +48,7 @@ def fold_results(subj: DataFrame, preds: DataFrame, windows: DataFrame,
             F.struct("label", F.coalesce(F.col("controls_fpr"), F.lit(float("nan"))).alias("v")))))).alias("controls_only_fpr"),
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(
             F.struct("label", F.coalesce(F.col("controls_fp").cast("double"), F.lit(float("nan"))).alias("v")))))).alias("controls_only_fp")))
-    return (sizes_s.join(sizes_w, on=by).join(fm, on=by).join(maps, on=by)
-            .withColumnRenamed("macro_auc", "patient_macro_auc"))
+    return sizes_s.join(sizes_w, on=by).join(fm, on=by).join(maps, on=by)
 
 
 def _mean_std(cols: Sequence[str], std: str) -> list[Column]:

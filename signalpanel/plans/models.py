@@ -352,15 +352,24 @@ def _knn_broadcast(train, rows, k, p, weights, row_id, col, y):
     return rows.mapInPandas(score, out_schema)
 
 
-def _knn_blocked(train, rows, k, p, weights, row_id, col, y):
+def knn_neighbors(train: DataFrame, query: DataFrame, k: int, p: int = 2, row_id: str = "row_id",
+                  col: str = "x", y: str | None = "y", exclude_self: bool = False,
+                  block_rows: int = KNN_BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest train rows of every query row:
+    ``(_qid, _rank, _id, _d, _y)``. Train and query rows are cut into
+    blocks of ≤ ``block_rows``; each block pair computes a local top-k in
+    NumPy (``cogroup().applyInPandas``) and the ≤ k × blocks candidates of
+    a query row are merged with a rank window over that row only."""
     nt = train.count()
-    nq = rows.count()
-    bt = max(1, -(-nt // KNN_BLOCK_ROWS))
-    bq = max(1, -(-nq // KNN_BLOCK_ROWS))
-    tb = (train.select(F.col(row_id).cast("string").alias("_tid"), F.col(col).alias("_tx"), F.col(y).cast("double").alias("_ty"))
+    nq = query.count()
+    bt = max(1, -(-nt // block_rows))
+    bq = max(1, -(-nq // block_rows))
+    kk = k + 1 if exclude_self else k
+    ty = F.col(y).cast("double") if y else F.lit(0.0)
+    tb = (train.select(F.col(row_id).cast("string").alias("_tid"), F.col(col).alias("_tx"), ty.alias("_ty"))
           .withColumn("_tb", F.abs(F.xxhash64("_tid")) % bt)
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    qb = (rows.select(F.col(row_id).cast("string").alias("_qid"), F.col(col).alias("_qx"))
+    qb = (query.select(F.col(row_id).cast("string").alias("_qid"), F.col(col).alias("_qx"))
           .withColumn("_qb", F.abs(F.xxhash64("_qid")) % bq)
           .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1)))))
     cand_schema = "_qid string, _d double, _y double, _id string"
@@ -370,15 +379,21 @@ def _knn_blocked(train, rows, k, p, weights, row_id, col, y):
             return pd.DataFrame({"_qid": [], "_d": [], "_y": [], "_id": []})
         Xt = np.vstack(tpdf["_tx"].to_numpy())
         Xq = np.vstack(qpdf["_qx"].to_numpy())
-        dist, ys, ids = _topk_np(Xq, Xt, tpdf["_ty"].to_numpy(float), tpdf["_tid"].to_numpy(), k, p)
-        kk = dist.shape[1]
-        return pd.DataFrame({"_qid": np.repeat(qpdf["_qid"].to_numpy(), kk), "_d": dist.ravel(),
+        dist, ys, ids = _topk_np(Xq, Xt, tpdf["_ty"].to_numpy(float), tpdf["_tid"].to_numpy(), kk, p)
+        m = dist.shape[1]
+        return pd.DataFrame({"_qid": np.repeat(qpdf["_qid"].to_numpy(), m), "_d": dist.ravel(),
                              "_y": ys.ravel(), "_id": ids.ravel()})
 
-    cands = (tb.groupBy("_tb", "_qb").cogroup(qb.groupBy("_tb", "_qb")).applyInPandas(local, cand_schema))
+    cands = tb.groupBy("_tb", "_qb").cogroup(qb.groupBy("_tb", "_qb")).applyInPandas(local, cand_schema)
+    if exclude_self:
+        cands = cands.filter(F.col("_id") != F.col("_qid"))
     from pyspark.sql import Window
-    w = Window.partitionBy("_qid").orderBy("_d", "_id")   # ≤ k × blocks rows per scored row
-    top = cands.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+    w = Window.partitionBy("_qid").orderBy("_d", "_id")   # ≤ k × blocks rows per query row
+    return cands.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
+
+
+def _knn_blocked(train, rows, k, p, weights, row_id, col, y):
+    top = knn_neighbors(train, rows, k, p, row_id, col, y)
     if weights == "distance":
         agg = top.groupBy("_qid").agg(
             F.max((F.col("_d") == 0).cast("int")).alias("_z"),
