@@ -38,7 +38,9 @@ def nested_select(errors: DataFrame) -> DataFrame:
     m = errors.groupBy("fold", "label", "candidate", "cand_order").agg(
         F.avg("err").alias("mean_err"), F.avg("relax_level").alias("relax_level_mean"),
         F.count(F.lit(1)).alias("n_inner"))
-    w = Window.partitionBy("fold", "label").orderBy("mean_err", "cand_order")
+    # means of equal errors may differ in the last bit with summation order:
+    # rank at 1e-12 so that true ties go to the earlier candidate
+    w = Window.partitionBy("fold", "label").orderBy(F.round("mean_err", 12), "cand_order")
     return (m.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
             .select("fold", "label", F.col("candidate").alias("chosen_key"), "mean_err",
                     (F.lit(1.0) - F.col("mean_err")).alias("mean_hamming_acc"), "relax_level_mean", "n_inner"))

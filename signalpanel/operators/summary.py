@@ -122,7 +122,8 @@ def best_configs(summary: DataFrame, by: Sequence[str] = CONFIG,
     → config name), as rows ``(criterion, scaler, model)``."""
     parts = []
     for name, chain in criteria.items():
-        order = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in chain]
+        # means compared at 1e-12 (summation order must not break ties)
+        order = [F.round(c, 12).desc_nulls_last() if d else F.round(c, 12).asc_nulls_last() for c, d in chain]
         w = Window.orderBy(*order, *by)  # summary: one row per config (small)
         parts.append(summary.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
                      .select(F.lit(name).alias("criterion"), *by))

@@ -439,15 +439,15 @@ def q_controls_summary(spark, sf):
 _BEST_SQL = f"""{_FM_CTES},
 crit as (
   select 'auprc' as criterion, scaler, model from board
-    order by macro_auprc_mean desc nulls last, macro_auc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+    order by round(macro_auprc_mean, 12) desc nulls last, round(macro_auc_mean, 12) desc nulls last, round(micro_f1_mean, 12) desc nulls last, scaler, model limit 1),
 c2 as (select 'hamming' as criterion, scaler, model from board
-    order by hamming_acc_mean desc nulls last, jaccard_samples_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+    order by round(hamming_acc_mean, 12) desc nulls last, round(jaccard_samples_mean, 12) desc nulls last, round(micro_f1_mean, 12) desc nulls last, scaler, model limit 1),
 c3 as (select 'jaccard' as criterion, scaler, model from board
-    order by jaccard_samples_mean desc nulls last, hamming_acc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+    order by round(jaccard_samples_mean, 12) desc nulls last, round(hamming_acc_mean, 12) desc nulls last, round(micro_f1_mean, 12) desc nulls last, scaler, model limit 1),
 c4 as (select 'auc' as criterion, scaler, model from board
-    order by macro_auc_mean desc nulls last, macro_auprc_mean desc nulls last, micro_f1_mean desc nulls last, scaler, model limit 1),
+    order by round(macro_auc_mean, 12) desc nulls last, round(macro_auprc_mean, 12) desc nulls last, round(micro_f1_mean, 12) desc nulls last, scaler, model limit 1),
 c5 as (select 'cost' as criterion, scaler, model from board
-    order by clinical_cost_mean asc nulls last, hamming_acc_mean desc nulls last, jaccard_samples_mean desc nulls last, scaler, model limit 1),
+    order by round(clinical_cost_mean, 12) asc nulls last, round(hamming_acc_mean, 12) desc nulls last, round(jaccard_samples_mean, 12) desc nulls last, scaler, model limit 1),
 best as (select * from crit union all select * from c2 union all select * from c3 union all select * from c4 union all select * from c5)"""
 
 
@@ -1039,7 +1039,7 @@ err as (select fold, candidate, cand_order, inner_fold, label,
 me as (select e.fold, e.label, e.candidate, e.cand_order, avg(err) as mean_err, avg(t.relax_level) as relax_level_mean,
               count(*) as n_inner
        from err e left join thr t using (fold, candidate, cand_order, inner_fold, label) group by all),
-ch as (select * from (select *, row_number() over (partition by fold, label order by mean_err, cand_order) as rk from me)
+ch as (select * from (select *, row_number() over (partition by fold, label order by round(mean_err, 12), cand_order) as rk from me)
        where rk = 1)"""
 
 
@@ -1224,3 +1224,27 @@ def q_scale_power(spark, sf):
     out = P.apply_scaler(sp, params, "power", by=["fold"])
     return out.select("fold", "part", "subject_id", "win_from",
                       F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"))
+
+
+# ------------------------------------------------------------ C9
+@register("smote_counts", f"""with {O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+c as (select fold, count_if(mid = 1) as n_pos, count_if(mid = 0) as n_neg from sp where part = 'train' group by fold)
+select fold, n_pos, n_neg,
+       case when n_pos >= 2 and n_neg > 0 and n_pos < n_neg and n_pos / n_neg < 0.25
+            then cast(floor(0.25 * n_neg) as bigint) - n_pos else 0 end as n_synthetic
+from c""")
+def q_smote_counts(spark, sf):
+    """SMOTE (regular variant) on each fold's train windows of label
+    ``mid``: synthetic positives up to a 0.25 positive/negative ratio."""
+    rows = _b2_rows(spark, sf).filter((F.col("label") == "mid") & (F.col("part") == "train"))
+    from ..operators.smote import smote
+    out = []
+    for f in range(3):
+        tr = rows.filter(F.col("fold") == f)
+        syn = smote(tr, k=5, ratio=0.25, variant="regular").agg(F.count(F.lit(1)).alias("n_synthetic"))
+        cnt = tr.agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
+        out.append(cnt.crossJoin(syn).select(F.lit(f).alias("fold"), "n_pos", "n_neg", "n_synthetic"))
+    from functools import reduce as _r
+    return _r(DataFrame.unionByName, out)
