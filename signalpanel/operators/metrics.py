@@ -2,8 +2,9 @@
 ``(*by, subject_id, label, y, p, pred, is_control)``.
 
 Rank metrics (E6, E7) first collapse rows to distinct scores per
-``(by, label)`` and then take running sums over those — the window holds
-distinct scores, not rows. Undefined rates are NULL (NaN in the scripts).
+``(by, label)`` and then take running sums over those with a bucketed
+prefix sum (no window spans a whole group). Undefined rates are NULL (NaN
+in the scripts).
 """
 
 from __future__ import annotations
@@ -47,24 +48,52 @@ def binary_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         _ratio(fp + fn, P + N).alias("error_rate"))                    # E17
 
 
+SCORE_BUCKETS = 4096
+
+
 def _score_groups(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     return (scores.groupBy(*keys, score)
             .agg(F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") == 0).alias("_neg")))
 
 
+def _running(g: DataFrame, keys: Sequence[str], score: str, cols: Sequence[str], descending: bool,
+             inclusive: bool, buckets: int = SCORE_BUCKETS) -> DataFrame:
+    """Running sums of ``cols`` over the distinct scores of each
+    ``keys`` group, in score order, without a window over the whole group:
+    scores (probabilities) are cut into ``buckets`` order-preserving
+    buckets, bucket totals are prefix-summed over a (groups × buckets)
+    table, and the exact running sum inside a bucket is a window over that
+    bucket only. Adds ``_cum_<col>`` and the group totals ``_tot_<col>``."""
+    sc = F.col(score).cast("double")
+    b = F.least(F.greatest(F.floor(sc * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    if descending:
+        b = F.lit(buckets - 1) - b
+    x = g.withColumn("_bk", b)
+    tot = x.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.partitionBy(*keys)
+    offs = tot.select(*keys, "_bk",
+                      *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}") for c in cols],
+                      *[F.sum(f"_bt_{c}").over(wall).alias(f"_tot_{c}") for c in cols])
+    order = F.col(score).desc() if descending else F.col(score).asc()
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    wi = Window.partitionBy(*keys, "_bk").orderBy(order).rowsBetween(*frame)
+    y = x.join(offs, on=[*keys, "_bk"])   # offs: one row per occupied bucket
+    return y.select(*g.columns,
+                    *[(F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0))).alias(f"_cum_{c}")
+                      for c in cols],
+                    *[F.col(f"_tot_{c}") for c in cols])
+
+
 def roc_auc(scores: DataFrame, by: Sequence[str] = (), score: str = "p") -> DataFrame:
     """Tie-aware ROC AUC (average ranks) per ``(by, label)``; NULL
-    when a class is missing."""
+    when a class is missing. Σ_s pos(s)·(neg below s + ½·neg(s)) / (P·N)."""
     keys = [*by, "label"]
     g = _score_groups(scores, keys, score)
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*keys)
-    s = g.select(*keys, "_pos", "_neg",
-                 F.coalesce(F.sum("_neg").over(w), F.lit(0)).alias("_nb"),
-                 F.sum("_pos").over(wall).alias("P"), F.sum("_neg").over(wall).alias("N"))
+    s = _running(g, keys, score, ["_neg", "_pos"], descending=False, inclusive=False)
     return (s.groupBy(*keys)
-            .agg(F.sum(F.col("_pos") * (F.col("_nb") + F.col("_neg") * 0.5)).alias("_u"),
-                 F.first("P").alias("P"), F.first("N").alias("N"))
+            .agg(F.sum(F.col("_pos") * (F.col("_cum__neg") + F.col("_neg") * 0.5)).alias("_u"),
+                 F.first("_tot__pos").alias("P"), F.first("_tot__neg").alias("N"))
             .select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                   F.col("_u") / (F.col("P") * F.col("N")).cast("double")).alias("auc")))
 
@@ -72,15 +101,11 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = (), score: str = "p") -> Data
 def average_precision(scores: DataFrame, by: Sequence[str] = (), score: str = "p") -> DataFrame:
     """Step-wise average precision Σ ΔR·P over distinct thresholds."""
     keys = [*by, "label"]
-    g = _score_groups(scores, keys, score)
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    wall = Window.partitionBy(*keys)
-    s = g.select(*keys, "_pos", F.sum("_pos").over(w).alias("_tp"),
-                 F.sum(F.col("_pos") + F.col("_neg")).over(w).alias("_k"),
-                 F.sum("_pos").over(wall).alias("P"), F.sum("_neg").over(wall).alias("N"))
+    g = _score_groups(scores, keys, score).withColumn("_all", F.col("_pos") + F.col("_neg"))
+    s = _running(g, keys, score, ["_pos", "_all", "_neg"], descending=True, inclusive=True)
     return (s.groupBy(*keys)
-            .agg(F.sum(F.col("_pos") * (F.col("_tp") / F.col("_k"))).alias("_ap"),
-                 F.first("P").alias("P"), F.first("N").alias("N"))
+            .agg(F.sum(F.col("_pos") * (F.col("_cum__pos") / F.col("_cum__all"))).alias("_ap"),
+                 F.first("_tot__pos").alias("P"), F.first("_tot__neg").alias("N"))
             .select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                   F.col("_ap") / F.col("P")).alias("auprc")))
 
