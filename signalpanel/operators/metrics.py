@@ -188,3 +188,37 @@ def error_decomposition(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                     tp.alias("TP"), fn.alias("FN"), fp.alias("FP"), tn.alias("TN"),
                     _ratio(fn, P).alias("FNR"), _ratio(fp, N).alias("FPR"),
                     (fp + fn).alias("errors"), _ratio(fp + fn, P + N).alias("errors_per_patient"))
+
+
+def fold_metrics(preds: DataFrame, label_cfg: DataFrame | None = None, by: Sequence[str] = (),
+                 label_table: DataFrame | None = None) -> DataFrame:
+    """E8–E14 per ``by`` from one per-label table (E1–E7) and one
+    per-subject pass: macro AUC/AUPRC, micro/macro F1, clinical cost
+    (plain and α-weighted), sample Jaccard, Hamming, exact match."""
+    by = list(by)
+    lm = label_table if label_table is not None else label_metrics(preds, by)
+    if label_cfg is not None:
+        lm = lm.join(F.broadcast(label_cfg.select("label", "alpha")), on="label", how="left")
+        a = F.coalesce(F.col("alpha"), F.lit(0.5))
+    else:
+        a = F.lit(0.5)
+    both = F.col("fpr").isNotNull() & F.col("fnr").isNotNull()
+    lab = lm.groupBy(*by).agg(
+        F.avg("auc").alias("macro_auc"), F.avg("auprc").alias("macro_auprc"),
+        F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"), F.sum("fn").alias("_fn"),
+        F.avg("f1").alias("macro_f1"),
+        F.avg(F.when(both, F.lit(0.5) * (F.col("fpr") + F.col("fnr")))).alias("clinical_cost"),
+        F.avg(F.when(both, (F.lit(1.0) - a) * F.col("fpr") + a * F.col("fnr"))).alias("clinical_cost_weighted"))
+    lab = lab.withColumn("micro_f1", F.coalesce(
+        _ratio(F.col("_tp") * 2, F.col("_tp") * 2 + F.col("_fp") + F.col("_fn")), F.lit(0.0))) \
+        .drop("_tp", "_fp", "_fn")
+    y, p = F.col("y"), F.col("pred")
+    per_subj = preds.groupBy(*by, "subject_id").agg(
+        F.count_if((y == 1) & (p == 1)).alias("_i"), F.count_if((y == 1) | (p == 1)).alias("_u"),
+        F.count_if(y != p).alias("_d"), F.count(F.lit(1)).alias("_l"))
+    subj = per_subj.groupBy(*by).agg(
+        F.avg(F.coalesce(_ratio(F.col("_i"), F.col("_u")), F.lit(0.0))).alias("jaccard_samples"),
+        (F.sum("_d") / F.sum("_l")).alias("hamming_loss"),
+        F.avg((F.col("_d") == 0).cast("double")).alias("exact_match"))
+    out = lab.join(subj, on=by, how="inner") if by else lab.crossJoin(subj)
+    return out.withColumn("hamming_acc", F.lit(1.0) - F.col("hamming_loss"))

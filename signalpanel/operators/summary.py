@@ -37,9 +37,7 @@ def fold_results(subj: DataFrame, preds: DataFrame, windows: DataFrame,
     sizes_w = windows.groupBy(*by).agg(
         F.countDistinct(F.when(F.col("part") == "train", wkey)).alias("n_train_windows"),
         F.countDistinct(F.when(F.col("part") == "test", wkey)).alias("n_test_windows"))
-    lm = E.label_metrics(preds, by)
-    fm = (E.macro(lm, by).join(E.multilabel_metrics(preds, by), on=by)
-          .join(E.clinical_cost(preds, label_cfg, by), on=by))
+    fm = E.fold_metrics(preds, label_cfg, by)
     ctrl = E.controls_report(preds, by)
     thr = preds.groupBy(*by, "label").agg(F.first("threshold").alias("threshold"))
     maps = (thr.join(ctrl, on=[*by, "label"], how="left").groupBy(*by).agg(

@@ -306,11 +306,7 @@ from m join j using (scaler, model, fold)""")
 def q_fold_metrics(spark, sf):
     """Macro AUC/AUPRC, micro/macro F1, Jaccard, Hamming, exact
     match, clinical cost (plain and α-weighted) per (config, fold)."""
-    p = _panel_preds(spark, sf)
-    lm = E.label_metrics(p, by=PANEL_BY)
-    out = (E.macro(lm, by=PANEL_BY)
-           .join(E.multilabel_metrics(p, by=PANEL_BY), on=PANEL_BY)
-           .join(E.clinical_cost(p, _cfg(spark), by=PANEL_BY), on=PANEL_BY))
+    out = E.fold_metrics(_panel_preds(spark, sf), _cfg(spark), by=PANEL_BY)
     return rounded(out.select(*PANEL_BY, "macro_auc", "macro_auprc", "micro_f1", "macro_f1",
                               "jaccard_samples", "hamming_loss", "hamming_acc", "exact_match",
                               "clinical_cost", "clinical_cost_weighted"))
@@ -369,10 +365,7 @@ board as (select scaler, model,
 
 
 def _panel_fold_metrics(spark, sf):
-    p = _panel_preds(spark, sf)
-    lm = E.label_metrics(p, by=PANEL_BY)
-    return (E.macro(lm, by=PANEL_BY).join(E.multilabel_metrics(p, by=PANEL_BY), on=PANEL_BY)
-            .join(E.clinical_cost(p, _cfg(spark), by=PANEL_BY), on=PANEL_BY))
+    return E.fold_metrics(_panel_preds(spark, sf), _cfg(spark), by=PANEL_BY)
 
 
 def _board_cols():
