@@ -41,7 +41,12 @@ def aggregate_scores(scores: DataFrame, mode: str = "p90", k: int = 2, q: float
     if mode not in MODES:
         raise ValueError(f"unknown aggregation mode {mode!r}")  # A5
     keys = [*by, subject, "label"]
-    if mode == "topk":                                      # A2: mean of the k largest
+    if mode == "p90":                                       # A3, exact and skew-safe
+        from .quantile import quantiles
+        q90 = quantiles(scores, keys, "p", [q / 100.0], prefix="_q")
+        ytab = scores.groupBy(*keys).agg(F.max("y").cast("int").alias("y"))
+        out = q90.select(*keys, F.col("_q0").alias("p")).join(ytab, on=keys)
+    elif mode == "topk":                                    # A2: mean of the k largest
         # rank-limited window: Spark pushes the per-group top-k below the
         # shuffle (WindowGroupLimit), so only k rows per group move
         w = Window.partitionBy(*keys).orderBy(F.col("p").desc())

@@ -61,10 +61,14 @@ def fit_scaler(train: DataFrame, kind: str = "standard", by: Sequence[str] = (),
     elif kind == "minmax":
         st = lf.groupBy(*by, "j").agg(F.min(v).alias("a"), (F.max(v) - F.min(v)).alias("s"))
     elif kind == "robust":
-        q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000))
-        st = lf.groupBy(*by, "j").agg(q.alias("_q")).select(
-            *by, "j", F.col("_q")[1].alias("a"), (F.col("_q")[2] - F.col("_q")[0]).alias("s"))
+        if exact:   # exact, skew-safe order statistics (no group held in one task)
+            from .quantile import quantiles
+            qq = quantiles(lf, [*by, "j"], "v", [0.25, 0.5, 0.75])
+            st = qq.select(*by, "j", F.col("q1").alias("a"), (F.col("q2") - F.col("q0")).alias("s"))
+        else:       # bounded-memory sketch
+            q = F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000)
+            st = lf.groupBy(*by, "j").agg(q.alias("_q")).select(
+                *by, "j", F.col("_q")[1].alias("a"), (F.col("_q")[2] - F.col("_q")[0]).alias("s"))
     else:
         st = _fit_power(lf, by)
     st = st.withColumn("s", F.when(F.col("s").isNull() | (F.col("s") == 0), F.lit(1.0)).otherwise(F.col("s")))
