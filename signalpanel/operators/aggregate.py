@@ -36,14 +36,15 @@ def _score_agg(mode: str, q: float) -> Column:
 
 
 def aggregate_scores(scores: DataFrame, mode: str = "p90", k: int = 2, q: float = 90,
-                     by: Sequence[str] = (), subject: str = "subject_id") -> DataFrame:
+                     by: Sequence[str] = (), subject: str = "subject_id",
+                     largest_group: int | None = None) -> DataFrame:
     """Aggregate window scores per subject and label."""
     if mode not in MODES:
         raise ValueError(f"unknown aggregation mode {mode!r}")  # A5
     keys = [*by, subject, "label"]
     if mode == "p90":                                       # A3, exact and skew-safe
         from .quantile import quantiles
-        q90 = quantiles(scores, keys, "p", [q / 100.0], prefix="_q")
+        q90 = quantiles(scores, keys, "p", [q / 100.0], prefix="_q", largest=largest_group)
         ytab = scores.groupBy(*keys).agg(F.max("y").cast("int").alias("y"))
         out = q90.select(*keys, F.col("_q0").alias("p")).join(ytab, on=keys)
     elif mode == "topk":                                    # A2: mean of the k largest

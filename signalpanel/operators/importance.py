@@ -51,10 +51,10 @@ def permuted_rows(test: DataFrame, features: DataFrame, n_repeats: int = 5, seed
 
 
 def subject_error(scored: DataFrame, thresholds: DataFrame, by: Sequence[str],
-                  agg_mode: str = "p90") -> DataFrame:
+                  agg_mode: str = "p90", largest_group: int | None = None) -> DataFrame:
     """Window scores → subject scores → predictions at the group's
     threshold → subject error rate (FP+FN)/N per ``by`` (+ label)."""
-    s = A.aggregate_scores(scored, mode=agg_mode, by=by)
+    s = A.aggregate_scores(scored, mode=agg_mode, by=by, largest_group=largest_group)
     keys = [c for c in by if c in thresholds.columns]
     s = s.join(thresholds.select(*keys, "label", "threshold"), on=[*keys, "label"], how="left")
     s = s.withColumn("pred", (F.col("p") >= F.coalesce("threshold", F.lit(0.5))).cast("int"))
@@ -69,9 +69,13 @@ def permutation_importance(test: DataFrame, scorer: Callable[[DataFrame], DataFr
     """Mean / population std over repeats of Δ subject error per
     (group, label, feature), with the baseline error."""
     by = list(by)
-    base = subject_error(scorer(test), thresholds, by, agg_mode).withColumnRenamed("err", "baseline_error")
+    # permuting a feature never changes a subject's window count: size the
+    # subject groups once on the unexpanded rows
+    from .quantile import largest_group
+    big = largest_group(test, [*by, "subject_id", "label"], row_id)
+    base = subject_error(scorer(test), thresholds, by, agg_mode, big).withColumnRenamed("err", "baseline_error")
     perm = permuted_rows(test, features, n_repeats, seed, label_index, by=[*by, "label"], row_id=row_id)
-    perr = subject_error(scorer(perm), thresholds, [*by, "j", "r"], agg_mode)
+    perr = subject_error(scorer(perm), thresholds, [*by, "j", "r"], agg_mode, big)
     d = perr.join(base, on=[*by, "label"]).withColumn("delta", F.col("err") - F.col("baseline_error"))
     return d.groupBy(*by, "label", F.col("j").alias("feature_index")).agg(
         F.avg("delta").alias("importance_delta_error_mean"),

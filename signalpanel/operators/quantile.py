@@ -21,8 +21,15 @@ BUCKETS = 4096
 SMALL_GROUP = 100_000   # values per group that one aggregation buffer may hold
 
 
+def largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
+    """Size of the largest group (one small aggregate job)."""
+    n = df.groupBy(*keys).agg(F.count(F.col(value)).alias("_n"))
+    return int(n.agg(F.max("_n")).first()[0] or 0)
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-              small_group: int = SMALL_GROUP, prefix: str = "q") -> DataFrame:
+              small_group: int = SMALL_GROUP, prefix: str = "q",
+              largest: int | None = None) -> DataFrame:
     """Exact quantiles with a hot-group split: groups of at most
     ``small_group`` values use the ``percentile`` aggregate (its buffer is
     bounded by that size); larger groups go through
@@ -33,7 +40,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float
     arr = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(q)) for q in qs]))
     # one small job decides the plan: without hot groups the single
     # percentile aggregate is the whole plan
-    largest = n.agg(F.max("_n")).first()[0] or 0
+    if largest is None:   # callers that know the group sizes pass them in
+        largest = int(n.agg(F.max("_n")).first()[0] or 0)
     if largest <= small_group:
         return df.groupBy(*keys).agg(arr.alias("_qa")).select(
             *keys, *[F.col("_qa")[i].alias(f"{prefix}{i}") for i in range(len(qs))])
