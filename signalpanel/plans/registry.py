@@ -919,16 +919,10 @@ r as (select *, row_number() over (partition by fold, label, row_id order by d,
 select fold, part, subject_id, win_from, label, cast(y as int) as y, {O.rnd('avg(ty)')} as p
 from r where rk <= 9 group by fold, part, subject_id, win_from, label, y""")
 def q_knn_scores(spark, sf):
-    """M7: exact 9-NN scores (uniform) per (fold, label), blocked
-    distributed search with per-block top-k and a merge per scored row."""
+    """M7: exact 9-NN scores (uniform) per (fold, label) — all groups in one
+    blocked distributed search with per-block top-k and a merge per row."""
     rows = _b2_rows(spark, sf)
-    parts = []
-    for f in range(3):
-        for lab in fx.B2_LABELS:
-            g = rows.filter((F.col("fold") == f) & (F.col("label") == lab))
-            parts.append(M.knn_score(g.filter(F.col("part") == "train"), g, k=9, p=2))
-    from functools import reduce as _r
-    out = _r(DataFrame.unionByName, parts)
+    out = M.knn_score(rows.filter(F.col("part") == "train"), rows, k=9, p=2, by=["fold", "label"])
     return rounded(out.select("fold", "part", "subject_id", "win_from", "label", "y", "p"))
 
 
