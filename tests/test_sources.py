@@ -38,3 +38,17 @@ def test_detections(spark):
     assert out.nose_x.iloc[1] == 320 and out.nose_y.iloc[1] == 120
     assert abs(out.nose_distance.iloc[1] - (320 ** 2 + 120 ** 2) ** 0.5) < 1e-9
     assert pd.isna(out.nose_x.iloc[0])
+
+
+def test_write_report_and_run_meta(spark, tmp_path):
+    from signalpanel.sources import report as REP
+    df = spark.createDataFrame(pd.DataFrame({"subject_id": ["C1", "P2", "P2"], "win_from": [0, 0, 5],
+                                             "label": ["a", "a", "b"], "model": ["m", "m", "m"]}))
+    locs = REP.write_report({"windows": df, "meta": REP.run_meta(spark, df, 44, ["a", "b"], {"fps": 30.0})},
+                            str(tmp_path / "rep"))
+    back = spark.read.parquet(locs["meta"]).first()
+    assert back["n_subjects"] == 2 and back["n_controls"] == 1 and back["n_windows"] == 3
+    assert spark.read.parquet(locs["windows"]).count() == 3
+    REP.append_results(df, str(tmp_path / "res"))
+    REP.append_results(df, str(tmp_path / "res"))
+    assert spark.read.parquet(str(tmp_path / "res")).count() == 6
