@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import split as C
+from ..session import ensure_checkpoint_dir
 
 KNN_BROADCAST_MAX_BYTES = 0           # opt-in: train matrices up to this size may be broadcast
 KNN_BLOCK_ROWS = 50_000               # rows per block on the blocked path
@@ -168,6 +169,7 @@ def calibrated_svc(train: DataFrame, rows: DataFrame, C_: float = 1.0, seed: int
     """M3 + M12: LinearSVC (balanced weights) with sigmoid calibration on
     out-of-fold margins; *safe*: when the minority class has fewer than two
     rows the raw margin goes through the logistic map (M13)."""
+    ensure_checkpoint_dir(train.sparkSession)
     counts = train.groupBy(y).count().collect()   # ≤ 2 rows
     m = min(int(r["count"]) for r in counts) if len(counts) == 2 else 0
     n = sum(int(r["count"]) for r in counts)
@@ -244,6 +246,7 @@ def adaboost_score(train: DataFrame, rows: DataFrame, n_rounds: int = 50, lr: fl
     on the current weights; weights live in a column and the lineage is cut
     with a reliable ``checkpoint()`` every few rounds. The score is the
     logistic of twice the normalised weighted vote."""
+    ensure_checkpoint_dir(train.sparkSession)
     tr = _with_features(train, col).withColumn("label_", F.col(y).cast("double")) \
         .withColumn("weight", F.lit(1.0))
     n = tr.count()
@@ -442,6 +445,7 @@ def fit_panel(rows: DataFrame, specs: Sequence[ModelSpec], labels: Sequence[str]
     submitted from a driver thread pool; results are one long score table
     ``(scaler, model, fold, part, …, label, y, p)``."""
     tasks = [(s, f, lab) for s in specs for f in folds for lab in labels]
+    ensure_checkpoint_dir(rows.sparkSession)
 
     def run(t):
         spec, f, lab = t

@@ -122,6 +122,8 @@ def run_nested(rows: DataFrame, subject_labels: DataFrame, outer_folds: DataFram
     the chosen candidate on the full outer train (R10; constant score when
     no candidate could be scored), α-weighted clinical-cost thresholds, and
     the nested report tables (R11)."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
     inner = C.inner_folds(subject_labels, outer_folds, labels, k_outer, k_inner, seed)
     r = rows.filter(F.col("part") == "train").drop("part").join(inner, on=["fold", "subject_id"])
     fits = []
