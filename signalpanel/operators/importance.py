@@ -33,19 +33,21 @@ def permuted_rows(test: DataFrame, features: DataFrame, n_repeats: int = 5, seed
     """
     by = list(by)
     li = label_index if label_index is not None else F.lit(0)
-    base = test.withColumn("_seed", (F.lit(seed) + F.col("fold") * 1000 + li * 13).cast("string"))
+    # the target order (md5 of the row id) is the same for every (j, r):
+    # rank it once on the unexpanded rows
+    key_b = F.md5(F.concat(F.lit("id:"), F.col(row_id).cast("string")))
+    base = (test.withColumn("_seed", (F.lit(seed) + F.col("fold") * 1000 + li * 13).cast("string"))
+            .withColumn("_kb", key_b).withColumn("_bb", F.conv(F.substring("_kb", 1, 2), 16, 10).cast("int")))
+    base = C.dealt_rank(base, ["_bb", "_kb"], part=by, name="_k")
     rep = F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("r")
     ex = base.join(features.select(*by, F.col("feature").alias("j")), on=by).select("*", rep)
     part = [*by, "j", "r"]
     key_a = F.md5(F.concat_ws(":", "_seed", F.col("j").cast("string"), F.col("r").cast("string"), F.col(row_id)))
-    key_b = F.md5(F.concat(F.lit("id:"), F.col(row_id).cast("string")))
-    ex = ex.withColumn("_ka", key_a).withColumn("_kb", key_b).withColumns({
-        "_ba": F.conv(F.substring("_ka", 1, 2), 16, 10).cast("int"),
-        "_bb": F.conv(F.substring("_kb", 1, 2), 16, 10).cast("int")})
+    ex = ex.withColumn("_ka", key_a).withColumn("_ba", F.conv(F.substring("_ka", 1, 2), 16, 10).cast("int"))
     ra = C.dealt_rank(ex, ["_ba", "_ka"], part=part, name="_ra")
+    # the row whose source rank equals this row's target rank supplies slot j
     src = ra.select(*part, F.col("_ra").alias("_k"), F.element_at(col, F.col("j") + 1).alias("_v"))
-    rb = C.dealt_rank(ex, ["_bb", "_kb"], part=part, name="_k")
-    out = rb.join(src, on=[*part, "_k"])
+    out = ra.drop("_ra").join(src, on=[*part, "_k"])
     newx = F.transform(col, lambda v, i: F.when(i == F.col("j"), F.col("_v")).otherwise(v))
     return out.withColumn(col, newx).drop("_seed", "_ka", "_kb", "_ba", "_bb", "_k", "_v")
 
