@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from .decontam import op9_decontaminate
+from .htmltext import op8_html_text
 from .linededup import OP5_SQL, op5_line_dedup
 from .mixing import OP3_SQL, op3_mix
+from .pii import op10_pii
 from .quality import OP4_SQL, op4_quality
+from .simhash import op1_simhash
+from .substring import op7_substring_dedup
+from .tokenbin import op6_token_ids
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_mix": op3_mix,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
+    "op6_token_ids": op6_token_ids,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_html_text": op8_html_text,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_pii": op10_pii,
 }
 ORACLE = {
+    "op2_warc": OP2_SQL,
     "op3_mix": OP3_SQL,
     "op4_quality": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
