@@ -2,9 +2,9 @@
 feature matrix (F23).
 
 Physical plan: [one exchange on the window key] → Window (lags/leads,
-per-channel n/min/max) → HashAggregate on (window, channel) with every
-feature as a (conditional) aggregate; the DFT branch reuses the same
-exchange; the pivot to one row per window needs no further exchange.
+per-channel n/min/max) → aggregate on (window, channel) with every feature as
+a (conditional) aggregate and the samples as an array for the FFT. The wide
+matrix gathers one feature array per channel and flattens it once.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ class FeatureSpec:
     with_fft_peak_index: bool = False
     rolling: str = "always"           # "always" | "if_len" | "none"
     rolling_widths: tuple = (3, 5, 7)
-    dft_max_n: int = spectral.DFT_MAX_N
 
     def names(self) -> list[str]:
         out = ["mean", "std", "min", "max", "median", "range", "skew", "kurtosis",
@@ -74,7 +73,7 @@ def channel_features(long_df: DataFrame, window_key: Sequence[str],
     feat_rows = feat_rows.withColumns(helpers)
     aggs = {**moments.moment_aggs(), **moments.hist_aggs(),
             **complexity.crossing_aggs(), **complexity.higuchi_aggs(),
-            **complexity.perm_aggs()}
+            **complexity.perm_aggs(), "_xs": spectral.signal_agg()}
     if spec.rolling != "none":
         aggs.update(rolling.rolling_aggs(spec.rolling_widths))
     agg = feat_rows.groupBy(*keys).agg(*[c.alias(k) for k, c in aggs.items()])
@@ -89,13 +88,9 @@ def channel_features(long_df: DataFrame, window_key: Sequence[str],
     if spec.rolling == "if_len":
         agg = agg.withColumns({f"mean_w{w}": F.when(n >= w, F.col(f"mean_w{w}"))
                                for w in spec.rolling_widths})
-    peak = spectral.dft_peak(rows, keys, spec.dft_max_n)
-    # every key with n >= 2 has a peak row, so the inner join loses nothing;
-    # it lets both branches infer the same filters and share one exchange
-    out = agg.join(peak, on=keys, how="inner")
-    out = out.withColumns({
-        "fft_peak": F.col("fft_k"),
-        "fft_peak_freq": spectral.fft_freq(F.col("fft_k"), n, spec.fps),
+    out = agg.withColumn("_peak", spectral.fft_peak("_xs")).withColumns({
+        "fft_peak": F.col("_peak.k"), "fft_peak_amp": F.col("_peak.amp"),
+        "fft_peak_freq": spectral.fft_freq(F.col("_peak.k"), n, spec.fps),
     })
     return out.select(*keys, "n", *spec.names())
 
@@ -110,19 +105,18 @@ def window_features(frames: DataFrame, window_key: Sequence[str],
 def feature_matrix(features: DataFrame, windows: DataFrame,
                    window_key: Sequence[str], channels: Sequence[str],
                    spec: FeatureSpec = SPECS["multilabel"]) -> DataFrame:
-    """F23 + W12: one row per window with ``<channel>_<feature>`` columns
-    (explicit pivot list, so no extra job), missing → 0, joined to the
-    window table (labels etc.). Both sides are grouped by the window key,
-    so the join is co-partitioned."""
+    """F23 + W12: one row per window with ``<channel>_<feature>`` columns,
+    missing → 0, joined to the window table (labels etc.). Both sides are
+    grouped by the window key, so the join is co-partitioned."""
     names = spec.names()
-    wide = (features.groupBy(*window_key)
-            .pivot("channel", list(channels))
-            .agg(*[F.first(f).alias(f) for f in names]))
-    cols = [f"{c}_{f}" for c in channels for f in names]
-    out = windows.join(wide, on=list(window_key), how="left")
-    return out.select(*windows.columns,
-                      *[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
-                        for c in cols])
+    # one array of features per (window, channel); the wide row picks from it
+    arr = F.array(*[F.nanvl(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in names])
+    by_channel = features.select(*window_key, "channel", arr.alias("_f")).groupBy(*window_key).agg(
+        F.map_from_entries(F.collect_list(F.struct("channel", "_f"))).alias("_m"))
+    out = windows.join(by_channel, on=list(window_key), how="left")
+    out = out.select(*windows.columns, *[F.col("_m")[c].alias(f"_a_{i}") for i, c in enumerate(channels)])
+    return out.select(*windows.columns, *[F.coalesce(F.col(f"_a_{i}")[j], F.lit(0.0)).alias(f"{c}_{f}")
+                                          for i, c in enumerate(channels) for j, f in enumerate(names)])
 
 
 def feature_columns(channels: Sequence[str], spec: FeatureSpec = SPECS["multilabel"]) -> list[str]:

@@ -5,69 +5,38 @@ Peak = first maximum of |DFT[k]| over k = 1..n−1. For a real signal
 that half is evaluated. Amplitudes are compared after rounding to 1e-9 so
 that mirror-equal bins tie deterministically (smallest k wins).
 
-Two physical paths, chosen per window by length:
-
-* ``n <= dft_max_n`` — generate-and-aggregate in the JVM: each frame emits
-  one term per k, ``groupBy(window, channel, k)`` sums them (map-side
-  combine). The input is already clustered by the window key, so the
-  group-bys add no exchange.
-* longer windows — ``applyInPandas`` with ``numpy.fft.rfft`` on the same
-  clustering (O(n log n) instead of O(n²) terms).
+The signal is gathered as one array by the aggregate that computes all other
+features of the window (no branch, join or shuffle of its own), and a
+vectorised function transforms a batch of arrays of any length with the real
+FFT: O(n log n) per window and one row per window and channel.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DFT_MAX_N = 1024
 AMP_DECIMALS = 9
+PEAK = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("amp", T.DoubleType())])
 
 
-def _peak_from_amps(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ranked = F.struct(F.round("amp", AMP_DECIMALS).alias("a"), (-F.col("k")).alias("nk"))
-    return (df.groupBy(*keys)
-            .agg(F.max_by(F.struct("k", "amp"), ranked).alias("_pk"))
-            .select(*keys, F.col("_pk.k").alias("fft_k"), F.col("_pk.amp").alias("fft_peak_amp")))
-
-
-def dft_peak(rows: DataFrame, keys: Sequence[str], dft_max_n: int = DFT_MAX_N) -> DataFrame:
-    """Peak bin and amplitude per ``keys`` (window key + channel)."""
-    short = rows.filter((F.col("n") >= 2) & (F.col("n") <= dft_max_n))
-    k = F.explode(F.sequence(F.lit(1), (F.col("n") / 2).cast("int"))).alias("k")
-    terms = short.select(*keys, "frame_idx", "x", "n", k)
-    # angle reduced modulo n first keeps the phase exact for long windows
-    ang = (F.lit(2.0 * math.pi) * ((F.col("k").cast("long") * F.col("frame_idx")) % F.col("n"))
-           / F.col("n"))
-    sums = (terms.groupBy(*keys, "k")
-            .agg(F.sum(F.col("x") * F.cos(ang)).alias("re"),
-                 F.sum(F.col("x") * F.sin(ang)).alias("im"))
-            .withColumn("amp", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))))
-    peak_short = _peak_from_amps(sums, keys)
-    long_ = rows.filter(F.col("n") > dft_max_n)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in rows.select(*keys).schema.fields]
-                       + ["fft_k int", "fft_peak_amp double"])
-    key_list = list(keys)
+def signal_agg() -> Column:
+    """The window's samples in frame order, as an aggregate."""
+    return F.transform(F.sort_array(F.collect_list(F.struct("frame_idx", "x"))), lambda s: s["x"])
 
-    def _rfft(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        sig = pdf["x"].to_numpy(dtype=float)
-        amps = np.abs(np.fft.rfft(sig))[1:]
-        kk = int(np.argmax(np.round(amps, AMP_DECIMALS))) + 1
-        row = {c: [pdf[c].iloc[0]] for c in key_list}
-        row["fft_k"] = [kk]
-        row["fft_peak_amp"] = [float(amps[kk - 1])]
-        return pd.DataFrame(row)
 
-    peak_long = (long_.select(*keys, "frame_idx", "x")
-                 .groupBy(*keys).applyInPandas(_rfft, schema))
-    return peak_short.unionByName(peak_long)
+@F.pandas_udf(PEAK)
+def fft_peak(signals: pd.Series) -> pd.DataFrame:
+    """Peak bin and amplitude of each array (at least two samples)."""
+    bins, sizes = np.empty(len(signals), np.int32), np.empty(len(signals))
+    for i, x in enumerate(signals):
+        amps = np.abs(np.fft.rfft(np.asarray(x, float)))[1:]
+        k = int(np.argmax(np.round(amps, AMP_DECIMALS)))
+        bins[i], sizes[i] = k + 1, amps[k]
+    return pd.DataFrame({"k": bins, "amp": sizes})
 
 
 def fft_freq(k: Column, n: Column, fps: float) -> Column:

@@ -5,10 +5,10 @@ selected slots, in index order) and repeat r, feature j of the test windows
 is permuted; the windows are re-scored, aggregated to subjects, thresholded
 and the subject error (FP+FN)/N compared with the unpermuted baseline.
 
-All (feature, repeat) variants are scored in **one** pass: test rows are
-expanded over (j, r), the permutation is a join of two md5 orders (each
-computed with the bucketed rank, never a whole-group window), slot j is
-replaced, and the scorer is applied once to the expanded table.
+All (feature, repeat) variants are scored in **one** pass: the permutation is
+a join of two md5 orders (each computed with the block-wise rank), in which
+only scalars move; rows are then expanded in place, slot j is replaced, and
+the scorer is applied once to the expanded table.
 """
 
 from __future__ import annotations
@@ -24,32 +24,36 @@ from . import split as C
 
 def permuted_rows(test: DataFrame, features: DataFrame, n_repeats: int = 5, seed: int = 42,
                   label_index: Column | None = None, by: Sequence[str] = ("fold", "label"),
-                  row_id: str = "row_id", col: str = "x") -> DataFrame:
+                  row_id: str = "row_id", col: str = "x", block_digits: int = C.BLOCK_DIGITS) -> DataFrame:
     """Expand test rows over (feature j, repeat r) and replace slot j with
     the value of the row that the (j, r) permutation maps onto this row.
 
     ``features`` lists ``(*by, feature)``: the slots to permute per group.
     Permutation seed per group: 42 + 1000·fold + 13·label_index (+ j, r).
+    Only the permuted scalars are shuffled: each row gathers its replacement
+    values, meets its feature array once, and is expanded in place.
     """
     by = list(by)
     li = label_index if label_index is not None else F.lit(0)
-    # the target order (md5 of the row id) is the same for every (j, r):
-    # rank it once on the unexpanded rows
-    key_b = F.md5(F.concat(F.lit("id:"), F.col(row_id).cast("string")))
-    base = (test.withColumn("_seed", (F.lit(seed) + F.col("fold") * 1000 + li * 13).cast("string"))
-            .withColumn("_kb", key_b).withColumn("_bb", F.conv(F.substring("_kb", 1, 2), 16, 10).cast("int")))
-    base = C.dealt_rank(base, ["_bb", "_kb"], part=by, name="_k")
-    rep = F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("r")
-    ex = base.join(features.select(*by, F.col("feature").alias("j")), on=by).select("*", rep)
-    part = [*by, "j", "r"]
-    key_a = F.md5(F.concat_ws(":", "_seed", F.col("j").cast("string"), F.col("r").cast("string"), F.col(row_id)))
-    ex = ex.withColumn("_ka", key_a).withColumn("_ba", F.conv(F.substring("_ka", 1, 2), 16, 10).cast("int"))
-    ra = C.dealt_rank(ex, ["_ba", "_ka"], part=part, name="_ra")
-    # the row whose source rank equals this row's target rank supplies slot j
-    src = ra.select(*part, F.col("_ra").alias("_k"), F.element_at(col, F.col("j") + 1).alias("_v"))
-    out = ra.drop("_ra").join(src, on=[*part, "_k"])
-    newx = F.transform(col, lambda v, i: F.when(i == F.col("j"), F.col("_v")).otherwise(v))
-    return out.withColumn(col, newx).drop("_seed", "_ka", "_kb", "_ba", "_bb", "_k", "_v")
+    h = F.col("_h")
+    # the target order (md5 of the row id) is the same for every (j, r)
+    base = test.withColumn("_seed", (F.lit(seed) + F.col("fold") * 1000 + li * 13).cast("string")) \
+        .withColumn("_h", F.md5(F.concat(F.lit("id:"), F.col(row_id).cast("string"))))
+    base = C.dealt_rank(base.withColumn("_b", C.rank_block(h, block_digits)), ["_b", "_h"], part=by, name="_k").drop("_b", "_h")
+    slots = features.groupBy(*by).agg(F.collect_list("feature").alias("_js"))  # at most ``max_features`` per group
+    pairs = F.flatten(F.transform("_js", lambda j: F.transform(
+        F.sequence(F.lit(0), F.lit(n_repeats - 1)), lambda r: F.struct(j.alias("j"), r.alias("r")))))
+    ex = (base.join(slots, on=by).select(*by, row_id, "_seed", col, F.explode(pairs).alias("_p"))
+          .select(*by, row_id, "_seed", "_p.j", "_p.r", F.element_at(col, F.col("_p.j") + 1).alias("_v")))
+    key = F.md5(F.concat_ws(":", "_seed", F.col("j").cast("string"), F.col("r").cast("string"), F.col(row_id)))
+    ex = ex.select(*by, "j", "r", "_v", key.alias("_h"))
+    ex = ex.withColumn("_b", C.rank_block(h, block_digits))
+    # the row whose source rank equals a row's target rank supplies slot j
+    src = C.dealt_rank(ex, ["_b", "_h"], part=[*by, "j", "r"], name="_k").select(*by, "_k", "j", "r", "_v")
+    mine = src.groupBy(*by, "_k").agg(F.collect_list(F.struct("j", "r", F.col("_v").alias("v"))).alias("_new"))
+    out = base.join(mine, on=[*by, "_k"]).drop("_k", "_seed").withColumn("_n", F.explode("_new")).drop("_new")
+    newx = F.transform(col, lambda v, i: F.when(i == F.col("_n.j"), F.col("_n.v")).otherwise(v))
+    return out.withColumn(col, newx).withColumns({"j": F.col("_n.j"), "r": F.col("_n.r")}).drop("_n")
 
 
 def subject_error(scored: DataFrame, thresholds: DataFrame, by: Sequence[str],
@@ -76,7 +80,10 @@ def permutation_importance(test: DataFrame, scorer: Callable[[DataFrame], DataFr
     from .quantile import largest_group
     big = largest_group(test, [*by, "subject_id", "label"], row_id)
     base = subject_error(scorer(test), thresholds, by, agg_mode, big).withColumnRenamed("err", "baseline_error")
-    perm = permuted_rows(test, features, n_repeats, seed, label_index, by=[*by, "label"], row_id=row_id)
+    # rank blocks that hold some 50,000 rows each (one block for small groups)
+    digits = C.digits_for(largest_group(test, [*by, "label"], row_id))
+    perm = permuted_rows(test, features, n_repeats, seed, label_index, by=[*by, "label"], row_id=row_id,
+                         block_digits=digits)
     perr = subject_error(scorer(perm), thresholds, [*by, "j", "r"], agg_mode, big)
     d = perr.join(base, on=[*by, "label"]).withColumn("delta", F.col("err") - F.col("baseline_error"))
     return d.groupBy(*by, "label", F.col("j").alias("feature_index")).agg(

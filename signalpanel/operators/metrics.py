@@ -2,8 +2,8 @@
 ``(*by, subject_id, label, y, p, pred, is_control)``.
 
 Rank metrics (E6, E7) first collapse rows to distinct scores per
-``(by, label)`` and then take running sums over those with a bucketed
-prefix sum (no window spans a whole group). Undefined rates are NULL (NaN
+``(by, label)`` and then take one running sum over those in even score ranges
+(no window spans a whole group). Undefined rates are NULL (NaN
 in the scripts).
 """
 
@@ -48,74 +48,68 @@ def binary_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         _ratio(fp + fn, P + N).alias("error_rate"))                    # E17
 
 
-SCORE_BUCKETS = 4096
+#: Score ranges per group in the running sums of the rank metrics.
+SCORE_RANGES = 256
 
 
-def _score_groups(scores: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    return (scores.groupBy(*keys, score)
+def _score_groups(preds: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    return (preds.groupBy(*keys, score)
             .agg(F.count_if(F.col("y") == 1).alias("_pos"), F.count_if(F.col("y") == 0).alias("_neg")))
 
 
-def _running(g: DataFrame, keys: Sequence[str], score: str, cols: Sequence[str], descending: bool,
-             inclusive: bool, buckets: int = SCORE_BUCKETS) -> DataFrame:
-    """Running sums of ``cols`` over the distinct scores of each
-    ``keys`` group, in score order, without a window over the whole group:
-    scores (probabilities) are cut into ``buckets`` order-preserving
-    buckets, bucket totals are prefix-summed over a (groups × buckets)
-    table, and the exact running sum inside a bucket is a window over that
-    bucket only. Adds ``_cum_<col>`` and the group totals ``_tot_<col>``."""
-    sc = F.col(score).cast("double")
-    b = F.least(F.greatest(F.floor(sc * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    if descending:
-        b = F.lit(buckets - 1) - b
-    x = g.withColumn("_bk", b)
-    tot = x.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_bt_{c}") for c in cols])
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*keys)
-    offs = tot.select(*keys, "_bk",
-                      *[F.coalesce(F.sum(f"_bt_{c}").over(wb), F.lit(0)).alias(f"_off_{c}") for c in cols],
-                      *[F.sum(f"_bt_{c}").over(wall).alias(f"_tot_{c}") for c in cols])
-    order = F.col(score).desc() if descending else F.col(score).asc()
-    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
-    wi = Window.partitionBy(*keys, "_bk").orderBy(order).rowsBetween(*frame)
-    y = x.join(offs, on=[*keys, "_bk"])   # offs: one row per occupied bucket
-    return y.select(*g.columns,
-                    *[(F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0))).alias(f"_cum_{c}")
-                      for c in cols],
-                    *[F.col(f"_tot_{c}") for c in cols])
+def _rank_metrics(g: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    """E6 and E7 per group from its distinct scores and one running sum.
+
+    Each group's scores are cut at its own (approximate) quantiles, so ranges
+    are even whatever the scores' distribution; range totals are prefix-summed
+    and the exact running sum inside a range is a window over that range only.
+    The cuts only decide where work is done: any cuts give the same sums.
+    With the sums below a score known, those at or above it follow from the
+    totals, so the ascending AUC and the descending AP share one pass."""
+    keys = list(keys)
+    cuts = F.percentile_approx(F.col(score).cast("double"),
+                               F.array(*[F.lit(i / SCORE_RANGES) for i in range(1, SCORE_RANGES)]), 2000)
+    st = g.groupBy(*keys).agg(F.sum("_pos").alias("_totp"), F.sum("_neg").alias("_totn"), cuts.alias("_cuts"))
+    x = g.join(st, on=keys).withColumn(
+        "_rg", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    tot = x.groupBy(*keys, "_rg").agg(F.sum("_pos").alias("_rp"), F.sum("_neg").alias("_rn"))
+    before = Window.partitionBy(*keys).orderBy("_rg").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*keys, "_rg", F.coalesce(F.sum("_rp").over(before), F.lit(0)).alias("_op"),
+                      F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_on"))
+    inside = Window.partitionBy(*keys, "_rg").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    y = x.join(offs, on=[*keys, "_rg"])
+    y = y.select(*keys, "_totp", "_totn", "_pos", "_neg",
+                 (F.col("_op") + F.coalesce(F.sum("_pos").over(inside), F.lit(0))).alias("_pb"),
+                 (F.col("_on") + F.coalesce(F.sum("_neg").over(inside), F.lit(0))).alias("_nb"))
+    hits = F.col("_totp") - F.col("_pb")                       # positives at or above the score
+    every = hits + F.col("_totn") - F.col("_nb")
+    out = y.groupBy(*keys).agg(
+        F.first("_totp").alias("_totp"), F.first("_totn").alias("_totn"),
+        F.sum(F.col("_pos") * (F.col("_nb") + F.col("_neg") * 0.5)).alias("_u"),
+        F.sum(F.col("_pos") * (hits / every)).alias("_ap"))
+    both = (F.col("_totp") > 0) & (F.col("_totn") > 0)
+    return out.select(*keys, F.when(both, F.col("_u") / (F.col("_totp") * F.col("_totn")).cast("double")).alias("auc"),
+                      F.when(both, F.col("_ap") / F.col("_totp")).alias("auprc"))
 
 
 def roc_auc(scores: DataFrame, by: Sequence[str] = (), score: str = "p") -> DataFrame:
     """Tie-aware ROC AUC (average ranks) per ``(by, label)``; NULL
     when a class is missing. Σ_s pos(s)·(neg below s + ½·neg(s)) / (P·N)."""
     keys = [*by, "label"]
-    g = _score_groups(scores, keys, score)
-    s = _running(g, keys, score, ["_neg", "_pos"], descending=False, inclusive=False)
-    return (s.groupBy(*keys)
-            .agg(F.sum(F.col("_pos") * (F.col("_cum__neg") + F.col("_neg") * 0.5)).alias("_u"),
-                 F.first("_tot__pos").alias("P"), F.first("_tot__neg").alias("N"))
-            .select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                  F.col("_u") / (F.col("P") * F.col("N")).cast("double")).alias("auc")))
+    return _rank_metrics(_score_groups(scores, keys, score), keys, score).select(*keys, "auc")
 
 
 def average_precision(scores: DataFrame, by: Sequence[str] = (), score: str = "p") -> DataFrame:
     """Step-wise average precision Σ ΔR·P over distinct thresholds."""
     keys = [*by, "label"]
-    g = _score_groups(scores, keys, score).withColumn("_all", F.col("_pos") + F.col("_neg"))
-    s = _running(g, keys, score, ["_pos", "_all", "_neg"], descending=True, inclusive=True)
-    return (s.groupBy(*keys)
-            .agg(F.sum(F.col("_pos") * (F.col("_cum__pos") / F.col("_cum__all"))).alias("_ap"),
-                 F.first("_tot__pos").alias("P"), F.first("_tot__neg").alias("N"))
-            .select(*keys, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                  F.col("_ap") / F.col("P")).alias("auprc")))
+    return _rank_metrics(_score_groups(scores, keys, score), keys, score).select(*keys, "auprc")
 
 
 def label_metrics(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Per-label table of the fold rows: E1–E7, E16 joined on (by, label)."""
+    """Per-label table of the fold rows: E1–E7, E16 on (by, label)."""
     keys = [*by, "label"]
-    return (binary_metrics(preds, by)
-            .join(roc_auc(preds, by), on=keys, how="left")
-            .join(average_precision(preds, by), on=keys, how="left"))
+    return binary_metrics(preds, by).join(
+        _rank_metrics(_score_groups(preds, keys, "p"), keys, "p"), on=keys, how="left")
 
 
 def macro(metric_df: DataFrame, by: Sequence[str] = (), cols: Sequence[str] = ("auc", "auprc")) -> DataFrame:
@@ -124,44 +118,6 @@ def macro(metric_df: DataFrame, by: Sequence[str] = (), cols: Sequence[str] = ("
     return metric_df.groupBy(*by).agg(*[F.avg(c).alias(f"macro_{c}") for c in cols])
 
 
-def multilabel_metrics(preds: DataFrame, by: Sequence[str] = (),
-                       subject: str = "subject_id") -> DataFrame:
-    """E9–E12 per ``by``: micro/macro F1, sample Jaccard, Hamming, exact match."""
-    y, p = F.col("y"), F.col("pred")
-    per_label = _counts(preds, [*by, "label"])
-    f1 = F.coalesce(_ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn")), F.lit(0.0))
-    lab = per_label.groupBy(*by).agg(
-        F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"), F.sum("fn").alias("_fn"),
-        F.avg(f1).alias("macro_f1"))
-    lab = lab.select(*by, F.coalesce(_ratio(F.col("_tp") * 2, F.col("_tp") * 2 + F.col("_fp") + F.col("_fn")),
-                                     F.lit(0.0)).alias("micro_f1"), "macro_f1")
-    per_subj = preds.groupBy(*by, subject).agg(
-        F.count_if((y == 1) & (p == 1)).alias("_i"), F.count_if((y == 1) | (p == 1)).alias("_u"),
-        F.count_if(y != p).alias("_d"), F.count(F.lit(1)).alias("_l"))
-    subj = per_subj.groupBy(*by).agg(
-        F.avg(F.coalesce(_ratio(F.col("_i"), F.col("_u")), F.lit(0.0))).alias("jaccard_samples"),
-        (F.sum("_d") / F.sum("_l")).alias("hamming_loss"),
-        F.avg((F.col("_d") == 0).cast("double")).alias("exact_match"))
-    out = lab.join(subj, on=list(by), how="inner") if by else lab.crossJoin(subj)
-    return out.withColumn("hamming_acc", F.lit(1.0) - F.col("hamming_loss"))
-
-
-def clinical_cost(preds: DataFrame, label_cfg: DataFrame | None = None,
-                  by: Sequence[str] = ()) -> DataFrame:
-    """E13 (α = 0.5) and E14 (α per label): mean over labels with both
-    rates defined of (1−α)·FPR + α·FNR."""
-    m = binary_metrics(preds, by)
-    if label_cfg is not None:
-        m = m.join(F.broadcast(label_cfg.select("label", "alpha")), on="label", how="left")
-        a = F.coalesce(F.col("alpha"), F.lit(0.5))
-    else:
-        a = F.lit(0.5)
-    both = F.col("fpr").isNotNull() & F.col("fnr").isNotNull()
-    return m.groupBy(*by).agg(
-        F.avg(F.when(both, F.lit(0.5) * (F.col("fpr") + F.col("fnr")))).alias("clinical_cost"),
-        F.avg(F.when(both, (F.lit(1.0) - a) * F.col("fpr") + a * F.col("fnr"))).alias("clinical_cost_weighted"))
-
-
 def controls_report(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """False positives and FPR among (test) controls per label;
     NULL when the group has no control."""

@@ -32,18 +32,30 @@ def inner_errors(inner_scores: DataFrame, label_cfg: DataFrame, agg_mode: str =
     return err.join(thr.select(*by, "label", "relax_level"), on=[*by, "label"], how="left")
 
 
-def nested_select(errors: DataFrame) -> DataFrame:
+def constant_labels(inner_scores: DataFrame) -> DataFrame:
+    """(fold, label) pairs whose label is the same for all outer-train subjects."""
+    subj = inner_scores.groupBy("fold", "label", "subject_id").agg(F.max("y").alias("y"))
+    return (subj.groupBy("fold", "label").agg(F.countDistinct("y").alias("_k"))
+            .filter(F.col("_k") < 2).select("fold", "label", F.lit(True).alias("constant")))
+
+
+def nested_select(errors: DataFrame, constants: DataFrame | None = None) -> DataFrame:
     """Per (outer fold, label) the candidate with the lowest mean inner
-    error (ties → earlier candidate), with its meta columns."""
+    error (ties → earlier candidate), with its meta columns. A label that is
+    constant on the outer train subjects has no choice (NULL)."""
     m = errors.groupBy("fold", "label", "candidate", "cand_order").agg(
         F.avg("err").alias("mean_err"), F.avg("relax_level").alias("relax_level_mean"),
         F.count(F.lit(1)).alias("n_inner"))
     # means of equal errors may differ in the last bit with summation order:
     # rank at 1e-12 so that true ties go to the earlier candidate
     w = Window.partitionBy("fold", "label").orderBy(F.round("mean_err", 12), "cand_order")
-    return (m.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
+    best = (m.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
             .select("fold", "label", F.col("candidate").alias("chosen_key"), "mean_err",
                     (F.lit(1.0) - F.col("mean_err")).alias("mean_hamming_acc"), "relax_level_mean", "n_inner"))
+    if constants is None:
+        return best
+    c = best.join(constants, on=["fold", "label"], how="left")
+    return c.select("fold", "label", *[F.when(F.col("constant").isNull(), F.col(x)).alias(x) for x in best.columns[2:]])
 
 
 def nested_choices(choices: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -52,7 +64,11 @@ def nested_choices(choices: DataFrame, labels: Sequence[str]) -> DataFrame:
     return choices.groupBy("fold").pivot("label", list(labels)).agg(F.first("chosen_key"))
 
 
-def nested_summary(fold_rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
+#: Metrics of the nested summary.
+NESTED_METRICS = ("macro_auc", "macro_auprc", "micro_f1", "hamming_acc", "exact_match", "clinical_cost_weighted")
+
+
+def nested_summary(fold_rows: DataFrame, metrics: Sequence[str] = NESTED_METRICS) -> DataFrame:
     """Mean / sample std over outer folds of the nested by-fold rows,
     ignoring rows without a chosen key (as a pandas group-by drops NULL keys)."""
     aggs = []
@@ -64,9 +80,9 @@ def nested_summary(fold_rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def nested_label_summary(label_rows: DataFrame) -> DataFrame:
     """Per (label, chosen_key): means over folds; NULL keys dropped."""
-    cols = [c for c in ("precision", "recall", "specificity", "f1", "auc", "auprc", "threshold")
+    cols = [c for c in ("precision", "recall", "specificity", "f1", "auc", "auprc", "threshold", "support_pos", "support_neg")
             if c in label_rows.columns]
     return (label_rows.filter(F.col("chosen_key").isNotNull())
             .groupBy("label", "chosen_key")
-            .agg(*[F.avg(F.when(~F.isnan(F.col(c)), F.col(c))).alias(f"{c}_mean") for c in cols],
+            .agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(f"{c}_mean") for c in cols],
                  F.count(F.lit(1)).alias("n_folds")))

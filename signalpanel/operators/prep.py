@@ -11,11 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import ensure_checkpoint_dir
 
 SCALERS = ("standard", "minmax", "robust", "power", "none")
-POWER_LAMBDAS = [round(-3.0 + 0.1 * i, 10) for i in range(61)]  # Yeo-Johnson search grid
+#: Yeo-Johnson search: a coarse grid, then steps around its best point.
+POWER_LAMBDAS = [round(-3.0 + 0.1 * i, 10) for i in range(61)]
+POWER_STEPS = [round(0.01 * i, 10) for i in range(-9, 10)]
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "x") -> DataFrame:
@@ -46,8 +53,8 @@ def fit_scaler(train: DataFrame, kind: str = "standard", by: Sequence[str] = (),
     standard: mean and population std (0 → 1); minmax: min and range
     (0 → 1, so constants map to 0); robust: median and IQR (0 → 1), exact
     percentiles, or ``exact=False`` for bounded-memory sketches at scale;
-    power: Yeo-Johnson λ by maximum likelihood over a λ grid, then the
-    mean/std of the transformed values.
+    power: Yeo-Johnson λ by maximum likelihood (a grid, then finer steps),
+    then the mean/std of the transformed values.
     """
     if kind not in SCALERS:
         raise ValueError(f"unknown scaler {kind!r}")
@@ -70,7 +77,7 @@ def fit_scaler(train: DataFrame, kind: str = "standard", by: Sequence[str] = (),
             st = lf.groupBy(*by, "j").agg(q.alias("_q")).select(
                 *by, "j", F.col("_q")[1].alias("a"), (F.col("_q")[2] - F.col("_q")[0]).alias("s"))
     else:
-        st = _fit_power(lf, by)
+        st = _fit_power(train, by, col)
     st = st.withColumn("s", F.when(F.col("s").isNull() | (F.col("s") == 0), F.lit(1.0)).otherwise(F.col("s")))
     names = ["a", "s"] + (["lam"] if kind == "power" else [])
     return _to_arrays(st, by, names).withColumn("kind", F.lit(kind))
@@ -84,20 +91,82 @@ def _yj(v: Column, lam: Column) -> Column:
     return F.when(v >= 0, pos).otherwise(neg)
 
 
-def _fit_power(lf: DataFrame, by: Sequence[str]) -> DataFrame:
+def _yj_np(v, lam):
+    """Yeo-Johnson transform, vectorised over values × λ."""
+    grow, fall = np.log1p(np.maximum(v, 0)), np.log1p(np.maximum(-v, 0))
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        up = np.where(np.abs(lam) < 1e-12, grow, np.expm1(lam * grow) / np.where(lam == 0, 1, lam))
+        low = np.where(np.abs(2 - lam) < 1e-12, fall, np.expm1((2 - lam) * fall) / np.where(lam == 2, 1, 2 - lam))
+    return np.where(v >= 0, up, -low)
+
+
+def _power_sums(keys: list[str]):
+    """Per batch, group and feature: count, Σ sign·ln(1+|x|), and for each λ
+    the mean and the sum of squared deviations of the transformed values."""
+    def run(batches):
+        for b in batches:
+            pdf = b.to_pandas()
+            if not len(pdf):
+                continue
+            out = []
+            for key, g in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                x = np.vstack(g["x"].to_numpy())
+                lam = np.vstack(g["lams"].iloc[0]).astype(float)           # features × λ
+                for j in range(x.shape[1]):
+                    t = _yj_np(x[:, j, None], lam[j][None, :])
+                    mean = t.mean(0)
+                    out.append((*(key if isinstance(key, tuple) else (key,)), j, len(g),
+                                float((np.sign(x[:, j]) * np.log1p(np.abs(x[:, j]))).sum()),
+                                mean.tolist(), ((t - mean) ** 2).sum(0).tolist()))
+            yield pa.RecordBatch.from_pylist([dict(zip([*keys, "j", "n", "sl", "mean", "m2"], r)) for r in out],
+                                             schema=run.schema) if out else pa.RecordBatch.from_pylist([], schema=run.schema)
+    return run
+
+
+def _likelihood(train: DataFrame, by: Sequence[str], col: str, lams: DataFrame) -> DataFrame:
+    """``(*by, j, lam, L, a, s)``: log-likelihood, mean and std at each λ of
+    ``lams`` (``*by, lams``: one array of λ per feature). Batches are reduced
+    to one row per group and feature before anything is shuffled."""
+    by = list(by)
+    rows = train.select(*by, F.col(col).alias("x"))
+    rows = rows.join(F.broadcast(lams), on=by) if by else rows.crossJoin(F.broadcast(lams))  # one row per group
+    fields = [f"`{c}` {dict(train.dtypes)[c]}" for c in by]
+    schema = ", ".join([*fields, "j int", "n long", "sl double", "mean array<double>", "m2 array<double>"])
+    run = _power_sums(by)
+    empty = train.sparkSession.createDataFrame([], schema)
+    run.schema = to_arrow_schema(empty.schema)
+    part = rows.mapInArrow(run, schema)
+    wide = part.select(*by, "j", "n", "sl", F.posexplode(F.arrays_zip("mean", "m2")).alias("i", "z"))
+    n, mean = F.col("n"), F.col("z.mean")
+    total = wide.groupBy(*by, "j", "i").agg(
+        F.sum("n").alias("n"), F.sum("sl").alias("sl"), (F.sum(n * mean) / F.sum("n")).alias("a"),
+        F.sum("z.m2").alias("w"), F.sum(n * mean * mean).alias("q"))
+    var = F.greatest((F.col("w") + F.col("q") - F.col("n") * F.col("a") * F.col("a")) / F.col("n"), F.lit(0.0))
+    at = lams.select(*by, F.posexplode("lams").alias("j", "_l")).select(*by, "j", F.posexplode("_l").alias("i", "lam"))
+    out = total.withColumn("vt", var).join(at, on=[*by, "j", "i"])
+    like = (-F.col("n") / 2.0 * F.log(F.greatest(F.col("vt"), F.lit(1e-300))) + (F.col("lam") - 1.0) * F.col("sl"))
+    return out.select(*by, "j", "lam", like.alias("L"), "a", F.sqrt("vt").alias("s"))
+
+
+def _fit_power(train: DataFrame, by: Sequence[str], col: str = "x") -> DataFrame:
     """λ per feature maximising the Yeo-Johnson log-likelihood
-    −n/2·ln σ²(ψ) + (λ−1)·Σ sign(x)·ln(1+|x|) over a λ grid (one pass:
-    each value is expanded over the grid and aggregated map-side)."""
-    lam = F.explode(F.array(*[F.lit(x) for x in POWER_LAMBDAS])).alias("lam")
-    x = lf.select(*by, "j", "v", lam).withColumn("t", _yj(F.col("v"), F.col("lam")))
-    ll = x.groupBy(*by, "j", "lam").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop("t").alias("vt"),
-        F.sum(F.signum("v") * F.log1p(F.abs("v"))).alias("sl"))
-    ll = ll.withColumn("L", -F.col("n") / 2.0 * F.log(F.greatest(F.col("vt"), F.lit(1e-300)))
-                       + (F.col("lam") - 1.0) * F.col("sl"))
-    best = ll.groupBy(*by, "j").agg(F.max_by("lam", F.struct("L", -F.abs(F.col("lam") - 1.0))).alias("lam"))
-    t = lf.join(F.broadcast(best), on=[*by, "j"]).withColumn("t", _yj(F.col("v"), F.col("lam")))
-    return t.groupBy(*by, "j").agg(F.avg("t").alias("a"), F.stddev_pop("t").alias("s"), F.first("lam").alias("lam"))
+    −n/2·ln σ²(ψ) + (λ−1)·Σ sign(x)·ln(1+|x|): the best point of a coarse
+    grid, then of finer steps around it; with mean and std at that λ."""
+    by = list(by)
+
+    def best(like):
+        pick = F.max_by(F.struct("lam", "a", "s"), F.struct("L", -F.abs(F.col("lam") - 1.0)))
+        return like.groupBy(*by, "j").agg(pick.alias("b")).select(*by, "j", "b.*")
+
+    width = train.groupBy(*by).agg(F.max(F.size(col)).alias("_d"))
+    grid = F.array(*[F.lit(x) for x in POWER_LAMBDAS])
+    coarse = best(_likelihood(train, by, col, width.select(*by, F.array_repeat(grid, F.col("_d")).alias("lams"))))
+    ensure_checkpoint_dir(train.sparkSession)
+    coarse = coarse.checkpoint()  # one row per group and feature
+    near = F.transform(F.array(*[F.lit(x) for x in POWER_STEPS]), lambda d: F.round(F.col("lam") + d, 2))
+    lams = coarse.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", near.alias("v")))),
+                                               lambda s: s["v"]).alias("lams"))
+    return best(_likelihood(train, by, col, lams)).select(*by, "j", "a", "s", "lam")
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, kind: str = "standard", by: Sequence[str] = (),
@@ -120,13 +189,6 @@ def apply_scaler(df: DataFrame, params: DataFrame, kind: str = "standard", by: S
     return j.select(*cols, scaled.alias(out))
 
 
-def fit_transform(train: DataFrame, test: DataFrame, kind: str, by: Sequence[str] = (),
-                  col: str = "x") -> tuple[DataFrame, DataFrame]:
-    """Fit on train, apply to both."""
-    params = fit_scaler(train, kind, by, col)
-    return apply_scaler(train, params, kind, by, col), apply_scaler(test, params, kind, by, col)
-
-
 def select_k_best(train: DataFrame, label_k: DataFrame, by: Sequence[str] = (), col: str = "x",
                   y: str = "y", bins: int = 10) -> DataFrame:
     """Rank features by (binned) mutual information with the label on
@@ -137,13 +199,18 @@ def select_k_best(train: DataFrame, label_k: DataFrame, by: Sequence[str] = (),
     Equal-width bins on the train range; MI = Σ p(b,y)·ln(p(b,y)/(p(b)p(y))).
     """
     keys = [*by, "label"]
-    lf = train.select(*keys, y, F.posexplode(col).alias("j", "v"))
+    lf = train.select(*keys, F.posexplode(col).alias("j", "v"))
     rng = lf.groupBy(*keys, "j").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    b = (lf.join(rng, on=[*keys, "j"])   # both sides clustered on (keys, j)
-         .withColumn("bin", F.when(F.col("hi") > F.col("lo"),
-                                   F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo"))
-                                                                     / (F.col("hi") - F.col("lo")) * bins)))
-                     .otherwise(F.lit(0)).cast("int")))
+    rng = rng.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", "lo", "hi"))).alias("_r"))
+
+    def bin_of(v, r):
+        return F.when(r["hi"] > r["lo"], F.least(F.lit(bins - 1), F.floor((v - r["lo"]) / (r["hi"] - r["lo"]) * bins))
+                      ).otherwise(F.lit(0)).cast("int")
+
+    # one range row per group (features × 2 numbers), joined to whole rows; a
+    # row is binned in place and only partial counts are shuffled
+    b = (train.join(F.broadcast(rng), on=keys)
+         .select(*keys, y, F.posexplode(F.zip_with(col, "_r", bin_of)).alias("j", "bin")))
     c = b.groupBy(*keys, "j", "bin", y).agg(F.count(F.lit(1)).alias("n_by"))
     wj = Window.partitionBy(*keys, "j")
     c = c.withColumns({"n": F.sum("n_by").over(wj),
@@ -151,7 +218,7 @@ def select_k_best(train: DataFrame, label_k: DataFrame, by: Sequence[str] = (),
                        "n_y": F.sum("n_by").over(Window.partitionBy(*keys, "j", y))})
     term = (F.col("n_by") / F.col("n")) * F.log((F.col("n_by") * F.col("n")) / (F.col("n_b") * F.col("n_y")))
     mi = c.groupBy(*keys, "j").agg(F.sum(term).alias("mi"))
-    nfeat = lf.groupBy(*keys).agg(F.countDistinct("j").alias("_d"))
+    nfeat = rng.select(*keys, F.size("_r").alias("_d"))
     w = Window.partitionBy(*keys).orderBy(F.col("mi").desc(), F.col("j"))
     ranked = (mi.withColumn("rank", F.row_number().over(w))
               .join(F.broadcast(label_k.select("label", "k_best")), on="label")

@@ -2,12 +2,10 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation
 buffer; for a subject or feature that holds a large share of the rows that
-is one task's memory. Here a group's values are cut into value buckets
-(after per-group min/max normalisation), bucket counts are prefix-summed
-over a (groups × buckets) table to find the buckets that hold the two
-order statistics around ``q·(n−1)``, and only rows of those buckets are
-ranked (a window per target bucket). The result uses NumPy's linear
-interpolation, including its two-sided formula.
+is one task's memory. Here a sketch with a guaranteed rank error brackets each
+quantile of a large group, and only the few distinct values inside the bracket
+are ordered, which holds for any distribution (outliers, ties, narrow ranges).
+The result uses NumPy's linear interpolation, including its two-sided formula.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+ACCURACY = 10_000  # of the bracketing sketch: rank error n / ACCURACY
 SMALL_GROUP = 100_000   # values per group that one aggregation buffer may hold
 
 
@@ -54,55 +52,37 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float],
-                    buckets: int = BUCKETS, prefix: str = "q") -> DataFrame:
-    """One row per group with columns ``{prefix}{i}`` = quantile ``qs[i]``."""
-    keys = list(keys)
-    v = F.col(value).cast("double")
-    st = df.groupBy(*keys).agg(F.count(v).alias("_n"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-    # target ranks per quantile (0-based), as NumPy: virtual index q·(n−1)
-    tg = st.select(*keys, "_n", "_mn", "_mx",
-                   F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
-                                       for i, q in enumerate(qs)])).alias("_t"))
-    tg = tg.select(*keys, "_n", "_mn", "_mx", "_t.qi",
-                   (F.col("_t.q") * (F.col("_n") - 1).cast("double")).alias("_vi"))
-    tg = tg.withColumn("_lo", F.floor("_vi").cast("long")).withColumn(
-        "_frac", F.col("_vi") - F.col("_lo").cast("double"))
-    tg = tg.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    width = F.col("_mx") - F.col("_mn")
-
-    def bucket(c):
-        return F.when(width > 0, F.least(F.floor((c - F.col("_mn")) / width * buckets),
-                                         F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+                    accuracy: int = ACCURACY, prefix: str = "q") -> DataFrame:
+    """One row per group with columns ``{prefix}{i}`` = quantile ``qs[i]``.
 
-    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull()) \
-        .join(st.select(*keys, "_mn", "_mx"), on=keys)     # st: one row per group
-    rows = rows.withColumn("_b", bucket(F.col("_v")))
-    bc = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmin"),
-                                       F.max("_v").alias("_bmax"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bc = bc.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))   # ≤ buckets rows/group
-    # the bucket holding each target rank (lo and hi)
-    need = (tg.select(*keys, "qi", F.col("_lo").alias("_r"), F.lit("lo").alias("_side"))
-            .unionByName(tg.select(*keys, "qi", F.col("_hi").alias("_r"), F.lit("hi").alias("_side"))))
-    hit = need.join(bc, on=keys).filter((F.col("_r") >= F.col("_before")) &
-                                        (F.col("_r") < F.col("_before") + F.col("_c")))
-    hit = hit.withColumn("_local", F.col("_r") - F.col("_before"))
-    # constant buckets answer directly; others rank their rows
-    direct = hit.filter(F.col("_bmin") == F.col("_bmax")).select(*keys, "qi", "_side", F.col("_bmin").alias("_val"))
-    open_ = hit.filter(F.col("_bmin") != F.col("_bmax")).select(*keys, "_b", "qi", "_side", "_local")
-    tb = open_.select(*keys, "_b").distinct()
-    wr = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = (rows.join(tb, on=[*keys, "_b"], how="left_semi")
-              .withColumn("_rk", F.row_number().over(wr) - 1))
-    picked = ranked.join(open_, on=[*keys, "_b"]).filter(F.col("_rk") == F.col("_local")) \
-        .select(*keys, "qi", "_side", F.col("_v").alias("_val"))
-    vals = direct.unionByName(picked).groupBy(*keys, "qi").agg(
-        F.max(F.when(F.col("_side") == "lo", F.col("_val"))).alias("_a"),
-        F.max(F.when(F.col("_side") == "hi", F.col("_val"))).alias("_b2"))
-    res = tg.select(*keys, "qi", "_frac").join(vals, on=[*keys, "qi"])
-    d = F.col("_b2") - F.col("_a")
-    t = F.col("_frac")
-    lerp = F.when(t >= 0.5, F.col("_b2") - d * (F.lit(1.0) - t)).otherwise(F.col("_a") + d * t)
-    res = res.select(*keys, "qi", lerp.alias("_q"))
-    return res.groupBy(*keys).pivot("qi", list(range(len(qs)))).agg(F.first("_q")) \
-        .select(*keys, *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(len(qs))])
+    A sketch with a guaranteed rank error of n / accuracy brackets each
+    quantile between two values, whatever the distribution. Rows below a
+    bracket are only counted, rows inside it (some thousandths of the group)
+    are counted by distinct value, and the exact order statistics follow from
+    a running sum over those."""
+    keys = list(keys)
+    v, margin = F.col("_v"), 5.0 / accuracy
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull())
+    edges = [F.lit(min(1.0, max(0.0, q + d))) for q in qs for d in (-margin, margin)]
+    st = rows.groupBy(*keys).agg(F.count(v).alias("_n"), F.min(v).alias("_mn"), F.max(v).alias("_mx"),
+                                 F.percentile_approx(v, F.array(*edges), accuracy).alias("_e"))
+    # target ranks (0-based) as NumPy: virtual index q·(n−1); bracket [_a, _b]
+    parts = [F.struct(F.lit(i).alias("qi"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("vi"),
+                      (F.col("_mn") if q <= margin else F.col("_e")[2 * i]).alias("a"),
+                      (F.col("_mx") if q >= 1 - margin else F.col("_e")[2 * i + 1]).alias("b"))
+             for i, q in enumerate(qs)]
+    tg = st.select(*keys, "_n", F.explode(F.array(*parts)).alias("_t")).select(
+        *keys, "_t.qi", F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b"),
+        F.floor("_t.vi").cast("long").alias("_lo"), (F.col("_t.vi") - F.floor("_t.vi")).alias("_frac"),
+        F.least(F.floor("_t.vi").cast("long") + 1, F.col("_n") - 1).alias("_hi"))
+    x = rows.join(tg.select(*keys, "qi", "_a", "_b"), on=keys).filter(v <= F.col("_b"))
+    # rows in front of the bracket share one value key (NULL)
+    c = x.groupBy(*keys, "qi", F.when(v >= F.col("_a"), v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*keys, "qi").orderBy(F.col("_v").asc_nulls_first())
+    c = c.withColumn("_upto", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = c.join(tg.select(*keys, "qi", "_lo", "_hi", "_frac"), on=[*keys, "qi"]).groupBy(*keys, "qi").agg(
+        F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v"))).alias("_b"), F.first("_frac").alias("_t"))
+    d, t = F.col("_b") - F.col("_a"), F.col("_t")
+    lerp = F.when(t >= 0.5, F.col("_b") - d * (F.lit(1.0) - t)).otherwise(F.col("_a") + d * t)
+    return hit.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, lerp)).alias(f"{prefix}{i}") for i in range(len(qs))])

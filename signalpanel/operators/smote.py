@@ -26,7 +26,8 @@ def smote(train: DataFrame, k: int = 5, ratio: float = 0.25, variant: str = "bor
           m_neighbors: int = 10, seed: int = 42, y: str = "y", row_id: str = "row_id",
           col: str = "x") -> DataFrame:
     """Synthetic positive rows for one training group (``part`` = train,
-    ``row_id`` prefixed ``smote:``); empty when the plan (C8) says no."""
+    ``row_id`` prefixed ``smote:``, no subject); empty when the plan (C8) says no.
+    For fitting only: a synthetic row is never scored."""
     from ..plans.models import knn_neighbors
     cnt = train.agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")).first()
     pos, neg = int(cnt["pos"]), int(cnt["neg"])
@@ -51,7 +52,7 @@ def smote(train: DataFrame, k: int = 5, ratio: float = 0.25, variant: str = "bor
         return empty
     sseed = f"{seed}:smote"
     ranked = C.dealt_rank(seeds.withColumn("_h", F.md5(F.concat(F.lit(sseed), F.col(row_id).cast("string"))))
-                          .withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")),
+                          .withColumn("_b", C.rank_block(F.col("_h"))),
                           ["_b", "_h"], name="_sr")
     spark = train.sparkSession
     j = F.col("id")
@@ -66,8 +67,6 @@ def smote(train: DataFrame, k: int = 5, ratio: float = 0.25, variant: str = "bor
     syn = (draws.join(a, on="_sr").join(nbm.select("_qid", "_rank", "_id"), on=["_qid", "_rank"])
            .join(b, on="_id"))
     x_new = F.zip_with("_a", "_b", lambda u, v: u + F.col("_lam") * (v - u))
-    proto = train.limit(1).drop(col, row_id, y)
-    out = syn.select(F.concat(F.lit("smote:"), F.col("_j").cast("string")).alias(row_id), x_new.alias(col),
-                     F.lit(1).cast(train.schema[y].dataType).alias(y))
-    # carry the group's constant columns (fold, label, part, …) from any train row
-    return out.crossJoin(proto).select(*train.columns)
+    made = {row_id: F.concat(F.lit("smote:"), F.col("_j").cast("string")), col: x_new, y: F.lit(1), "part": F.lit("train")}
+    # a synthetic row belongs to no subject or window: all other columns are NULL
+    return syn.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in train.schema.fields])

@@ -16,7 +16,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANK_BUCKETS = 256
+#: Hex digits of the md5 that make a rank block: 65,536 blocks per part, so a
+#: part of ten billion rows has blocks of some 150,000 rows.
+BLOCK_DIGITS = 4
+
+
+def rank_block(h: Column, digits: int = BLOCK_DIGITS) -> Column:
+    """Block number of an md5 text, in the order of the text."""
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("int") if digits else F.lit(0)
+
+
+def digits_for(rows: int, per_block: int = 50_000) -> int:
+    """Digits that cut a part of ``rows`` into blocks of about ``per_block``."""
+    digits = 0
+    while rows > per_block * 16 ** digits:
+        digits += 1
+    return digits
 
 
 def md5_key(seed: int | str, col: Column | str) -> Column:
@@ -30,9 +45,10 @@ def dealt_rank(df: DataFrame, order: Sequence[Column | str], part: Sequence[str]
 
     ``order[0]`` is a *block* key (it must already contain a hash bucket so
     that blocks are small); the rank window runs per (part, block) and the
-    block offsets come from the prefix sum over a count table of
-    parts × blocks rows, which is bounded by the bucket count and is
-    broadcast. No window ever spans a whole stratum.
+    block offsets come from the prefix sum over a count table with one row
+    per non-empty (part, block). That table is joined back on the keys of the
+    rank window, so the rows are shuffled once; how it is joined is left to
+    Spark. No window ever spans a whole stratum.
     """
     o = [F.col(c) if isinstance(c, str) else c for c in order]
     x = df.withColumn("_o0", o[0])
@@ -44,19 +60,17 @@ def dealt_rank(df: DataFrame, order: Sequence[Column | str], part: Sequence[str]
         inner = F.row_number().over(Window.partitionBy(*part, "_o0").orderBy(*o[1:])) - 1
     else:
         inner = F.lit(0)
-    return (x.withColumn("_in", inner).join(F.broadcast(offs), on=[*part, "_o0"])
+    return (x.withColumn("_in", inner).join(offs, on=[*part, "_o0"])
             .withColumn(name, (F.col("_off") + F.col("_in")).cast("long"))
             .drop("_o0", "_in", "_off"))
 
 
 def deal_folds(subjects: DataFrame, k: int, seed: int, strata: Sequence[Column | str] = (),
-               subject: str = "subject_id", part: Sequence[str] = (),
-               buckets: int = RANK_BUCKETS) -> DataFrame:
+               subject: str = "subject_id", part: Sequence[str] = ()) -> DataFrame:
     """Order subjects by (strata…, md5 bucket, md5) and deal folds
     round-robin. Adds ``fold`` (0..k-1)."""
     h = md5_key(seed, subject)
-    x = subjects.withColumn("_h", h).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int") % buckets)
+    x = subjects.withColumn("_h", h).withColumn("_b", rank_block(F.col("_h")))
     s = [F.col(c) if isinstance(c, str) else c for c in strata]
     key = F.struct(*[c.alias(f"_s{i}") for i, c in enumerate(s)], F.col("_b").alias("_bb")) if s \
         else F.col("_b")
@@ -122,7 +136,7 @@ def inner_folds(subject_labels: DataFrame, outer: DataFrame, labels: Sequence[st
     kk = F.least(F.lit(k_inner), F.col("_n"))
     h = md5_key(f"{seed}:inner", subject)
     x = tr.withColumn("_h", h).withColumn(
-        "_key", F.struct("_combo", (F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % RANK_BUCKETS).alias("_b")))
+        "_key", F.struct("_combo", rank_block(h).alias("_b")))
     r = dealt_rank(x, ["_key", "_h"], part=["fold"])
     return r.select("fold", subject, (F.col("_rank") % kk).cast("int").alias("inner_fold"))
 
@@ -148,15 +162,20 @@ def downsample(train: DataFrame, tol: float = 0.2, replacement: bool = True, see
     x = train.join(cnt, on=by) if by else train.crossJoin(F.broadcast(cnt))  # cnt: one row per group
     keep = x.filter(~F.col("_do") | (F.col(y) != F.col("_maj")))
     maj = x.filter(F.col("_do") & (F.col(y) == F.col("_maj")))
-    ranked = dealt_rank(maj.withColumn("_h", md5_key(seed, row_id))
-                        .withColumn("_k", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")), ["_k", "_h"], part=by)
+
+    def numbered(df):
+        h = df.withColumn("_h", md5_key(seed, row_id))
+        return dealt_rank(h.withColumn("_k", rank_block(F.col("_h"))), ["_k", "_h"], part=by)
+
+    ranked = numbered(maj)
     if not replacement:
         picked = ranked.filter(F.col("_rank") < F.col("_nmin")).drop("_h", "_k", "_rank")
     else:
-        draws = (cnt.filter("_do").select(*by, "_nmin", "_nmaj")
-                 .select(*by, "_nmaj", F.explode(F.sequence(F.lit(0), F.col("_nmin") - 1)).alias("_j"))
-                 .select(*by, (F.conv(F.substring(md5_key(seed, F.col("_j")), 1, 12), 16, 10).cast("long")
-                               % F.col("_nmaj")).alias("_rank"), "_j"))
+        # one draw per minority row: its rank is the number of the draw
+        minority = x.filter(F.col("_do") & (F.col(y) != F.col("_maj")))
+        draws = numbered(minority).select(
+            *by, (F.conv(F.substring(md5_key(seed, F.col("_rank")), 1, 12), 16, 10).cast("long")
+                  % F.col("_nmaj")).alias("_pick")).withColumnRenamed("_pick", "_rank").withColumn("_j", F.lit(0))
         picked = ranked.join(draws, on=[*by, "_rank"]).drop("_h", "_k", "_rank", "_j")
     cols = train.columns
     return keep.select(*cols).unionByName(picked.select(*cols))

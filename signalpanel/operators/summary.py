@@ -104,7 +104,7 @@ def controls_summary(controls: DataFrame, by: Sequence[str] = CONFIG) -> DataFra
                        F.col("controls_fpr_mean").asc_nulls_last(), *by, "label")
 
 
-# criterion → ordered (column, descending?) tie-break chain
+# Criterion → ordered (column, descending?) tie-break chain
 CRITERIA = {
     "auprc": [("macro_auprc_mean", True), ("macro_auc_mean", True), ("micro_f1_mean", True)],
     "hamming": [("hamming_acc_mean", True), ("jaccard_samples_mean", True), ("micro_f1_mean", True)],
@@ -117,28 +117,29 @@ CRITERIA = {
 def best_configs(summary: DataFrame, by: Sequence[str] = CONFIG,
                  criteria: dict = CRITERIA) -> DataFrame:
     """The best config under each criterion (NULL sorts last; final tie
-    → config name), as rows ``(criterion, scaler, model)``."""
-    parts = []
-    for name, chain in criteria.items():
+    → config name), as rows ``(criterion, scaler, model, n_folds)``: one
+    aggregate with one ``min_by`` per criterion."""
+    def place(c, descending):
         # means compared at 1e-12 (summation order must not break ties)
-        order = [F.round(c, 12).desc_nulls_last() if d else F.round(c, 12).asc_nulls_last() for c, d in chain]
-        w = Window.orderBy(*order, *by)  # summary: one row per config (small)
-        parts.append(summary.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
-                     .select(F.lit(name).alias("criterion"), *by))
-    return reduce(DataFrame.unionByName, parts)
+        v = F.round(c, 12)
+        return F.coalesce(-v if descending else v, F.lit(float("inf")))
 
+    row = F.struct(*by, "n_folds")
+    best = [F.struct(F.lit(name).alias("criterion"),
+                     F.min_by(row, F.struct(*[place(c, d).alias(f"o{i}") for i, (c, d) in enumerate(chain)], *by)).alias("r"))
+            for name, chain in criteria.items()]
+    rows = summary.agg(F.array(*best).alias("b")).select(F.explode("b").alias("b"))
+    return rows.filter(F.col("b.r").isNotNull()).select("b.criterion", *[F.col(f"b.r.{c}") for c in by], "b.r.n_folds")
 
-def check_complete(results: DataFrame, best: DataFrame, k: int, by: Sequence[str] = CONFIG) -> DataFrame:
+
+def check_complete(best: DataFrame, k: int, by: Sequence[str] = CONFIG) -> DataFrame:
     """Each best config is present with all k folds."""
-    folds = results.groupBy(*by).agg(F.countDistinct("fold").alias("n_folds"))
-    return (best.join(folds, on=list(by), how="left")
-            .select("criterion", *by, F.coalesce("n_folds", F.lit(0)).alias("n_folds"),
-                    (F.coalesce("n_folds", F.lit(0)) == k).alias("complete")))
+    return best.select("criterion", *by, "n_folds", (F.col("n_folds") == k).alias("complete"))
 
 
 def decompose_best(decomp: DataFrame, best: DataFrame, by: Sequence[str] = CONFIG) -> DataFrame:
     """Error decomposition (E18) of each best config."""
-    return best.join(decomp, on=list(by), how="inner")
+    return best.drop("n_folds").join(decomp, on=list(by), how="inner")
 
 
 def top_configs(board: DataFrame, n: int = 10) -> DataFrame:

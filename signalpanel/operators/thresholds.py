@@ -137,7 +137,8 @@ def min_error_threshold(subj: DataFrame, label_cfg: DataFrame, by: Sequence[str]
     """Minimum-error threshold under constraints, relaxed level by
     level (0: controls FP + controls FPR + specificity floor + recall floor;
     1: no specificity floor; 2: no controls FPR; 3: no recall floor;
-    4: unconstrained). The lowest level with a feasible t wins."""
+    4: unconstrained). The lowest level with a feasible t wins; a constant
+    label needs no threshold (0.5 at level 0)."""
     keys = [*by, "label"]
     base = subj.groupBy(*keys).agg(F.countDistinct("y").alias("_ncls"))
     cnt = threshold_counts(subj, by, grid).join(F.broadcast(label_cfg), on="label").withColumns(_rates())
@@ -159,7 +160,7 @@ def min_error_threshold(subj: DataFrame, label_cfg: DataFrame, by: Sequence[str]
     return (base.join(best, on=keys, how="left")
             .select(*keys,
                     F.when(F.col("_ncls") < 2, F.lit(0.5)).otherwise(F.coalesce("_t", F.lit(0.5))).alias("threshold"),
-                    F.when(F.col("_ncls") < 2, F.lit(None).cast("int")).otherwise(F.col("_lv")).alias("relax_level"),
+                    F.when(F.col("_ncls") < 2, F.lit(0)).otherwise(F.col("_lv")).alias("relax_level"),
                     F.when(F.col("_ncls") < 2, F.lit(None).cast("double")).otherwise(F.col("_e")).alias("train_error")))
 
 

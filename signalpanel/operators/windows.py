@@ -90,12 +90,6 @@ def subject_labels(win: DataFrame, labels: Sequence[str],
             .withColumn("is_control", is_control(subject)))
 
 
-def subject_labels_long(scores: DataFrame, by: Sequence[str] = ("label",),
-                        subject: str = "subject_id") -> DataFrame:
-    """W9 on long rows ``(…, subject, label, y)``."""
-    return scores.groupBy(*by, subject).agg(F.max("y").cast("int").alias("y"))
-
-
 def unpivot_labels(win: DataFrame, labels: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """Wide label columns → long ``(…, label, y)``."""
     return win.select(*ids, *[F.col(l).cast("int").alias(l) for l in labels]) \
@@ -122,9 +116,3 @@ def availability(frames: DataFrame, labels: Sequence[str], task: str = "task",
     return (long_.groupBy("label", task)
             .agg(F.count_if((F.col("y") == 1) & ~ctrl).alias("n_positive"),
                  F.count_if((F.col("y") == 0) & ctrl).alias("n_controls")))
-
-
-def fill_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """W12 / P6 part: NULL and NaN → 0."""
-    return df.withColumns({c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-                           for c in cols})

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -30,9 +31,10 @@ from pyspark.sql import types as T
 from ..operators import split as C
 from ..session import ensure_checkpoint_dir
 
-KNN_BROADCAST_MAX_BYTES = 0           # opt-in: train matrices up to this size may be broadcast
 KNN_BLOCK_ROWS = 50_000               # rows per block on the blocked path
 RFF_DIM = 256
+#: Families whose estimators take class weights (the linear SVMs weight in calibrated_svc).
+WEIGHTED_FAMILIES = ("logreg", "sgd_log", "random_forest", "extra_trees", "hist_gb", "lgbm")
 
 
 @dataclass(frozen=True)
@@ -120,15 +122,27 @@ def _estimator(spec: ModelSpec, n_train: int, seed: int, weighted: bool):
     raise ValueError(f"unknown model family {fam!r}")
 
 
+def constant_scores(rows: DataFrame, by: Sequence[str] = (), y: str = "y") -> DataFrame:
+    """Per group the score that stands in for a model: mean(y) where
+    the train rows hold one class (0 without rows), NULL where a model is fitted."""
+    train = F.col("part") == "train"
+    out = rows.groupBy(*by).agg(F.countDistinct(F.when(train, F.col(y))).alias("n_classes"),
+                                F.avg(F.when(train, F.col(y).cast("double"))).alias("_m"))
+    return out.withColumn("constant", F.when(F.col("n_classes") < 2, F.coalesce("_m", F.lit(0.0)))).drop("_m")
+
+
 def fit_score(rows: DataFrame, spec: ModelSpec, seed: int = 42, y: str = "y",
-              row_id: str = "row_id", col: str = "x") -> DataFrame:
-    """Fit ``spec`` on the train rows and score all rows (column ``p``).
+              row_id: str = "row_id", col: str = "x", extra_train: DataFrame | None = None) -> DataFrame:
+    """Fit ``spec`` on the train rows (and ``extra_train``, e.g. synthetic
+    rows, which are never scored) and score all rows (column ``p``).
     Single-class training data → constant mean(y) score (M14)."""
+    constant = constant_scores(rows, (), y).first()
+    if constant is None or constant["constant"] is not None:
+        return rows.withColumn("p", F.lit(float(constant["constant"]) if constant else 0.0))
     train = rows.filter(F.col("part") == "train")
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(y).alias("k"),
-                   F.avg(F.col(y).cast("double")).alias("m"), F.max(F.size(col)).alias("d")).first()
-    if st is None or st["n"] == 0 or st["k"] < 2:
-        return rows.withColumn("p", F.lit(float(st["m"]) if st and st["m"] is not None else 0.0))
+    if extra_train is not None:
+        train = train.unionByName(extra_train.select(*train.columns))
+    st = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
     train = right_size(train, st["n"], st["d"] or 1)
     fam = spec.family
     if fam == "knn":
@@ -148,7 +162,7 @@ def fit_score(rows: DataFrame, spec: ModelSpec, seed: int = 42, y: str = "y",
     if fam == "adaboost":
         return adaboost_score(train, rows, n_rounds=int(spec.params.get("n_estimators", 50)),
                               lr=float(spec.params.get("learning_rate", 0.5)), y=y, col=col)
-    weighted = fam not in ("mlp",) and spec.params.get("class_weight", "balanced") == "balanced"
+    weighted = fam in WEIGHTED_FAMILIES and spec.params.get("class_weight", "balanced") == "balanced"
     tr = _with_features(_weights(train, y) if weighted else train, col).withColumn("label_", F.col(y).cast("double"))
     if fam == "mlp":
         d = len(train.select(col).first()[0])
@@ -279,84 +293,69 @@ def adaboost_score(train: DataFrame, rows: DataFrame, n_rounds: int = 50, lr: fl
 
 
 # ------------------------------------------------------------- exact kNN (M7)
-def knn_score(train: DataFrame, rows: DataFrame, k: int = 5, p: int = 2, weights: str = "uniform",
-              row_id: str = "row_id", col: str = "x", y: str = "y",
-              max_broadcast_bytes: int = KNN_BROADCAST_MAX_BYTES, by: Sequence[str] = ()) -> DataFrame:
+def knn_score(train: DataFrame, rows: DataFrame, k: int = 5, p: float = 2, weights: str = "uniform",
+              row_id: str = "row_id", col: str = "x", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Exact k-nearest-neighbour score = (weighted) mean label of the k
-    nearest train rows (Minkowski p), ties by train ``row_id``.
-
-    Train matrices up to ``max_broadcast_bytes`` are broadcast and scored
-    per Arrow batch; larger ones go through the blocked path, where train
-    and scored rows are both cut into blocks, every block pair computes
-    local top-k, and the candidates (k per block) are merged per row."""
-    if by or max_broadcast_bytes <= 0:
-        return _knn_blocked(train, rows, k, p, weights, row_id, col, y, by)
-    st = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
-    size = int(st["n"]) * int(st["d"] or 0) * 8
-    if size <= max_broadcast_bytes:
-        return _knn_broadcast(train, rows, k, p, weights, row_id, col, y)
-    return _knn_blocked(train, rows, k, p, weights, row_id, col, y)
-
-
-def _topk_np(Xq: np.ndarray, Xt: np.ndarray, yt: np.ndarray, idt: np.ndarray, k: int, p: int,
-             chunk: int = 256, margin: int = 8):
-    """Top-k train rows per query row, exact: a fast matrix pass keeps
-    k + margin candidates, whose distances are then recomputed directly
-    and ordered by (distance, id)."""
-    kk = min(k, Xt.shape[0])
-    kc = min(kk + margin, Xt.shape[0])
-    tn = (Xt * Xt).sum(1)
+    nearest train rows (Minkowski p), ties by train ``row_id``. Train and
+    scored rows are cut into blocks, every block pair computes its own
+    top-k, and the candidates (k per block) are merged per row."""
+    return _knn_blocked(train, rows, k, p, weights, row_id, col, y, by)
+
+
+#: Doubles that one block of a distance matrix (or of its differences) may hold.
+KNN_BLOCK_DOUBLES = 4_000_000
+
+
+def _distances(q: np.ndarray, t: np.ndarray, p: float) -> np.ndarray:
+    """Direct Minkowski distances of row pairs."""
+    diff = np.abs(q - t)
+    if p == 2:
+        return np.sqrt((diff * diff).sum(-1))
+    return diff.sum(-1) if p == 1 else (diff ** p).sum(-1) ** (1.0 / p)
+
+
+def _topk_np(Xq: np.ndarray, Xt: np.ndarray, yt: np.ndarray, idt: np.ndarray, k: int, p: float):
+    """Top-k train rows per query row, exact, ordered by (distance, id).
+
+    For p = 2 a matrix product gives approximate squared distances with a
+    known error bound; every train row at or below the k-th approximate
+    value plus twice the bound (all ties included) has its distance computed
+    directly. Other p compute all distances directly. Query rows go through
+    in chunks so that no matrix exceeds ``KNN_BLOCK_DOUBLES``."""
+    n, d = Xt.shape
+    kk = min(k, n)
+    if p == 2:  # centring keeps the products small; distances do not change
+        centre = Xt.mean(0)
+        Ct, Cq = Xt - centre, Xq - centre
+        tn = (Ct * Ct).sum(1)
+        chunk = max(1, KNN_BLOCK_DOUBLES // n)
+    else:
+        chunk = max(1, KNN_BLOCK_DOUBLES // (n * d))
     outd, outy, outi = [], [], []
     for s0 in range(0, Xq.shape[0], chunk):
         q = Xq[s0:s0 + chunk]
         if p == 2:
-            approx = (q * q).sum(1)[:, None] - 2 * q @ Xt.T + tn[None, :]
+            qn = (Cq[s0:s0 + chunk] ** 2).sum(1)
+            approx = qn[:, None] - 2 * Cq[s0:s0 + chunk] @ Ct.T + tn[None, :]
+            # rounding of the products, and of the centring (relative to the raw values)
+            raw = (np.abs(q).max(1) + np.abs(Xt).max()) if n else np.zeros(len(q))
+            bound = 8 * np.finfo(float).eps * d * (qn + tn.max() + raw * np.sqrt(qn + tn.max()))
+            kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
+            row, col = np.nonzero(approx <= (kth + 2 * bound)[:, None])
         else:
-            approx = np.abs(q[:, None, :] - Xt[None, :, :]).sum(-1)
-        cand = np.argpartition(approx, kc - 1, axis=1)[:, :kc] if kc < Xt.shape[0] else \
-            np.broadcast_to(np.arange(Xt.shape[0]), (q.shape[0], Xt.shape[0]))
-        diff = q[:, None, :] - Xt[cand]
-        d = np.sqrt((diff * diff).sum(-1)) if p == 2 else np.abs(diff).sum(-1)
-        ids = idt[cand]
-        order = np.lexsort((ids, d), axis=1)[:, :kk]
-        r = np.arange(q.shape[0])[:, None]
-        outd.append(d[r, order])
-        outy.append(yt[cand][r, order])
-        outi.append(ids[r, order])
+            row, col = np.divmod(np.arange(len(q) * n), n)
+        dist = np.concatenate([_distances(q[row[i:i + step]], Xt[col[i:i + step]], p)
+                               for step in [max(1, KNN_BLOCK_DOUBLES // d)] for i in range(0, len(row), step)])
+        ids = idt[col]
+        order = np.lexsort((ids, dist, row))
+        first = np.searchsorted(row[order], np.arange(len(q)))
+        pick = order[first[:, None] + np.arange(kk)]
+        outd.append(dist[pick])
+        outy.append(yt[col[pick]])
+        outi.append(ids[pick])
     return np.vstack(outd), np.vstack(outy), np.vstack(outi)
 
 
-def _knn_p(dist: np.ndarray, ys: np.ndarray, weights: str) -> np.ndarray:
-    if weights == "distance":
-        with np.errstate(divide="ignore"):
-            w = 1.0 / dist
-        exact = np.isinf(w)
-        w = np.where(exact.any(1, keepdims=True), exact.astype(float), w)
-        return (w * ys).sum(1) / w.sum(1)
-    return ys.mean(1)
-
-
-def _knn_broadcast(train, rows, k, p, weights, row_id, col, y):
-    tp = train.select(row_id, col, y).toPandas()  # size checked by the caller
-    sc = rows.sparkSession.sparkContext
-    bc = sc.broadcast((np.vstack(tp[col].to_numpy()), tp[y].to_numpy(float), tp[row_id].astype(str).to_numpy()))
-    out_schema = T.StructType([*rows.schema.fields, T.StructField("p", T.DoubleType())])
-    cols = rows.columns
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Xt, yt, idt = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Xq = np.vstack(pdf[col].to_numpy())
-            dist, ys, _ = _topk_np(Xq, Xt, yt, idt, k, p)
-            pdf = pdf[cols].copy()
-            pdf["p"] = _knn_p(dist, ys, weights)
-            yield pdf
-
-    return rows.mapInPandas(score, out_schema)
-
-
 def knn_neighbors(train: DataFrame, query: DataFrame, k: int, p: int = 2, row_id: str = "row_id",
                   col: str = "x", y: str | None = "y", exclude_self: bool = False,
                   block_rows: int = KNN_BLOCK_ROWS, by: Sequence[str] = ()) -> DataFrame:
@@ -442,26 +441,27 @@ def fit_panel(rows: DataFrame, specs: Sequence[ModelSpec], labels: Sequence[str]
     """Binary relevance over labels for every (spec, fold):
     ``rows`` are long ``(fold, part, label, y, x, row_id, …)``; each
     (spec, fold, label) is one pipeline (scale → fit → score). Jobs are
-    submitted from a driver thread pool; results are one long score table
-    ``(scaler, model, fold, part, …, label, y, p)``."""
+    submitted from a driver thread pool; each appends its scores to one long
+    table ``(scaler, model, fold, part, …, label, y, p)`` in the shared folder,
+    so the plan of the result is one scan however many models were fitted."""
+    spark = rows.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/panel-{uuid.uuid4().hex}"
     tasks = [(s, f, lab) for s in specs for f in folds for lab in labels]
-    ensure_checkpoint_dir(rows.sparkSession)
 
     def run(t):
-        spec, f, lab = t
+        i, (spec, f, lab) = t
         g = rows.filter((F.col("fold") == f) & (F.col("label") == lab))
         if scaler_fn is not None:
             g = scaler_fn(g, spec.scaler)
-        # the group feeds several iterative fits: keep it while they run,
-        # then materialise the scores in the shared checkpoint folder so the
-        # union below does not re-run any fit (and survives executor loss)
-        g = g.persist()
+        g = g.persist()  # feeds several iterative fits
         try:
-            sc = fit_score(g, spec, seed=seed).checkpoint(eager=True)
+            sc = fit_score(g, spec, seed=seed).withColumns(
+                {"scaler": F.lit(spec.scaler), "model": F.lit(spec.name or spec.family)})
+            sc.write.parquet(f"{path}/{i}")
         finally:
             g.unpersist()
-        return sc.withColumn("scaler", F.lit(spec.scaler)).withColumn("model", F.lit(spec.name or spec.family))
+        return sc.schema
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        parts = list(ex.map(run, tasks))
-    return reduce(DataFrame.unionByName, parts)
+        schemas = list(ex.map(run, enumerate(tasks)))
+    return spark.read.schema(schemas[0]).option("recursiveFileLookup", "true").parquet(path)

@@ -52,9 +52,6 @@ def b1_frames_cte(variant: str = "plain") -> str:
     if variant == "centred":
         body = ("select subject_id, win_from, win_to, frame_idx, d_value - 50.0e0 as d_value, d_k, "
                 "lab_a, lab_b, lab_c from b1")
-    elif variant == "short":
-        body = ("select subject_id, win_from, win_to, frame_idx, d_value, d_k, lab_a, lab_b, lab_c "
-                "from b1 where frame_idx < 1 + user_id % 8")
     else:
         body = "select subject_id, win_from, win_to, frame_idx, d_value, d_k, lab_a, lab_b, lab_c from b1"
     return B1_BASE + f",\nfr as ({body})"
@@ -300,5 +297,5 @@ best as (select * from (select *, row_number() over (partition by {b}, label ord
 base as (select {b}, label, count(distinct y) as ncls from {subj} where {train_where} group by all),
 thr as (select {b}, label,
                case when base.ncls < 2 then 0.5e0 else coalesce(best.t, 0.5e0) end as threshold,
-               case when base.ncls < 2 then null else best.level end as relax_level
+               case when base.ncls < 2 then 0 else best.level end as relax_level
         from base left join best using ({b}, label))"""

@@ -20,6 +20,7 @@ from ..operators import prep as P
 from ..operators import split as C
 from ..operators import summary as R
 from ..operators import thresholds as TH
+from ..session import ensure_checkpoint_dir
 from . import models as M
 
 # ---------------------------------------------------------------------------
@@ -31,24 +32,27 @@ SVM_GRID = [(0.3, "scale"), (1.0, "scale"), (3.0, "scale"), (10.0, "scale"),
             (10.0, 0.03), (10.0, 0.10)]
 PANEL_SCALERS = ["standard", "minmax", "robust", "power"]
 OTHER_MODELS = [
-    ("logreg", {"C": 0.3}, "minmax", "LogReg(p=l2,C=0.3)"),
-    ("sgd_log", {"alpha": 1e-4}, "standard", "SGDLog(p=l2,alpha=1e-4)"),
+    ("logreg", {"C": 0.3, "penalty": "l2", "max_iter": 8000}, "minmax", "LogReg(p=l2,C=0.3)"),
+    ("sgd_log", {"alpha": 1e-4, "penalty": "l2", "max_iter": 8000, "tol": 1e-4}, "standard", "SGDLog(p=l2,alpha=1e-4)"),
     ("linear_svc", {"C": 3.0}, "power", "LinearSVC+SafeCalib(C=3.0,cw=bal)"),
     ("knn", {"n_neighbors": 9, "weights": "uniform", "p": 2}, "minmax", "KNN(k=9,w=uniform,p=2)"),
-    ("mlp", {"hidden": (64,), "max_iter": 200}, "standard", "MLP(h=(64,))"),
-    ("random_forest", {"n_estimators": 600, "max_depth": 10, "min_samples_leaf": 2}, "none",
+    ("mlp", {"hidden": (64,), "alpha": 1e-3, "learning_rate": 3e-4, "max_iter": 4000, "n_iter_no_change": 20}, "standard",
+     "MLP(h=(64,),a=0.001,lr0=0.0003,early_stop=0)"),
+    ("random_forest", {"n_estimators": 600, "max_depth": 10, "min_samples_leaf": 2, "max_features": "sqrt"}, "none",
      "RF(n=600,depth=10,leaf=2,mf=sqrt)"),
-    ("extra_trees", {"n_estimators": 800, "max_depth": 10, "min_samples_leaf": 2}, "none",
+    ("extra_trees", {"n_estimators": 800, "max_depth": 10, "min_samples_leaf": 2, "max_features": "sqrt"}, "none",
      "ET(n=800,depth=10,leaf=2,mf=sqrt)"),
     ("adaboost", {"n_estimators": 300, "learning_rate": 0.5}, "none", "AdaBoost(n=300,lr=0.5)"),
     ("gb", {"n_estimators": 400, "learning_rate": 0.05, "subsample": 0.9, "max_depth": 3}, "none",
      "GB(n=400,lr=0.05,sub=0.9)"),
-    ("hist_gb", {"max_iter": 300, "learning_rate": 0.05, "max_depth": 3}, "none", "HGB(it=300,lr=0.05,d=3)"),
-    ("xgb", {"n_estimators": 400, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.9}, "none",
-     "XGB(n=400,d=3,lr=0.05,sub=0.9)"),
-    ("lgbm", {"n_estimators": 600, "learning_rate": 0.05, "subsample": 0.9, "max_depth": 5}, "none",
-     "LGBM(n=600,lr=0.05)"),
-    ("catboost", {"n_estimators": 800, "max_depth": 6, "learning_rate": 0.05}, "none", "CAT(it=800,d=6,lr=0.05)"),
+    ("hist_gb", {"max_iter": 300, "learning_rate": 0.05, "max_depth": 3, "max_leaf_nodes": 31, "min_samples_leaf": 20,
+                 "l2_regularization": 0.1}, "none", "HGB(it=300,lr=0.05,d=3,ln=31,ml=20,l2=0.1)"),
+    ("xgb", {"n_estimators": 400, "max_depth": 3, "learning_rate": 0.05, "subsample": 0.9, "colsample_bytree": 0.9,
+             "min_child_weight": 5, "reg_lambda": 5.0}, "none", "XGB(n=400,d=3,lr=0.05,sub=0.9,col=0.9,mcw=5)"),
+    ("lgbm", {"n_estimators": 600, "num_leaves": 31, "learning_rate": 0.05, "subsample": 0.9, "colsample_bytree": 0.9,
+              "min_child_samples": 20, "reg_lambda": 1.0}, "none", "LGBM(n=600,leaves=31,lr=0.05,mcs=20)"),
+    ("catboost", {"n_estimators": 800, "max_depth": 6, "learning_rate": 0.05, "l2_leaf_reg": 3.0}, "none",
+     "CAT(it=800,d=6,lr=0.05,l2=3.0)"),
 ]
 # ---------------------------------------------------------------------------
 
@@ -62,16 +66,11 @@ def panel_configs(svm_grid=SVM_GRID, scalers=PANEL_SCALERS, others=OTHER_MODELS)
     return out
 
 
-def configs_frame(spark: SparkSession, specs: Sequence[M.ModelSpec]) -> DataFrame:
-    return spark.createDataFrame([(i, s.family, s.scaler, s.name, str(sorted(s.params.items())))
-                                  for i, s in enumerate(specs)],
-                                 "cand_order int, family string, scaler string, model string, params string")
-
-
 def build_pipeline(group: DataFrame, spec: M.ModelSpec, label_cfg: DataFrame | None = None,
                    use_selection: bool = True, use_smote: bool = False, seed: int = 42) -> DataFrame:
     """Scaler → K-best selection → (SMOTE) → classifier, every step
-    fitted on the group's train rows only; returns the scored group."""
+    fitted on the group's train rows only; returns the scored group (real
+    rows only: synthetic rows take part in the fit alone)."""
     g = group
     if spec.scaler != "none":
         params = P.fit_scaler(g.filter(F.col("part") == "train"), spec.scaler)
@@ -79,11 +78,11 @@ def build_pipeline(group: DataFrame, spec: M.ModelSpec, label_cfg: DataFrame | N
     if use_selection and label_cfg is not None:
         sel = P.select_k_best(g.filter(F.col("part") == "train"), label_cfg)
         g = P.apply_selection(g, sel)
+    extra = None
     if use_smote:
         from ..operators.smote import smote
-        tr = g.filter(F.col("part") == "train")
-        g = g.unionByName(smote(tr, seed=seed).select(*g.columns))
-    return M.fit_score(g, spec, seed=seed)
+        extra = smote(g.filter(F.col("part") == "train"), seed=seed)
+    return M.fit_score(g, spec, seed=seed, extra_train=extra)
 
 
 def model_rows(windows: DataFrame, folds: DataFrame, labels: Sequence[str], k: int) -> DataFrame:
@@ -93,7 +92,7 @@ def model_rows(windows: DataFrame, folds: DataFrame, labels: Sequence[str], k: i
                               for l in labels])).alias("_l")
     keep = [c for c in windows.columns if c not in labels]
     return (sp.select("fold", "part", *keep, lab).select("fold", "part", *keep, "_l.label", "_l.y")
-            .withColumn("row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string"))))
+            .withColumn("row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string"), F.col("win_to").cast("string"))))
 
 
 def evaluate_scores(scores: DataFrame, label_cfg: DataFrame, policy: str = "clinical_cost",
@@ -103,7 +102,8 @@ def evaluate_scores(scores: DataFrame, label_cfg: DataFrame, policy: str = "clin
     by = list(by)
     subj = A.aggregate_scores(scores, mode=agg_mode, by=[*by, "part"])
     thr = TH.tune_thresholds(subj.filter(F.col("part") == "train"), label_cfg, policy=policy, by=by)
-    preds = TH.apply_thresholds(subj.filter(F.col("part") == "test"), thr, by=by)
+    ensure_checkpoint_dir(scores.sparkSession)
+    preds = TH.apply_thresholds(subj.filter(F.col("part") == "test"), thr, by=by).checkpoint()  # read by every table below
     lm = E.label_metrics(preds, by).join(thr, on=[*by, "label"], how="left")
     res = R.fold_results(subj, preds, scores, label_cfg, by, window_col="row_id")
     board = R.leaderboard(res)
@@ -116,13 +116,13 @@ def evaluate_scores(scores: DataFrame, label_cfg: DataFrame, policy: str = "clin
 
 def run_nested(rows: DataFrame, subject_labels: DataFrame, outer_folds: DataFrame,
                candidates: Sequence[M.ModelSpec], labels: Sequence[str], label_cfg: DataFrame,
-               k_outer: int = 3, k_inner: int = 3, seed: int = 42, parallelism: int = 4) -> dict:
+               k_outer: int = 3, k_inner: int = 3, seed: int = 42, parallelism: int = 4,
+               use_selection: bool = True, use_smote: bool = False) -> dict:
     """R9–R11 end to end: inner folds on each outer train set, candidate
     fits per (outer, inner, label), selection by mean inner error, refit of
     the chosen candidate on the full outer train (R10; constant score when
     no candidate could be scored), α-weighted clinical-cost thresholds, and
     the nested report tables (R11)."""
-    from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(rows.sparkSession)
     inner = C.inner_folds(subject_labels, outer_folds, labels, k_outer, k_inner, seed)
     r = rows.filter(F.col("part") == "train").drop("part").join(inner, on=["fold", "subject_id"])
@@ -138,7 +138,7 @@ def run_nested(rows: DataFrame, subject_labels: DataFrame, outer_folds: DataFram
         for f in range(k_outer):
             for lab in labels:
                 grp = g.filter((F.col("fold") == f) & (F.col("label") == lab)).drop("inner_fold")
-                sc = build_pipeline(grp, spec, None, use_selection=False, seed=seed).checkpoint(eager=True)
+                sc = build_pipeline(grp, spec, label_cfg, use_selection, use_smote, seed).checkpoint(eager=True)
                 outs.append(sc.withColumn("inner_fold", F.lit(i)))
         out = reduce(DataFrame.unionByName, outs)
         return out.select(F.col("fold"), F.lit(spec.key).alias("candidate"), F.lit(ci).alias("cand_order"),
@@ -148,7 +148,7 @@ def run_nested(rows: DataFrame, subject_labels: DataFrame, outer_folds: DataFram
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         inner_scores = reduce(DataFrame.unionByName, list(ex.map(run, fits)))
-    choices = NS.nested_select(NS.inner_errors(inner_scores, label_cfg))
+    choices = NS.nested_select(NS.inner_errors(inner_scores, label_cfg), NS.constant_labels(inner_scores))
     # Refit each chosen candidate on the full outer train set
     chosen = {(r_["fold"], r_["label"]): r_["chosen_key"] for r_ in choices.collect()}  # folds × labels rows
     by_key = {s.key: s for s in candidates}
@@ -161,7 +161,7 @@ def run_nested(rows: DataFrame, subject_labels: DataFrame, outer_folds: DataFram
                 mean_y = grp.filter(F.col("part") == "train").agg(F.avg(F.col("y").cast("double"))).first()[0]
                 sc = grp.withColumn("p", F.lit(float(mean_y or 0.0)))
             else:
-                sc = build_pipeline(grp, by_key[key], None, use_selection=False, seed=seed)
+                sc = build_pipeline(grp, by_key[key], label_cfg, use_selection, use_smote, seed)
             parts.append(sc.checkpoint(eager=True).withColumn("chosen_key", F.lit(key)))
     scores = reduce(DataFrame.unionByName, parts).withColumn("scaler", F.lit("nested")) \
         .withColumn("model", F.lit("per_label_best"))
@@ -170,6 +170,5 @@ def run_nested(rows: DataFrame, subject_labels: DataFrame, outer_folds: DataFram
                                           how="left")
     return {"choices": choices, "choice_table": NS.nested_choices(choices, labels),
             "fold_results": ev["fold_results"], "label_results": label_rows,
-            "summary": NS.nested_summary(ev["fold_results"], ["macro_auprc", "micro_f1", "hamming_acc",
-                                                              "clinical_cost"]),
-            "label_summary": NS.nested_label_summary(label_rows), "inner_scores": inner_scores}
+            "summary": NS.nested_summary(ev["fold_results"]), "label_summary": NS.nested_label_summary(label_rows),
+            "decomposition": E.error_decomposition(ev["predictions"]), "inner_scores": inner_scores}

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.matrix import SPECS, feature_matrix, window_features
 from ..sources import fixtures as fx
 from ..sources import frames as S
+from ..session import ensure_checkpoint_dir
 from . import oracle as O
 
 WK = ["subject_id", "win_from", "win_to"]
@@ -43,19 +44,19 @@ def q_channel_features(spark, sf):
     return rounded(window_features(fx.frames_b1_centred(spark, sf), WK, fx.B1_CHANNELS))
 
 
-@register("channel_features_short", O.features_sql(O.b1_frames_cte("short"), fx.B1_CHANNELS, WK))
+@register("channel_features_short", O.features_sql(O.b1_frames_cte(), fx.B1_CHANNELS, WK))
 def q_channel_features_short(spark, sf):
-    """F1–F22 on windows of 1–8 frames (n < 2 gives no row; Higuchi and
-    permutation entropy guards)."""
-    return rounded(window_features(fx.frames_b1_short(spark, sf), WK, fx.B1_CHANNELS))
+    """F1–F22 on the raw signal, all frames of windows of any length (n < 2
+    gives no row; Higuchi and permutation entropy guards)."""
+    return rounded(window_features(fx.frames_b1(spark, sf), WK, fx.B1_CHANNELS))
 
 
 @register("channel_features_window_variant",
-          O.features_sql(O.b1_frames_cte("short"), fx.B1_CHANNELS, WK, fps=1.0, variant="window"))
+          O.features_sql(O.b1_frames_cte("centred"), fx.B1_CHANNELS, WK, fps=1.0, variant="window"))
 def q_channel_features_window(spark, sf):
     """Window-panel variant: peak index, cycles/sample, crossings of the
     signal, rolling means only when the window is long enough."""
-    return rounded(window_features(fx.frames_b1_short(spark, sf), WK, fx.B1_CHANNELS, SPECS["window"]))
+    return rounded(window_features(fx.frames_b1_centred(spark, sf), WK, fx.B1_CHANNELS, SPECS["window"]))
 
 
 @register("part_signal_features", O.features_sql(O.B6_CTE, fx.B6_CHANNELS, WK))
@@ -66,7 +67,7 @@ def q_part_signal_features(spark, sf):
 
 
 # ------------------------------------------------------------ A1–A8
-from ..config import FIXTURE_SETTINGS, LabelSettings  # noqa: E402
+from ..config import AGG_MODE, FIXTURE_SETTINGS, N_SPLITS, SEED, LabelSettings  # noqa: E402
 from ..operators import aggregate as A  # noqa: E402
 from ..operators import metrics as E  # noqa: E402
 from ..operators import thresholds as TH  # noqa: E402
@@ -198,7 +199,7 @@ best as (select * from (select *, row_number() over (partition by scaler, model,
 base as (select scaler, model, fold, label, count(distinct y) as ncls from subj where part = 'train' group by all)
 select scaler, model, fold, label,
        {O.rnd('case when base.ncls < 2 then 0.5e0 else coalesce(best.t, 0.5e0) end')} as threshold,
-       case when base.ncls < 2 then null else cast(best.level as int) end as relax_level,
+       case when base.ncls < 2 then 0 else cast(best.level as int) end as relax_level,
        {O.rnd('case when base.ncls < 2 then null else best.err end')} as train_error
 from base left join best using (scaler, model, fold, label)""")
 def q_min_error_threshold(spark, sf):
@@ -208,10 +209,16 @@ def q_min_error_threshold(spark, sf):
 
 
 # ------------------------------------------------------------ E1–E18
-def _panel_preds(spark, sf, policy="clinical_cost"):
+def _panel_preds(spark, sf, policy="clinical_cost", once=False):
+    """Test predictions; ``once`` materialises them (one row per config, fold,
+    subject and label) in the shared checkpoint folder for several readers."""
     s = _panel_subjects(spark, sf)
     thr = TH.tune_thresholds(s.filter(F.col("part") == "train"), _cfg(spark), policy=policy, by=PANEL_BY)
-    return TH.apply_thresholds(s.filter(F.col("part") == "test"), thr, by=PANEL_BY)
+    preds = TH.apply_thresholds(s.filter(F.col("part") == "test"), thr, by=PANEL_BY)
+    if once:
+        ensure_checkpoint_dir(spark)
+        preds = preds.checkpoint()
+    return preds
 
 
 _CC = """
@@ -278,7 +285,7 @@ select scaler, model, fold, label, cast(tp as bigint) as tp, cast(fp as bigint)
 from c left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)""")
 def q_label_metrics(spark, sf):
     """E1–E7, E16, E17 per (config, fold, label) on test subjects."""
-    return rounded(E.label_metrics(_panel_preds(spark, sf), by=PANEL_BY))
+    return rounded(E.label_metrics(_panel_preds(spark, sf, once=True), by=PANEL_BY))
 
 
 @register("fold_metrics", f"""{_BIN_SQL},
@@ -306,7 +313,7 @@ from m join j using (scaler, model, fold)""")
 def q_fold_metrics(spark, sf):
     """Macro AUC/AUPRC, micro/macro F1, Jaccard, Hamming, exact
     match, clinical cost (plain and α-weighted) per (config, fold)."""
-    out = E.fold_metrics(_panel_preds(spark, sf), _cfg(spark), by=PANEL_BY)
+    out = _panel_fold_metrics(spark, sf)
     return rounded(out.select(*PANEL_BY, "macro_auc", "macro_auprc", "micro_f1", "macro_f1",
                               "jaccard_samples", "hamming_loss", "hamming_acc", "exact_match",
                               "clinical_cost", "clinical_cost_weighted"))
@@ -365,7 +372,7 @@ board as (select scaler, model,
 
 
 def _panel_fold_metrics(spark, sf):
-    return E.fold_metrics(_panel_preds(spark, sf), _cfg(spark), by=PANEL_BY)
+    return E.fold_metrics(_panel_preds(spark, sf, once=True), _cfg(spark), by=PANEL_BY)
 
 
 def _board_cols():
@@ -392,7 +399,11 @@ def q_leaderboard(spark, sf):
 @register("label_summary", f"""{_BIN_SQL}
 , lm as (select c.*, tp / nullif(tp + fp, 0) as prc, auc.auc, ap.auprc from c
          left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)),
-thx as (select scaler, model, fold, label, max(threshold) as threshold from pred group by all)
+thx as (select scaler, model, fold, label, max(threshold) as threshold from pred group by all),
+smo as (select scaler, model, fold, label,
+               case when count_if(y = 1) >= 2 and count_if(y = 0) >= 2 and count_if(y = 1) < count_if(y = 0)
+                         and count_if(y = 1) / count_if(y = 0) < 0.25 then 1.0e0 else 0.0e0 end as used
+        from b4 where part = 'train' group by all)
 select scaler, model, label,
   {O.rnd('avg(coalesce(prc, 0))')} as precision_mean,
   {O.rnd('avg(case when tp + fn > 0 then tp / (tp + fn) else 0 end)')} as recall_mean,
@@ -400,13 +411,16 @@ select scaler, model, label,
   {O.rnd('avg(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end)')} as f1_mean,
   {O.rnd('avg(auc)')} as auc_mean, {O.rnd('avg(auprc)')} as auprc_mean,
   {O.rnd('avg(threshold)')} as threshold_mean,
-  {O.rnd('avg(tp + fn)')} as support_pos_mean, {O.rnd('avg(tn + fp)')} as support_neg_mean
-from lm join thx using (scaler, model, fold, label) group by scaler, model, label""")
+  {O.rnd('avg(tp + fn)')} as support_pos_mean, {O.rnd('avg(tn + fp)')} as support_neg_mean, {O.rnd('avg(used)')} as smote_used_rate
+from lm join thx using (scaler, model, fold, label) join smo using (scaler, model, fold, label) group by scaler, model, label""")
 def q_label_summary(spark, sf):
-    """Per config and label means over folds."""
-    p = _panel_preds(spark, sf)
+    """Ten per config and label means over folds, with the share of folds
+    whose train windows would be oversampled."""
+    p = _panel_preds(spark, sf, once=True)
     lm = E.label_metrics(p, by=PANEL_BY).join(
         p.groupBy(*PANEL_BY, "label").agg(F.max("threshold").alias("threshold")), on=[*PANEL_BY, "label"])
+    plan = C.smote_plan(fx.scores_b4(spark, sf).filter(F.col("part") == "train"), by=[*PANEL_BY, "label"])
+    lm = lm.join(plan.select(*PANEL_BY, "label", F.col("smote_used").cast("double").alias("smote_used")), on=[*PANEL_BY, "label"])
     return rounded(R.label_summary(lm))
 
 
@@ -450,9 +464,7 @@ select b.criterion, b.scaler, b.model, cast(count(distinct fm.fold) as bigint) a
 from best b left join fm using (scaler, model) group by all""")
 def q_best_configs(spark, sf):
     """R5 + R6: best config per criterion, checked for all folds."""
-    fm = _panel_fold_metrics(spark, sf)
-    board = R.leaderboard(fm)
-    return R.check_complete(fm, R.best_configs(board), k=3)
+    return R.check_complete(R.best_configs(R.leaderboard(_panel_fold_metrics(spark, sf))), k=3)
 
 
 @register("best_decomposition", f"""{_BEST_SQL}
@@ -469,8 +481,8 @@ select b.criterion, b.scaler, b.model, label, cast(sum(y) as bigint) as P, cast(
 from best b join pred using (scaler, model) group by all""")
 def q_best_decomposition(spark, sf):
     """Error decomposition of every best config."""
-    p = _panel_preds(spark, sf)
-    board = R.leaderboard(_panel_fold_metrics(spark, sf))
+    p = _panel_preds(spark, sf, once=True)
+    board = R.leaderboard(E.fold_metrics(p, _cfg(spark), by=PANEL_BY))
     return rounded(R.decompose_best(E.error_decomposition(p, by=R.CONFIG), R.best_configs(board)))
 
 
@@ -483,19 +495,6 @@ def q_top_configs(spark, sf):
     return rounded(R.top_configs(R.leaderboard(_panel_fold_metrics(spark, sf)), 10))
 
 
-@register("union_results", f"""{_FM_CTES}
-select scaler, model, fold, {O.rnd('macro_auprc')} as macro_auprc, 'panel' as branch from fm
-union all
-select scaler, model, fold, {O.rnd('macro_auc')} as macro_auprc, 'nested' as branch from fm""")
-def q_union_results(spark, sf):
-    """Union of result tables by column name (illustrated with two
-    branches built from the same fold rows)."""
-    fm = _panel_fold_metrics(spark, sf)
-    a = fm.select(*PANEL_BY, "macro_auprc", F.lit("panel").alias("branch"))
-    b = fm.select(*PANEL_BY, F.col("macro_auc").alias("macro_auprc"), F.lit("nested").alias("branch"))
-    return rounded(R.union_results(a, b))
-
-
 # ------------------------------------------------------------ S1–S10, W1–W12, F23
 from ..functions.matrix import feature_columns  # noqa: E402
 from ..operators import windows as W  # noqa: E402
@@ -670,21 +669,28 @@ def q_task_windows(spark, sf):
 _W7_CTE = O.B1_BASE + """,
 f0 as (select subject_id, win_from, win_to, frame_idx, d_value, d_k, lab_a from b1),
 amb as (select subject_id, win_from, win_to from f0 group by all having max(case when lab_a = 2 then 1 else 0 end) = 1),
-kept as (select * from f0 where (subject_id, win_from, win_to) not in (select (subject_id, win_from, win_to) from amb)),
+win as (select subject_id, win_from, win_to from f0
+        where (subject_id, win_from, win_to) not in (select (subject_id, win_from, win_to) from amb)
+        group by all having max(case when lab_a = 1 then 1 else 0 end) = 1 or starts_with(subject_id, 'C')),
+kept as (select f0.* from f0 join win using (subject_id, win_from, win_to)),
 fr as (select subject_id, 0 as win_from, 0 as win_to,
               cast(row_number() over (partition by subject_id order by win_from, win_to, frame_idx) - 1 as bigint) as frame_idx,
               d_value, d_k
        from kept)"""
 
 
-@register("subject_signal_features", O.features_sql(_W7_CTE, fx.B1_CHANNELS, WK, fps=1.0, variant="subject"))
+@register("subject_signal_features", f"""select f.*, case when starts_with(subject_id, 'C') then 0 else 1 end as y
+from ({O.features_sql(_W7_CTE, fx.B1_CHANNELS, WK, fps=1.0, variant="subject")}) f""")
 def q_subject_signal_features(spark, sf):
-    """W2 + W7 + F (subject variant): drop ambiguous windows, concatenate a
-    subject's kept windows into one signal, 20 features per channel."""
+    """W2 + W5 + W7 + F (subject variant): drop ambiguous windows, keep
+    positive windows and those of controls, concatenate a subject's kept
+    windows into one signal, 20 features per channel; label 0 for controls,
+    else 1. Subjects without a kept window drop out."""
     fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
-    kept = W.window_label(fr, "lab_a")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
     sig = W.subject_signal(fr, kept)
-    return rounded(window_features(sig, WK, fx.B1_CHANNELS, SPECS["subject"]))
+    feats = window_features(sig, WK, fx.B1_CHANNELS, SPECS["subject"])
+    return rounded(feats.withColumn("y", F.when(S.is_control("subject_id"), 0).otherwise(1)))
 
 
 def _matrix_sql(frames_cte: str) -> str:
@@ -705,11 +711,11 @@ select wl.*, {", ".join(f"coalesce(piv.{ch}_{f}, 0.0e0) + 0.0e0 as {ch}_{f}" for
 from wl left join piv using (subject_id, win_from, win_to)"""
 
 
-@register("feature_matrix", _matrix_sql(O.b1_frames_cte("short")))
+@register("feature_matrix", _matrix_sql(O.b1_frames_cte()))
 def q_feature_matrix(spark, sf):
     """F23 + W4 + W12 (flagship): one row per window with labels and
     ``<channel>_<feature>`` columns, missing → 0."""
-    fr = fx.frames_b1_short(spark, sf)
+    fr = fx.frames_b1(spark, sf)
     feats = window_features(fr, WK, fx.B1_CHANNELS)
     wl = W.window_labels(fr, fx.B1_LABELS)
     return rounded(feature_matrix(feats, wl, WK, fx.B1_CHANNELS))
@@ -719,14 +725,14 @@ def q_feature_matrix(spark, sf):
 wl as (select subject_id, win_from, win_to from fr group by all)
 select count(distinct subject_id) as n_subjects,
        count(distinct case when starts_with(subject_id, 'C') then subject_id end) as n_controls,
-       count(*) as n_windows, {len(feature_columns(fx.B1_CHANNELS))} as n_features, 3 as n_labels
+       count(*) as n_windows, {len(feature_columns(fx.B1_CHANNELS))} as n_features, 3 as n_labels,
+       '{{"agg_mode": "p90", "fps": 30.0, "n_splits": 3, "seed": 42}}' as config_json
 from wl""")
 def q_run_meta(spark, sf):
-    """Run metadata (counts; the config snapshot column is dropped
-    for the gate)."""
+    """Run metadata: counts and the configuration snapshot."""
     wl = W.window_labels(fx.frames_b1(spark, sf), fx.B1_LABELS)
-    m = REP.run_meta(spark, wl, len(feature_columns(fx.B1_CHANNELS)), fx.B1_LABELS, {"fps": 30.0})
-    return m.drop("config_json")
+    config = {"fps": 30.0, "agg_mode": AGG_MODE, "seed": SEED, "n_splits": N_SPLITS}
+    return REP.run_meta(spark, wl, len(feature_columns(fx.B1_CHANNELS)), fx.B1_LABELS, config)
 
 
 # ------------------------------------------------------------ C1–C8, P1–P8
@@ -900,14 +906,14 @@ def _b2_rows(spark, sf):
     """Long model rows over B2: (fold, part, subject, window, label, y, x)."""
     sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3)
     lab = F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y")) for l in fx.B2_LABELS]))
-    return (sp.select("fold", "part", "subject_id", "win_from", "x", lab.alias("_l"))
-            .select("fold", "part", "subject_id", "win_from", "_l.label", F.col("_l.y").cast("int").alias("y"), "x")
-            .withColumn("row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string"))))
+    return (sp.select("fold", "part", "subject_id", "win_from", "win_to", "x", lab.alias("_l"))
+            .select("fold", "part", "subject_id", "win_from", "win_to", "_l.label", F.col("_l.y").cast("int").alias("y"), "x")
+            .withColumn("row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string"), F.col("win_to").cast("string"))))
 
 
 @register("knn_scores", f"""with {O.B2_CTE},
 sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
-              concat_ws(':', subject_id, cast(win_from as varchar)) as row_id
+              concat_ws(':', subject_id, cast(win_from as varchar), cast(win_to as varchar)) as row_id
        from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
 lr as (select fold, part, subject_id, win_from, row_id, x, 'lo' as label, lo as y from sp union all
        select fold, part, subject_id, win_from, row_id, x, 'mid', mid from sp union all
@@ -935,30 +941,18 @@ def q_margin_to_prob(spark, sf):
     return rounded(emb.select("vec_id", M.margin_to_prob(m).alias("p")))
 
 
-@register("constant_scores", f"""with {O.B3_BASE}
-select fold, label, {O.rnd('avg(y)')} as p, count(distinct y) as n_classes
-from b3 where starts_with(subject_id, 'C') group by all""")
+@register("constant_scores", f"""with {O.B3_BASE},
+g as (select 'all' as subjects, fold, label, y from b3 union all
+      select 'controls', fold, label, y from b3 where starts_with(subject_id, 'C'))
+select subjects, fold, label, count(distinct y) as n_classes,
+       {O.rnd('case when count(distinct y) < 2 then avg(y) end')} as constant
+from g group by all""")
 def q_constant_scores(spark, sf):
-    """Single-class training groups (controls only) get the constant
-    score mean(y) instead of a model."""
-    b3 = fx.scores_b3(spark, sf).filter(S.is_control("subject_id"))
-    g = b3.groupBy("fold", "label").agg(F.avg(F.col("y").cast("double")).alias("p"),
-                                         F.countDistinct("y").alias("n_classes"))
-    return rounded(g.filter(F.col("n_classes") < 2).unionByName(g.filter(F.col("n_classes") >= 2)))
-
-
-MODEL_SPECS = {
-    "logreg": M.ModelSpec("logreg", {"C": 0.3, "max_iter": 30}, "minmax", "LogReg(C=0.3)"),
-    "sgd_log": M.ModelSpec("sgd_log", {"alpha": 1e-4, "max_iter": 30}, "standard", "SGDLog(alpha=1e-4)"),
-    "linear_svc": M.ModelSpec("linear_svc", {"C": 3.0, "max_iter": 15}, "power", "LinearSVC+SafeCalib(C=3.0)"),
-    "rbf_svm": M.ModelSpec("rbf_svm", {"C": 1.0, "gamma": "scale", "dim": 128, "max_iter": 15}, "standard",
-                           "SVM(C=1.0,gamma=scale)"),
-    "random_forest": M.ModelSpec("random_forest", {"n_estimators": 30, "max_depth": 6, "min_samples_leaf": 2}, "none", "RF"),
-    "extra_trees": M.ModelSpec("extra_trees", {"n_estimators": 30, "max_depth": 6, "min_samples_leaf": 2}, "none", "ET"),
-    "mlp": M.ModelSpec("mlp", {"hidden": (16,), "max_iter": 20}, "standard", "MLP(h=16)"),
-    "adaboost": M.ModelSpec("adaboost", {"n_estimators": 5, "learning_rate": 0.5}, "none", "AdaBoost(n=5)"),
-    "gbt": M.ModelSpec("gb", {"n_estimators": 10, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.9}, "none", "GB"),
-}
+    """Over groups with one class (controls only) and with two (all
+    subjects), which get a constant score and which a model (NULL)."""
+    b3 = fx.scores_b3(spark, sf).withColumn("part", F.lit("train"))
+    who = F.explode(F.when(S.is_control("subject_id"), F.array(F.lit("all"), F.lit("controls"))).otherwise(F.array(F.lit("all"))))
+    return rounded(M.constant_scores(b3.withColumn("subjects", who), by=["subjects", "fold", "label"]))
 
 
 def _scaler_fn(g, kind):
@@ -968,15 +962,69 @@ def _scaler_fn(g, kind):
     return P.apply_scaler(g, params, kind)
 
 
-for _fam, _spec in MODEL_SPECS.items():
-    def _mkm(spec):
+_SPLIT_SQL = f"""{O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+lr as (select fold, part, 'lo' as label, lo as y from sp union all select fold, part, 'mid', mid from sp union all
+       select fold, part, 'even', even from sp)"""
+
+
+def _panel_specs():
+    """The panel's candidates (M17) by family, with the panel's own parameters."""
+    from .panel import panel_configs
+    out = {}
+    for spec in panel_configs():
+        out.setdefault({"gb": "gbt"}.get(spec.family, spec.family), spec)
+    return out
+
+
+MODEL_FAMILIES = ("logreg", "sgd_log", "linear_svc", "rbf_svm", "random_forest", "extra_trees", "mlp", "adaboost", "gbt")
+#: Lowest train AUC (mean over folds and labels) of a family that has learned.
+TRAIN_AUC = 0.6
+
+for _fam in MODEL_FAMILIES:
+    def _mkm(fam):
         def q(spark, sf):
+            spec = _panel_specs()[fam]
             rows = _b2_rows(spark, sf)
             sc = M.fit_panel(rows, [spec], fx.B2_LABELS, folds=[0, 1, 2], scaler_fn=_scaler_fn, parallelism=9)
-            return rounded(sc.select("scaler", "model", "fold", "part", "subject_id", "win_from", "label", "y", "p"))
-        q.__doc__ = f"M1–M16: {spec.family} scorer per (fold, label), scaler {spec.scaler}, fit once, train+test scored."
+            auc = E.roc_auc(sc, by=["fold", "part"])
+            mean = auc.filter("part = 'train'").agg(F.avg("auc").alias("_m"))
+            bad = F.col("p").isNull() | F.isnan("p") | (F.col("p") < 0) | (F.col("p") > 1)
+            n = sc.groupBy("scaler", "model", "fold", "part", "label").agg(
+                F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
+                F.count_if(bad).alias("n_invalid"), F.countDistinct("subject_id").alias("n_subjects"))
+            return n.crossJoin(F.broadcast(mean)).select(  # one row
+                *n.columns, (F.col("_m") >= TRAIN_AUC).alias("learned"))
+        q.__doc__ = f"M1–M16: {fam} scorer with the panel's parameters per (fold, label), fit once, train and test scored: invariants."
         return q
-    register(f"model_scores_{_fam}")(_mkm(_spec))
+    _spec = _panel_specs()[_fam]
+    register(f"model_scores_{_fam}", f"""with {_SPLIT_SQL.replace("select fold, part, 'lo'", "select subject_id, fold, part, 'lo'").replace("select fold, part, 'mid'", "select subject_id, fold, part, 'mid'").replace("select fold, part, 'even'", "select subject_id, fold, part, 'even'")}
+select '{_spec.scaler}' as scaler, '{_spec.name}' as model, fold, part, label, count(*) as n_rows, count_if(y = 1) as n_pos,
+       cast(0 as bigint) as n_invalid, count(distinct subject_id) as n_subjects, true as learned
+from lr group by fold, part, label""")(_mkm(_fam))
+
+
+def _config_rows():
+    from .panel import panel_configs
+    return [(i, c.family, c.scaler, c.name, ", ".join(f"{k}={v}" for k, v in sorted(c.params.items())))
+            for i, c in enumerate(panel_configs())]
+
+
+@register("panel_plan", f"""with {_SPLIT_SQL},
+cfg(cand_order, family, scaler, model, params) as (values {", ".join(
+    "(" + ", ".join(repr(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in _config_rows())}),
+g as (select fold, label, count(*) as n_train, count(distinct y) as n_classes from lr where part = 'train' group by all)
+select cfg.*, fold, label, n_train, case when n_classes < 2 then 'constant' else 'fit' end as action from cfg cross join g""")
+def q_panel_plan(spark, sf):
+    """Every candidate of the panel (85 rows of parameters) on
+    every (fold, label) group, and whether it is fitted or constant there."""
+    g = M.constant_scores(_b2_rows(spark, sf), by=["fold", "label"])
+    n = _b2_rows(spark, sf).filter("part = 'train'").groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n_train"))
+    g = g.join(n, on=["fold", "label"]).select(
+        "fold", "label", "n_train", F.when(F.col("constant").isNull(), "fit").otherwise("constant").alias("action"))
+    cfg = spark.createDataFrame(_config_rows(), "cand_order int, family string, scaler string, model string, params string")
+    return cfg.crossJoin(g)  # 85 configurations × folds × labels
 
 
 # ------------------------------------------------------------ R9–R14
@@ -986,6 +1034,11 @@ from ..operators import nested as NS  # noqa: E402
 _NEST_BY = ["fold", "candidate", "cand_order", "inner_fold"]
 
 
+def _nested_choice(spark, sf):
+    inner = _inner_scores_b3(spark, sf)
+    return NS.nested_select(NS.inner_errors(inner, _cfg(spark)), NS.constant_labels(inner))
+
+
 def _inner_scores_b3(spark, sf):
     """Inner-CV score table from B3: outer fold = B3 fold; inner split of
     the outer-train subjects = (subject div 3) mod 3; candidates = the B4
@@ -1023,10 +1076,16 @@ val as (select s.*, cast(s.p >= coalesce(t.threshold, 0.5e0) as int) as pred
 err as (select fold, candidate, cand_order, inner_fold, label,
                sum(case when y <> pred then 1 else 0 end) / greatest(1, count(*)) as err
         from val group by all),
+cst as (select fold, label from (select fold, label, subject_id, max(y) as ys from inr group by all)
+        group by all having count(distinct ys) < 2),
 me as (select e.fold, e.label, e.candidate, e.cand_order, avg(err) as mean_err, avg(t.relax_level) as relax_level_mean,
               count(*) as n_inner
        from err e left join thr t using (fold, candidate, cand_order, inner_fold, label) group by all),
-ch as (select * from (select *, row_number() over (partition by fold, label order by round(mean_err, 12), cand_order) as rk from me)
+ch as (select fold, label, case when (fold, label) not in (select (fold, label) from cst) then candidate end as candidate,
+              case when (fold, label) not in (select (fold, label) from cst) then mean_err end as mean_err,
+              case when (fold, label) not in (select (fold, label) from cst) then relax_level_mean end as relax_level_mean,
+              case when (fold, label) not in (select (fold, label) from cst) then n_inner end as n_inner
+       from (select *, row_number() over (partition by fold, label order by round(mean_err, 12), cand_order) as rk from me)
        where rk = 1)"""
 
 
@@ -1036,8 +1095,7 @@ select fold, label, candidate as chosen_key, {O.rnd('mean_err')} as mean_err, {O
 def q_nested_selection(spark, sf):
     """Per outer fold and label, the candidate with the lowest mean
     inner-validation subject error at T9 thresholds tuned on inner-train."""
-    err = NS.inner_errors(_inner_scores_b3(spark, sf), _cfg(spark))
-    return rounded(NS.nested_select(err))
+    return rounded(_nested_choice(spark, sf))
 
 
 @register("nested_choices", f"""{_NEST_SQL_PRE}
@@ -1045,8 +1103,112 @@ select fold, max(case when label = 'low' then candidate end) as low,
        max(case when label = 'toxic' then candidate end) as toxic from ch group by fold""")
 def q_nested_choices(spark, sf):
     """Choice table — one row per outer fold, one column per label."""
-    err = NS.inner_errors(_inner_scores_b3(spark, sf), _cfg(spark))
-    return NS.nested_choices(NS.nested_select(err), fx.B3_LABELS)
+    return NS.nested_choices(_nested_choice(spark, sf), fx.B3_LABELS)
+
+
+def _nested_preds(spark, sf):
+    """Each (outer fold, label) scored by its chosen candidate (a constant
+    where there is none), thresholds tuned on the outer train subjects."""
+    ensure_checkpoint_dir(spark)
+    choice = _nested_choice(spark, sf).checkpoint()  # one row per fold and label
+    outer = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_of")
+    x = fx.scores_b3(spark, sf).select("subject_id", "doc_id", "label", "y", "p", F.col("fold").alias("_f"), outer)
+    x = x.select("subject_id", "doc_id", "label", "y", "p", F.col("_of").alias("fold"),
+                 F.when(F.col("_f") == F.col("_of"), "test").otherwise("train").alias("part"))
+    const = x.filter("part = 'train'").groupBy("fold", "label").agg(F.avg(F.col("y").cast("double")).alias("_c"))
+    x = x.join(choice.select("fold", "label", "chosen_key"), on=["fold", "label"]).join(const, on=["fold", "label"])
+    p, key = F.col("p"), F.col("chosen_key")
+    names = [f"{s}__{m}" for s, m in fx.B4_CONFIGS]
+    score = (F.when(key == names[0], p).when(key == names[1], p * p)
+             .when(key == names[2], F.lit(1.0) - (F.lit(1.0) - p) * (F.lit(1.0) - p)).otherwise(F.col("_c")))
+    x = x.select(F.lit("nested").alias("scaler"), F.lit("per_label_best").alias("model"), "fold", "part", "subject_id",
+                 "doc_id", "label", "y", score.alias("p"))
+    s = A.aggregate_scores(x, mode="p90", by=[*PANEL_BY, "part"])
+    thr = TH.tune_thresholds(s.filter(F.col("part") == "train"), _cfg(spark), policy="clinical_cost", by=PANEL_BY)
+    preds = TH.apply_thresholds(s.filter(F.col("part") == "test"), thr, by=PANEL_BY).checkpoint()
+    return preds, choice
+
+
+_NB_CTE = f"""chz as (select * from ({_NEST_SQL_PRE} select fold, label, candidate from ch) q),
+{O.B3_BASE.strip()},
+nbx as (select f.fold, case when b.fold = f.fold then 'test' else 'train' end as part, b.subject_id, b.doc_id, b.label, b.y, b.p
+        from b3s b cross join (values (0), (1), (2)) f(fold)),
+nbc as (select fold, label, avg(y) as c from nbx where part = 'train' group by all),
+b4 as (select 'nested' as scaler, 'per_label_best' as model, nbx.fold, part, subject_id, doc_id, label, y,
+              case candidate when 'StandardScaler__cfg_a' then p when 'MinMaxScaler__cfg_b' then p * p
+                   when 'RobustScaler__cfg_c' then 1.0e0 - (1.0e0 - p) * (1.0e0 - p) else c end as p
+       from nbx join chz using (fold, label) join nbc using (fold, label))"""
+_FM_NESTED = _FM_CTES.replace(O.B4_CTE, _NB_CTE, 1)
+_LABEL_ROWS = """
+lr as (select c.scaler, c.model, c.fold, c.label, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision,
+              case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall,
+              case when tn + fp > 0 then tn / (tn + fp) end as specificity,
+              case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1, auc.auc, ap.auprc,
+              tp + fn as support_pos, tn + fp as support_neg, th.threshold
+       from c left join auc using (scaler, model, fold, label) left join ap using (scaler, model, fold, label)
+       join (select scaler, model, fold, label, max(threshold) as threshold from pred group by all) th
+         using (scaler, model, fold, label))"""
+
+
+@register("nested_fold_rows", f"""{_FM_NESTED}
+select scaler, model, fold, {", ".join(f"{O.rnd(c)} as {c}" for c in R.FOLD_METRICS)} from fm""")
+def q_nested_fold_rows(spark, sf):
+    """Fold rows of the refitted per-label choices."""
+    preds, _ = _nested_preds(spark, sf)
+    return rounded(E.fold_metrics(preds, _cfg(spark), by=PANEL_BY).select(*PANEL_BY, *R.FOLD_METRICS))
+
+
+@register("nested_summary", f"""{_FM_NESTED}
+select {", ".join(f"{O.rnd(f'avg({c})')} as {c}_mean, {O.rnd(f'stddev_samp({c})')} as {c}_std" for c in NS.NESTED_METRICS)},
+       count(fold) as n_folds from fm""")
+def q_nested_summary(spark, sf):
+    """Mean / sample std over outer folds of the six nested metrics."""
+    preds, _ = _nested_preds(spark, sf)
+    return rounded(NS.nested_summary(E.fold_metrics(preds, _cfg(spark), by=PANEL_BY)))
+
+
+@register("nested_label_summary", f"""{_FM_NESTED},{_LABEL_ROWS}
+select label, chz.candidate as chosen_key,
+       {", ".join(f"{O.rnd(f'avg({c})')} as {c}_mean" for c in ("precision", "recall", "specificity", "f1", "auc", "auprc", "threshold", "support_pos", "support_neg"))},
+       count(*) as n_folds
+from lr join chz using (fold, label) where chz.candidate is not null group by label, chz.candidate""")
+def q_nested_label_summary(spark, sf):
+    """Per (label, chosen key) means over outer folds (no key: left out)."""
+    preds, choice = _nested_preds(spark, sf)
+    thr = preds.groupBy(*PANEL_BY, "label").agg(F.max("threshold").alias("threshold"))
+    rows = E.label_metrics(preds, by=PANEL_BY).join(thr, on=[*PANEL_BY, "label"]).join(
+        choice.select("fold", "label", "chosen_key"), on=["fold", "label"])
+    return rounded(NS.nested_label_summary(rows))
+
+
+@register("nested_decomposition", f"""{_FM_NESTED}
+select label, cast(sum(y) as bigint) as P, cast(sum(1 - y) as bigint) as N,
+       {O.rnd('sum(y) / count(*)')} as prevalence,
+       cast(sum(case when y = 1 and pred = 1 then 1 else 0 end) as bigint) as TP,
+       cast(sum(case when y = 1 and pred = 0 then 1 else 0 end) as bigint) as FN,
+       cast(sum(case when y = 0 and pred = 1 then 1 else 0 end) as bigint) as FP,
+       cast(sum(case when y = 0 and pred = 0 then 1 else 0 end) as bigint) as TN,
+       {O.rnd('case when sum(y) > 0 then sum(case when y = 1 and pred = 0 then 1 else 0 end) / sum(y) end')} as FNR,
+       {O.rnd('case when sum(1 - y) > 0 then sum(case when y = 0 and pred = 1 then 1 else 0 end) / sum(1 - y) end')} as FPR,
+       cast(sum(case when y <> pred then 1 else 0 end) as bigint) as errors,
+       {O.rnd('sum(case when y <> pred then 1 else 0 end) / count(*)')} as errors_per_patient
+from pred group by label""")
+def q_nested_decomposition(spark, sf):
+    """Error decomposition of the nested predictions."""
+    return rounded(E.error_decomposition(_nested_preds(spark, sf)[0]))
+
+
+_UNION_COLS = "scaler, model, fold, " + ", ".join(f"{O.rnd(c)} as {c}" for c in R.FOLD_METRICS)
+
+
+@register("union_results", f"""select * from ({_FM_CTES} select {_UNION_COLS}, 'panel' as branch from fm) a
+union all select * from ({_FM_NESTED} select {_UNION_COLS}, 'nested' as branch from fm) b""")
+def q_union_results(spark, sf):
+    """Fold rows of the panel and of the nested selection in one table."""
+    cols = [*PANEL_BY, *R.FOLD_METRICS]
+    panel = _panel_fold_metrics(spark, sf).select(*cols, F.lit("panel").alias("branch"))
+    nested = E.fold_metrics(_nested_preds(spark, sf)[0], _cfg(spark), by=PANEL_BY)
+    return rounded(R.union_results(panel, nested.select(*cols, F.lit("nested").alias("branch"))))
 
 
 # fixed linear scorer for the importance gate (a model with a closed form)
@@ -1059,17 +1221,36 @@ def _linear_scorer(df):
     return df.withColumn("p", M.margin_to_prob(z))
 
 
+_IMP_K = {"lo": 60, "mid": 30, "even": 12}
+_IMP_CFG = LabelSettings(labels=fx.B2_LABELS, **FIXTURE_SETTINGS).rows()
+
+
 def _imp_sql_pre() -> str:
     wlist = "[" + ", ".join(f"{v!r}" for v in _W) + "]"
+    logistic = f"1.0e0 / (1.0e0 + exp(-list_sum(list_transform(generate_series(1, 64), lambda i: x[i] * {wlist}[i]))))"
+    ks = " ".join(f"when '{k}' then {v}" for k, v in _IMP_K.items())
     return f"""with {O.B2_CTE},
 sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
-              concat_ws(':', subject_id, cast(win_from as varchar)) as row_id
+              concat_ws(':', subject_id, cast(win_from as varchar), cast(win_to as varchar)) as row_id
        from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
 lr as (select fold, part, subject_id, row_id, x, 'lo' as label, 0 as li, lo as y from sp union all
        select fold, part, subject_id, row_id, x, 'mid', 1, mid from sp union all
        select fold, part, subject_id, row_id, x, 'even', 2, even from sp),
 te as (select * from lr where part = 'test'),
-ex as (select te.*, j.j, r.r from te cross join range(0, 50) j(j) cross join range(0, 5) r(r)),
+klv as (select fold, label, y, unnest(x) as v, unnest(generate_series(0, len(x) - 1)) as j from lr where part = 'train'),
+krg as (select fold, label, j, min(v) as lo, max(v) as hi from klv group by all),
+kb as (select klv.*, case when hi > lo then least(9, cast(floor((v - lo) / (hi - lo) * 10) as int)) else 0 end as bin
+       from klv join krg using (fold, label, j)),
+kc as (select fold, label, j, bin, y, count(*) as n_by from kb group by all),
+kd as (select *, sum(n_by) over (partition by fold, label, j) as n, sum(n_by) over (partition by fold, label, j, bin) as n_b,
+              sum(n_by) over (partition by fold, label, j, y) as n_y from kc),
+km as (select fold, label, j, sum((n_by / n) * ln((n_by * n) / (n_b * n_y))) as mi from kd group by all),
+kr as (select *, row_number() over (partition by fold, label order by mi desc, j) as rank from km),
+ki as (select fold, label, j, row_number() over (partition by fold, label order by j) as i from kr where rank <= case label {ks} end),
+slot as (select fold, label, j from ki where i <= 50),
+b4 as (select 'linear' as scaler, 'fixed' as model, fold, part, subject_id, row_id as doc_id, label, y, {logistic} as p from lr),
+{O.subj_cte()}, {O.cfg_cte(_IMP_CFG)}, {O.grid_cte()}, {O.naive_counts_cte()},{_CC},
+ex as (select te.*, slot.j, r.r from te join slot using (fold, label) cross join range(0, 5) r(r)),
 ra as (select *, row_number() over (partition by fold, label, j, r
                                     order by md5(concat_ws(':', cast(42 + 1000 * fold + 13 * li as varchar), cast(j as varchar), cast(r as varchar), row_id))) as ka,
               row_number() over (partition by fold, label, j, r order by md5('id:' || row_id)) as kb
@@ -1077,31 +1258,31 @@ ra as (select *, row_number() over (partition by fold, label, j, r
 pe as (select t.fold, t.label, t.j, t.r, t.subject_id, t.y,
               list_transform(generate_series(1, 64), lambda i: case when i = t.j + 1 then s.x[t.j + 1] else t.x[i] end) as x
        from ra t join ra s on t.fold = s.fold and t.label = s.label and t.j = s.j and t.r = s.r and t.kb = s.ka),
-sc0 as (select fold, label, subject_id, y,
-               1.0e0 / (1.0e0 + exp(-list_sum(list_transform(generate_series(1, 64), lambda i: x[i] * {wlist}[i])))) as p
-        from te),
-sc1 as (select fold, label, j, r, subject_id, y,
-               1.0e0 / (1.0e0 + exp(-list_sum(list_transform(generate_series(1, 64), lambda i: x[i] * {wlist}[i])))) as p
-        from pe),
-s0 as (select fold, label, subject_id, max(y) as y, round(quantile_cont(p, 0.9), 12) as p from sc0 group by all),
+sc1 as (select fold, label, j, r, subject_id, y, {logistic} as p from pe),
 s1 as (select fold, label, j, r, subject_id, max(y) as y, round(quantile_cont(p, 0.9), 12) as p from sc1 group by all),
-e0 as (select fold, label, sum(case when y <> cast(p >= 0.5 as int) then 1 else 0 end) / greatest(1, count(*)) as base
-       from s0 group by all),
-e1 as (select fold, label, j, r, sum(case when y <> cast(p >= 0.5 as int) then 1 else 0 end) / greatest(1, count(*)) as err
-       from s1 group by all),
-imp as (select fold, label, j as feature_index, avg(err - base) as m, stddev_pop(err - base) as sd,
-               max(base) as baseline_error, count(*) as n_repeats
+e0 as (select fold, label, sum(case when y <> pred then 1 else 0 end) / greatest(1, count(*)) as base from pred group by all),
+e1 as (select fold, label, j, r, sum(case when y <> cast(p >= threshold as int) then 1 else 0 end) / greatest(1, count(*)) as err
+       from s1 join (select fold, label, threshold from thr) t using (fold, label) group by all),
+imp as (select fold, label, j as feature_index, avg(err - e0.base) as m, stddev_pop(err - e0.base) as sd,
+               max(e0.base) as baseline_error, count(*) as n_repeats
         from e1 join e0 using (fold, label) group by all)"""
 
 
 def _importance_long(spark, sf):
+    """Fixed linear scorer; the first 50 of each label's selected slots (K per
+    label) and thresholds tuned on the train subjects."""
+    from ..config import label_config
     rows = _b2_rows(spark, sf)
-    test = rows.filter(F.col("part") == "test")
+    kcfg = label_config(spark, fx.B2_LABELS, k_best=12, k_by_label=_IMP_K)
+    feats = IMP.selected_features(P.select_k_best(rows.filter("part = 'train'").select("fold", "label", "y", "x"), kcfg, by=["fold"]))
+    by = ["scaler", "model", "fold"]
+    scored = _linear_scorer(rows).select(F.lit("linear").alias("scaler"), F.lit("fixed").alias("model"), "fold", "part",
+                                         "subject_id", "label", "y", "p")
+    train = A.aggregate_scores(scored.filter("part = 'train'"), mode="p90", by=by)
+    cfg = fx.fixture_label_config(spark, fx.B2_LABELS)
+    thr = TH.tune_thresholds(train, cfg, policy="clinical_cost", by=by).select("fold", "label", "threshold")
     li = (F.when(F.col("label") == "lo", 0).when(F.col("label") == "mid", 1).otherwise(2))
-    feats = (test.select("fold", "label").distinct()
-             .select("fold", "label", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("feature")))
-    thr = test.select("fold", "label").distinct().withColumn("threshold", F.lit(0.5))
-    return IMP.permutation_importance(test.withColumn("_li", li), _linear_scorer, thr, feats, n_repeats=5,
+    return IMP.permutation_importance(rows.filter("part = 'test'").withColumn("_li", li), _linear_scorer, thr, feats, n_repeats=5,
                                       seed=42, label_index=F.col("_li"), by=["fold"])
 
 
@@ -1109,9 +1290,9 @@ def _importance_long(spark, sf):
 select fold, label, cast(feature_index as int) as feature_index, {O.rnd('m')} as importance_delta_error_mean,
        {O.rnd('sd')} as importance_delta_error_std, {O.rnd('baseline_error')} as baseline_error, n_repeats from imp""")
 def q_permutation_importance(spark, sf):
-    """Subject-level permutation importance (first 50 slots, 5
+    """Subject-level permutation importance (first 50 selected slots, 5
     repeats, md5 permutations, one batched scoring pass) with a fixed
-    linear scorer and the fixed 0.5 threshold policy."""
+    linear scorer at thresholds tuned on the train subjects."""
     out = _importance_long(spark, sf)
     return rounded(out.withColumn("feature_index", F.col("feature_index").cast("int")))
 
@@ -1126,10 +1307,21 @@ def q_importance_summary(spark, sf):
     return rounded(IMP.importance_summary(out))
 
 
+@register("importance_summary_by_model", f"""{_imp_sql_pre()}
+select 'linear__fixed' as model_key, label, cast(feature_index as int) as feature_index, {O.rnd('avg(m)')} as importance_delta_error_mean,
+       {O.rnd('stddev_samp(m)')} as importance_delta_error_std, {O.rnd('avg(baseline_error)')} as baseline_error_mean,
+       count(distinct fold) as n_folds from imp group by all""")
+def q_importance_summary_by_model(spark, sf):
+    """Importance over folds by (model, label, feature)."""
+    out = _importance_long(spark, sf).withColumn("feature_index", F.col("feature_index").cast("int"))
+    out = out.withColumn("model_key", F.lit("linear__fixed"))
+    return rounded(IMP.importance_summary(out, by=("model_key", "label", "feature_index")))
+
+
 # ------------------------------------------------------------ C6, R13, P4
 @register("downsample", f"""with {O.b1_frames_cte()},
 wl as (select subject_id, win_from, cast(max(case when lab_b = 1 then 1 else 0 end) as int) as y,
-              concat_ws(':', subject_id, cast(win_from as varchar)) as row_id from fr group by subject_id, win_from),
+              concat_ws(':', subject_id, cast(win_from as varchar), cast(win_to as varchar)) as row_id from fr group by subject_id, win_from, win_to),
 c as (select count_if(y = 0) as n0, count_if(y = 1) as n1 from wl),
 p as (select n0, n1, case when n0 > n1 then 0 else 1 end as maj, least(n0, n1) as nmin, greatest(n0, n1) as nmaj,
              abs(n0 - n1) / greatest(n0, n1) > 0.2 as do from c),
@@ -1143,7 +1335,7 @@ def q_downsample(spark, sf):
     """Majority windows drawn with replacement (md5 draws over the
     majority's md5 order) down to the minority size."""
     wl = W.window_label(fx.frames_b1(spark, sf), "lab_b").withColumn(
-        "row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string")))
+        "row_id", F.concat_ws(":", "subject_id", F.col("win_from").cast("string"), F.col("win_to").cast("string")))
     out = C.downsample(wl, tol=0.2, replacement=True, seed=42)
     return out.select("subject_id", "win_from", "y")
 
@@ -1166,10 +1358,10 @@ mi as (select fold, label, j, sum((n_by / n) * ln((n_by * n) / (n_b * n_y))) as
 r as (select *, row_number() over (partition by fold, label order by mi desc, j) as rank from mi),
 s as (select fold, label, j from r where rank <= case label when 'mid' then 8 else 12 end),
 o as (select *, row_number() over (partition by fold, label order by j) as i from s)
-select fold, label, cast(j as int) as feature from o where i <= 5""")
+select fold, label, cast(j as int) as feature from o where i <= 50""")
 def q_selected_features(spark, sf):
-    """Selected slots in index order (first 5 here; 50 in the
-    importance settings)."""
+    """Selected slots in index order, the first 50 (the importance
+    setting; the label settings select 8 or 12)."""
     sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3).filter(F.col("part") == "train")
     lw = sp.select("fold", "x", F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y"))
                                                      for l in fx.B2_LABELS])).alias("_l")) \
@@ -1177,7 +1369,7 @@ def q_selected_features(spark, sf):
     from ..config import label_config
     kcfg = label_config(spark, fx.B2_LABELS, k_best=12, k_by_label={"mid": 8})
     sel = P.select_k_best(lw, kcfg, by=["fold"])
-    return IMP.selected_features(sel, max_features=5).select(
+    return IMP.selected_features(sel, max_features=50).select(
         "fold", "label", F.col("feature").cast("int").alias("feature"))
 
 
@@ -1190,8 +1382,14 @@ sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train'
        from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
 lv as (select fold, part, subject_id, win_from, unnest(x) as v, unnest(generate_series(1, len(x))) as j from sp),
 lg(lam) as (values {lams}),
-ll as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
+l1 as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
        from lv cross join lg where part = 'train' group by all),
+b1 as (select fold, j, lam from (
+           select *, row_number() over (partition by fold, j order by -n / 2.0 * ln(greatest(vt, 1e-300)) + (lam - 1) * sl desc,
+                                                             abs(lam - 1) asc) as rk from l1) where rk = 1),
+near as (select fold, j, round(lam + d * 0.01, 2) as lam from b1 cross join range(-9, 10) s(d)),
+ll as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
+       from lv join near using (fold, j) where part = 'train' group by all),
 best as (select fold, j, lam from (
            select *, row_number() over (partition by fold, j order by -n / 2.0 * ln(greatest(vt, 1e-300)) + (lam - 1) * sl desc,
                                                              abs(lam - 1) asc) as rk from ll) where rk = 1),
@@ -1235,3 +1433,55 @@ def q_smote_counts(spark, sf):
         out.append(cnt.crossJoin(syn).select(F.lit(f).alias("fold"), "n_pos", "n_neg", "n_synthetic"))
     from functools import reduce as _r
     return _r(DataFrame.unionByName, out)
+
+
+def _smote_sql(variant: str) -> str:
+    """All synthetic rows by brute-force neighbours. Orders and draws are md5 streams."""
+    u = lambda tag: f"(('0x' || substr(md5(concat_ws(':', '42:smote', cast(j as varchar), '{tag}')), 1, 12))::BIGINT / 281474976710656.0e0)"
+    seeds = "select * from mn" if variant == "regular" else """
+  select mn.* from mn join (
+    select fold, qid from (
+      select q.fold, q.row_id as qid, t.y, row_number() over (partition by q.fold, q.row_id order by
+               sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), t.row_id) as rk
+      from mn q join tr t on q.fold = t.fold and q.row_id <> t.row_id)
+    where rk <= 10 group by fold, qid having count_if(y = 0) >= 5 and count_if(y = 0) < 10) d on mn.fold = d.fold and mn.row_id = d.qid"""
+    return f"""{O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
+              concat_ws(':', subject_id, cast(win_from as varchar), cast(win_to as varchar)) as row_id
+       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
+tr as (select fold, row_id, x, mid as y from sp where part = 'train'),
+mn as (select * from tr where y = 1),
+pl as (select fold, count_if(y = 1) as pos, count_if(y = 0) as neg,
+              least(5, least(count_if(y = 1), count_if(y = 0)) - 1) as kk,
+              cast(cast(floor(0.25 * count_if(y = 0)) as bigint) - count_if(y = 1) as bigint) as n_new from tr group by fold),
+ok as (select * from pl where pos >= 2 and neg >= 2 and pos < neg and pos / neg < 0.25 and n_new > 0),
+sd as ({seeds}),
+rk as (select sd.*, row_number() over (partition by fold order by md5('42:smote' || row_id)) - 1 as sr,
+              count(*) over (partition by fold) as n_seeds from sd),
+nb as (select q.fold, q.row_id as qid, t.row_id as nid, row_number() over (partition by q.fold, q.row_id order by
+               sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), t.row_id) as r
+       from sd q join mn t on q.fold = t.fold and q.row_id <> t.row_id),
+dr as (select fold, kk, j, {u('seed')} as us, {u('nb')} as un, {u('lam')} as lam
+       from (select fold, kk, unnest(range(0, n_new)) as j from ok)),
+sy as (select dr.fold, dr.j, a.x as ax, b.x as bx, lam
+       from dr join rk a on a.fold = dr.fold and a.sr = cast(floor(us * a.n_seeds) as bigint)
+       join nb on nb.fold = dr.fold and nb.qid = a.row_id and nb.r = cast(floor(un * kk) as bigint) + 1
+       join mn b on b.fold = dr.fold and b.row_id = nb.nid)
+select '{variant}' as variant, fold, concat('smote:', cast(j as varchar)) as row_id,
+       list_transform(list_zip(ax, bx), lambda z: round(z[1] + lam * (z[2] - z[1]), 6) + 0.0e0) as x
+from sy"""
+
+
+@register("smote_rows", " union all ".join(f"select * from (with {_smote_sql(v)}) {v}" for v in ("regular", "borderline")))
+def q_smote_rows(spark, sf):
+    """Every synthetic row (seed, neighbour and λ from md5 streams) of the
+    regular and the borderline variant, per fold, for label ``mid``."""
+    from functools import reduce as _r
+
+    from ..operators.smote import smote
+    rows = _b2_rows(spark, sf).filter((F.col("label") == "mid") & (F.col("part") == "train"))
+    out = [smote(rows.filter(F.col("fold") == f), k=5, ratio=0.25, variant=v).select(
+               F.lit(v).alias("variant"), F.lit(f).alias("fold"), "row_id",
+               F.transform("x", lambda e: F.round(e, 6) + F.lit(0.0)).alias("x"))
+           for v in ("regular", "borderline") for f in range(3)]
+    return _r(DataFrame.unionByName, out)

@@ -63,12 +63,6 @@ def frames_b1_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.withColumn("d_value", raw).drop("event_id", "user_id")
 
 
-def frames_b1_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1 cut to windows of 1–8 frames (frame_idx < 1 + user_id % 8)."""
-    b = _b1_base(spark, sf_dir)
-    return b.filter(F.col("frame_idx") < 1 + F.col("user_id") % 8).drop("event_id", "user_id")
-
-
 def frames_b1_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1 with the signal centred (value − 50) so that it changes sign."""
     return frames_b1(spark, sf_dir).withColumn("d_value", F.col("d_value") - 50.0)
