@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bounded_batches, lower_ascii
+from .common import SPACE_CHARS, bounded_batches, lower_ascii, packed, unpack
 
 # Fixed values of the contract.
 MIN_CHARS = 20
@@ -38,7 +38,7 @@ def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole texts and the positions to drop, to the lines that stay."""
     for b in batches:
         cols = {"id": [], "n_lines": [], "n_dropped": [], "kept": []}
-        for i, text, gone in zip(b.column("id").to_pylist(), b.column("t").to_pylist(),
+        for i, text, gone in zip(b.column("id").to_pylist(), unpack(b.column("t")).to_pylist(),
                                  b.column("gone").to_pylist()):
             lines = text.split("\n")
             if gone:
@@ -62,7 +62,7 @@ def _digest_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marked(docs: DataFrame, id_col: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
-    """One row per document row: ``id``, text ``t`` and positions ``gone``."""
+    """One row per document row: ``id``, packed text ``t`` and positions ``gone``."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                     F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     d = d.select("id", "t", F.xxhash64("t").alias("th"))
@@ -75,7 +75,7 @@ def _marked(docs: DataFrame, id_col: str, text: str, min_chars: int, min_docs: i
              .filter(F.col("n") >= min_docs).select("h1", "h2", "last"))
     gone = (lines.join(often, ["h1", "h2"]).filter("doc < last")
             .groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")))
-    return (d.withColumn("doc", F.coalesce("id", F.lit(_NO_ID)))
+    return (packed(d.withColumn("doc", F.coalesce("id", F.lit(_NO_ID))), "t")
             .join(gone, ["doc", "th"], "left").select("id", "t", "gone"))
 
 

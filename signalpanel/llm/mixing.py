@@ -17,11 +17,14 @@ window task holds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, words
+from .common import bounded_batches, cut, n_words, packed, unpack
 
 # Fixed values of the contract: weights in the order of sources, and the repeat limit.
 WEIGHTS = (5, 2, 1)
@@ -63,33 +66,42 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPO
         F.col("w") * (F.col("total") - F.col("cap_full")) / F.col("w_open")).alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
-             weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
-             rows_per_range: int = ROWS_PER_RANGE, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Per input row: ``id``, ``size``, ``source_size``, ``target``, ``epochs``
-    (whole repetitions), ``partial`` (words of one more, cut repetition) and
-    ``taken``; plus the ``extra`` columns (expressions over ``docs``)."""
+def _sized(docs: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
     src = F.col(f"`{source}`").cast("string")
-    sized = cut(docs.select(
+    return docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.when(src.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), src)).alias("skey"),
         n_words(F.col(f"`{text}`")).alias("size"),
         random_key(F.col(f"`{id_col}`"), seed).alias("key"),
-        *[c.alias(k) for k, c in (extra or {}).items()]))
-    totals = sized.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+        F.xxhash64(F.col(f"`{text}`")).alias("th"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest"),
+        F.col(f"`{text}`").alias("t"))
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
+             weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+             rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Per input row: ``id``, ``size``, ``source_size``, ``target``, ``epochs``
+    (whole repetitions), ``partial`` (words of one more, cut repetition) and ``taken``."""
+    sized = cut(_sized(docs, id_col, text, source, seed).drop("rest", "t"))
+    return _placed(sized, sized, weights, max_epochs, rows_per_range)
+
+
+def _placed(sized: DataFrame, narrow: DataFrame, weights, max_epochs: int, rows_per_range: int) -> DataFrame:
+    """Place the rows of ``sized``; ``narrow`` has the same rows for the sums."""
+    totals = narrow.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     most = totals.agg(F.max("rows")).first()[0] or 0
     ranges = max(1, -(-most // rows_per_range))
     # range number of a key: floor(key * ranges / 2^60), on the upper bits to stay in a long
     upper = 2 ** 30
-    ranged = sized.withColumn("range", F.floor(
-        F.floor(F.col("key") / F.lit(upper)) * ranges / F.lit(2 ** (KEY_BITS - 30))).cast("long"))
+    in_range = F.floor(F.floor(F.col("key") / F.lit(upper)) * ranges / F.lit(2 ** (KEY_BITS - 30))).cast("long")
     running = W.partitionBy("skey").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    starts = (ranged.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
+    starts = (narrow.withColumn("range", in_range).groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
               .select("skey", "range", F.coalesce(F.sum("range_size").over(running), F.lit(0)).alias("range_start"))
               .join(source_targets(totals.drop("rows"), weights, max_epochs), "skey"))
-    inside = (W.partitionBy("skey", "range").orderBy("key", "id", "size")
+    inside = (W.partitionBy("skey", "range").orderBy("key", "id", "size", "th")
               .rowsBetween(W.unboundedPreceding, -1))
-    placed = ranged.join(starts, ["skey", "range"]).select(
+    placed = sized.withColumn("range", in_range).join(starts, ["skey", "range"]).select(
         "*", (F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("start"))
     epochs = F.when(F.col("source_size") > 0, F.least(
         F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
@@ -98,26 +110,40 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source
     partial = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("start")))
     partial = F.when(F.col("epochs") < max_epochs, partial).otherwise(F.lit(0).cast("long"))
     placed = placed.select("*", partial.alias("partial"))
-    return placed.select("id", "size", "source_size", "target", "epochs", "partial",
-                         (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"),
-                         *(extra or {}))
+    return placed.withColumn("taken", F.col("epochs") * F.col("size") + F.col("partial"))
+
+
+def _shorten(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unpack texts; rows with ``first`` set keep that many words."""
+        for b in batches:
+            texts = unpack(b.column("t")).to_pylist()
+            for k, n in enumerate(b.column("first").to_pylist()):
+                if n is not None:
+                    texts[k] = b" ".join(texts[k].encode("utf-8").split(None, n)[:n]).decode("utf-8")
+            rest = b.column("rest").flatten()
+            names = [f.name for f in b.schema.field("rest").type]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *rest], names=[text, *names])
+    return run
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
-               **options) -> DataFrame:
+               weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """The mix itself, with the input's columns: each row once per whole epoch
     and once more if it is in front of the cut; the one row at each source's
-    cut keeps just its first words, joined by one space."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    p = plan_mix(docs, id_col, text, source, extra={"doc": row}, **options)
+    cut keeps just its first words, joined by one space. The sums are taken
+    from short rows; texts go through one shuffle, compressed."""
+    bounded_batches(docs.sparkSession)
+    sized = _sized(docs, id_col, text, source, seed)
+    p = _placed(packed(sized, "t"), cut(sized.drop("rest", "t")), weights, max_epochs, rows_per_range)
     copies = F.col("epochs") + F.when(F.col("partial") > 0, 1).otherwise(0)
-    p = p.filter(copies > 0).select(
-        "doc", "size", "partial", "epochs",
-        F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("epoch"))
-    whole = F.col("doc").getField(text)
+    p = p.filter(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     shorter = (F.col("epoch") > F.col("epochs")) & (F.col("partial") < F.col("size"))
-    cut_text = F.when(shorter, F.array_join(F.slice(words(whole), 1, F.col("partial").cast("int")), " ")).otherwise(whole)
-    return p.select(*[(cut_text if c == text else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    rows = p.select("rest", "t", F.when(shorter, F.col("partial")).alias("first"))
+    columns = [text, *[c for c in docs.columns if c != text]]
+    schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in columns)
+    return rows.mapInArrow(_shorten(text), schema).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mix(spark, sf_dir):

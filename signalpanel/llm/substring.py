@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, packed, stored, unpack
 
 # Fixed value of the contract.
 WINDOW = 20
@@ -140,28 +140,10 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at=(r.at << _BITS) | r.count)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compress texts in front of a shuffle."""
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        packed = [z.compress((t or "").encode("utf-8")) for t in b.column("t").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), pa.array(packed, pa.binary())],
-                                         names=["id", "doc", "z"])
-
-
-def _unpack(column: pa.Array) -> pa.Array:
-    import zstandard
-
-    z = zstandard.ZstdDecompressor()
-    return pa.array([z.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
-
-
 def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the runs named in ``runs`` (coordinate and hash)."""
     for b in batches:
-        r = Runs(*word_hashes(_unpack(b.column("z"))))
+        r = Runs(*word_hashes(unpack(b.column("t"))))
         packed = (r.at << _BITS) | r.count
         wanted = [{(x["at"], x["run"]) for x in runs} for runs in b.column("runs").to_pylist()]
         named = np.fromiter(((p, h) in wanted[t] for p, h, t in
@@ -198,23 +180,23 @@ def _cover(r: Runs, k: int, n: int, spans: list[dict]) -> np.ndarray:
 def _cut_words(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = _unpack(b.column("z")), b.column("spans").to_pylist()
+            texts, spans = unpack(b.column("t")), b.column("spans").to_pylist()
             marked = [k for k, s in enumerate(spans) if s]
             r = Runs(*word_hashes(texts.take(pa.array(marked, pa.int64())))) if marked else None
             place = {k: i for i, k in enumerate(marked)}
             n_words, n_removed, kept = [], [], []
             for k, text in enumerate(texts.cast(pa.binary()).to_pylist()):
-                w = text.split()
+                w = (text or b"").split()
                 gone = 0
                 n = len(w)
                 if k in place and n:
                     away = _cover(r, place[k], n, spans[k])
                     gone = int(away.sum())
                     w = [x for x, a in zip(w, away.tolist()) if not a]
-                text = b" ".join(w)
+                left = b" ".join(w)
                 n_words.append(n)
                 n_removed.append(gone)
-                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8"))
+                kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8"))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
                 names=["id", "n_words", "n_removed", "kept"])
@@ -259,8 +241,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     several = stored(groups.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"))
     firsts = stored(groups.select("anchor", "run", "doc0", "at0").join(several, "anchor"))
     per_doc = firsts.groupBy(F.col("doc0").alias("doc")).agg(F.collect_list(F.struct(F.col("at0").alias("at"), "run")).alias("runs"))
-    packed = docs.select("doc", F.col("doc").alias("id"), "t").mapInArrow(_pack, "id long, doc long, z binary")
-    opened = stored(packed.drop("id").join(per_doc, "doc").mapInArrow(
+    opened = stored(packed(docs.select("doc", "t"), "t").join(per_doc, "doc").mapInArrow(
         _open_runs, "anchor long, window long, doc long, pos long"))
     earliest = stored(opened.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("f"))
                       .filter("n > 1").select("anchor", "window", F.col("f.doc").alias("doc0"), F.col("f.pos").alias("pos0")))
@@ -276,8 +257,7 @@ def _cut_all(docs: DataFrame, id_col: str, text: str, digest: bool) -> DataFrame
     d = d.select("id", F.coalesce("id", F.lit(_NO_ID)).alias("doc"), "t")
     spans = repeated_spans(d.select("doc", "t")).groupBy("doc").agg(
         F.collect_list(F.struct("begin", "windows", "check", "single")).alias("spans"))
-    packed = d.mapInArrow(_pack, "id long, doc long, z binary")
-    return packed.join(spans, "doc", "left").select("id", "z", "spans").mapInArrow(
+    return packed(d, "t").join(spans, "doc", "left").select("id", "t", "spans").mapInArrow(
         _cut_words(digest), "id long, n_words long, n_removed long, kept string")
 
 
