@@ -8,9 +8,11 @@ Spark's own writer, so any file system that Spark knows will do.
 Reading: Spark's text reader splits the files at the record magic, also inside
 one large file. Each chunk behind a magic is a candidate record; its task
 emits (offset, offset of the successor by the declared length). Offsets inside
-a file follow from a running sum of the bytes each split consumed. Pointer
-jumping from the start of each file then keeps the reachable candidates: a
-magic inside a payload is never reached, whatever stands behind it. A record
+a file follow from a running sum of the bytes each split consumed. Within a
+block, pointers are followed to where they leave it; pointer jumping from the
+start of each file then runs over blocks only (the logarithm of their number
+in rounds), and a pass over each block keeps the chain from where it is
+entered: a magic inside a payload is never reached, whatever stands behind it. A record
 whose payload holds the magic is put together from its chunks in a second scan
 that is joined to such records only.
 
@@ -41,7 +43,7 @@ END = b"\r\n\r\n"
 MIN_REVISIT_BYTES = 100
 DATE = "1970-01-01T00:00:00Z"
 
-#: Records per archive file (the rounds of pointer jumping are its logarithm).
+#: Records per archive file.
 RECORDS_PER_FILE = 4096
 
 
@@ -168,14 +170,46 @@ def _candidates(spark: SparkSession, path: str, with_bytes: bool = False) -> Dat
 def _placed(cand: DataFrame, blocks: DataFrame) -> DataFrame:
     """Offsets from the start of the file."""
     return cand.join(blocks, ["file", "block"]).withColumns(
-        {"at": F.col("at") + F.col("base"), "succ": F.col("succ") + F.col("base")}).drop("base", "block", "span")
+        {"at": F.col("at") + F.col("base"), "succ": F.col("succ") + F.col("base")}).drop("base", "span")
+
+
+def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates from the end of each block to its start: where the chain
+    that starts at each of them leaves the block."""
+    here, leaves = None, {}
+    for b in batches:
+        out = []
+        for file, block, at, succ in zip(*[b.column(c).to_pylist() for c in ("file", "block", "at", "succ")]):
+            if (file, block) != here:
+                here, leaves = (file, block), {}
+            leaves[at] = leaves.get(succ, succ)
+            out.append(leaves[at])
+        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("at"), pa.array(out, pa.int64())], names=["file", "at", "nxt"])
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of each block in order: which are on the chain from its entry."""
+    here, due = None, None
+    for b in batches:
+        keep = []
+        for k, (file, block, at, succ, entry) in enumerate(zip(*[b.column(c).to_pylist() for c in ("file", "block", "at", "succ", "entry")])):
+            if (file, block) != here:
+                here, due = (file, block), None
+            if entry or at == due:
+                keep.append(k)
+                due = succ
+        keep = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("file").take(keep), b.column("at").take(keep)], names=["file", "at"])
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
     """``(file, at)`` of the candidates that the chain from offset 0 reaches.
-    ``nodes``: ``(file, at, succ)``. Each round doubles both how far a pointer
-    jumps and how much of the chain is marked."""
-    state = cut(nodes.select("file", "at", F.col("succ").alias("nxt"), (F.col("at") == 0).alias("hit")))
+    ``nodes``: ``(file, block, at, succ)``. Offsets only grow, so the chain
+    enters a block once at most. Each round doubles both how far a pointer
+    jumps over blocks and how many entries are marked."""
+    blocks = nodes.select("file", "block", "at", "succ").repartition("file", "block")
+    leaves = blocks.sortWithinPartitions("file", "block", F.desc("at")).mapInArrow(_exits, "file string, at long, nxt long")
+    state = cut(leaves.withColumn("hit", F.col("at") == 0))
     while state.filter(F.col("hit") & F.col("nxt").isNotNull()).limit(1).count():
         ahead = state.select("file", F.col("at").alias("nxt"), F.col("nxt").alias("nxt2"))
         hop = state.join(ahead, ["file", "nxt"], "left")
@@ -185,7 +219,9 @@ def reachable(nodes: DataFrame) -> DataFrame:
                     F.lit(False).alias("real")))
         state = cut(rows.groupBy("file", "at").agg(F.max("nxt").alias("nxt"), F.max("hit").alias("hit"), F.max("real").alias("real"))
                     .filter("real").drop("real"))
-    return state.filter("hit").select("file", "at")
+    entries = state.filter("hit").select("file", "at", F.lit(True).alias("entry"))
+    marked = nodes.join(entries, ["file", "at"], "left").select("file", "block", "at", "succ", F.coalesce("entry", F.lit(False)).alias("entry"))
+    return marked.repartition("file", "block").sortWithinPartitions("file", "block", "at").mapInArrow(_walk, "file string, at long")
 
 
 def _join_chunks(spark: SparkSession, path: str, blocks: DataFrame, marked: DataFrame) -> DataFrame:
@@ -214,7 +250,7 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     placed = cut(_placed(cand, blocks))
     hits = reachable(placed.filter(F.col("succ").isNotNull()))
     marks = placed.join(hits.withColumn("hit", F.lit(True)), ["file", "at"], "left")
-    records = cut(marks.filter("hit").drop("hit"))
+    records = cut(marks.filter("hit").drop("hit", "block"))
     parts = records if payload else records.filter(~F.col("whole"))
     if parts.limit(1).count() == 0:
         out = records.drop("succ", "whole")
