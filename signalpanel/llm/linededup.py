@@ -1,8 +1,9 @@
 """Line dedup: explode normalised lines, hash, count distinct documents per
 hash, drop lines over the threshold, reassemble by position.
 
-A key is hashed to 128 bits before it is shuffled. Counting distinct
-documents is Spark's two-step distinct aggregate, so a line that a third of
+Lines are exploded, normalised and hashed (128 bits) batch by batch with Arrow
+kernels in the task that reads them; only hashes and positions are shuffled.
+Counting distinct documents is Spark's two-step distinct aggregate, so a line that a third of
 all documents holds is counted in many tasks; marking its lines is an inner
 join of plain exchanges, which adaptive execution splits by size.
 
@@ -17,11 +18,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, bounded_batches, lower_ascii, packed, unpack
+from .common import SPACE_CHARS, bounded_batches, packed, stored, string_hashes, unpack
 
 # Fixed values of the contract.
 MIN_CHARS = 20
@@ -30,8 +33,22 @@ MIN_DOCS = 3
 _NO_ID = -(2 ** 63)
 
 
-def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(SPACE_CHARS)))
+def _emit_lines(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines whose key is long enough: document, position, two hashes."""
+        for b in batches:
+            lists = pc.split_pattern(b.column("t"), "\n")
+            keys = pc.ascii_lower(pc.utf8_trim(lists.flatten(), characters=SPACE_CHARS))
+            offsets = np.asarray(lists.offsets.to_numpy(), np.int64)
+            offsets = offsets - offsets[0]
+            long = np.flatnonzero(pc.greater_equal(pc.utf8_length(keys), min_chars).to_numpy(zero_copy_only=False))
+            owner = np.searchsorted(offsets, long, "right") - 1
+            h1, h2 = string_hashes(keys.take(pa.array(long)))
+            own = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc").take(own), b.column("th").take(own), pa.array((long - offsets[owner]).astype(np.int32)),
+                 pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "th", "pos", "h1", "h2"])
+    return run
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,17 +82,14 @@ def _marked(docs: DataFrame, id_col: str, text: str, min_chars: int, min_docs: i
     """One row per document row: ``id``, packed text ``t`` and positions ``gone``."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"),
                     F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    d = d.select("id", "t", F.xxhash64("t").alias("th"))
-    lines = (d.select("id", "th", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-             .select(F.coalesce("id", F.lit(_NO_ID)).alias("doc"), "th", "pos", line_key(F.col("line")).alias("k"))
-             .filter(F.length("k") >= min_chars)
-             .select("doc", "th", "pos", F.xxhash64("k").alias("h1"),
-                     F.xxhash64(F.lit("second"), "k").alias("h2")))
+    d = d.select("id", F.coalesce("id", F.lit(_NO_ID)).alias("doc"), F.xxhash64("t").alias("th"), "t")
+    lines = stored(d.select("doc", "th", "t").mapInArrow(
+        _emit_lines(min_chars), "doc long, th long, pos int, h1 long, h2 long"))
     often = (lines.groupBy("h1", "h2").agg(F.countDistinct("doc").alias("n"), F.max("doc").alias("last"))
              .filter(F.col("n") >= min_docs).select("h1", "h2", "last"))
     gone = (lines.join(often, ["h1", "h2"]).filter("doc < last")
             .groupBy("doc", "th").agg(F.collect_set("pos").alias("gone")))
-    return (packed(d.withColumn("doc", F.coalesce("id", F.lit(_NO_ID))), "t")
+    return (packed(d, "t")
             .join(gone, ["doc", "th"], "left").select("id", "t", "gone"))
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, shared_folder
+from .common import bounded_batches, cut, shared_folder, string_hashes
 
 # Fixed values of the contract.
 VOCABULARY = "word_bpe_49k.json"
@@ -262,62 +262,73 @@ def decode_blocks(coded: list[bytes], lengths_in: list[int], n_ids: int = N_IDS)
 class WordTokenizer:
     """The library's tokenizer, asked once per distinct chunk between ASCII
     white space. The vocabulary's pre-tokenizer always splits at white space,
-    so the ids of a text are those of its chunks in a row."""
+    so the ids of a text are those of its chunks in a row. Chunks are known
+    by a 128-bit hash in sorted arrays, their ids stand in one list array."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 2_000_000):
         from tokenizers import Tokenizer
 
-        self.model, self.keep = Tokenizer.from_file(path), keep
+        self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
         self._forget()
 
     def _forget(self):
-        self.place: dict[str, int] = {}
-        self.start, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def _places(self, names: list[str]) -> np.ndarray:
-        """Number of each chunk in the pool of ids; new chunks are added."""
-        if len(self.place) > self.keep:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.levels = [none, none]  # sorted (hash, second hash, place): many, and the latest
+        self.size = np.ones(1, np.int32)  # place 0: the end id
+        self.lists = pa.array([[self.end_id]], pa.list_(pa.int32()))
+
+    def _places(self, chunks: pa.StringArray) -> np.ndarray:
+        """Place of each distinct chunk in ``lists``; new chunks are added."""
+        if len(self.size) > self.keep:
             self._forget()
-        new = [w for w in names if w not in self.place]
-        if new:
-            pools, sizes = [self.pool], []
-            for k in range(0, len(new), 20_000):
-                got = [e.ids for e in self.model.encode_batch_fast(new[k:k + 20_000], add_special_tokens=False)]
-                sizes += map(len, got)
-                pools.append(np.fromiter((i for ids in got for i in ids), np.int32))
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.pool = np.concatenate(pools)
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        h, h2 = string_hashes(chunks)
+        place = np.full(len(chunks), -1, np.int32)
+        for a, b, p in self.levels:
+            if len(a):
+                at = np.minimum(np.searchsorted(a, h), len(a) - 1)
+                same = (a[at] == h) & (b[at] == h2)
+                place[same] = p[at[same]]
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            names = chunks.take(pa.array(new)).to_pylist()
+            got = [e.ids for k in range(0, len(names), 20_000)
+                   for e in self.model.encode_batch_fast(names[k:k + 20_000], add_special_tokens=False)]
+            place[new] = np.arange(len(self.size), len(self.size) + len(new), dtype=np.int32)
+            self.lists = pa.concat_arrays([self.lists, pa.array(got, pa.list_(pa.int32()))])
+            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int32, len(got))])
+            joined = [np.concatenate([x, y]) for x, y in zip(self.levels[1], (h[new], h2[new], place[new]))]
+            if len(joined[0]) > 100_000:
+                joined = [np.concatenate([x, y]) for x, y in zip(self.levels[0], joined)]
+            order = np.argsort(joined[0], kind="stable")
+            level = tuple(x[order] for x in joined)
+            self.levels = [self.levels[0], level] if len(joined[0]) <= 100_000 else [level, tuple(x[:0] for x in level)]
+        return place
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, an end id behind each, and the lengths."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat = lists.flatten().dictionary_encode()
-        codes = flat.indices.to_numpy(zero_copy_only=False)
         bounds = np.asarray(lists.offsets.to_numpy(), np.int64)
         bounds = bounds - bounds[0]
-        places = self._places(flat.dictionary.to_pylist())
-        size = (self.start[places + 1] - self.start[places])[codes]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        per_text = upto[bounds[1:]] - upto[bounds[:-1]]
-        n = int(upto[-1])
-        index = np.arange(n) + np.repeat(self.start[places][codes] - upto[:-1], size)
-        ids = np.full(n + len(per_text), end_id, np.int32)
-        ids[np.arange(n) + np.repeat(np.arange(len(per_text)), per_text)] = self.pool[index]
-        return ids, per_text + 1
+        places = self._places(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)]
+        places = np.insert(places, bounds[1:], 0)  # place 0 is the end id
+        upto = np.concatenate(([0], np.cumsum(self.size[places])))
+        ends = bounds + np.arange(len(bounds))
+        ids = self.lists.take(pa.array(places)).flatten().to_numpy()
+        return ids, np.diff(upto[ends])
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, end_id: int) -> WordTokenizer:
+    """One per Python worker, so that its chunks serve all tasks of the worker."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, end_id) not in _tokenizers:
+        _tokenizers[path, end_id] = WordTokenizer(path, end_id)
+    return _tokenizers[path, end_id]
 
 
 # ------------------------------------------------------------------ the format
@@ -384,7 +395,7 @@ def _write(path: str, end_id: int, n_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
 
         for b in batches:
-            new, sizes = tokenizer(path).encode(b.column("t"), end_id)
+            new, sizes = tokenizer(path, end_id).encode(b.column("t"))
             starts = len(ids) + np.cumsum(sizes) - sizes
             ids = np.concatenate([ids, new])
             docs += list(zip(b.column("id").to_pylist(), sizes.tolist(), starts.tolist()))
