@@ -43,10 +43,15 @@ def aggregate_scores(scores: DataFrame, mode: str = "p90", k: int = 2, q: float
         raise ValueError(f"unknown aggregation mode {mode!r}")  # A5
     keys = [*by, subject, "label"]
     if mode == "p90":                                       # A3, exact and skew-safe
-        from .quantile import quantiles
-        q90 = quantiles(scores, keys, "p", [q / 100.0], prefix="_q", largest=largest_group)
-        ytab = scores.groupBy(*keys).agg(F.max("y").cast("int").alias("y"))
-        out = q90.select(*keys, F.col("_q0").alias("p")).join(ytab, on=keys)
+        from . import quantile as Q
+        ytab = F.max("y").cast("int").alias("y")
+        if largest_group is None:
+            largest_group = Q.largest_group(scores, keys, "p")
+        if largest_group <= Q.SMALL_GROUP:                  # one aggregate for both
+            out = scores.groupBy(*keys).agg(_score_agg(mode, q).alias("p"), ytab)
+        else:
+            q90 = Q.quantiles(scores, keys, "p", [q / 100.0], prefix="_q", largest=largest_group)
+            out = q90.select(*keys, F.col("_q0").alias("p")).join(scores.groupBy(*keys).agg(ytab), on=keys)
     elif mode == "topk":                                    # A2: mean of the k largest
         # rank-limited window: Spark pushes the per-group top-k below the
         # shuffle (WindowGroupLimit), so only k rows per group move

@@ -67,9 +67,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     st = rows.groupBy(*keys).agg(F.count(v).alias("_n"), F.min(v).alias("_mn"), F.max(v).alias("_mx"),
                                  F.percentile_approx(v, F.array(*edges), accuracy).alias("_e"))
     # target ranks (0-based) as NumPy: virtual index q·(n−1); bracket [_a, _b]
+    few = F.col("_n") <= accuracy  # the margin must span whole ranks: a small group is its own bracket
     parts = [F.struct(F.lit(i).alias("qi"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("vi"),
-                      (F.col("_mn") if q <= margin else F.col("_e")[2 * i]).alias("a"),
-                      (F.col("_mx") if q >= 1 - margin else F.col("_e")[2 * i + 1]).alias("b"))
+                      (F.col("_mn") if q <= margin else F.when(few, F.col("_mn")).otherwise(F.col("_e")[2 * i])).alias("a"),
+                      (F.col("_mx") if q >= 1 - margin else F.when(few, F.col("_mx")).otherwise(F.col("_e")[2 * i + 1])).alias("b"))
              for i, q in enumerate(qs)]
     tg = st.select(*keys, "_n", F.explode(F.array(*parts)).alias("_t")).select(
         *keys, "_t.qi", F.col("_t.a").alias("_a"), F.col("_t.b").alias("_b"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -108,16 +108,22 @@ def _estimator(spec: ModelSpec, n_train: int, seed: int, weighted: bool):
     if fam in ("random_forest", "extra_trees"):                       # M5, M6
         return RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)),
                                       maxDepth=min(int(p.get("max_depth", 10) or 30), 30),
-                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+                                      minInstancesPerNode=max(int(p.get("min_samples_leaf", 1)), int(p.get("min_samples_split", 2)) // 2),
                                       featureSubsetStrategy=str(p.get("max_features", "sqrt")),
                                       bootstrap=fam == "random_forest", seed=seed, **wc)
     if fam == "mlp":                                                  # M8
         return None  # built in fit (needs the input width)
     if fam in ("gb", "hist_gb", "xgb", "lgbm", "catboost"):           # M10
+        depth = int(p.get("max_depth") or -1)
+        if depth < 0:  # no depth limit: as deep as the number of leaves needs
+            depth = math.ceil(math.log2(int(p.get("num_leaves", 31))))
+        share = float(p.get("colsample_bytree", p.get("feature_fraction", 1.0)))
+        leaf = p.get("min_samples_leaf", p.get("min_child_samples", p.get("min_child_weight", 1)))
         return GBTClassifier(maxIter=int(p.get("n_estimators", p.get("max_iter", 100))),
-                             stepSize=float(p.get("learning_rate", 0.1)),
-                             maxDepth=int(p.get("max_depth", 3)),
-                             subsamplingRate=float(p.get("subsample", 1.0)),
+                             stepSize=float(p.get("learning_rate", 0.1)), maxDepth=depth,
+                             subsamplingRate=float(p.get("subsample", p.get("bagging_fraction", 1.0))),
+                             featureSubsetStrategy="all" if share >= 1 else str(share),
+                             minInstancesPerNode=int(leaf), minInfoGain=float(p.get("gamma", 0.0)) / max(n_train, 1),
                              seed=seed, **wc)
     raise ValueError(f"unknown model family {fam!r}")
 
@@ -131,59 +137,60 @@ def constant_scores(rows: DataFrame, by: Sequence[str] = (), y: str = "y") -> Da
     return out.withColumn("constant", F.when(F.col("n_classes") < 2, F.coalesce("_m", F.lit(0.0)))).drop("_m")
 
 
-def fit_score(rows: DataFrame, spec: ModelSpec, seed: int = 42, y: str = "y",
-              row_id: str = "row_id", col: str = "x", extra_train: DataFrame | None = None) -> DataFrame:
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def fit_scorer(rows: DataFrame, spec: ModelSpec, seed: int = 42, y: str = "y", row_id: str = "row_id",
+               col: str = "x", extra_train: DataFrame | None = None) -> Scorer:
     """Fit ``spec`` on the train rows (and ``extra_train``, e.g. synthetic
-    rows, which are never scored) and score all rows (column ``p``).
-    Single-class training data → constant mean(y) score (M14)."""
+    rows, which are never scored). The scorer adds column ``p`` to any rows
+    with the same features. Single-class training data → constant score (M14)."""
     constant = constant_scores(rows, (), y).first()
     if constant is None or constant["constant"] is not None:
-        return rows.withColumn("p", F.lit(float(constant["constant"]) if constant else 0.0))
+        mean = float(constant["constant"]) if constant else 0.0
+        return lambda df: df.withColumn("p", F.lit(mean))
     train = rows.filter(F.col("part") == "train")
     if extra_train is not None:
         train = train.unionByName(extra_train.select(*train.columns))
     st = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
     train = right_size(train, st["n"], st["d"] or 1)
-    fam = spec.family
+    fam, p = spec.family, spec.params
     if fam == "knn":
-        return knn_score(train, rows, k=int(spec.params.get("n_neighbors", 5)),
-                         p=int(spec.params.get("p", 2)), weights=str(spec.params.get("weights", "uniform")),
-                         row_id=row_id, col=col, y=y)
+        return lambda df: knn_score(train, df, k=int(p.get("n_neighbors", 5)), p=float(p.get("p", 2)),
+                                    weights=str(p.get("weights", "uniform")), row_id=row_id, col=col, y=y)
     if fam == "linear_svc":
-        return calibrated_svc(train, rows, C_=float(spec.params.get("C", 1.0)), seed=seed, y=y,
-                              row_id=row_id, col=col, max_iter=int(spec.params.get("max_iter", 100)))
+        return calibrated_svc(train, float(p.get("C", 1.0)), seed, y=y, row_id=row_id, col=col, max_iter=int(p.get("max_iter", 100)))
     if fam == "rbf_svm":
-        gamma = spec.params.get("gamma", "scale")
-        rff = RandomFourier(gamma, seed=seed, dim=int(spec.params.get("dim", RFF_DIM)))
-        rff.fit(train, col)
-        return calibrated_svc(rff.transform(train, col), rff.transform(rows, col),
-                              C_=float(spec.params.get("C", 1.0)), seed=seed, y=y, row_id=row_id, col=col,
-                              max_iter=int(spec.params.get("max_iter", 100)))
+        rff = RandomFourier(p.get("gamma", "scale"), seed=seed, dim=int(p.get("dim", RFF_DIM))).fit(train, col)
+        svc = calibrated_svc(rff.transform(train, col), float(p.get("C", 1.0)), seed, y=y, row_id=row_id, col=col,
+                             max_iter=int(p.get("max_iter", 100)))
+        return lambda df: svc(rff.transform(df.withColumn("_raw", F.col(col)), col)).withColumn(col, F.col("_raw")).drop("_raw")
     if fam == "adaboost":
-        return adaboost_score(train, rows, n_rounds=int(spec.params.get("n_estimators", 50)),
-                              lr=float(spec.params.get("learning_rate", 0.5)), y=y, col=col)
-    weighted = fam in WEIGHTED_FAMILIES and spec.params.get("class_weight", "balanced") == "balanced"
+        return adaboost(train, n_rounds=int(p.get("n_estimators", 50)), lr=float(p.get("learning_rate", 0.5)), y=y, col=col)
+    weighted = fam in WEIGHTED_FAMILIES and p.get("class_weight", "balanced") == "balanced"
     tr = _with_features(_weights(train, y) if weighted else train, col).withColumn("label_", F.col(y).cast("double"))
     if fam == "mlp":
-        d = len(train.select(col).first()[0])
-        hidden = list(spec.params.get("hidden", (64,)))
-        est = MultilayerPerceptronClassifier(layers=[d, *hidden, 2], maxIter=int(spec.params.get("max_iter", 100)),
-                                             stepSize=float(spec.params.get("learning_rate", 0.03)), seed=seed)
+        hidden = list(p.get("hidden", (64,)))
+        est = MultilayerPerceptronClassifier(layers=[st["d"], *hidden, 2], maxIter=int(p.get("max_iter", 500)),
+                                             stepSize=float(p.get("learning_rate", 0.03)), seed=seed)
     else:
         est = _estimator(spec, int(st["n"]), seed, weighted)
-    est = est.setLabelCol("label_").setFeaturesCol("features")
-    model = est.fit(tr)
-    out = model.transform(_with_features(rows, col))
-    return out.select(*rows.columns, _p1().alias("p"))
+    model = est.setLabelCol("label_").setFeaturesCol("features").fit(tr)
+    return lambda df: model.transform(_with_features(df, col)).select(*df.columns, _p1().alias("p"))
+
+
+def fit_score(rows: DataFrame, spec: ModelSpec, seed: int = 42, y: str = "y",
+              row_id: str = "row_id", col: str = "x", extra_train: DataFrame | None = None) -> DataFrame:
+    """Fit ``spec`` on the train rows and score all rows (column ``p``)."""
+    return fit_scorer(rows, spec, seed, y, row_id, col, extra_train)(rows)
 
 
 # ----------------------------------------------------- calibrated linear SVM
-def calibrated_svc(train: DataFrame, rows: DataFrame, C_: float = 1.0, seed: int = 42, max_cv: int = 3,
-                   y: str = "y", row_id: str = "row_id", col: str = "x", max_iter: int = 100) -> DataFrame:
+def calibrated_svc(train: DataFrame, C_: float = 1.0, seed: int = 42, max_cv: int = 3, y: str = "y",
+                   row_id: str = "row_id", col: str = "x", max_iter: int = 100) -> Scorer:
     """M3 + M12: LinearSVC (balanced weights) with sigmoid calibration on
     out-of-fold margins; *safe*: when the minority class has fewer than two
     rows the raw margin goes through the logistic map (M13)."""
-    ensure_checkpoint_dir(train.sparkSession)
     counts = train.groupBy(y).count().collect()   # ≤ 2 rows
     m = min(int(r["count"]) for r in counts) if len(counts) == 2 else 0
     n = sum(int(r["count"]) for r in counts)
@@ -196,26 +203,29 @@ def calibrated_svc(train: DataFrame, rows: DataFrame, C_: float = 1.0, seed: int
         return _with_features(_weights(df, y), col).withColumn("label_", F.col(y).cast("double"))
 
     final = svc().fit(prep(train))
-    scored = final.transform(_with_features(rows, col)).withColumn("_m", _margin())
+
+    def margins(df):
+        return final.transform(_with_features(df, col)).select(*df.columns, _margin().alias("_m"))
+
     if m < 2:
-        return scored.select(*rows.columns, margin_to_prob(F.col("_m")).alias("p"))
+        return lambda df: margins(df).select(*df.columns, margin_to_prob(F.col("_m")).alias("p"))
     cv = max(2, min(max_cv, m))
     tr = C.deal_folds(train, cv, f"{seed}:calib", strata=[y], subject=row_id).withColumnRenamed("fold", "_cf").persist()
+
     def oof_fold(i):
         mi = svc().fit(prep(tr.filter(F.col("_cf") != i).drop("_cf")))
         held = _with_features(tr.filter(F.col("_cf") == i), col)
         return mi.transform(held).select(_margin().alias("_m"), F.col(y).cast("double").alias("label_"))
 
-    with ThreadPoolExecutor(max_workers=cv) as ex:   # independent fits: submit concurrently
-        oof = list(ex.map(oof_fold, range(cv)))
-    cal_train = array_to_vector(F.array("_m"))
-    cal = LogisticRegression(regParam=0.0, standardization=False, featuresCol="_mv", labelCol="label_") \
-        .fit(reduce(DataFrame.unionByName, oof).withColumn("_mv", cal_train))
-    out = cal.transform(scored.withColumn("_mv", cal_train).drop("features", "rawPrediction",
-                                                                 "probability", "prediction"))
-    res = out.select(*rows.columns, _p1().alias("p")).checkpoint(eager=True)
-    tr.unpersist()
-    return res
+    as_vector = array_to_vector(F.array("_m"))
+    try:
+        with ThreadPoolExecutor(max_workers=cv) as ex:   # independent fits: submit concurrently
+            oof = reduce(DataFrame.unionByName, list(ex.map(oof_fold, range(cv))))
+        cal = LogisticRegression(regParam=0.0, standardization=False, featuresCol="_mv", labelCol="label_") \
+            .fit(oof.withColumn("_mv", as_vector))
+    finally:
+        tr.unpersist()
+    return lambda df: cal.transform(margins(df).withColumn("_mv", as_vector)).select(*df.columns, _p1().alias("p"))
 
 
 # ---------------------------------------------- random Fourier features (M4)
@@ -254,8 +264,8 @@ class RandomFourier:
 
 
 # ----------------------------------------------------------- AdaBoost (M9)
-def adaboost_score(train: DataFrame, rows: DataFrame, n_rounds: int = 50, lr: float = 0.5,
-                   y: str = "y", col: str = "x", checkpoint_every: int = 10) -> DataFrame:
+def adaboost(train: DataFrame, n_rounds: int = 50, lr: float = 0.5, y: str = "y", col: str = "x",
+             checkpoint_every: int = 10) -> Scorer:
     """SAMME with decision stumps. Each round is one distributed stump fit
     on the current weights; weights live in a column and the lineage is cut
     with a reliable ``checkpoint()`` every few rounds. The score is the
@@ -282,14 +292,20 @@ def adaboost_score(train: DataFrame, rows: DataFrame, n_rounds: int = 50, lr: fl
             .drop("_miss", "prediction", "rawPrediction", "probability")
         if (r + 1) % checkpoint_every == 0:
             tr = tr.checkpoint()
-    scored = _with_features(rows, col)
     total = sum(a for _, a in stumps) or 1.0
+    # a stump is one comparison (or none): the vote is a plain expression
     vote = F.lit(0.0)
-    for i, (st, a) in enumerate(stumps):
-        scored = st.setPredictionCol(f"_h{i}").setRawPredictionCol(f"_r{i}") \
-            .setProbabilityCol(f"_q{i}").transform(scored)
-        vote = vote + F.lit(a) * (F.col(f"_h{i}") * 2.0 - 1.0)
-    return scored.select(*rows.columns, margin_to_prob(F.lit(2.0) * vote / F.lit(total)).alias("p"))
+    for st, a in stumps:
+        root = st._call_java("rootNode")
+        if root.getClass().getSimpleName() == "InternalNode":
+            split = root.split()
+            left, right = root.leftChild().prediction(), root.rightChild().prediction()
+            v = F.element_at(F.col(col), int(split.featureIndex()) + 1)
+            h = F.when(v <= float(split.threshold()), F.lit(left)).otherwise(F.lit(right))
+        else:
+            h = F.lit(root.prediction())
+        vote = vote + F.lit(a) * (h * 2.0 - 1.0)
+    return lambda df: df.withColumn("p", margin_to_prob(F.lit(2.0) * vote / F.lit(total)))
 
 
 # ------------------------------------------------------------- exact kNN (M7)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import importance as IMP
 from ..operators import metrics as E
 from ..operators import nested as NS
 from ..operators import prep as P
@@ -66,23 +67,70 @@ def panel_configs(svm_grid=SVM_GRID, scalers=PANEL_SCALERS, others=OTHER_MODELS)
     return out
 
 
-def build_pipeline(group: DataFrame, spec: M.ModelSpec, label_cfg: DataFrame | None = None,
-                   use_selection: bool = True, use_smote: bool = False, seed: int = 42) -> DataFrame:
+def fit_pipeline(group: DataFrame, spec: M.ModelSpec, label_cfg: DataFrame | None = None,
+                 use_selection: bool = True, use_smote: bool = False, seed: int = 42) -> tuple[M.Scorer, DataFrame | None]:
     """Scaler → K-best selection → (SMOTE) → classifier, every step
-    fitted on the group's train rows only; returns the scored group (real
-    rows only: synthetic rows take part in the fit alone)."""
-    g = group
-    if spec.scaler != "none":
-        params = P.fit_scaler(g.filter(F.col("part") == "train"), spec.scaler)
-        g = P.apply_scaler(g, params, spec.scaler)
-    if use_selection and label_cfg is not None:
-        sel = P.select_k_best(g.filter(F.col("part") == "train"), label_cfg)
-        g = P.apply_selection(g, sel)
+    fitted on the group's train rows only. Returns the fitted pipeline as a
+    scorer of raw rows, and the selected slots (None: all). Synthetic rows
+    take part in the fit alone."""
+    train = group.filter(F.col("part") == "train")
+    params = P.fit_scaler(train, spec.scaler) if spec.scaler != "none" else None
+
+    def scale(df):
+        return df if params is None else P.apply_scaler(df, params, spec.scaler)
+
+    sel = P.select_k_best(scale(train), label_cfg) if use_selection and label_cfg is not None else None
+    if sel is not None:  # one row per slot, read by every scoring
+        ensure_checkpoint_dir(group.sparkSession)
+        sel = sel.checkpoint()
+
+    def prepare(df):
+        return scale(df) if sel is None else P.apply_selection(scale(df), sel)
+
+    g = prepare(group)
     extra = None
     if use_smote:
         from ..operators.smote import smote
         extra = smote(g.filter(F.col("part") == "train"), seed=seed)
-    return M.fit_score(g, spec, seed=seed, extra_train=extra)
+    scorer = M.fit_scorer(g, spec, seed=seed, extra_train=extra)
+
+    def score(df):
+        raw = df.withColumn("_raw", F.col("x"))
+        return scorer(prepare(raw)).withColumn("x", F.col("_raw")).select(*df.columns, "p")
+
+    return score, sel
+
+
+def build_pipeline(group: DataFrame, spec: M.ModelSpec, label_cfg: DataFrame | None = None,
+                   use_selection: bool = True, use_smote: bool = False, seed: int = 42) -> DataFrame:
+    """M16 applied: the scored group."""
+    return fit_pipeline(group, spec, label_cfg, use_selection, use_smote, seed)[0](group)
+
+
+def fitted_importance(rows: DataFrame, spec: M.ModelSpec, label_cfg: DataFrame, labels: Sequence[str], folds: Sequence[int],
+                      use_selection: bool = True, n_repeats: int = 5, max_features: int = 50, seed: int = 42) -> DataFrame:
+    """R12 of fitted models: per (fold, label) one fitted pipeline, its T5
+    threshold on the train subjects, and the importance of the first
+    ``max_features`` of its selected slots on the test windows; rows
+    ``(scaler, model, model_key, fold, label, feature_index, …)``."""
+    out = []
+    for fold in folds:
+        for i, lab in enumerate(labels):
+            g = rows.filter((F.col("fold") == fold) & (F.col("label") == lab))
+            score, sel = fit_pipeline(g, spec, label_cfg, use_selection, seed=seed)
+            subj = A.aggregate_scores(score(g.filter(F.col("part") == "train")), mode="p90", by=["fold"])
+            thr = TH.tune_thresholds(subj, label_cfg, policy="clinical_cost", by=["fold"])
+            if sel is None:
+                width = g.agg(F.max(F.size("x"))).first()[0]
+                slots = rows.sparkSession.range(min(width, max_features)).select(
+                    F.lit(fold).alias("fold"), F.lit(lab).alias("label"), F.col("id").cast("int").alias("feature"))
+            else:
+                slots = IMP.selected_features(sel.withColumn("fold", F.lit(fold)), max_features)
+            imp = IMP.permutation_importance(g.filter(F.col("part") == "test"), score, thr, slots, n_repeats, seed,
+                                             F.lit(i), by=["fold"])
+            out.append(imp)
+    long = reduce(DataFrame.unionByName, out)
+    return long.select(F.lit(spec.scaler).alias("scaler"), F.lit(spec.name).alias("model"), F.lit(spec.key).alias("model_key"), "*")
 
 
 def model_rows(windows: DataFrame, folds: DataFrame, labels: Sequence[str], k: int) -> DataFrame:

@@ -1485,3 +1485,153 @@ def q_smote_rows(spark, sf):
                F.transform("x", lambda e: F.round(e, 6) + F.lit(0.0)).alias("x"))
            for v in ("regular", "borderline") for f in range(3)]
     return _r(DataFrame.unionByName, out)
+
+
+# ------------------------------------------------------------ L1 panels
+from . import l1  # noqa: E402
+
+_L1_SCALERS = ("standard", "minmax", "robust")
+
+
+def _feature_vector(feats, channels, spec):
+    """One ``x`` array per window: the channels' features in order, missing → 0."""
+    names = spec.names()
+    arr = F.array(*[F.nanvl(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in names])
+    return feats.groupBy(*WK).agg(F.flatten(F.transform(
+        F.sort_array(F.collect_list(F.struct("channel", arr.alias("f")))), lambda c: c["f"])).alias("x"))
+
+
+def _l1_rows(feats, labels, spec):
+    x = _feature_vector(feats, fx.B1_CHANNELS, spec).join(labels, on=WK)
+    rid = F.concat_ws(":", "subject_id", F.col("win_from").cast("string"), F.col("win_to").cast("string"))
+    return x.select("subject_id", rid.alias("row_id"), F.col("y").cast("int").alias("y"), "x")
+
+
+def _l1_rows_sql(name, feats_sql, labels_sql, spec):
+    """CTE ``name``: subject_id, row_id, y, x (channels in name order)."""
+    cols = ", ".join(f"coalesce(cast({c} as double), 0.0e0)" for c in spec.names())
+    return f"""{name} as (select f.subject_id, concat_ws(':', f.subject_id, cast(f.win_from as varchar), cast(f.win_to as varchar)) as row_id,
+       max(l.y) as y, flatten(list([{cols}] order by channel)) as x
+  from ({feats_sql}) f join ({labels_sql}) l using (subject_id, win_from, win_to) group by f.subject_id, f.win_from, f.win_to)"""
+
+
+def _l1_sql(rows_cte, balance, variants):
+    """R1 rows by brute force from CTE ``rw``. ``variants``: (name, k)."""
+    cfg = ", ".join(f"('{n}', {k})" for n, k in variants)
+    bal = "abs(n0 - n1) / greatest(n0, n1) > 0.2" if balance else "false"
+    stats = [("standard", "avg(v)", "stddev_pop(v)"), ("minmax", "min(v)", "max(v) - min(v)"),
+             ("robust", "quantile_cont(v, 0.5)", "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)")]
+    st = " union all ".join(f"select '{n}' as scaler, fold, j, {a} as a, {b} as s from tv group by fold, j" for n, a, b in stats)
+    scale = "list_transform(list_zip(x, a, s), lambda z: (z[1] - z[2]) / z[3])"
+    mets = {"f1": "case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end",
+            "f1_neg": "case when 2 * tn + fp + fn > 0 then 2 * tn / (2 * tn + fp + fn) else 0 end",
+            "accuracy": "(tp + tn) / (tp + tn + fp + fn)", "auc": "auc"}
+    return f"""with {rows_cte},
+fo as (select subject_id, (row_number() over (order by cls, md5('42:' || subject_id)) - 1) % {l1.L1_FOLDS} as fold
+       from (select subject_id, max(y) as cls from rw group by subject_id)),
+sp as (select f.fold, rw.*, case when fo.fold = f.fold then 'test' else 'train' end as part
+       from rw join fo using (subject_id) cross join range(0, {l1.L1_FOLDS}) f(fold)),
+sz as (select avg(a) as tm, stddev_pop(a) as ts, avg(b) as em, stddev_pop(b) as es
+       from (select fold, count_if(part = 'train') as a, count_if(part = 'test') as b from sp group by fold)),
+vf as (select fold from sp group by fold having count(distinct case when part = 'train' then y end) = 2
+       and count(distinct case when part = 'test' then y end) = 2),
+t0 as (select sp.fold, subject_id, row_id, y, x from sp join vf using (fold) where part = 'train'),
+te as (select sp.fold, subject_id, row_id, y, x from sp join vf using (fold) where part = 'test'),
+cn as (select fold, count_if(y = 0) as n0, count_if(y = 1) as n1 from t0 group by fold),
+bp as (select fold, case when n0 > n1 then 0 else 1 end as maj, least(n0, n1) as nmin, greatest(n0, n1) as nmaj, {bal} as do from cn),
+mj as (select t0.*, row_number() over (partition by t0.fold order by md5('42:' || row_id)) - 1 as rk from t0 join bp using (fold) where do and y = maj),
+dr as (select fold, (('0x' || substr(md5('42:' || cast(j as varchar)), 1, 12))::BIGINT) % nmaj as rk
+       from (select fold, nmaj, unnest(range(0, cast(nmin as bigint))) as j from bp where do)),
+tr as (select t0.* from t0 join bp using (fold) where not do or y <> maj
+       union all select mj.fold, mj.subject_id, mj.row_id, mj.y, mj.x from dr join mj using (fold, rk)),
+tv as (select fold, unnest(x) as v, unnest(generate_series(1, len(x))) as j from tr),
+st as ({st}),
+sc as (select scaler, fold, list(a order by j) as a, list(case when s is null or s = 0 then 1.0e0 else s end order by j) as s from st group by scaler, fold),
+ts as (select scaler, tr.fold, row_id, y, {scale} as x from tr join sc on tr.fold = sc.fold),
+es as (select scaler, te.fold, subject_id, row_id, y, {scale} as x from te join sc on te.fold = sc.fold),
+nn as (select q.scaler, q.fold, q.subject_id, q.row_id, q.y, t.y as ty, row_number() over (partition by q.scaler, q.fold, q.row_id
+         order by sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), t.row_id) as rk
+       from es q join ts t on q.scaler = t.scaler and q.fold = t.fold),
+kv(model, k) as (values {cfg}),
+pr as (select scaler, model, fold, subject_id, row_id, y, avg(ty) as p, cast(avg(ty) > 0.5 as int) as pred
+       from nn join kv on rk <= k group by scaler, model, fold, subject_id, row_id, y),
+cm as (select scaler, model, fold, count_if(y = 1 and pred = 1) as tp, count_if(y = 0 and pred = 1) as fp,
+              count_if(y = 1 and pred = 0) as fn, count_if(y = 0 and pred = 0) as tn from pr group by all),
+au as (select a.scaler, a.model, a.fold, avg(case when a.p > b.p then 1.0e0 when a.p = b.p then 0.5e0 else 0.0e0 end) as auc
+       from pr a join pr b on a.scaler = b.scaler and a.model = b.model and a.fold = b.fold and a.y = 1 and b.y = 0 group by all),
+vo as (select scaler, model, subject_id, cast(avg(pred) >= 0.5 as int) as vote, max(y) as y from pr group by all),
+vm as (select scaler, model, avg(case when vote = y then 1.0e0 else 0.0e0 end) as va, stddev_pop(case when vote = y then 1.0e0 else 0.0e0 end) as vs,
+              count_if(vote = 1 and y = 1) / greatest(1, count_if(y = 1)) as se,
+              count_if(vote = 0 and y = 0) / greatest(1, count_if(y = 0)) as sp, count(*) as n from vo group by all)
+select scaler, model,
+  {", ".join(f"{O.rnd(f'avg({e})')} as {m}_mean, {O.rnd(f'stddev_pop({e})')} as {m}_std" for m, e in mets.items())},
+  count(fold) as n_folds, {O.rnd('max(va)')} as vote_accuracy, {O.rnd('max(se)')} as vote_sensitivity,
+  {O.rnd('max(sp)')} as vote_specificity, {O.rnd('max(vs)')} as vote_accuracy_std, max(n) as n_subjects,
+  {O.rnd('max(tm)')} as n_train_mean, {O.rnd('max(ts)')} as n_train_std, {O.rnd('max(em)')} as n_test_mean, {O.rnd('max(es)')} as n_test_std
+from cm join au using (scaler, model, fold) join vm using (scaler, model) cross join sz group by scaler, model"""
+
+
+def _knn_variants(grids):
+    return [(s.name, s.params["n_neighbors"]) for s in l1.l1_specs(grids, ["knn"])
+            if s.params["p"] == 2 and s.params["weights"] == "uniform"]
+
+
+_WIN_FRAMES = O.B1_BASE + """,
+f0 as (select subject_id, win_from, win_to, frame_idx, d_value, d_k, lab_a from b1),
+wl0 as (select subject_id, win_from, win_to, max(case when lab_a = 1 then 1 else 0 end) as y from f0 group by all
+        having max(case when lab_a = 2 then 1 else 0 end) = 0),
+fr as (select f0.* from f0 join wl0 using (subject_id, win_from, win_to) where y = 1 or starts_with(subject_id, 'C'))"""
+_WIN_LABELS = f"with {_WIN_FRAMES} select subject_id, win_from, win_to, max(case when lab_a = 1 then 1 else 0 end) as y from fr group by all"
+
+
+@register("window_panel", _l1_sql(_l1_rows_sql(
+    "rw", O.features_sql(_WIN_FRAMES, fx.B1_CHANNELS, WK, fps=1.0, variant="window"), _WIN_LABELS, SPECS["window"]),
+    True, _knn_variants(l1.WINDOW_GRIDS)))
+def q_window_panel(spark, sf):
+    """Window panel from frames to R1: ambiguous windows out, positives and
+    controls in, features, subject-safe folds, balanced train parts, scalers,
+    the exact nearest-neighbour family of its grid, votes, summary."""
+    fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
+    feats = rounded(window_features(fr.join(kept.select(*WK), on=WK, how="left_semi"), WK, fx.B1_CHANNELS, SPECS["window"]))
+    rows = _l1_rows(feats, kept, SPECS["window"])
+    return rounded(l1.l1_panel(rows, l1.WINDOW_GRIDS, ["knn"], _L1_SCALERS, balance=True))
+
+
+_TASK_FRAMES = O.B1_BASE + """,
+f0 as (select subject_id, win_from, win_to, frame_idx, d_value, d_k, lab_b from b1 where win_from = 10),
+wl0 as (select subject_id, win_from, win_to, max(case when lab_b = 1 then 1 else 0 end) as y from f0 group by all),
+fr as (select f0.* from f0 join wl0 using (subject_id, win_from, win_to) where y = 1 or starts_with(subject_id, 'C'))"""
+_TASK_LABELS = f"with {_TASK_FRAMES} select subject_id, win_from, win_to, max(case when lab_b = 1 then 1 else 0 end) as y from fr group by all"
+
+
+@register("task_panel", _l1_sql(_l1_rows_sql(
+    "rw", O.features_sql(_TASK_FRAMES, fx.B1_CHANNELS, WK, fps=1.0, variant="window"), _TASK_LABELS, SPECS["window"]),
+    False, _knn_variants(l1.TASK_GRIDS)))
+def q_task_panel(spark, sf):
+    """Task panel (one task segment per subject): label, features, folds,
+    scalers, nearest neighbours of its grid, summary."""
+    fr = W.for_task(fx.frames_b7(spark, sf), "Action")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_b"))
+    feats = rounded(window_features(fr.join(kept.select(*WK), on=WK, how="left_semi"), WK, fx.B1_CHANNELS, SPECS["window"]))
+    return rounded(l1.l1_panel(_l1_rows(feats, kept, SPECS["window"]), l1.TASK_GRIDS, ["knn"], _L1_SCALERS))
+
+
+_SUBJ_LABELS = f"""with {_W7_CTE} select distinct subject_id, 0 as win_from, 0 as win_to,
+       case when starts_with(subject_id, 'C') then 0 else 1 end as y from fr"""
+
+
+@register("subject_panel", _l1_sql(_l1_rows_sql(
+    "rw", O.features_sql(_W7_CTE, fx.B1_CHANNELS, WK, fps=1.0, variant="subject"), _SUBJ_LABELS, SPECS["subject"]),
+    False, _knn_variants(l1.SUBJECT_GRIDS)))
+def q_subject_panel(spark, sf):
+    """Subject panel: kept windows joined to one signal per subject, features,
+    folds, scalers, uniform Euclidean nearest neighbours of its grid, summary."""
+    fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
+    feats = rounded(window_features(W.subject_signal(fr, kept), WK, fx.B1_CHANNELS, SPECS["subject"]))
+    labels = feats.select(*WK, F.when(S.is_control("subject_id"), 0).otherwise(1).alias("y")).distinct()
+    rows = _l1_rows(feats, labels, SPECS["subject"])
+    specs = [s for s in l1.l1_specs(l1.SUBJECT_GRIDS, ["knn"]) if s.params["p"] == 2 and s.params["weights"] == "uniform"]
+    split, sizes = l1.l1_split(rows)
+    return rounded(l1.l1_summary(l1.l1_scores(split, specs, _L1_SCALERS), sizes))

@@ -10,6 +10,8 @@ whole corpus is one partitioned table that Spark scans in parallel.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,32 +20,56 @@ from pyspark.sql import types as T
 WINDOW_KEY = ["subject_id", "win_from", "win_to"]
 
 
+def _by_footer(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Files of one folder whose columns may differ in type or presence: files
+    are grouped by their footers and each group is read with its own schema;
+    columns that are text in one group are text in all, absent ones NULL."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+             .select("path").collect())  # names only
+    names = sorted(r["path"] for r in files)
+    with ThreadPoolExecutor(max_workers=32) as ex:
+        schemas = list(ex.map(lambda n: spark.read.parquet(n).schema, names))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for n, schema in zip(names, schemas):
+        groups.setdefault(schema.json(), (schema, []))[1].append(n)
+    kinds: dict[str, set] = {}
+    for schema, _ in groups.values():
+        for f in schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType)
+    mixed = {c for c, k in kinds.items() if len(k) > 1}
+    parts = []
+    for schema, paths in groups.values():
+        df = spark.read.schema(schema).parquet(*paths).select(
+            F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"), "*")
+        parts.append(df.withColumns({c: F.col(c).cast("string") for c in mixed if c in schema.names}))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_frames(spark: SparkSession, path: str, suffix: str = ".parquet",
                 fmt: str = "parquet", order_col: str | None = None,
-                rename: dict[str, str] | None = None,
-                merge_schema: bool = True) -> DataFrame:
+                rename: dict[str, str] | None = None, merge_schema: bool = True) -> DataFrame:
     """Load a folder of per-subject tables; ``subject_id`` is the file
     name with ``suffix`` stripped. Row order within a file becomes
-    ``frame_idx`` (parquet ``_metadata.row_index``; other formats must name
-    an ``order_col``). ``rename`` maps source names (``From``/``To``) to ours.
+    ``frame_idx`` (parquet row index; other formats must name an
+    ``order_col``). ``rename`` maps source names (``From``/``To``) to ours.
+
+    With ``merge_schema`` parquet files may differ: a column that is text in
+    one file (decimal commas) and numeric in another becomes text, for
+    ``coerce_numeric`` to repair. Without it, all files share the first
+    file's schema and no other footer is read up front.
     """
-    reader = spark.read.format(fmt)
-    if fmt == "parquet":
-        reader = reader.option("mergeSchema", str(merge_schema).lower())
-    elif fmt == "csv":
-        reader = reader.option("header", "true")
-    df = reader.load(path)
-    if suffix:
-        df = df.filter(F.col("_metadata.file_name").endswith(suffix))
-    name = F.col("_metadata.file_name")
-    sid = F.regexp_replace(name, _escape(suffix) + "$", "") if suffix else name
-    if order_col is not None:
-        idx = F.col(order_col).cast("long")
-    elif fmt == "parquet":
-        idx = F.col("_metadata.row_index")
+    if fmt == "parquet" and merge_schema:
+        df = _by_footer(spark, path, suffix)
     else:
-        raise ValueError("non-parquet sources need an explicit order_col")
-    df = df.select(sid.alias("subject_id"), idx.alias("frame_idx"), "*")
+        reader = spark.read.format(fmt).option("pathGlobFilter", f"*{suffix}")
+        df = (reader.option("header", "true") if fmt == "csv" else reader).load(path)
+        if fmt != "parquet" and order_col is None:
+            raise ValueError("non-parquet sources need an explicit order_col")
+        row = F.col("_metadata.row_index") if fmt == "parquet" else F.lit(None).cast("long")
+        df = df.select(F.col("_metadata.file_name").alias("_file"), row.alias("_row"), "*")
+    sid = F.regexp_replace("_file", _escape(suffix) + "$", "")
+    idx = F.col(order_col).cast("long") if order_col is not None else F.col("_row")
+    df = df.select(sid.alias("subject_id"), idx.alias("frame_idx"), *[c for c in df.columns if c not in ("_file", "_row")])
     for src, dst in (rename or {"From": "win_from", "To": "win_to"}).items():
         if src in df.columns:
             df = df.withColumnRenamed(src, dst)

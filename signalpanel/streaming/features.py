@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.matrix import SPECS, FeatureSpec, feature_matrix, window_features
 from ..operators.windows import window_labels
-from ..sources.frames import WINDOW_KEY, by_window, coerce_numeric, drop_incomplete
+from ..sources.frames import WINDOW_KEY, _escape, by_window, coerce_numeric, drop_incomplete
 
 
 def batch_features(frames: DataFrame, channels: Sequence[str], labels: Sequence[str],
@@ -41,8 +41,9 @@ def stream_window_features(spark: SparkSession, source_dir: str, schema: T.Struc
     """Start the stream; returns the ``StreamingQuery``. Subject id = file
     name without ``suffix``; frame order = row order in the file."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+           .option("pathGlobFilter", f"*{suffix}")
            .parquet(source_dir)
-           .select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("subject_id"),
+           .select(F.regexp_replace(F.col("_metadata.file_name"), _escape(suffix) + "$", "").alias("subject_id"),
                    F.col("_metadata.row_index").alias("frame_idx"), "*")
            .withColumnRenamed("From", "win_from").withColumnRenamed("To", "win_to"))
 

@@ -28,12 +28,66 @@ def test_logreg_and_knn_separate_planted_label(spark):
         assert auc > 0.9, (spec.family, auc)
 
 
-def test_knn_paths_agree(spark):
-    rows = _planted(spark, n=60)
-    train = rows.filter(F.col("part") == "train")
-    a = M.knn_score(train, rows, k=5, max_broadcast_bytes=0).toPandas().sort_values("row_id")
-    b = M.knn_score(train, rows, k=5, max_broadcast_bytes=1 << 30).toPandas().sort_values("row_id")
-    assert np.allclose(a.p.to_numpy(), b.p.to_numpy())
+def _brute_knn(Xq, Xt, ids, k, p):
+    d = (np.abs(Xq[:, None, :] - Xt[None, :, :]) ** p).sum(-1) ** (1 / p)
+    return [sorted(zip(row, ids))[:k] for row in d]
+
+
+def _knn_rows(spark, X, prefix):
+    return spark.createDataFrame([(f"{prefix}{i:03d}", 0, [float(v) for v in x]) for i, x in enumerate(X)],
+                                 "row_id string, y int, x array<double>")
+
+
+def _check_knn(spark, Xt, Xq, k=5, p=2):
+    got = M.knn_neighbors(_knn_rows(spark, Xt, "r"), _knn_rows(spark, Xq, "q"), k, p, block_rows=40).toPandas()
+    got = got.sort_values(["_qid", "_rank"]).groupby("_qid")["_id"].apply(list)
+    want = _brute_knn(Xq, Xt, [f"r{i:03d}" for i in range(len(Xt))], k, p)
+    for i, w in enumerate(want):
+        assert got[f"q{i:03d}"] == [x for _, x in w], (i, got[f"q{i:03d}"], w)
+
+
+def test_knn_with_many_duplicates(spark):
+    """Forty equal points: ties go to the smallest ids."""
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(60, 4))
+    X[20:60] = X[20]
+    _check_knn(spark, X, X[[0, 25, 40]] + 1e-3)
+
+
+def test_knn_with_large_values(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(80, 6)) + 1e8
+    _check_knn(spark, X, X[:10] + rng.normal(size=(10, 6)) * 0.1)
+
+
+def test_knn_other_metrics(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(50, 5))
+    _check_knn(spark, X, rng.normal(size=(7, 5)), p=1)
+    _check_knn(spark, X, rng.normal(size=(7, 5)), p=3)
+
+
+def test_every_family_is_a_scorer_in_range(spark):
+    rows = _planted(spark, n=90)
+    small = {"linear_svc": {"C": 1.0, "max_iter": 10}, "rbf_svm": {"C": 1.0, "dim": 32, "max_iter": 10}, "mlp": {"hidden": (4,), "max_iter": 15},
+             "adaboost": {"n_estimators": 4}, "xgb": {"n_estimators": 3, "max_depth": 2, "gamma": 1, "min_child_weight": 2},
+             "lgbm": {"n_estimators": 2, "max_depth": -1, "num_leaves": 7, "feature_fraction": 0.8}}
+    for fam, params in small.items():
+        pdf = M.fit_score(rows, M.ModelSpec(fam, params)).toPandas()
+        assert len(pdf) == rows.count() and pdf.p.between(0, 1).all(), fam
+        hit = pdf[pdf.part == "test"]
+        assert hit.p[hit.y == 1].mean() > hit.p[hit.y == 0].mean(), fam
+
+
+def test_class_weights_only_where_the_family_has_them():
+    assert not {"gb", "xgb", "catboost", "mlp", "adaboost", "knn"} & set(M.WEIGHTED_FAMILIES)
+
+
+def test_constant_scores_by_group(spark):
+    df = spark.createDataFrame([("a", "train", 0), ("a", "test", 1), ("b", "train", 0), ("b", "train", 1), ("c", "test", 1)],
+                               "g string, part string, y int")
+    got = {r["g"]: r["constant"] for r in M.constant_scores(df, ["g"]).collect()}
+    assert got == {"a": 0.0, "b": None, "c": 0.0}
 
 
 def test_constant_label_gets_mean(spark):

@@ -3,6 +3,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from signalpanel.config import label_config
+from signalpanel.operators import aggregate as A
+from signalpanel.operators import nested as NS
 from signalpanel.operators import split as C
 from signalpanel.operators import windows as W
 from signalpanel.operators.smote import smote
@@ -36,6 +38,61 @@ def test_smote_adds_rows_between_minority_points(spark):
     assert sorted(map(tuple, out.x)) == sorted(map(tuple, again.x))
 
 
+def _skewed(spark, n_pos=6, n_neg=60):
+    rng = np.random.default_rng(1)
+    X = np.vstack([rng.normal(0, 1, (n_neg, 3)), rng.normal(1.0, 1, (n_pos, 3))])
+    rows = [(f"r{i}", f"P{i:03d}", "lab", 0, "test" if i % 5 == 0 else "train", int(i >= n_neg), [float(v) for v in x])
+            for i, x in enumerate(X)]
+    return spark.createDataFrame(rows, "row_id string, subject_id string, label string, fold int, part string, y int, x array<double>")
+
+
+def test_synthetic_rows_are_never_scored(spark):
+    g = _skewed(spark)
+    syn = smote(g.filter("part = 'train'"), k=3, variant="regular")
+    assert syn.count() > 0 and syn.filter("subject_id is not null").count() == 0
+    out = PN.build_pipeline(g, M.ModelSpec("knn", {"n_neighbors": 3}, "standard"), None, use_smote=True)
+    assert sorted(r["row_id"] for r in out.collect()) == sorted(r["row_id"] for r in g.collect())
+    without = PN.build_pipeline(g, M.ModelSpec("knn", {"n_neighbors": 3}, "standard"), None)
+    a = {r["row_id"]: r["p"] for r in out.collect()}
+    assert any(abs(a[r["row_id"]] - r["p"]) > 1e-9 for r in without.collect())  # but they took part in the fit
+
+
+def test_importance_of_fitted_models(spark):
+    g = _skewed(spark, 30, 60)
+    cfg = label_config(spark, ["lab"], k_best=2)
+    imp = PN.fitted_importance(g, M.ModelSpec("logreg", {"C": 1.0, "max_iter": 20}, "standard", "LR"), cfg, ["lab"], [0], n_repeats=2).toPandas()
+    assert len(imp) == 2 and set(imp.n_repeats) == {2} and set(imp.feature_index) <= {0, 1, 2}
+    assert imp.baseline_error.between(0, 1).all() and set(imp.model_key) == {"standard__LR"}
+
+
+def test_nested_choice_of_a_constant_label(spark):
+    rows = [(0, c, i, inner, "inner_val" if inner == s % 2 else "inner_train", f"P{s}", lab, y, p)
+            for i, c in enumerate(["a", "b"]) for inner in (0, 1) for s in range(6)
+            for lab, y, p in (("flat", 0, 0.1 * s), ("real", s % 2, 0.2 + 0.1 * s))]
+    scores = spark.createDataFrame(rows, "fold int, candidate string, cand_order int, inner_fold int, part string, subject_id string, "
+                                         "label string, y int, p double")
+    cfg = label_config(spark, ["flat", "real"])
+    err = NS.inner_errors(scores, cfg)
+    got = {r["label"]: r["chosen_key"] for r in NS.nested_select(err, NS.constant_labels(scores)).collect()}
+    assert got["flat"] is None and got["real"] in ("a", "b")
+
+
+def test_unknown_aggregation_mode(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        A.aggregate_scores(_skewed(spark).withColumn("p", F.lit(0.5)), mode="median")
+
+
+def test_l1_grids():
+    from signalpanel.plans import l1
+
+    count = lambda g: sum(len(M.expand_grid(f, v)) for f, v in g.items())
+    assert count(l1.WINDOW_GRIDS) == 62
+    assert count(l1.TASK_GRIDS) == 10
+    assert count(l1.SUBJECT_GRIDS) == 3115
+
+
 def test_panel_end_to_end_and_nested(spark):
     wins = fx.features_b2(spark, SF_SMALL)
     sl = W.subject_labels(wins, fx.B2_LABELS)

@@ -21,6 +21,17 @@ def test_read_frames_folder(spark, tmp_path):
     assert S.filter_controls(df, include=False).select("subject_id").distinct().count() == 1
 
 
+def test_read_frames_with_mixed_types(spark, tmp_path):
+    """One file with decimal commas (text), one numeric, one with a further column."""
+    pd.DataFrame({"From": [0, 0], "To": [5, 5], "d": ["1,5", "2,5"]}).to_parquet(tmp_path / "C1_x.parquet")
+    pd.DataFrame({"From": [0, 0], "To": [5, 5], "d": [3.5, 4.5]}).to_parquet(tmp_path / "P2_x.parquet")
+    pd.DataFrame({"From": [0], "To": [5], "d": [7], "more": [1]}).to_parquet(tmp_path / "P3_x.parquet")
+    pd.DataFrame({"From": [0]}).to_parquet(tmp_path / "other.parquet")
+    df = S.coerce_numeric(S.read_frames(spark, str(tmp_path), suffix="_x.parquet"), ["d"])
+    got = sorted((r["subject_id"], r["frame_idx"], r["d"], r["more"]) for r in df.collect())
+    assert got == [("C1", 0, 1.5, None), ("C1", 1, 2.5, None), ("P2", 0, 3.5, None), ("P2", 1, 4.5, None), ("P3", 0, 7.0, 1)]
+
+
 def test_drop_incomplete_reindexes(spark):
     pdf = pd.DataFrame({"subject_id": "P1", "win_from": 0, "win_to": 1, "frame_idx": range(5),
                         "a": ["1", "bad", "3", None, "5,5"]})
