@@ -19,6 +19,7 @@ from ..operators import metrics as E
 from ..operators import prep as P
 from ..operators import split as C
 from ..operators import summary as R
+from ..session import ensure_checkpoint_dir
 from . import models as M
 
 # ---------------------------------------------------------------------------
@@ -77,6 +78,8 @@ def l1_split(rows: DataFrame, n_folds: int = L1_FOLDS, balance: bool = False, se
     """``(split rows, fold sizes)``. Folds whose train or test
     part holds one class are skipped (their sizes still count); ``balance``
     draws the majority of the train part down to the minority."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()  # features are computed once; everything below reads this table
     sp = C.all_splits(rows, C.grouped_folds(rows, n_folds, seed), n_folds)
     train = F.col("part") == "train"
     f = sp.groupBy("fold").agg(
@@ -85,7 +88,7 @@ def l1_split(rows: DataFrame, n_folds: int = L1_FOLDS, balance: bool = False, se
     sp = sp.join(f.filter("valid").select("fold"), on="fold")
     if balance:
         sp = C.downsample(sp.filter(train), seed=seed, by=["fold"]).unionByName(sp.filter(~train))
-    return sp, f.select("fold", "n_train", "n_test")
+    return sp.checkpoint(), f.select("fold", "n_train", "n_test").checkpoint()
 
 
 def l1_scores(split: DataFrame, specs: Sequence[M.ModelSpec], scalers: Sequence[str] = L1_SCALERS, seed: int = 42) -> DataFrame:
@@ -98,7 +101,7 @@ def l1_scores(split: DataFrame, specs: Sequence[M.ModelSpec], scalers: Sequence[
         params = P.fit_scaler(train, kind, by=["fold"])
         scaled = P.apply_scaler(split, params, kind, by=["fold"]).withColumn("x", P.nan_to_num(F.col("x")))
         parts.append(scaled.withColumn("scaler", F.lit(kind)))
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts).checkpoint()  # one copy per scaler, read by every family
     keep = ["scaler", "model", "fold", "subject_id", "row_id", "y", "p"]
     out = []
     for spec in specs:
@@ -118,7 +121,7 @@ def l1_scores(split: DataFrame, specs: Sequence[M.ModelSpec], scalers: Sequence[
 def l1_summary(scores: DataFrame, sizes: DataFrame) -> DataFrame:
     """E2–E6 per fold, A7–A8 votes over all folds, R1 per configuration: means
     and population deviations, vote rates, fold sizes and subject total."""
-    preds = scores.withColumn("pred", (F.col("p") > 0.5).cast("int")).withColumn("label", F.lit(""))
+    preds = scores.withColumn("pred", (F.col("p") > 0.5).cast("int")).withColumn("label", F.lit("")).checkpoint()
     fold = E.label_metrics(preds, by=["scaler", "model", "fold"])
     out = R.fold_summary(fold, METRICS, std="pop")
     votes = A.majority_vote(preds, by=["scaler", "model"])

@@ -1538,11 +1538,11 @@ vf as (select fold from sp group by fold having count(distinct case when part =
 t0 as (select sp.fold, subject_id, row_id, y, x from sp join vf using (fold) where part = 'train'),
 te as (select sp.fold, subject_id, row_id, y, x from sp join vf using (fold) where part = 'test'),
 cn as (select fold, count_if(y = 0) as n0, count_if(y = 1) as n1 from t0 group by fold),
-bp as (select fold, case when n0 > n1 then 0 else 1 end as maj, least(n0, n1) as nmin, greatest(n0, n1) as nmaj, {bal} as do from cn),
-mj as (select t0.*, row_number() over (partition by t0.fold order by md5('42:' || row_id)) - 1 as rk from t0 join bp using (fold) where do and y = maj),
+bp as (select fold, case when n0 > n1 then 0 else 1 end as maj, least(n0, n1) as nmin, greatest(n0, n1) as nmaj, {bal} as cutdown from cn),
+mj as (select t0.*, row_number() over (partition by t0.fold order by md5('42:' || row_id)) - 1 as rk from t0 join bp using (fold) where cutdown and y = maj),
 dr as (select fold, (('0x' || substr(md5('42:' || cast(j as varchar)), 1, 12))::BIGINT) % nmaj as rk
-       from (select fold, nmaj, unnest(range(0, cast(nmin as bigint))) as j from bp where do)),
-tr as (select t0.* from t0 join bp using (fold) where not do or y <> maj
+       from (select fold, nmaj, unnest(range(0, cast(nmin as bigint))) as j from bp where cutdown)),
+tr as (select t0.* from t0 join bp using (fold) where not cutdown or y <> maj
        union all select mj.fold, mj.subject_id, mj.row_id, mj.y, mj.x from dr join mj using (fold, rk)),
 tv as (select fold, unnest(x) as v, unnest(generate_series(1, len(x))) as j from tr),
 st as ({st}),
