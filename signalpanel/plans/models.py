@@ -20,7 +20,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
+import pyarrow as pa
+from pyspark.ml.classification import (GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -264,47 +265,87 @@ class RandomFourier:
 
 
 # ----------------------------------------------------------- AdaBoost (M9)
-def adaboost(train: DataFrame, n_rounds: int = 50, lr: float = 0.5, y: str = "y", col: str = "x",
-             checkpoint_every: int = 10) -> Scorer:
-    """SAMME with decision stumps. Each round is one distributed stump fit
-    on the current weights; weights live in a column and the lineage is cut
-    with a reliable ``checkpoint()`` every few rounds. The score is the
-    logistic of twice the normalised weighted vote."""
+STUMP_BINS = 32
+
+
+def _blocks(train: DataFrame, col: str, y: str, edges: np.ndarray) -> DataFrame:
+    """Train rows as blocks of binned features: ``(n, bins, y)``, one row per
+    Arrow batch, so a round reads bytes and no feature arrays."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.vstack([np.asarray(v, float) for v in b.column("x").to_pylist()])
+                bins = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+                yy = np.asarray(b.column("y").to_pylist(), np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array([len(x)]), pa.array([bins.tobytes()], pa.binary()),
+                                                  pa.array([yy.tobytes()], pa.binary())], names=["n", "bins", "y"])
+
+    return train.select(F.col(col).alias("x"), F.col(y).cast("int").alias("y")).mapInArrow(run, "n long, bins binary, y binary")
+
+
+def _stump_sums(d: int, stumps: list[tuple]):
+    """Weighted counts per feature, bin and class under the stumps so far,
+    summed over a partition: one row of 8·d·bins·2 bytes."""
+    def run(batches):
+        total = np.zeros((d, STUMP_BINS, 2))
+        for b in batches:
+            for n, raw, yy in zip(b.column("n").to_pylist(), b.column("bins").to_pylist(), b.column("y").to_pylist()):
+                bins, y = np.frombuffer(raw, np.uint8).reshape(n, d), np.frombuffer(yy, np.int8)
+                log_w = np.zeros(n)
+                for j, cut, left, right, alpha in stumps:
+                    log_w += alpha * (np.where(bins[:, j] <= cut, left, right) != y)
+                w = np.exp(log_w)
+                for j in range(d):
+                    total[j] += np.bincount(bins[:, j] * 2 + y, w, STUMP_BINS * 2).reshape(STUMP_BINS, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+    return run
+
+
+def _best_stump(sums: np.ndarray) -> tuple[float, tuple[int, int, int, int]]:
+    """(error, (feature, last bin of the left side, left and right class)) of
+    the split with the least weighted Gini impurity."""
+    all_ = sums[0].sum(0)
+    left = sums.cumsum(1)[:, :-1]
+    right = all_ - left
+    side = [x.sum(-1) for x in (left, right)]
+    gini = sum(2 * x[..., 0] * x[..., 1] / np.maximum(n, 1e-300) for x, n in zip((left, right), side))
+    gini = np.where((side[0] > 0) & (side[1] > 0), gini, np.inf)
+    j, cut = np.unravel_index(int(np.argmin(np.round(gini / all_.sum(), 12))), gini.shape)
+    lo, hi = left[j, cut], right[j, cut]
+    miss = (lo.min() + hi.min()) / all_.sum()
+    return float(miss), (int(j), int(cut), int(lo.argmax()), int(hi.argmax()))
+
+
+def adaboost(train: DataFrame, n_rounds: int = 50, lr: float = 0.5, y: str = "y", col: str = "x") -> Scorer:
+    """SAMME with decision stumps on binned features. Rows are kept as binned
+    blocks; a round is one pass over them that rebuilds the weights from the
+    stumps so far (no state to lose with an executor) and returns one small
+    table of weighted counts per partition. The score is the logistic of twice
+    the normalised weighted vote."""
+    d = train.select(F.max(F.size(col))).first()[0]
+    cuts = [i / STUMP_BINS for i in range(1, STUMP_BINS)]
+    q = train.select(F.posexplode(col).alias("j", "v")).groupBy("j").agg(
+        F.percentile_approx("v", F.array(*[F.lit(c) for c in cuts]), 1000).alias("e")).orderBy("j").collect()  # d rows
+    edges = np.array([r["e"] for r in q], float)
     ensure_checkpoint_dir(train.sparkSession)
-    tr = _with_features(train, col).withColumn("label_", F.col(y).cast("double")) \
-        .withColumn("weight", F.lit(1.0))
-    n = tr.count()
-    tr = tr.withColumn("weight", F.lit(1.0 / n))
-    stumps = []
-    for r in range(n_rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, weightCol="weight", labelCol="label_",
-                                       featuresCol="features").fit(tr)
-        pr = stump.transform(tr).withColumn("_miss", (F.col("prediction") != F.col("label_")).cast("double"))
-        err = pr.agg((F.sum(F.col("weight") * F.col("_miss")) / F.sum("weight")).alias("e")).first()["e"]
-        if err is None or err >= 0.5:
+    blocks = _blocks(train, col, y, edges).checkpoint()
+    stumps: list[tuple] = []
+    for _ in range(n_rounds):
+        parts = blocks.mapInArrow(_stump_sums(d, list(stumps)), "sums binary").collect()  # one small row per partition
+        sums = sum(np.frombuffer(r["sums"]).reshape(d, STUMP_BINS, 2) for r in parts)
+        miss, (j, cut, left, right) = _best_stump(sums)
+        if miss >= 0.5:
             break
-        err = max(err, 1e-10)
-        alpha = lr * math.log((1.0 - err) / err)
-        stumps.append((stump, alpha))
-        if err <= 1e-10:
+        alpha = lr * math.log((1.0 - max(miss, 1e-10)) / max(miss, 1e-10))
+        stumps.append((j, cut, left, right, alpha))
+        if miss <= 1e-10:
             break
-        tr = pr.withColumn("weight", F.col("weight") * F.exp(F.lit(alpha) * F.col("_miss"))) \
-            .drop("_miss", "prediction", "rawPrediction", "probability")
-        if (r + 1) % checkpoint_every == 0:
-            tr = tr.checkpoint()
-    total = sum(a for _, a in stumps) or 1.0
-    # a stump is one comparison (or none): the vote is a plain expression
-    vote = F.lit(0.0)
-    for st, a in stumps:
-        root = st._call_java("rootNode")
-        if root.getClass().getSimpleName() == "InternalNode":
-            split = root.split()
-            left, right = root.leftChild().prediction(), root.rightChild().prediction()
-            v = F.element_at(F.col(col), int(split.featureIndex()) + 1)
-            h = F.when(v <= float(split.threshold()), F.lit(left)).otherwise(F.lit(right))
-        else:
-            h = F.lit(root.prediction())
-        vote = vote + F.lit(a) * (h * 2.0 - 1.0)
+    total = sum(s[4] for s in stumps) or 1.0
+    vote = F.aggregate(
+        F.array(*[F.struct(F.lit(j + 1).alias("j"), F.lit(float(edges[j][cut])).alias("t"), F.lit(2.0 * left - 1).alias("l"),
+                           F.lit(2.0 * right - 1).alias("r"), F.lit(a).alias("a")) for j, cut, left, right, a in stumps])
+        if stumps else F.expr("cast(array() as array<struct<j:int,t:double,l:double,r:double,a:double>>)"),
+        F.lit(0.0), lambda acc, s: acc + s["a"] * F.when(F.element_at(F.col(col), s["j"]) <= s["t"], s["l"]).otherwise(s["r"]))
     return lambda df: df.withColumn("p", margin_to_prob(F.lit(2.0) * vote / F.lit(total)))
 
 

