@@ -56,7 +56,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 def is_hidden(tag: str, attrs: dict) -> bool:
     return (tag in HIDDEN or "hidden" in attrs or bool(_STYLE_HIDDEN.search(attrs.get("style") or ""))
-            or (tag == "input" and True) or (tag == "dialog" and "open" not in attrs))
+            or tag == "input" or (tag == "dialog" and "open" not in attrs))
 
 
 class _Builder(HTMLParser):
@@ -272,15 +272,17 @@ def render(html: str | None) -> str:
     opened: list[str] = []  # what each open element has to undo
     for what, tag, attrs in builder.finish():
         flow = flows[-1]
+        # what stands directly in closed details is not shown (its summary is)
+        folded = bool(details) and details[-1]["closed"] and details[-1]["level"] == len(opened)
         if what == "text":
-            if not hidden:
+            if not hidden and not folded:
                 flow.raw(tag) if pre else flow.text(tag)
             continue
         if what == "open":
             if hidden or is_hidden(tag, attrs):
                 hidden += 1
                 continue
-            if details and details[-1]["closed"] and details[-1]["level"] == len(opened) and tag != "summary":
+            if folded and tag != "summary":
                 hidden += 1
                 continue
             undo = ""

@@ -38,8 +38,9 @@ IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Texts that the tagger is fitted on at most and their longest, windows drawn from them, passes.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, EPOCHS, BATCH = 2000, 8000, 3000, 5, 64
+#: Texts that the tagger is fitted on at most and their longest, windows drawn from them; passes, rows and least number of steps.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 2000, 8000, 3000
+EPOCHS, BATCH, LEAST_STEPS = 8, 64, 150
 WINDOW, STEP = 96, 48
 EMBED, HIDDEN = 16, 24
 SEED = 11
@@ -219,7 +220,9 @@ class Tagger:
         r, step = np.random.default_rng(seed), 0
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
-        total = epochs * -(-len(windows) // BATCH)
+        per_epoch = -(-len(windows) // BATCH)
+        epochs = max(epochs, -(-LEAST_STEPS // per_epoch))
+        total = epochs * per_epoch
         for _ in range(epochs):
             order = r.permutation(len(windows))
             for k in range(0, len(order), BATCH):

@@ -49,7 +49,7 @@ def _corpus(seed, n):
 
 
 def test_held_out():
-    model = pii.Tagger().fit(pii.training_windows(_corpus(1, 500), 1200), epochs=4)
+    model = pii.Tagger().fit(pii.training_windows(_corpus(1, 500), 1200))
     texts = _corpus(2, 120)
     found, base = pii.tag_spans(model, texts), [pii.base_spans(t) for t in texts]
     hits = sum(len(set(f) & set(b)) for f, b in zip(found, base))
@@ -63,7 +63,7 @@ def test_held_out():
 
 
 def test_windows_are_reconciled():
-    model = pii.Tagger().fit(pii.training_windows(_corpus(3, 300), 600), epochs=3)
+    model = pii.Tagger().fit(pii.training_windows(_corpus(3, 300), 600))
     text = _corpus(8, 1)[0]
     shifted = [" " * k + text for k in range(0, pii.WINDOW, 7)]
     spans = [sorted((k, s - n, e - n) for k, s, e in sp) for sp, n in zip(pii.tag_spans(model, shifted), range(0, pii.WINDOW, 7))]
