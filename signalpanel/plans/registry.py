@@ -1636,3 +1636,45 @@ def q_subject_panel(spark, sf):
     specs = [s for s in l1.l1_specs(l1.SUBJECT_GRIDS, ["knn"]) if s.params["p"] == 2 and s.params["weights"] == "uniform"]
     split, sizes = l1.l1_split(rows)
     return rounded(l1.l1_summary(l1.l1_scores(split, specs, _L1_SCALERS), sizes))
+
+
+# ------------------------------------------------------------ the 17-channel matrix
+from ..config import DISTANCE_COLS  # noqa: E402
+
+
+def _pose_cte() -> str:
+    dist = []
+    for i, c in enumerate(DISTANCE_COLS):
+        px = f"cast(trunc(abs(cast(embedding[{2 * i + 1}] as double)) * 640) as int)"
+        py = f"cast(trunc(abs(cast(embedding[{2 * i + 2}] as double)) * 480) as int)"
+        dist.append(f"sqrt(cast({px} as double) * {px} + cast({py} as double) * {py}) as {c}")
+    return f"""
+kp as (select concat('V', lpad(cast(vec_id // 100 as varchar), 3, '0')) as subject_id,
+              cast(vec_id % 100 // 50 * 50 as int) as win_from, cast(vec_id % 100 // 50 * 50 + 50 as int) as win_to,
+              vec_id % 100 as f0, {", ".join(dist)} from embeddings where vec_id % 11 <> 0),
+fr as (select subject_id, win_from, win_to,
+              cast(row_number() over (partition by subject_id, win_from, win_to order by f0) - 1 as int) as frame_idx,
+              {", ".join(DISTANCE_COLS)} from kp)"""
+
+
+def _pose_matrix_sql() -> str:
+    names = SPECS["multilabel"].names()
+    cols = ", ".join(f"coalesce(max(case when channel = '{c}' then {f} end), 0) + 0.0e0 as {c}_{f}" for c in DISTANCE_COLS for f in names)
+    return f"""with feat as materialized ({O.features_sql(_pose_cte(), DISTANCE_COLS, WK).strip()}),{_pose_cte()},
+wl as (select subject_id, win_from, win_to, count(*) as n_frames from fr group by all)
+select wl.subject_id, wl.win_from, wl.win_to, wl.n_frames, {cols}
+from wl left join feat using (subject_id, win_from, win_to) group by all"""
+
+
+@register("pose_feature_matrix", _pose_matrix_sql())
+def q_pose_feature_matrix(spark, sf):
+    """S6–S8, S4, F1–F23 over all 17 keypoint channels: detections to
+    distances, undetected frames out, windows of 50 frames, 374 features."""
+    d = D.detections_to_frames(fx.detections_b5(spark, sf))
+    at = F.round(F.col("time") * 30).cast("int")
+    lo = (F.floor(at / 50) * 50).cast("int")
+    fr = d.select(F.col("video_id").alias("subject_id"), lo.alias("win_from"), (lo + 50).alias("win_to"),
+                  at.alias("frame_idx"), *DISTANCE_COLS)
+    fr = S.drop_incomplete(fr, DISTANCE_COLS)
+    wl = fr.groupBy(*WK).agg(F.count(F.lit(1)).alias("n_frames"))
+    return rounded(feature_matrix(window_features(fr, WK, DISTANCE_COLS), wl, WK, DISTANCE_COLS))
