@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-Q = 12
+Q = 8
 #: Edits allowed per hundred characters of a piece.
-EDIT_PERCENT = 6
+EDIT_PERCENT = 10
 PIECE_CHARS, PIECE_STEP = 96, 48
 MIN_CHARS = 24
 #: Benchmark characters that one pass sends to the tasks.
