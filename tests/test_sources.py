@@ -1,7 +1,5 @@
-import os
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from signalpanel.sources import frames as S
 from signalpanel.sources import detections as D

@@ -1,5 +1,4 @@
 import pandas as pd
-from pyspark.sql import functions as F
 
 from signalpanel.operators import split as C
 from signalpanel.operators import windows as W

@@ -1,5 +1,4 @@
 import pandas as pd
-from pyspark.sql import functions as F
 
 from signalpanel.sources import fixtures as fx
 from signalpanel.streaming.features import batch_features, stream_window_features
