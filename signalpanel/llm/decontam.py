@@ -1,11 +1,15 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping pieces. A piece of m characters that
-occurs in a text with at most e edits shares at least m - q + 1 - q * e
+Benchmark items are cut into overlapping pieces of each of ``PIECE_SIZES``, one
+every ``PIECE_STEP`` characters: a verbatim run of the shorter size and
+``PIECE_STEP - 1`` characters holds a whole piece wherever it starts in the
+item; the longer pieces find what has its edits close together. A piece of m characters that
+occurs in a text with at most e edits shares at least m - q + 1 - q * e of its
 character q-grams with it, all within e neighbouring diagonals (text position
-minus piece position). Per batch of whole texts, shared q-grams are counted in
-overlapping diagonal bands; bands that reach the bound are regions, and each
-region is verified by a banded alignment of the whole piece.
+minus item position). Per batch of whole texts, shared q-grams are counted per
+item in overlapping diagonal bands; in bands that reach the bound, each piece
+that reaches it by itself is a region, and each region is verified by a banded
+alignment of the whole piece.
 
 The benchmark is the stated query set. It is cut into blocks of at most
 ``BLOCK_CHARS`` characters, counted beforehand; one block at a time is sent to
@@ -34,7 +38,9 @@ from .common import bounded_batches
 Q = 8
 #: Edits allowed per hundred characters of a piece.
 EDIT_PERCENT = 10
-PIECE_CHARS, PIECE_STEP = 96, 48
+#: The step is no larger than the edits allowed in a piece.
+PIECE_SIZES, PIECE_STEP = (64, 96), 6
+PIECE_CHARS = max(PIECE_SIZES)
 MIN_CHARS = 24
 #: Benchmark characters that one pass sends to the tasks.
 BLOCK_CHARS = 2_000_000
@@ -53,14 +59,20 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def pieces_of(text: str, piece: int = PIECE_CHARS, step: int = PIECE_STEP, least: int = MIN_CHARS) -> list[str]:
-    """Overlapping pieces of a normalised text; the last one ends where it ends."""
-    if len(text) < least:
+def starts_of(length: int, piece: int, step: int = PIECE_STEP, least: int = MIN_CHARS) -> list[int]:
+    """Where the pieces of one size start; the last one ends where the text ends."""
+    if length < least:
         return []
-    starts = list(range(0, max(1, len(text) - piece + 1), step))
-    if starts[-1] + piece < len(text):
-        starts.append(len(text) - piece)
-    return [text[s:s + piece] for s in starts]
+    starts = list(range(0, max(1, length - piece + 1), step))
+    if starts[-1] + piece < length:
+        starts.append(length - piece)
+    return starts
+
+
+def pieces_of(text: str) -> list[str]:
+    """Overlapping pieces of a normalised text, size by size; a text no longer
+    than a size is one piece."""
+    return list(dict.fromkeys(text[s:s + m] for m in PIECE_SIZES for s in starts_of(len(text), m)))
 
 
 def edit_budget(length: int) -> int:
@@ -90,56 +102,94 @@ class Index:
     """q-grams of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        found = [(i, p) for i, text in items for p in pieces_of(normalise(text))]
-        self.items = [i for i, _ in found]
-        self.codes = [_codes(p) for _, p in found]
+        rows = [(i, t) for i, t in ((i, normalise(text)) for i, text in items) if len(t) >= MIN_CHARS]
+        whole = [_codes(t) for _, t in rows]
+        chars = np.array([len(c) for c in whole], np.int64)
+        self.longest = int(chars.max(initial=0))
+        found = [(m, r, s) for k, m in enumerate(PIECE_SIZES) for r, c in enumerate(whole)
+                 if not k or len(c) > PIECE_SIZES[k - 1] for s in starts_of(len(c), m)]
+        self.items = [rows[r][0] for _, r, _ in found]
+        self.codes = [whole[r][s:s + m] for m, r, s in found]
+        self.start = np.array([s for _, _, s in found], np.int64)
         self.length = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.array([edit_budget(len(c)) for c in self.codes], np.int64)
-        self.bound = np.maximum(1, self.length - Q + 1 - Q * self.budget)
+        # per size: its first piece, the places of its pieces, and the span of q-grams and the bound of each row's pieces
+        self.sizes = []
+        for m in PIECE_SIZES:
+            mine = [k for k, x in enumerate(found) if x[0] == m]
+            place = np.array([found[k][1] * (self.longest + 1) + found[k][2] for k in mine], np.int64)
+            held = np.minimum(chars, m)
+            bound = np.maximum(1, held - Q + 1 - Q * (held * EDIT_PERCENT // 100))
+            self.sizes.append((mine[0] if mine else 0, place, held - Q, bound))
+        self.row_budget = np.minimum(chars, PIECE_CHARS) * EDIT_PERCENT // 100
+        self.row_bound = np.min([x[3] for x in self.sizes], axis=0)
         self.powers = _powers(2 * _PART_CHARS)
-        grams = [_grams(c, self.powers) for c in self.codes]
+        grams = [_grams(c, self.powers) for c in whole]
         sizes = [len(g) for g in grams]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
-        self.piece = np.repeat(np.arange(len(grams)), sizes)[order]
+        self.row = np.repeat(np.arange(len(grams)), sizes)[order]
         self.pos = (np.concatenate([np.arange(n) for n in sizes]) if grams else np.zeros(0, np.int64))[order]
         self.bits = 16 + max(0, len(h).bit_length() - 10)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.hash >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.most = int(self.length.max(initial=0))
         self.slack = int(self.budget.max(initial=0))
-        self.gap = self.most + 2 * BAND + 4 * self.slack  # between texts: no band reaches two of them
+        self.gap = self.most + 2 * BAND + 4 * self.slack  # between texts: no band of a piece reaches two of them
 
-    def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, first diagonal) of the bands that reach the q-gram bound."""
-        h = _grams(codes, self.powers)
-        at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-        low = np.searchsorted(self.hash, h[at], "left")
-        n = np.searchsorted(self.hash, h[at], "right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        width = (len(codes) + 2 * self.most) // BAND + 3
+    def _hits(self, at, low, n, width):
+        """(row and band, item position) of the shared q-grams, part by part."""
         upto, k = np.cumsum(n), 0
         while k < len(at):
             base = upto[k - 1] if k else 0
             j = max(k + 1, int(np.searchsorted(upto, base + _HITS_AT_ONCE, "right")))
             m = n[k:j]
             entry = np.repeat(low[k:j] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-            piece = self.piece[entry]
-            diagonal = np.repeat(at[k:j], m) - self.pos[entry] + self.most  # never negative
-            band = diagonal // BAND + 1
-            also = diagonal % BAND < self.budget[piece]  # the overlap with the band before
-            key = np.concatenate([piece * width + band, piece[also] * width + band[also] - 1])
-            u, c = np.unique(key, return_counts=True)
-            keys.append(u)
-            counts.append(c)
+            row, pos = self.row[entry], self.pos[entry]
+            diagonal = np.repeat(at[k:j], m) - pos + self.longest  # never negative
+            key = row * width + diagonal // BAND + 1
+            also = diagonal % BAND < self.row_budget[row]  # the overlap with the band before
+            yield np.concatenate([key, key[also] - 1]), np.concatenate([pos, pos[also]])
             k = j
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
+
+    def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, first diagonal) of the bands in which a piece reaches the q-gram bound."""
+        h = _grams(codes, self.powers)
+        at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+        low = np.searchsorted(self.hash, h[at], "left")
+        n = np.searchsorted(self.hash, h[at], "right") - low
+        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        width = (len(codes) + 2 * self.longest) // BAND + 3
+        none = np.zeros(0, np.int64)
+        counted = [np.unique(key, return_counts=True) for key, _ in self._hits(at, low, n, width)]
+        keys, counts = (np.concatenate([none, *x]) for x in (zip(*counted) if counted else ([], [])))
         u, inv = np.unique(keys, return_inverse=True)
         total = np.bincount(inv, counts, len(u)).astype(np.int64)
-        u = u[total >= self.bound[u // width]] if len(u) else u
-        return u // width, (u % width - 1) * BAND - self.most
+        u = u[total >= self.row_bound[u // width]] if len(u) else u
+        if not len(u):
+            return none, none
+        held = []
+        for key, pos in self._hits(at, low, n, width):
+            k = np.minimum(np.searchsorted(u, key), len(u) - 1)
+            good = u[k] == key
+            held.append(np.unique(k[good] * (self.longest + 1) + pos[good]))
+        band, pos = np.divmod(np.unique(np.concatenate(held)), self.longest + 1)
+        row = u[band] // width
+        pieces, diagonals = [], []
+        for base, place, span, bound in self.sizes:
+            # runs of as many positions as the bound: all pieces that hold one
+            last = np.arange(len(band)) + bound[row] - 1
+            end = np.minimum(last, len(band) - 1)
+            good = (last == end) & (band[end] == band) & (pos[end] - pos <= span[row])
+            b, r, first, end = band[good], row[good], pos[good], pos[end[good]]
+            lo = np.searchsorted(place, r * (self.longest + 1) + np.maximum(0, end - span[r]), "left")
+            m = np.maximum(0, np.searchsorted(place, r * (self.longest + 1) + first, "right") - lo)
+            piece = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            b, piece = np.divmod(np.unique(np.repeat(b, m) * (len(place) + 1) + piece), len(place) + 1)
+            pieces.append(base + piece)
+            diagonals.append((u[b] % width - 1) * BAND - self.longest + self.start[base + piece])
+        return np.concatenate(pieces), np.concatenate(diagonals)
 
     def align(self, codes: np.ndarray, piece: np.ndarray, diagonal: np.ndarray):
         """Least edits of each whole piece within its band of diagonals, and

@@ -198,6 +198,30 @@ def test_decontaminate_blocks(spark, docs, monkeypatch):
     assert {(r[0], r[1]) for r in one} >= {(17, k) for k in range(10)}
 
 
+def test_decontaminate_excerpts():
+    """Verbatim runs of long items are found at any offset; edited ones as by brute force."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [prose(r.randint(40, 60)) for _ in range(2)] + [prose(7)]
+    index = decontam.Index(list(enumerate(items)))
+    long = items[0]
+    texts = [prose(20) + " " + long[s:s + 70].strip() + " " + prose(20) for s in range(len(long) - 70)]
+    assert {m[0] for m in index.matches(texts)} == set(range(len(texts)))
+    texts = [prose(20)]
+    for _ in range(20):
+        i = r.randrange(len(items))
+        cut = list(items[i][(s := r.randrange(max(1, len(items[i]) - 75))):s + 75])
+        for _ in range(r.randint(2, 10)):
+            k = r.randrange(len(cut))
+            cut[k:k + r.randint(0, 1)] = [r.choice("xyz"), ""][r.randint(0, 1)]
+        texts.append(prose(5) + " " + "".join(cut) + " " + prose(5))
+    got = {(m[0], index.items[m[1]]) for m in index.matches(texts)}
+    want = {(k, i) for k, t in enumerate(texts) for i, item in enumerate(items) for p in decontam.pieces_of(item)
+            if brute.edit_distance_in(p, decontam.normalise(t)) <= decontam.edit_budget(len(p))}
+    assert got == want and 0 < len(want) < 20
+
+
 def test_warc(spark, tmp_path):
     magic = "WARC/1.1\r\n"
     inner = magic + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
