@@ -138,10 +138,13 @@ def _likelihood(train: DataFrame, by: Sequence[str], col: str, lams: DataFrame)
     part = rows.mapInArrow(run, schema)
     wide = part.select(*by, "j", "n", "sl", F.posexplode(F.arrays_zip("mean", "m2")).alias("i", "z"))
     n, mean = F.col("n"), F.col("z.mean")
+    # around the common mean: squares of the means would cancel where a λ presses all values together
+    at = Window.partitionBy(*by, "j", "i")  # one row per batch
+    wide = wide.withColumn("a", F.sum(n * mean).over(at) / F.sum("n").over(at))
+    off = mean - F.col("a")
     total = wide.groupBy(*by, "j", "i").agg(
-        F.sum("n").alias("n"), F.sum("sl").alias("sl"), (F.sum(n * mean) / F.sum("n")).alias("a"),
-        F.sum("z.m2").alias("w"), F.sum(n * mean * mean).alias("q"))
-    var = F.greatest((F.col("w") + F.col("q") - F.col("n") * F.col("a") * F.col("a")) / F.col("n"), F.lit(0.0))
+        F.sum("n").alias("n"), F.sum("sl").alias("sl"), F.first("a").alias("a"), F.sum(F.col("z.m2") + n * off * off).alias("w"))
+    var = F.col("w") / F.col("n")
     at = lams.select(*by, F.posexplode("lams").alias("j", "_l")).select(*by, "j", F.posexplode("_l").alias("i", "lam"))
     out = total.withColumn("vt", var).join(at, on=[*by, "j", "i"])
     like = (-F.col("n") / 2.0 * F.log(F.greatest(F.col("vt"), F.lit(1e-300))) + (F.col("lam") - 1.0) * F.col("sl"))

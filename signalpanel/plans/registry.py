@@ -1572,6 +1572,54 @@ select scaler, model,
 from cm join au using (scaler, model, fold) join vm using (scaler, model) cross join sz group by scaler, model"""
 
 
+def _l1_all_sql(rows_cte, balance, grids):
+    """As ``_l1_sql``, for every scaler (Yeo-Johnson too) and every nearest-neighbour
+    variant (Manhattan distance and distance weights too) of the grid."""
+    sql = _l1_sql(rows_cte, balance, [])
+    yj = lambda v, lam: (
+        f"case when {v} >= 0 then (case when abs({lam}) < 1e-12 then ln(1 + {v}) else (power({v} + 1, {lam}) - 1) / {lam} end) "
+        f"else (case when abs(2 - {lam}) < 1e-12 then -ln(1 - {v}) else -(power(1 - {v}, 2 - {lam}) - 1) / (2 - {lam}) end) end")
+    like = (f"fold, j, lam, row_number() over (partition by fold, j order by -count(*) / 2.0 * ln(greatest(var_pop({yj('v', 'lam')}), 1e-300))"
+            " + (lam - 1) * sum(sign(v) * ln(1 + abs(v))) desc, abs(lam - 1) asc) as rk")
+    lams = ", ".join(f"({v!r})" for v in P.POWER_LAMBDAS)
+    power = f"""lg(lam) as (values {lams}),
+pc as (select {like} from tv cross join lg group by fold, j, lam),
+pn as (select fold, j, round(lam + d * 0.01, 2) as lam from pc cross join range(-9, 10) s(d) where rk = 1),
+pf as (select {like} from tv join pn using (fold, j) group by fold, j, lam),
+pw as (select fold, j, lam from pf where rk = 1),
+st0 as ("""
+    dist = "list_sum(list_transform(list_zip(q.x, t.x), lambda z: {}))"
+    d2, d1 = f"sqrt({dist.format('(z[1] - z[2]) * (z[1] - z[2])')})", dist.format("abs(z[1] - z[2])")
+    specs = l1.l1_specs(grids, ["knn"])
+    cfg = ", ".join(f"('{x.name}', {x.params['n_neighbors']}, {x.params['p']}, '{x.params['weights']}')" for x in specs)
+    scale = "list_transform(list_zip(x, a, s), lambda z: (z[1] - z[2]) / z[3])"
+    for old, new in [
+        ("st as (", power),
+        ("sc as (select scaler, fold,", f"""st as (select *, null::double as lam from st0
+       union all select 'power', fold, j, avg({yj('v', 'lam')}), stddev_pop({yj('v', 'lam')}), lam from tv join pw using (fold, j) group by fold, j, lam),
+sc as (select scaler, fold, list(lam order by j) as lam,"""),
+        (scale, f"""case when sc.scaler = 'power' then list_transform(list_zip(x, a, s, lam), lambda z: ({yj('z[1]', 'z[4]')} - z[2]) / z[3])
+       else {scale} end"""),
+        ("nn as (select q.scaler, q.fold, q.subject_id, q.row_id, q.y, t.y as ty, row_number()",
+         f"""dd as (select q.scaler, q.fold, q.subject_id, q.row_id, q.y, t.y as ty, t.row_id as tid, {d2} as d2, {d1} as d1
+       from es q join ts t on q.scaler = t.scaler and q.fold = t.fold),
+nn as (select q.scaler, q.fold, q.subject_id, q.row_id, q.y, q.ty, m.m, case when m.m = 2 then d2 else d1 end as d, row_number()"""),
+        ("over (partition by q.scaler, q.fold, q.row_id\n", "over (partition by q.scaler, q.fold, q.row_id, m.m\n"),
+        (f"order by {d2}, t.row_id) as rk\n       from es q join ts t on q.scaler = t.scaler and q.fold = t.fold)",
+         "order by case when m.m = 2 then d2 else d1 end, tid) as rk\n      from dd q cross join (values (1), (2)) m(m))"),
+        ("kv(model, k) as (values )", f"kv(model, k, m, weights) as (values {cfg})"),
+        ("avg(ty) as p, cast(avg(ty) > 0.5 as int) as pred\n       from nn join kv on rk <= k group by scaler, model, fold, subject_id, row_id, y)",
+         """p, cast(p > 0.5 as int) as pred from (
+       select scaler, model, fold, subject_id, row_id, y, case when weights = 'uniform' then avg(ty)
+              when min(d) = 0 then avg(case when d = 0 then ty end)
+              else sum(case when d > 0 then ty / d end order by rk) / sum(case when d > 0 then 1 / d end order by rk) end as p
+       from nn join kv on rk <= k and nn.m = kv.m group by scaler, model, fold, subject_id, row_id, y, weights))"""),
+    ]:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
 def _knn_variants(grids):
     return [(s.name, s.params["n_neighbors"]) for s in l1.l1_specs(grids, ["knn"])
             if s.params["p"] == 2 and s.params["weights"] == "uniform"]
@@ -1638,6 +1686,53 @@ def q_subject_panel(spark, sf):
     return rounded(l1.l1_summary(l1.l1_scores(split, specs, _L1_SCALERS), sizes))
 
 
+# the same three with every scaler and every nearest-neighbour variant
+def _window_panel_rows(spark, sf):
+    fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
+    feats = rounded(window_features(fr.join(kept.select(*WK), on=WK, how="left_semi"), WK, fx.B1_CHANNELS, SPECS["window"]))
+    return _l1_rows(feats, kept, SPECS["window"])
+
+
+def _task_panel_rows(spark, sf):
+    fr = W.for_task(fx.frames_b7(spark, sf), "Action")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_b"))
+    feats = rounded(window_features(fr.join(kept.select(*WK), on=WK, how="left_semi"), WK, fx.B1_CHANNELS, SPECS["window"]))
+    return _l1_rows(feats, kept, SPECS["window"])
+
+
+def _subject_panel_rows(spark, sf):
+    fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
+    kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
+    feats = rounded(window_features(W.subject_signal(fr, kept), WK, fx.B1_CHANNELS, SPECS["subject"]))
+    labels = feats.select(*WK, F.when(S.is_control("subject_id"), 0).otherwise(1).alias("y")).distinct()
+    return _l1_rows(feats, labels, SPECS["subject"])
+
+
+@register("window_panel_all", _l1_all_sql(_l1_rows_sql(
+    "rw", O.features_sql(_WIN_FRAMES, fx.B1_CHANNELS, WK, fps=1.0, variant="window"), _WIN_LABELS, SPECS["window"]),
+    True, l1.WINDOW_GRIDS))
+def q_window_panel_all(spark, sf):
+    """Window panel: all scalers and all nearest-neighbour variants."""
+    return rounded(l1.l1_panel(_window_panel_rows(spark, sf), l1.WINDOW_GRIDS, ["knn"], balance=True))
+
+
+@register("task_panel_all", _l1_all_sql(_l1_rows_sql(
+    "rw", O.features_sql(_TASK_FRAMES, fx.B1_CHANNELS, WK, fps=1.0, variant="window"), _TASK_LABELS, SPECS["window"]),
+    False, l1.TASK_GRIDS))
+def q_task_panel_all(spark, sf):
+    """Task panel: all scalers and all nearest-neighbour variants."""
+    return rounded(l1.l1_panel(_task_panel_rows(spark, sf), l1.TASK_GRIDS, ["knn"]))
+
+
+@register("subject_panel_all", _l1_all_sql(_l1_rows_sql(
+    "rw", O.features_sql(_W7_CTE, fx.B1_CHANNELS, WK, fps=1.0, variant="subject"), _SUBJ_LABELS, SPECS["subject"]),
+    False, l1.SUBJECT_GRIDS))
+def q_subject_panel_all(spark, sf):
+    """Subject panel: all scalers and all nearest-neighbour variants."""
+    return rounded(l1.l1_panel(_subject_panel_rows(spark, sf), l1.SUBJECT_GRIDS, ["knn"]))
+
+
 # ------------------------------------------------------------ the 17-channel matrix
 from ..config import DISTANCE_COLS  # noqa: E402
 

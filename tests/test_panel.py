@@ -114,3 +114,49 @@ def test_panel_end_to_end_and_nested(spark):
     ch = nested["choices"].toPandas()
     assert len(ch) == 3 and set(ch.chosen_key) <= {s.key for s in specs}
     assert len(nested["fold_results"].toPandas()) == 3
+
+
+def test_registered_panels_are_whole(spark):
+    """The ``_all`` panels hold every scaler and every nearest-neighbour variant, as in DuckDB."""
+    import duckdb
+
+    import __spark_entry__ as E
+    from signalpanel.plans import l1
+    from tests.conftest import SF_SMALL
+
+    assert {(s.params["n_neighbors"], s.params["p"], s.params["weights"]) for s in l1.l1_specs(l1.SUBJECT_GRIDS, ["knn"])} == {
+        (k, p, w) for k in (3, 5, 7, 11) for p in (1, 2) for w in ("uniform", "distance")}
+    con = duckdb.connect()
+    for t in ("events", "embeddings", "labels", "lineitem"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF_SMALL}/{t}.parquet')")
+    for name, grids in (("task_panel_all", l1.TASK_GRIDS), ("subject_panel_all", l1.SUBJECT_GRIDS)):
+        got = E.queries()[name](spark, SF_SMALL)
+        res = con.execute(E.oracle_sql()[name])
+        cols = [d[0] for d in res.description]
+        want = sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in res.fetchall())
+        rows = sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in got.select(*cols).collect())
+        assert rows == want
+        if rows:
+            assert {(r[cols.index("scaler")], r[cols.index("model")]) for r in rows} == {
+                (k, x.name) for k in l1.L1_SCALERS for x in l1.l1_specs(grids, ["knn"])}
+
+
+def test_power_of_large_values(spark):
+    """A λ that presses all values together to within rounding of the squares is no best λ."""
+    import numpy as np
+
+    from signalpanel.operators import prep as P
+
+    v = 40_000.0 + 900.0 * np.random.default_rng(3).normal(size=300)
+    rows = spark.createDataFrame([([float(x)],) for x in v], "x array<double>").repartition(3)
+    fit = P.fit_scaler(rows, "power").first()
+    sl = np.log1p(v).sum()
+
+    def likelihood(lam):
+        t = np.log1p(v) if lam == 0 else np.exp(lam * np.log1p(v)) / lam  # the constant -1 / lam left out
+        return -len(v) / 2 * np.log(t.var()) + (lam - 1) * sl
+
+    best = max(P.POWER_LAMBDAS, key=likelihood)
+    best = max((round(best + d, 2) for d in P.POWER_STEPS), key=likelihood)
+    assert abs(fit["lam"][0] - best) < 0.011
+    assert fit["s"][0] != 1.0
