@@ -7,7 +7,10 @@ Visibility rules leave out what a browser would not show. The renderer emits
 all visible text: inline white space collapses, blocks stand on lines of their
 own, paragraphs, headings, lists and tables are set off by a blank line, list
 items carry bullets or numbers and are indented by depth, preformatted text
-keeps its lines, and the cells of a table are padded to columns.
+keeps its lines, and the cells of a table are padded to columns; a cell that
+spans rows keeps its columns in the rows below. Of inline SVG the text
+elements and foreign objects are shown, of MathML all but the annotations; the
+texts of an SVG, and the parts of a fraction or matrix, are set off by a space.
 
 The tree is a flat event stream with explicit stacks: work and memory are
 linear in the page, at any depth of nesting.
@@ -31,7 +34,14 @@ from .common import bounded_batches
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = set("head script style template noscript title datalist object iframe canvas audio video svg math param source track".split())
+HIDDEN = set("head script style template noscript title datalist object iframe canvas audio video param source track".split())
+#: Hidden in SVG or MathML only, and the elements that hold HTML (or text) in them.
+FOREIGN_HIDDEN = {"svg": set("defs desc metadata symbol clippath mask marker pattern".split()),
+                  "math": set("annotation annotation-xml mphantom".split())}
+INTEGRATION = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Tags that end SVG and MathML where they stand directly in it.
+BREAKOUT = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta
+nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
 BLOCK = set("""address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul
 caption thead tbody tfoot tr td th""".split())
@@ -48,13 +58,25 @@ IMPLIED_END = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
 CLOSES_P = BLOCK - {"html", "body", "option", "optgroup", "legend", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
-SCOPE = {"table", "td", "th", "caption", "html", "button", "object"}
+SCOPE = {"table", "td", "th", "caption", "html", "button", "object"} | INTEGRATION - {"desc", "title"}
 
 _STYLE_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
-def is_hidden(tag: str, attrs: dict) -> bool:
+def space_of(tag: str, parent: str) -> str:
+    """What the content of an element is: "svg", "svg text", "math", or "" for HTML."""
+    if tag in ("svg", "math"):
+        return tag
+    if parent and tag in INTEGRATION:
+        return ""
+    return "svg text" if parent == "svg" and tag == "text" else parent
+
+
+def is_hidden(tag: str, attrs: dict, parent: str = "") -> bool:
+    if parent and (tag in FOREIGN_HIDDEN[parent[:4].strip()] or attrs.get("display") == "none"
+                   or attrs.get("visibility") in ("hidden", "collapse")):
+        return True
     return (tag in HIDDEN or "hidden" in attrs or bool(_STYLE_HIDDEN.search(attrs.get("style") or ""))
             or tag == "input" or (tag == "dialog" and "open" not in attrs))
 
@@ -67,14 +89,17 @@ class _Builder(HTMLParser):
         self.events: list[tuple] = []
         self.stack: list[str] = []
         self.open_count: dict[str, int] = {}
+        self.spaces = [""]  # what each open element holds
 
     def _push(self, tag, attrs):
+        self.spaces.append(space_of(tag, self.spaces[-1]))
         self.events.append(("open", tag, attrs))
         self.stack.append(tag)
         self.open_count[tag] = self.open_count.get(tag, 0) + 1
 
     def _pop(self):
         tag = self.stack.pop()
+        self.spaces.pop()
         self.open_count[tag] -= 1
         self.events.append(("close", tag, None))
 
@@ -95,6 +120,9 @@ class _Builder(HTMLParser):
         attrs = {k: v if v is not None else "" for k, v in reversed(attrs)}
         if tag in ("html", "body") and self.open_count.get(tag):
             return
+        if tag in BREAKOUT:
+            while self.spaces[-1]:
+                self._pop()
         if tag == "body" or (tag not in HIDDEN and tag not in ("html", "meta", "link", "base")):
             self._close_to({"head"}, set())
         if tag in CLOSES_P:
@@ -116,7 +144,11 @@ class _Builder(HTMLParser):
         return False
 
     def handle_startendtag(self, tag, attrs):
+        depth = len(self.stack)
+        foreign = self.spaces[-1] or tag in ("svg", "math")
         self.handle_starttag(tag, attrs)  # a slash closes nothing in HTML
+        if foreign and len(self.stack) > depth and tag not in BREAKOUT:
+            self._pop()
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -226,8 +258,32 @@ class _Flow:
         return lines
 
 
-def _span(value: str | None) -> int:
-    return max(1, min(int(value), 1000)) if value and re.fullmatch(r"\s*[0-9]{1,6}\s*", value) else 1
+def _span(value: str | None, most: int, least: int = 1) -> int:
+    return max(least, min(int(value), most)) if value and re.fullmatch(r"\s*[0-9]{1,6}\s*", value) else 1
+
+
+def spread(rows: list[list[tuple[list[str], int, int]]], starts: set[int]) -> list[list[tuple[list[str], int]]]:
+    """Rows of (cell lines, column span, row span) to rows of (cell lines,
+    column span), with empty cells where a cell of a row above stands. A row
+    span ends with its row group; ``starts`` are the first rows of the groups."""
+    out, open_ = [], []  # open: (first column, end column, last row), by column
+    for k, r in enumerate(rows):
+        open_ = [] if k in starts else [x for x in open_ if x[2] >= k]
+        line, at, i, new = [], 0, 0, []
+        for cell, span, down in r:
+            free = at
+            while i < len(open_) and open_[i][0] <= free:
+                free = max(free, open_[i][1])
+                i += 1
+            if free > at:
+                line.append(([""], free - at))
+            line.append((cell, span))
+            at = free + span
+            if down != 1:
+                new.append((free, at, k + down - 1 if down else len(rows)))
+        out.append(line)
+        open_ = sorted(open_ + new) if new else open_
+    return out
 
 
 def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -270,22 +326,32 @@ def render(html: str | None) -> str:
     tables: list[dict] = []
     details: list[dict] = []
     opened: list[str] = []  # what each open element has to undo
+    spaces = [""]  # what each open element holds: HTML, SVG or MathML
+    fractions: list[int] = []  # levels of open MathML fractions
     for what, tag, attrs in builder.finish():
         flow = flows[-1]
         # what stands directly in closed details is not shown (its summary is)
         folded = bool(details) and details[-1]["closed"] and details[-1]["level"] == len(opened)
         if what == "text":
-            if not hidden and not folded:
+            if not hidden and not folded and spaces[-1] != "svg":
                 flow.raw(tag) if pre else flow.text(tag)
             continue
         if what == "open":
-            if hidden or is_hidden(tag, attrs):
+            if hidden or is_hidden(tag, attrs, spaces[-1]):
                 hidden += 1
                 continue
             if folded and tag != "summary":
                 hidden += 1
                 continue
             undo = ""
+            if (spaces[-1] == "svg" and tag == "text" or spaces[-1] == "svg text" and tag == "tspan" and {"x", "y", "dy"} & set(attrs)
+                    or spaces[-1] == "math" and (tag in ("mtr", "mtd") or fractions and fractions[-1] == len(opened))):
+                flow.text(" ")
+                undo = "apart"
+            spaces.append(space_of(tag, spaces[-1]))
+            if tag == "mfrac" and spaces[-1] == "math":
+                fractions.append(len(opened) + 1)
+                undo = undo + " fraction"
             if tag == "br":
                 if flow.line:
                     flow.end_line()
@@ -323,16 +389,18 @@ def render(html: str | None) -> str:
                 undo = "pre"
             elif tag == "table":
                 flow.block(True)
-                tables.append({"rows": [], "flow": len(flows)})
+                tables.append({"rows": [], "starts": set()})
                 undo = "table"
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1]["starts"].add(len(tables[-1]["rows"]))
+                flow.block(False)
             elif tag == "tr" and tables:
                 tables[-1]["rows"].append([])
             elif tag in ("td", "th") and tables:
                 if not tables[-1]["rows"]:
                     tables[-1]["rows"].append([])
                 flows.append(_Flow())
-                tables[-1]["span"] = _span(attrs.get("colspan"))
-                undo = f"cell {tables[-1]['span']}"
+                undo = f"cell {_span(attrs.get('colspan'), 1000)} {_span(attrs.get('rowspan'), 65534, 0)}"
             elif tag == "details":
                 flow.block(False)
                 details.append({"closed": "open" not in attrs, "level": len(opened) + 1})
@@ -348,11 +416,17 @@ def render(html: str | None) -> str:
             hidden -= 1
             continue
         undo = opened.pop()
+        spaces.pop()
+        if undo.endswith("fraction"):
+            fractions.pop()
+        if undo.startswith("apart"):
+            flow.text(" ")
         if undo.startswith("cell"):
             lines = flows.pop().result()
-            tables[-1]["rows"][-1].append((lines or [""], int(undo[5:])))
+            tables[-1]["rows"][-1].append((lines or [""], *map(int, undo.split()[1:])))
         elif undo == "table":
-            flows[-1].rule(table_lines(tables.pop()["rows"]))
+            done = tables.pop()
+            flows[-1].rule(table_lines(spread(done["rows"], done["starts"])))
         elif undo == "list":
             lists.pop()
             flow.block(not lists)

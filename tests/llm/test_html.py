@@ -48,3 +48,29 @@ def test_all_visible_words_stay():
 
 def test_depth():
     assert render("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+
+
+def test_mathml():
+    page = ("<p>if <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac><mspace/><mtext>or so</mtext></mrow>"
+            "<annotation encoding='application/x-tex'>no</annotation><annotation-xml><mi>no</mi></annotation-xml>"
+            "</semantics></math> then <annotation>yes</annotation></p>")
+    assert render(page) == "if x= 1 y or so then yes"
+
+
+def test_svg():
+    page = ("<p>a <svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><defs/><path d='M0'/>no"
+            "<g><text x=1>North <tspan>Sea</tspan></text><text>12 km</text><text visibility='hidden'>no</text>"
+            "<text><tspan x=0 y=1>two</tspan><tspan x=0 y=2>lines</tspan></text></g>"
+            "<foreignObject><div>box</div></foreignObject></svg> b</p>")
+    assert render(page) == "a North Sea 12 km two lines\nbox\nb"
+    assert render("<svg><text>in</text><g><p>out") == "in\n\nout"
+    assert render("<svg>" + "<g>" * 20_000 + "<text>deep</text>") == "deep"
+
+
+def test_rowspan():
+    page = "<table><tr><td rowspan=2>ab<td>c<td>d<tr><td>e<td>f<tr><td>g<td>h<td>i</table>"
+    assert render(page) == "ab | c | d\n   | e | f\ng  | h | i"
+    page = "<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g<td>h</table>"
+    assert render(page) == "a | b | c\nd |   | e\nf | g | h"
+    page = "<table><tr><td rowspan=3 colspan=2>ab<td>c<tr><td rowspan=2>d<td>e<tr><td>f</table>"
+    assert [x.split("|")[-1].strip() for x in render(page).split("\n")] == ["c", "e", "f"]
