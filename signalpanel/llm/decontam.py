@@ -18,8 +18,9 @@ bounded however large the benchmark is. Texts are never shuffled.
 
 Texts and items are compared in lower case with white space collapsed.
 
-Defined results: NULL and empty texts match nothing; items under ``MIN_CHARS``
-characters are not searched (any text holds such strings by chance); equal
+Defined results: NULL and empty texts match nothing; an item under ``MIN_CHARS``
+characters matches a text that is just this item (longer texts hold such
+strings by chance); equal
 rows match alike; an empty benchmark or corpus gives no matches; a text with
 a NULL id is matched like any other.
 """
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 Q = 8
+#: For whole items whose bound would fall under 1 (30 and 31 characters).
+SMALL_Q = 6
 #: Edits allowed per hundred characters of a piece.
 EDIT_PERCENT = 10
 #: The step is no larger than the edits allowed in a piece.
@@ -79,6 +82,11 @@ def edit_budget(length: int) -> int:
     return length * EDIT_PERCENT // 100
 
 
+def q_bound(length, q: int = Q):
+    """q-grams that a piece shares with a text at least (lengths, or an array of them)."""
+    return length - q + 1 - q * (length * EDIT_PERCENT // 100)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -101,8 +109,13 @@ def _grams(codes: np.ndarray, powers: tuple[np.ndarray, np.ndarray], q: int = Q)
 class Index:
     """q-grams of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
-        rows = [(i, t) for i, t in ((i, normalise(text)) for i, text in items) if len(t) >= MIN_CHARS]
+    def __init__(self, items: list[tuple[int | None, str]], q: int = Q):
+        self.q = q
+        rows = [(i, normalise(text)) for i, text in items]
+        exact = [(i, t) for i, t in rows if 0 < len(t) < MIN_CHARS]
+        least = {m for m in range(MIN_CHARS, PIECE_SIZES[0]) if q > SMALL_Q and q_bound(m, q) < 1}
+        small = [(i, t) for i, t in rows if len(t) in least]
+        rows = [(i, t) for i, t in rows if len(t) >= MIN_CHARS and len(t) not in least]
         whole = [_codes(t) for _, t in rows]
         chars = np.array([len(c) for c in whole], np.int64)
         self.longest = int(chars.max(initial=0))
@@ -119,12 +132,11 @@ class Index:
             mine = [k for k, x in enumerate(found) if x[0] == m]
             place = np.array([found[k][1] * (self.longest + 1) + found[k][2] for k in mine], np.int64)
             held = np.minimum(chars, m)
-            bound = np.maximum(1, held - Q + 1 - Q * (held * EDIT_PERCENT // 100))
-            self.sizes.append((mine[0] if mine else 0, place, held - Q, bound))
+            self.sizes.append((mine[0] if mine else 0, place, held - q, q_bound(held, q)))
         self.row_budget = np.minimum(chars, PIECE_CHARS) * EDIT_PERCENT // 100
         self.row_bound = np.min([x[3] for x in self.sizes], axis=0)
         self.powers = _powers(2 * _PART_CHARS)
-        grams = [_grams(c, self.powers) for c in whole]
+        grams = [_grams(c, self.powers, q) for c in whole]
         sizes = [len(g) for g in grams]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -137,6 +149,13 @@ class Index:
         self.most = int(self.length.max(initial=0))
         self.slack = int(self.budget.max(initial=0))
         self.gap = self.most + 2 * BAND + 4 * self.slack  # between texts: no band of a piece reaches two of them
+        # items found otherwise, numbered after the pieces
+        self.small, self.first_small = Index(small, SMALL_Q) if small else None, len(self.items)
+        self.items += self.small.items if small else []
+        self.exact: dict[str, list[int]] = {}
+        for i, t in exact:
+            self.exact.setdefault(t, []).append(len(self.items))
+            self.items.append(i)
 
     def _hits(self, at, low, n, width):
         """(row and band, item position) of the shared q-grams, part by part."""
@@ -155,7 +174,7 @@ class Index:
 
     def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, first diagonal) of the bands in which a piece reaches the q-gram bound."""
-        h = _grams(codes, self.powers)
+        h = _grams(codes, self.powers, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
         low = np.searchsorted(self.hash, h[at], "left")
         n = np.searchsorted(self.hash, h[at], "right") - low
@@ -229,8 +248,13 @@ class Index:
         """(text, piece, begin, end, edits) of verified pieces; positions
         count characters of the normalised text, ``begin`` by the piece's length."""
         out: set[tuple[int, int, int, int, int]] = set()
-        if not self.items:
-            return []
+        if self.exact:
+            for k, t in enumerate(map(normalise, texts)):
+                out.update((k, p, 0, len(t), 0) for p in self.exact.get(t, ()))
+        if self.small:
+            out.update((k, self.first_small + p, *rest) for k, p, *rest in self.small.matches(texts))
+        if not self.codes:
+            return sorted(out)
         held, size = [], 0
 
         def work():

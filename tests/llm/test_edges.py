@@ -222,6 +222,21 @@ def test_decontaminate_excerpts():
     assert got == want and 0 < len(want) < 20
 
 
+def test_decontaminate_short_items():
+    """Items of 30 and 31 characters with spread edits; items under the least length as whole texts."""
+    r = random.Random(2)
+    for n in (24, 29, 30, 31, 32, 40, 63, 64, 65):
+        item = "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+        e = decontam.edit_budget(n)
+        at = [(k + 1) * n // (e + 1) - 1 for k in range(e)]
+        text = "x y " + "".join("#" if k in at else c for k, c in enumerate(item)) + " z"
+        index = decontam.Index([(7, item), (8, "no such text at all " * 5)])
+        assert {(m[0], index.items[m[1]], m[4]) for m in index.matches(["", text])} >= {(1, 7, e)}, n
+    index = decontam.Index([(1, "What is 2 + 2?"), (2, "yes"), (None, ""), (3, "what is  2 + 2?")])
+    got = index.matches(["what is 2 +\n2?", "yes and no", None, "", " YES "])
+    assert [(k, index.items[p], *rest) for k, p, *rest in got] == [(0, 1, 0, 14, 0), (0, 3, 0, 14, 0), (4, 2, 0, 3, 0)]
+
+
 def test_warc(spark, tmp_path):
     magic = "WARC/1.1\r\n"
     inner = magic + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
