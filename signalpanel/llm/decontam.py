@@ -27,6 +27,7 @@ a NULL id is matched like any other.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,7 +317,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text: str =
     out = []
     for k in range(blocks):
         rows = b.filter(F.pmod(F.xxhash64("item", "k", "p"), F.lit(blocks)) == k).select("item", "p").distinct().collect()
-        key = f"{spark.sparkContext.applicationId}-{id(b)}-{k}"
+        key = str(uuid.uuid4())
         out.append(spark.sparkContext.broadcast((key, sorted((tuple(r) for r in rows), key=str))))
     return out
 

@@ -237,6 +237,13 @@ def test_decontaminate_short_items():
     assert [(k, index.items[p], *rest) for k, p, *rest in got] == [(0, 1, 0, 14, 0), (0, 3, 0, 14, 0), (4, 2, 0, 3, 0)]
 
 
+def test_decontaminate_two_benchmarks(spark, monkeypatch):
+    """A worker never takes the index of another benchmark, also if that is freed."""
+    monkeypatch.setattr(decontam, "id", lambda _: 1, raising=False)
+    bench = [spark.createDataFrame([(1, f"{w} " * 12)], "item_id long, text string") for w in ("first", "second")]
+    assert len({decontam.benchmark_blocks(b)[0].value[0] for b in bench}) == 2
+
+
 def test_warc(spark, tmp_path):
     magic = "WARC/1.1\r\n"
     inner = magic + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
