@@ -92,26 +92,11 @@ def unpack(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else z.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
 
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so they have inverses modulo 2^64
-_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 4
-
-
-def string_hashes(chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the bytes and length of each string, vectorised
-    over the strings' common buffer."""
-    if not len(chunks):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset:chunks.offset + len(chunks) + 1].astype(np.int64)
-    data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].astype(np.uint64) + np.uint64(1)
-    begin, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
-    if len(_powers[0]) <= len(data):
-        for k, base in enumerate(_BASES):
-            for i, v in enumerate((base, pow(base, -1, 1 << 64))):
-                _powers[2 * k + i] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(2 * len(data), v, np.uint64))))
-    out = []
-    for k in range(2):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(data * _powers[2 * k][:len(data)], dtype=np.uint64)))
-        h = (sums[end] - sums[begin]) * _powers[2 * k + 1][begin] + (end - begin).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(h ^ (h >> np.uint64(32)))
-    return out[0], out[1]
+def string_hashes(strings: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """128 hash bits (XXH3) of the UTF-8 bytes of each string, as two halves."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    raw = b"".join([digest(x) for x in strings.cast(pa.binary()).to_pylist()])
+    halves = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()

@@ -2,11 +2,12 @@
 clashing column names, against the plain versions."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from signalpanel.llm import components, decontam, htmltext, linededup, mixing, pii, quality, simhash, substring, warc
+from signalpanel.llm import components, decontam, htmltext, linededup, mixing, pii, quality, simhash, substring, tokenbin, warc
 
 from . import brute
 
@@ -134,6 +135,54 @@ def test_lines(docs, empty):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def _doubled(n):
+    """Two texts of n characters built by doubling: equal sums under many polynomial hashes."""
+    s, t = "a", "b"
+    while len(s) < n:
+        s, t = s + t, t + s
+    return s, t
+
+
+def test_lines_built_by_doubling(spark):
+    s, t = _doubled(4096)
+    rows = [(1, s), (2, t), (3, t), (4, f"{s}\nx")]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n_lines", "n_dropped", "kept")
+    assert _rows(got) == sorted(((i, x.count("\n") + 1, 0, x) for i, x in rows), key=str)
+
+
+def test_tokens_edges(spark, docs, empty, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path(tokenbin.VOCABULARY)
+    model = Tokenizer.from_file(path)
+    tokenbin.write_shards(docs, str(tmp_path / "a"), path, partitions=3)
+    got = tokenbin.read_shards(spark, str(tmp_path / "a"), with_ids=True).collect()
+    want = brute.tokens([(i, t) for i, t in _texts()], model)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[3])  # noqa: E731  equal ids: any order
+    assert sorted(((r["id"], 0, r["n_tokens"], r["ids_crc32"]) for r in got), key=key) == sorted(((i, 0, n, c) for i, _, n, c in want), key=key)
+    ordered = sorted(got, key=lambda r: r["start"])
+    at = 0
+    for r in ordered:
+        assert r["start"] == at and len(r["ids"]) == 4 * r["n_tokens"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        at += r["n_tokens"]
+    assert [r["id"] for r in ordered] == sorted([i for i, _ in _texts()], key=lambda i: (i is not None, i or 0))
+    tokenbin.write_shards(empty, str(tmp_path / "b"), path)
+    assert tokenbin.read_shards(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_tokens_doubled_texts(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path(tokenbin.VOCABULARY)
+    s, t = _doubled(2048)
+    rows = [(1, s), (2, t), (3, s + "x"), (4, t + " " + s)]
+    tokenbin.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "a"), path, partitions=1)
+    got = tokenbin.read_shards(spark, str(tmp_path / "a")).select("id", "start", "n_tokens", "ids_crc32")
+    assert _rows(got) == sorted(brute.tokens(rows, Tokenizer.from_file(path)), key=str)
+
+
 def test_quality(docs, empty):
     got = {(r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in quality.judge(docs, "text").select("row.doc_id", "n_words", "n_repeat_words").collect()}
     for i, t in _texts():
