@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op13_align
 from .decontam import op9_decontaminate
 from .htmltext import op8_html_text
 from .linededup import OP5_SQL, op5_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op13_align": op13_align,
 }
 ORACLE = {
     "op2_warc": OP2_SQL,

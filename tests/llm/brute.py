@@ -117,3 +117,64 @@ def edit_distance_in(pattern, text):
             new.append(min(row[j - 1] + (p != c), row[j] + 1, new[j - 1] + 1))
         row = new
     return min(row)
+
+
+def align(rows, model_a, model_b):
+    """rows: (id, text); model_a from the tokenizers library, model_b from sentencepiece."""
+    def token_bytes_b(i):
+        return bytes([int(model_b.id_to_piece(i)[3:5], 16)]) if model_b.is_byte(i) else model_b.id_to_piece(i).replace("▁", " ").encode()
+
+    def spans(ids, texts):
+        out, at = [], 0
+        for i, t in zip(ids, texts):
+            out.append((i, at, at + len(t)))
+            at += len(t)
+        return out
+
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    back = {chr(b): b for b in printable}
+    for b in range(256):
+        if b not in printable:
+            back[chr(256 + len(back) - len(printable))] = b
+    docs, held = [], {}
+    for i, t in rows:
+        a = b = []
+        if t:
+            a = model_a.encode(" " + t, add_special_tokens=False).ids
+            b = model_b.encode(t)
+            bytes_a = [bytes(back[c] for c in model_a.id_to_token(x)) for x in a]
+            bytes_b = [token_bytes_b(x) for x in b]
+            if not b"".join(bytes_a) == b"".join(bytes_b) == (" " + t).encode():
+                a = b = []
+        if not a:
+            docs.append((i, [], [], [], []))
+            continue
+        sa, sb = spans(a, bytes_a), spans(b, bytes_b)
+        links = [(x, y) for x, f, g in sa for y, h, k in sb if f < k and h < g] if len(sa) * len(sb) < 4e6 else _sweep(sa, sb)
+        cuts = sorted({g for _, _, g in sa} & {g for _, _, g in sb})
+        names, low = [], 0
+        for c in cuts:
+            names.append(",".join(str(x) for x, f, g in sa if low <= f and g <= c) + "|"
+                         + ",".join(str(x) for x, f, g in sb if low <= f and g <= c)) if len(cuts) < 3000 else None
+            low = c
+        docs.append((i, a, b, names if len(cuts) < 3000 else cuts, links))
+        for pair in set(links):
+            held[pair] = held.get(pair, 0) + 1
+    best = {}
+    for (x, _), n in held.items():
+        best[x] = max(best.get(x, 0), n)
+    return [(i, len(a), len(b), len(g), len(ls), sum(held[p] == best[p[0]] for p in ls), sum(held[p] for p in ls),
+             (sha(";".join(g)) if isinstance(g[0], str) else None) if g else "") for i, a, b, g, ls in docs]
+
+
+def _sweep(sa, sb):
+    out, k = [], 0
+    for x, f, g in sa:
+        while k and sb[k - 1][2] > f:
+            k -= 1
+        while k < len(sb) and sb[k][1] < g:
+            if sb[k][2] > f:
+                out.append((x, sb[k][0]))
+            k += 1
+        k = max(0, k - 1)
+    return out
