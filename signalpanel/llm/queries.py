@@ -8,6 +8,7 @@ from .htmltext import op8_html_text
 from .linededup import OP5_SQL, op5_line_dedup
 from .mixing import OP3_SQL, op3_mix
 from .pii import op10_pii
+from .ppm import op11_ppm
 from .quality import OP4_SQL, op4_quality
 from .simhash import op1_simhash
 from .substring import op7_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_ppm": op11_ppm,
     "op13_align": op13_align,
 }
 ORACLE = {

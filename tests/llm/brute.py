@@ -1,6 +1,7 @@
 """Plain versions of the operators' contracts, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -178,3 +179,49 @@ def _sweep(sa, sb):
             k += 1
         k = max(0, k - 1)
     return out
+
+
+def ppm(rows, held, order):
+    """rows: (id, text); held: flags. Base and model scores, contexts as tuples, exclusions as sets."""
+    def lower(t):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+    seen, nodes = {}, {}
+    for (_, t), out in zip(rows, held):
+        if out:
+            continue
+        for w in [*words(lower(t)), None]:
+            seen[w] = seen.get(w, 0) + 1
+        s = (257,) * order + tuple(lower(t).encode()) + (256,)
+        for p in range(order, len(s)):
+            for k in range(order + 1):
+                node = nodes.setdefault(s[p - k:p], {})
+                node[s[p]] = node.get(s[p], 0) + 1
+    n, v = sum(seen.values()), len(seen)
+    cache = {}
+
+    def cost(context, x):
+        if (context, x) not in cache:
+            out, gone = 0.0, set()
+            for k in range(len(context) + 1):
+                node = {y: c for y, c in nodes.get(context[k:], {}).items() if y not in gone}
+                room = sum(node.values()) + len(node)
+                if x in node:
+                    out += math.log10(node[x] / room)
+                    break
+                if node:
+                    out += math.log10(len(node) / room)
+                gone |= set(node)
+            else:
+                out -= math.log10(257 - len(gone))
+            cache[context, x] = out
+        return cache[context, x]
+
+    result = []
+    for (i, t), out in zip(rows, held):
+        ws = [*words(lower(t)), None]
+        s = (257,) * order + tuple(lower(t).encode()) + (256,)
+        result.append((i, out, len(ws), sum(w in seen for w in ws), n,
+                       sum(math.log10((seen.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in ws),
+                       sum(cost(s[p - order:p], s[p]) for p in range(order, len(s)))))
+    return result
