@@ -8,6 +8,7 @@ from .htmltext import op8_html_text
 from .linededup import OP5_SQL, op5_line_dedup
 from .mixing import OP3_SQL, op3_mix
 from .pii import op10_pii
+from .phrases import OP12_SQL, op12_phrases
 from .ppm import op11_ppm
 from .quality import OP4_SQL, op4_quality
 from .simhash import op1_simhash
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_ppm": op11_ppm,
+    "op12_phrases": op12_phrases,
     "op13_align": op13_align,
 }
 ORACLE = {
@@ -34,4 +36,5 @@ ORACLE = {
     "op3_mix": OP3_SQL,
     "op4_quality": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op12_phrases": OP12_SQL,
 }

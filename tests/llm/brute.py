@@ -7,6 +7,7 @@ import zlib
 
 import xxhash
 
+SCALE = 1_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -225,3 +226,36 @@ def ppm(rows, held, order):
                        sum(math.log10((seen.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in ws),
                        sum(cost(s[p - order:p], s[p]) for p in range(order, len(s)))))
     return result
+
+
+def phrases(rows, max_words=3, min_count=10, top=2000, inside=50):
+    """rows: (text, lang)."""
+    f, n = {}, {}
+    for t, lang in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            ws = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(len(ws)):
+                n[lang] = n.get(lang, 0) + 1
+                for m in range(1, max_words + 1):
+                    if k + m <= len(ws):
+                        g = (lang, *ws[k:k + m])
+                        f[g] = f.get(g, 0) + 1
+    hidden = {}
+    frequent = [g for g, c in f.items() if len(g) > 2 and c >= min_count]
+    for g in frequent:
+        for m in range(2, len(g) - 1):
+            for k in range(1, len(g) - m + 1):
+                sub = (g[0], *g[k:k + m])
+                hidden[sub] = max(hidden.get(sub, 0), f[g])
+    out = {}
+    for g in frequent:
+        a = f[g]
+        if g in hidden and 100 * hidden[g] >= inside * a:
+            continue
+        cuts = [(SCALE * a * a // (f[g[:k + 1]] * f[(g[0], *g[k + 1:])]), k) for k in range(1, len(g) - 1)]
+        score, k = min(cuts)
+        out.setdefault(g[0], []).append((-score, -a, " ".join(g[1:]).encode(), f[g[:k + 1]], f[(g[0], *g[k + 1:])]))
+    return [(lang, i + 1, p.decode(), -a, lf, r, n[lang], -s)
+            for lang, rs in out.items() for i, (s, a, p, lf, r) in enumerate(sorted(rs)[:top])]
