@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.chunks import long_signal_features
 from ..functions.matrix import SPECS, feature_matrix, window_features
 from ..sources import fixtures as fx
 from ..sources import frames as S
@@ -496,6 +497,7 @@ def q_top_configs(spark, sf):
 
 
 # ------------------------------------------------------------ S1–S10, W1–W12, F23
+from ..functions.chunks import long_signal_features
 from ..functions.matrix import feature_columns  # noqa: E402
 from ..operators import windows as W  # noqa: E402
 from ..sources import detections as D  # noqa: E402
@@ -689,7 +691,7 @@ def q_subject_signal_features(spark, sf):
     fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
     kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
     sig = W.subject_signal(fr, kept)
-    feats = window_features(sig, WK, fx.B1_CHANNELS, SPECS["subject"])
+    feats = long_signal_features(sig, WK, fx.B1_CHANNELS)
     return rounded(feats.withColumn("y", F.when(S.is_control("subject_id"), 0).otherwise(1)))
 
 
@@ -902,9 +904,9 @@ def q_select_k_best(spark, sf):
 from . import models as M  # noqa: E402
 
 
-def _b2_rows(spark, sf):
+def _b2_rows(spark, sf, features=fx.features_b2):
     """Long model rows over B2: (fold, part, subject, window, label, y, x)."""
-    sp = C.all_splits(fx.features_b2(spark, sf), _b2_folds(spark, sf), 3)
+    sp = C.all_splits(features(spark, sf), _b2_folds(spark, sf), 3)
     lab = F.explode(F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y")) for l in fx.B2_LABELS]))
     return (sp.select("fold", "part", "subject_id", "win_from", "win_to", "x", lab.alias("_l"))
             .select("fold", "part", "subject_id", "win_from", "win_to", "_l.label", F.col("_l.y").cast("int").alias("y"), "x")
@@ -979,25 +981,23 @@ def _panel_specs():
 
 
 MODEL_FAMILIES = ("logreg", "sgd_log", "linear_svc", "rbf_svm", "random_forest", "extra_trees", "mlp", "adaboost", "gbt")
-#: Lowest train AUC (mean over folds and labels) of a family that has learned.
-TRAIN_AUC = 0.6
+#: Lowest test AUC (mean over folds and labels) of a family that has learned the planted features.
+TEST_AUC = 0.75
 
 for _fam in MODEL_FAMILIES:
     def _mkm(fam):
         def q(spark, sf):
             spec = _panel_specs()[fam]
-            rows = _b2_rows(spark, sf)
+            rows = _b2_rows(spark, sf, fx.features_b2_planted)
             sc = M.fit_panel(rows, [spec], fx.B2_LABELS, folds=[0, 1, 2], scaler_fn=_scaler_fn, parallelism=9)
-            auc = E.roc_auc(sc, by=["fold", "part"])
-            # calibration on noise may turn the order round: either way counts
-            mean = auc.filter("part = 'train'").agg(F.avg(F.greatest(F.col("auc"), 1 - F.col("auc"))).alias("_m"))
+            mean = E.roc_auc(sc, by=["fold", "part"]).filter("part = 'test'").agg(F.avg("auc").alias("_m"))
             bad = F.col("p").isNull() | F.isnan("p") | (F.col("p") < 0) | (F.col("p") > 1)
             n = sc.groupBy("scaler", "model", "fold", "part", "label").agg(
                 F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("y") == 1).alias("n_pos"),
                 F.count_if(bad).alias("n_invalid"), F.countDistinct("subject_id").alias("n_subjects"))
             return n.crossJoin(F.broadcast(mean)).select(  # one row
-                *n.columns, (F.col("_m") >= TRAIN_AUC).alias("learned"))
-        q.__doc__ = f"M1–M16: {fam} scorer with the panel's parameters per (fold, label), fit once, train and test scored: invariants."
+                *n.columns, (F.col("_m") >= TEST_AUC).alias("learned"))
+        q.__doc__ = f"M1–M16: {fam} scorer with the panel's parameters per (fold, label), fit once, train and test scored: counts, and the test AUC on planted features."
         return q
     _spec = _panel_specs()[_fam]
     register(f"model_scores_{_fam}", f"""with {_SPLIT_SQL.replace("select fold, part, 'lo'", "select subject_id, fold, part, 'lo'").replace("select fold, part, 'mid'", "select subject_id, fold, part, 'mid'").replace("select fold, part, 'even'", "select subject_id, fold, part, 'even'")}
@@ -1678,7 +1678,7 @@ def q_subject_panel(spark, sf):
     folds, scalers, uniform Euclidean nearest neighbours of its grid, summary."""
     fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
     kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
-    feats = rounded(window_features(W.subject_signal(fr, kept), WK, fx.B1_CHANNELS, SPECS["subject"]))
+    feats = rounded(long_signal_features(W.subject_signal(fr, kept), WK, fx.B1_CHANNELS))
     labels = feats.select(*WK, F.when(S.is_control("subject_id"), 0).otherwise(1).alias("y")).distinct()
     rows = _l1_rows(feats, labels, SPECS["subject"])
     specs = [s for s in l1.l1_specs(l1.SUBJECT_GRIDS, ["knn"]) if s.params["p"] == 2 and s.params["weights"] == "uniform"]
@@ -1704,7 +1704,7 @@ def _task_panel_rows(spark, sf):
 def _subject_panel_rows(spark, sf):
     fr = W.drop_ambiguous(fx.frames_b1(spark, sf), "lab_a")
     kept = W.positives_and_controls(W.window_label(fr, "lab_a"))
-    feats = rounded(window_features(W.subject_signal(fr, kept), WK, fx.B1_CHANNELS, SPECS["subject"]))
+    feats = rounded(long_signal_features(W.subject_signal(fr, kept), WK, fx.B1_CHANNELS))
     labels = feats.select(*WK, F.when(S.is_control("subject_id"), 0).otherwise(1).alias("y")).distinct()
     return _l1_rows(feats, labels, SPECS["subject"])
 
@@ -1773,3 +1773,6 @@ def q_pose_feature_matrix(spark, sf):
     fr = S.drop_incomplete(fr, DISTANCE_COLS)
     wl = fr.groupBy(*WK).agg(F.count(F.lit(1)).alias("n_frames"))
     return rounded(feature_matrix(window_features(fr, WK, DISTANCE_COLS), wl, WK, DISTANCE_COLS))
+
+
+from . import registry_models  # noqa: E402, F401

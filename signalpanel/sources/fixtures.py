@@ -106,6 +106,16 @@ def features_b2(spark: SparkSession, sf_dir: str) -> DataFrame:
         y(lab < 3).alias("lo"), y(lab.isin(3, 4)).alias("mid"), y(lab % 2 == 0).alias("even"))
 
 
+def features_b2_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 with three more features that tell the labels of all but the controls."""
+    emb = table(spark, sf_dir, "embeddings").select(
+        F.expr("vec_id div 4").alias("_s"), (F.col("vec_id") % 4).cast("int").alias("win_from"),
+        F.array((F.col("label") / 10.0).cast("double"), (F.col("label") % 2).cast("double"),
+                F.col("label").isin(3, 4).cast("double")).alias("_more"))
+    b = features_b2(spark, sf_dir).withColumn("_s", F.substring("subject_id", 2, 9).cast("long"))
+    return b.join(emb, ["_s", "win_from"]).withColumn("x", F.concat("x", "_more")).drop("_s", "_more")
+
+
 def scores_b3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long (subject, label) scores without a model; fold = subject mod 3."""
     lb = table(spark, sf_dir, "labels")
