@@ -62,21 +62,25 @@ def open_block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             np.frombuffer(row["k"], np.int8).reshape(n, -1))
 
 
-def _merge(keys: Sequence[str]):
+def _merge(keys: Sequence[str], finish: Callable[[str, np.ndarray], np.ndarray] | None = None):
     def run(key, parts):
         data = parts.column("data").to_pylist()
         total = np.frombuffer(data[0]).copy()
         for d in data[1:]:
             total += np.frombuffer(d)
+        if finish is not None:
+            total = np.ascontiguousarray(finish(key[0].as_py(), total), float)
         return pa.table({**{c: pa.array([v.as_py()], parts.schema.field(c).type) for c, v in zip(keys, key)},
                          "data": pa.array([total.tobytes()], pa.binary())})
     return run
 
 
-def block_sums(blocks: DataFrame, work: Callable[[dict], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+def block_sums(blocks: DataFrame, work: Callable[[dict], dict[str, np.ndarray]],
+               finish: Callable[[str, np.ndarray], np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Add up ``work(block)``, vectors by key, over all blocks: in each task,
     then over groups of tasks, then over all; the few vectors of at most
-    ``DIRECT`` tasks are added up as they come."""
+    ``DIRECT`` tasks are added up as they come. ``finish(key, sum)`` makes the
+    result of a key where its sum is."""
     tasks = blocks.rdd.getNumPartitions()
     fan = math.isqrt(tasks)
 
@@ -95,9 +99,9 @@ def block_sums(blocks: DataFrame, work: Callable[[dict], dict[str, np.ndarray]])
     sums = blocks.mapInArrow(run, "key string, part int, data binary")
     if tasks > DIRECT:
         sums = sums.groupBy("key", "part").applyInArrow(_merge(["key", "part"]), "key string, part int, data binary")
-        sums = sums.groupBy("key").applyInArrow(_merge(["key"]), "key string, data binary")
+        sums = sums.groupBy("key").applyInArrow(_merge(["key"], finish), "key string, data binary")
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # one vector per key, or at most DIRECT
         v = np.frombuffer(r["data"])
         out[r["key"]] = out[r["key"]] + v if r["key"] in out else v
-    return out
+    return {k: finish(k, v) for k, v in out.items()} if finish is not None and tasks <= DIRECT else out
