@@ -36,6 +36,7 @@ from ..session import ensure_checkpoint_dir
 from .blocks import block_sums, feature_blocks
 from .models import ModelSpec
 
+FAMILIES = ("random_forest", "extra_trees")
 BINS = 32
 PASS_BYTES = 32 << 20
 MOST_DEPTH = 16

@@ -980,6 +980,8 @@ def _panel_specs():
     return out
 
 
+from . import forest, linear  # noqa: E402
+
 MODEL_FAMILIES = ("logreg", "sgd_log", "linear_svc", "rbf_svm", "random_forest", "extra_trees", "mlp", "adaboost", "gbt")
 #: Lowest test AUC (mean over folds and labels) of a family that has learned the planted features.
 TEST_AUC = 0.75
@@ -989,7 +991,13 @@ for _fam in MODEL_FAMILIES:
         def q(spark, sf):
             spec = _panel_specs()[fam]
             rows = _b2_rows(spark, sf, fx.features_b2_planted)
-            sc = M.fit_panel(rows, [spec], fx.B2_LABELS, folds=[0, 1, 2], scaler_fn=_scaler_fn, parallelism=9)
+            if fam in linear.FAMILIES + forest.FAMILIES:  # all folds and labels in the same passes
+                panel = linear.linear_panel if fam in linear.FAMILIES else forest.forest_panel
+                fitted = panel(rows, [spec], fx.B2_LABELS)[0].select("fold", "label", "row_id", "p")
+                sc = rows.drop("x").join(fitted, ["fold", "label", "row_id"]).withColumns(
+                    {"scaler": F.lit(spec.scaler), "model": F.lit(spec.name)})
+            else:
+                sc = M.fit_panel(rows, [spec], fx.B2_LABELS, folds=[0, 1, 2], scaler_fn=_scaler_fn, parallelism=9)
             mean = E.roc_auc(sc, by=["fold", "part"]).filter("part = 'test'").agg(F.avg("auc").alias("_m"))
             bad = F.col("p").isNull() | F.isnan("p") | (F.col("p") < 0) | (F.col("p") > 1)
             n = sc.groupBy("scaler", "model", "fold", "part", "label").agg(
@@ -1413,62 +1421,62 @@ def q_scale_power(spark, sf):
 
 
 # ------------------------------------------------------------ C9
-@register("smote_counts", f"""with {O.B2_CTE},
-sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
+_SMOTE_TRAIN = "(select fold, label, row_id, x, y from sr where part = 'train')"
+_SMOTE_CTE = f"""{O.B2_CTE},
+sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
+              concat_ws(':', subject_id, cast(win_from as varchar), cast(win_to as varchar)) as row_id
        from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
-c as (select fold, count_if(mid = 1) as n_pos, count_if(mid = 0) as n_neg from sp where part = 'train' group by fold)
-select fold, n_pos, n_neg,
+sr as (select fold, part, row_id, x, 'lo' as label, lo as y from sp union all select fold, part, row_id, x, 'mid', mid from sp union all
+       select fold, part, row_id, x, 'even', even from sp)"""
+
+
+@register("smote_counts", f"""with {_SMOTE_CTE},
+c as (select fold, label, count_if(y = 1) as n_pos, count_if(y = 0) as n_neg from {_SMOTE_TRAIN} group by fold, label)
+select fold, label, n_pos, n_neg,
        case when n_pos >= 2 and n_neg > 0 and n_pos < n_neg and n_pos / n_neg < 0.25
-            then cast(floor(0.25 * n_neg) as bigint) - n_pos else 0 end as n_synthetic
+            then greatest(0, cast(floor(0.25 * n_neg) as bigint) - n_pos) else 0 end as n_synthetic
 from c""")
 def q_smote_counts(spark, sf):
-    """SMOTE (regular variant) on each fold's train windows of label
-    ``mid``: synthetic positives up to a 0.25 positive/negative ratio."""
-    rows = _b2_rows(spark, sf).filter((F.col("label") == "mid") & (F.col("part") == "train"))
+    """SMOTE (regular variant) on the train windows of every fold and
+    label: synthetic positives up to a 0.25 positive/negative ratio."""
+    rows = _b2_rows(spark, sf).filter(F.col("part") == "train")
     from ..operators.smote import smote
-    out = []
-    for f in range(3):
-        tr = rows.filter(F.col("fold") == f)
-        syn = smote(tr, k=5, ratio=0.25, variant="regular").agg(F.count(F.lit(1)).alias("n_synthetic"))
-        cnt = tr.agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
-        out.append(cnt.crossJoin(syn).select(F.lit(f).alias("fold"), "n_pos", "n_neg", "n_synthetic"))
-    from functools import reduce as _r
-    return _r(DataFrame.unionByName, out)
+    by = ["fold", "label"]
+    made = smote(rows, k=5, ratio=0.25, variant="regular", by=by).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.groupBy(*by).agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
+    return counts.join(made, by, "left").select(*by, "n_pos", "n_neg", F.coalesce("_n", F.lit(0).cast("long")).alias("n_synthetic"))
 
 
 def _smote_sql(variant: str) -> str:
     """All synthetic rows by brute-force neighbours. Orders and draws are md5 streams."""
     u = lambda tag: f"(('0x' || substr(md5(concat_ws(':', '42:smote', cast(j as varchar), '{tag}')), 1, 12))::BIGINT / 281474976710656.0e0)"
-    seeds = "select * from mn" if variant == "regular" else """
+    d = "sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
+    seeds = "select * from mn" if variant == "regular" else f"""
   select mn.* from mn join (
-    select fold, qid from (
-      select q.fold, q.row_id as qid, t.y, row_number() over (partition by q.fold, q.row_id order by
-               sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), t.row_id) as rk
-      from mn q join tr t on q.fold = t.fold and q.row_id <> t.row_id)
-    where rk <= 10 group by fold, qid having count_if(y = 0) >= 5 and count_if(y = 0) < 10) d on mn.fold = d.fold and mn.row_id = d.qid"""
-    return f"""{O.B2_CTE},
-sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part,
-              concat_ws(':', subject_id, cast(win_from as varchar), cast(win_to as varchar)) as row_id
-       from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
-tr as (select fold, row_id, x, mid as y from sp where part = 'train'),
+    select fold, label, qid from (
+      select q.fold, q.label, q.row_id as qid, t.y, row_number() over (partition by q.fold, q.label, q.row_id order by {d}, t.row_id) as rk
+      from mn q join tr t on q.fold = t.fold and q.label = t.label and q.row_id <> t.row_id)
+    where rk <= 10 group by all having count_if(y = 0) >= 5 and count_if(y = 0) < 10) d
+  on mn.fold = d.fold and mn.label = d.label and mn.row_id = d.qid"""
+    return f"""{_SMOTE_CTE},
+tr as {_SMOTE_TRAIN},
 mn as (select * from tr where y = 1),
-pl as (select fold, count_if(y = 1) as pos, count_if(y = 0) as neg,
+pl as (select fold, label, count_if(y = 1) as pos, count_if(y = 0) as neg,
               least(5, least(count_if(y = 1), count_if(y = 0)) - 1) as kk,
-              cast(cast(floor(0.25 * count_if(y = 0)) as bigint) - count_if(y = 1) as bigint) as n_new from tr group by fold),
+              cast(cast(floor(0.25 * count_if(y = 0)) as bigint) - count_if(y = 1) as bigint) as n_new from tr group by fold, label),
 ok as (select * from pl where pos >= 2 and neg >= 2 and pos < neg and pos / neg < 0.25 and n_new > 0),
 sd as ({seeds}),
-rk as (select sd.*, row_number() over (partition by fold order by md5('42:smote' || row_id)) - 1 as sr,
-              count(*) over (partition by fold) as n_seeds from sd),
-nb as (select q.fold, q.row_id as qid, t.row_id as nid, row_number() over (partition by q.fold, q.row_id order by
-               sqrt(list_sum(list_transform(list_zip(q.x, t.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), t.row_id) as r
-       from sd q join mn t on q.fold = t.fold and q.row_id <> t.row_id),
-dr as (select fold, kk, j, {u('seed')} as us, {u('nb')} as un, {u('lam')} as lam
-       from (select fold, kk, unnest(range(0, n_new)) as j from ok)),
-sy as (select dr.fold, dr.j, a.x as ax, b.x as bx, lam
-       from dr join rk a on a.fold = dr.fold and a.sr = cast(floor(us * a.n_seeds) as bigint)
-       join nb on nb.fold = dr.fold and nb.qid = a.row_id and nb.r = cast(floor(un * kk) as bigint) + 1
-       join mn b on b.fold = dr.fold and b.row_id = nb.nid)
-select '{variant}' as variant, fold, concat('smote:', cast(j as varchar)) as row_id,
+rk as (select sd.*, row_number() over (partition by fold, label order by md5('42:smote' || row_id)) - 1 as sr,
+              count(*) over (partition by fold, label) as n_seeds from sd),
+nb as (select q.fold, q.label, q.row_id as qid, t.row_id as nid, row_number() over (partition by q.fold, q.label, q.row_id order by {d}, t.row_id) as r
+       from sd q join mn t on q.fold = t.fold and q.label = t.label and q.row_id <> t.row_id),
+dr as (select fold, label, kk, j, {u('seed')} as us, {u('nb')} as un, {u('lam')} as lam
+       from (select fold, label, kk, unnest(range(0, n_new)) as j from ok)),
+sy as (select dr.fold, dr.label, dr.j, a.x as ax, b.x as bx, lam
+       from dr join rk a on a.fold = dr.fold and a.label = dr.label and a.sr = cast(floor(us * a.n_seeds) as bigint)
+       join nb on nb.fold = dr.fold and nb.label = dr.label and nb.qid = a.row_id and nb.r = cast(floor(un * kk) as bigint) + 1
+       join mn b on b.fold = dr.fold and b.label = dr.label and b.row_id = nb.nid)
+select '{variant}' as variant, fold, label, concat('smote:', cast(j as varchar)) as row_id,
        list_transform(list_zip(ax, bx), lambda z: round(z[1] + lam * (z[2] - z[1]), 6) + 0.0e0) as x
 from sy"""
 
@@ -1476,15 +1484,15 @@ from sy"""
 @register("smote_rows", " union all ".join(f"select * from (with {_smote_sql(v)}) {v}" for v in ("regular", "borderline")))
 def q_smote_rows(spark, sf):
     """Every synthetic row (seed, neighbour and λ from md5 streams) of the
-    regular and the borderline variant, per fold, for label ``mid``."""
+    regular and the borderline variant, for every fold and label."""
     from functools import reduce as _r
 
     from ..operators.smote import smote
-    rows = _b2_rows(spark, sf).filter((F.col("label") == "mid") & (F.col("part") == "train"))
-    out = [smote(rows.filter(F.col("fold") == f), k=5, ratio=0.25, variant=v).select(
-               F.lit(v).alias("variant"), F.lit(f).alias("fold"), "row_id",
+    rows = _b2_rows(spark, sf).filter(F.col("part") == "train")
+    out = [smote(rows, k=5, ratio=0.25, variant=v, by=["fold", "label"]).select(
+               F.lit(v).alias("variant"), "fold", "label", "row_id",
                F.transform("x", lambda e: F.round(e, 6) + F.lit(0.0)).alias("x"))
-           for v in ("regular", "borderline") for f in range(3)]
+           for v in ("regular", "borderline")]
     return _r(DataFrame.unionByName, out)
 
 
