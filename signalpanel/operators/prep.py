@@ -20,9 +20,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import ensure_checkpoint_dir
 
 SCALERS = ("standard", "minmax", "robust", "power", "none")
-#: Yeo-Johnson search: a coarse grid, then steps around its best point.
+#: Yeo-Johnson search: a first window, moved on while its best point is at an
+#: end, then finer steps around the best point, down to 1e-4.
 POWER_LAMBDAS = [round(-3.0 + 0.1 * i, 10) for i in range(61)]
-POWER_STEPS = [round(0.01 * i, 10) for i in range(-9, 10)]
+POWER_DIGITS = (2, 3, 4)
+
+
+def power_steps(digits: int) -> list[float]:
+    return [round(i * 10.0 ** -digits, 10) for i in range(-9, 10)]
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "x") -> DataFrame:
@@ -53,7 +58,7 @@ def fit_scaler(train: DataFrame, kind: str = "standard", by: Sequence[str] = (),
     standard: mean and population std (0 → 1); minmax: min and range
     (0 → 1, so constants map to 0); robust: median and IQR (0 → 1), exact
     percentiles, or ``exact=False`` for bounded-memory sketches at scale;
-    power: Yeo-Johnson λ by maximum likelihood (a grid, then finer steps),
+    power: Yeo-Johnson λ by maximum likelihood (to 1e-4, no bounds),
     then the mean/std of the transformed values.
     """
     if kind not in SCALERS:
@@ -153,23 +158,35 @@ def _likelihood(train: DataFrame, by: Sequence[str], col: str, lams: DataFrame)
 
 def _fit_power(train: DataFrame, by: Sequence[str], col: str = "x") -> DataFrame:
     """λ per feature maximising the Yeo-Johnson log-likelihood
-    −n/2·ln σ²(ψ) + (λ−1)·Σ sign(x)·ln(1+|x|): the best point of a coarse
-    grid, then of finer steps around it; with mean and std at that λ."""
+    −n/2·ln σ²(ψ) + (λ−1)·Σ sign(x)·ln(1+|x|), for all features at once:
+    the window of λ is moved until its best point is inside, then finer steps
+    around it follow; one aggregate per step. With mean and std at that λ."""
     by = list(by)
 
     def best(like):
         pick = F.max_by(F.struct("lam", "a", "s"), F.struct("L", -F.abs(F.col("lam") - 1.0)))
         return like.groupBy(*by, "j").agg(pick.alias("b")).select(*by, "j", "b.*")
 
+    def around(found, steps, digits):
+        """One array of λ per feature, around the best so far."""
+        near = F.transform(F.array(*[F.lit(x) for x in steps]), lambda d: F.round(F.col("lam") + d, digits))
+        return found.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", near.alias("v")))), lambda s: s["v"]).alias("lams"))
+
+    ensure_checkpoint_dir(train.sparkSession)
     width = train.groupBy(*by).agg(F.max(F.size(col)).alias("_d"))
     grid = F.array(*[F.lit(x) for x in POWER_LAMBDAS])
-    coarse = best(_likelihood(train, by, col, width.select(*by, F.array_repeat(grid, F.col("_d")).alias("lams"))))
-    ensure_checkpoint_dir(train.sparkSession)
-    coarse = coarse.checkpoint()  # one row per group and feature
-    near = F.transform(F.array(*[F.lit(x) for x in POWER_STEPS]), lambda d: F.round(F.col("lam") + d, 2))
-    lams = coarse.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", near.alias("v")))),
-                                               lambda s: s["v"]).alias("lams"))
-    return best(_likelihood(train, by, col, lams)).select(*by, "j", "a", "s", "lam")
+    found = best(_likelihood(train, by, col, width.select(*by, F.array_repeat(grid, F.col("_d")).alias("lams")))).checkpoint()
+    reach = max(POWER_LAMBDAS)
+    varies = F.col("s") > 1e-12 * F.abs("a")  # a constant feature has no best λ
+    at_end = found.filter(varies & (F.abs("lam") >= reach - 1e-9))
+    while not at_end.isEmpty():  # one row per group and feature
+        # features at an end of their window look one window further; the others look around their best again
+        moved = best(_likelihood(train, by, col, around(found, POWER_LAMBDAS, 1))).checkpoint()
+        ends = moved.join(found.select(*by, "j", F.col("lam").alias("_was")), [*by, "j"])
+        at_end, found = ends.filter(varies & (F.abs(F.col("lam") - F.col("_was")) >= reach - 1e-9)), moved
+    for digits in POWER_DIGITS[:-1]:
+        found = best(_likelihood(train, by, col, around(found, power_steps(digits), digits))).checkpoint()
+    return best(_likelihood(train, by, col, around(found, power_steps(POWER_DIGITS[-1]), POWER_DIGITS[-1]))).select(*by, "j", "a", "s", "lam")
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, kind: str = "standard", by: Sequence[str] = (),

@@ -1386,6 +1386,12 @@ def _power_sql() -> str:
     lams = ", ".join(f"({v!r})" for v in P.POWER_LAMBDAS)
     yj = ("case when v >= 0 then (case when abs(lam) < 1e-12 then ln(1 + v) else (power(v + 1, lam) - 1) / lam end) "
           "else (case when abs(2 - lam) < 1e-12 then -ln(1 - v) else -(power(1 - v, 2 - lam) - 1) / (2 - lam) end) end")
+    finer = "\n".join(f"""near{d} as (select fold, j, round(lam + d * {10.0 ** -d!r}, {d}) as lam from bl{d - 1} cross join range(-9, 10) s(d)),
+ll{d} as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
+       from lv join near{d} using (fold, j) where part = 'train' group by all),
+bl{d} as (select fold, j, lam from (
+           select *, row_number() over (partition by fold, j order by -n / 2.0 * ln(greatest(vt, 1e-300)) + (lam - 1) * sl desc,
+                                                             abs(lam - 1) asc) as rk from ll{d}) where rk = 1),""" for d in P.POWER_DIGITS)
     return f"""with {O.B2_CTE},
 sp as (select f.fold, b2.*, case when b2f.fold = f.fold then 'test' else 'train' end as part
        from b2 join b2f using (subject_id) cross join (values (0), (1), (2)) f(fold)),
@@ -1393,15 +1399,11 @@ lv as (select fold, part, subject_id, win_from, unnest(x) as v, unnest(generate_
 lg(lam) as (values {lams}),
 l1 as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
        from lv cross join lg where part = 'train' group by all),
-b1 as (select fold, j, lam from (
+bl1 as (select fold, j, lam from (
            select *, row_number() over (partition by fold, j order by -n / 2.0 * ln(greatest(vt, 1e-300)) + (lam - 1) * sl desc,
                                                              abs(lam - 1) asc) as rk from l1) where rk = 1),
-near as (select fold, j, round(lam + d * 0.01, 2) as lam from b1 cross join range(-9, 10) s(d)),
-ll as (select fold, j, lam, count(*) as n, var_pop({yj}) as vt, sum(sign(v) * ln(1 + abs(v))) as sl
-       from lv join near using (fold, j) where part = 'train' group by all),
-best as (select fold, j, lam from (
-           select *, row_number() over (partition by fold, j order by -n / 2.0 * ln(greatest(vt, 1e-300)) + (lam - 1) * sl desc,
-                                                             abs(lam - 1) asc) as rk from ll) where rk = 1),
+{finer}
+best as (select * from bl4),
 tr as (select lv.fold, lv.part, lv.subject_id, lv.win_from, lv.j, {yj} as t from lv join best using (fold, j)),
 st as (select fold, j, avg(t) as a, case when stddev_pop(t) = 0 or stddev_pop(t) is null then 1.0 else stddev_pop(t) end as s
        from tr where part = 'train' group by all)
@@ -1590,11 +1592,12 @@ def _l1_all_sql(rows_cte, balance, grids):
     like = (f"fold, j, lam, row_number() over (partition by fold, j order by -count(*) / 2.0 * ln(greatest(var_pop({yj('v', 'lam')}), 1e-300))"
             " + (lam - 1) * sum(sign(v) * ln(1 + abs(v))) desc, abs(lam - 1) asc) as rk")
     lams = ", ".join(f"({v!r})" for v in P.POWER_LAMBDAS)
+    finer = "\n".join(f"""pn{d} as (select fold, j, round(lam + d * {10.0 ** -d!r}, {d}) as lam from pc{d - 1} cross join range(-9, 10) s(d) where rk = 1),
+pc{d} as (select {like} from tv join pn{d} using (fold, j) group by fold, j, lam),""" for d in P.POWER_DIGITS)
     power = f"""lg(lam) as (values {lams}),
-pc as (select {like} from tv cross join lg group by fold, j, lam),
-pn as (select fold, j, round(lam + d * 0.01, 2) as lam from pc cross join range(-9, 10) s(d) where rk = 1),
-pf as (select {like} from tv join pn using (fold, j) group by fold, j, lam),
-pw as (select fold, j, lam from pf where rk = 1),
+pc1 as (select {like} from tv cross join lg group by fold, j, lam),
+{finer}
+pw as (select fold, j, lam from pc4 where rk = 1),
 st0 as ("""
     dist = "list_sum(list_transform(list_zip(q.x, t.x), lambda z: {}))"
     d2, d1 = f"sqrt({dist.format('(z[1] - z[2]) * (z[1] - z[2])')})", dist.format("abs(z[1] - z[2])")

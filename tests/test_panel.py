@@ -157,6 +157,29 @@ def test_power_of_large_values(spark):
         return -len(v) / 2 * np.log(t.var()) + (lam - 1) * sl
 
     best = max(P.POWER_LAMBDAS, key=likelihood)
-    best = max((round(best + d, 2) for d in P.POWER_STEPS), key=likelihood)
-    assert abs(fit["lam"][0] - best) < 0.011
+    for digits in P.POWER_DIGITS:
+        best = max((round(best + d, digits) for d in P.power_steps(digits)), key=likelihood)
+    assert abs(fit["lam"][0] - best) < 0.011  # the likelihood is flat here
     assert fit["s"][0] != 1.0
+
+
+def test_power_without_bounds(spark):
+    """Optima inside and far outside the first window, against a plain search."""
+    import numpy as np
+
+    from signalpanel.operators import prep as P
+
+    r = np.random.default_rng(8)
+    base = r.normal(size=400)
+    x = np.column_stack([np.exp(base * 0.4), 2.0 - np.exp(-base * 0.1), 0.05 * np.exp(0.9 * base), 1 + 0.05 * base])
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3)
+    lam = P.fit_scaler(rows, "power").first()["lam"]
+    for j in range(x.shape[1]):
+        v = x[:, j]
+        sl = (np.sign(v) * np.log1p(np.abs(v))).sum()
+        value = lambda q: -len(v) / 2 * np.log(P._yj_np(v, np.float64(q)).var()) + (q - 1) * sl  # noqa: E731, B023
+        grid = np.linspace(-40, 40, 8001)
+        centre = grid[np.argmax([value(q) for q in grid])]
+        fine = np.linspace(centre - 0.01, centre + 0.01, 2001)
+        assert abs(lam[j] - fine[np.argmax([value(q) for q in fine])]) <= 1.01e-4, j
+    assert max(abs(q) for q in lam) > 3.1
