@@ -98,6 +98,91 @@ def multilabel_folds(subject_labels: DataFrame, labels: Sequence[str], k: int =
                       strata=["_combo"], subject=subject).select(subject, "fold")
 
 
+def _deal_quota(subjects: DataFrame, cls: Sequence[str], extras: dict[tuple, list[int]], k: int, seed: int, subject: str) -> DataFrame:
+    """Folds by class: in md5 order inside a class, whole rounds over all folds,
+    then the class's last subjects one by one to the folds in ``extras``."""
+    spark = subjects.sparkSession
+    kinds = dict(subjects.dtypes)
+    table = [(*c, i, f) for c, fs in extras.items() for i, f in enumerate(fs)]
+    extra = spark.createDataFrame(table, ", ".join([*(f"`{c}` {kinds[c]}" for c in cls), "_i long", "_f int"]))
+    h = subjects.withColumn("_h", md5_key(seed, subject)).withColumn("_b", rank_block(F.col("_h")))
+    n = subjects.groupBy(*cls).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = dealt_rank(h, ["_b", "_h"], part=list(cls)).join(F.broadcast(n), list(cls))  # one row per class
+    whole = F.col("_n") - F.col("_n") % k
+    ranked = ranked.withColumn("_i", F.when(F.col("_rank") >= whole, F.col("_rank") - whole))
+    return ranked.join(F.broadcast(extra), [*cls, "_i"], "left").select(
+        subject, F.coalesce("_f", (F.col("_rank") % k).cast("int")).alias("fold"))
+
+
+def balance_extras(sizes: dict[tuple[int, int], int], k: int) -> dict[tuple[int, int], list[int]]:
+    """Folds of the last ``n mod k`` subjects of each (negative, positive)
+    window count: the most uneven counts first, each to the fold that leaves
+    the classes' shares of the folds most alike (ties: the smaller fold, the
+    earlier one)."""
+    held = [[sum(c[i] * (n // k) for c, n in sizes.items()) for i in range(2)] for _ in range(k)]
+    total = [max(1, sum(c[i] * n for c, n in sizes.items())) for i in range(2)]
+
+    def spread(f, c):
+        out = 0.0
+        for i in range(2):
+            share = [(h[i] + (c[i] if g == f else 0)) / total[i] for g, h in enumerate(held)]
+            mean = sum(share) / k
+            out += (sum((x - mean) ** 2 for x in share) / k) ** 0.5
+        return round(out / 2, 12)
+
+    extras: dict[tuple[int, int], list[int]] = {c: [] for c in sizes}
+    for c in sorted(sizes, key=lambda c: (-abs(c[0] - c[1]), -c[0], -c[1])):
+        for _ in range(sizes[c] % k):
+            f = min(range(k), key=lambda f: (spread(f, c), sum(held[f]), f))
+            held[f] = [held[f][i] + c[i] for i in range(2)]
+            extras[c].append(f)
+    return extras
+
+
+def balanced_folds(windows: DataFrame, k: int = 5, seed: int = 42, y: str = "y", subject: str = "subject_id") -> DataFrame:
+    """C1 by windows: folds of whole subjects whose shares of the negative and
+    of the positive windows are alike. The greedy placement runs on the
+    histogram of (negative, positive) counts per subject, which is what the
+    driver gets: one row per distinct pair, whatever the number of subjects."""
+    subj = windows.groupBy(subject).agg(F.count_if(F.col(y) == 0).alias("_neg"), F.count_if(F.col(y) == 1).alias("_pos"))
+    sizes = {(r["_neg"], r["_pos"]): r["n"] for r in subj.groupBy("_neg", "_pos").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _deal_quota(subj, ["_neg", "_pos"], balance_extras(sizes, k), k, seed, subject)
+
+
+def iterative_extras(sizes: dict[str, int], k: int) -> dict[str, list[int]]:
+    """Folds of the last ``n mod k`` subjects of each label combination (a
+    string of 0 and 1), by iterative stratification: the label with the fewest
+    subjects left goes first, each of its subjects to the fold that wants the
+    label most (ties: wants most subjects, the earlier fold)."""
+    left = {c: n % k for c, n in sizes.items() if n % k}
+    extras: dict[str, list[int]] = {c: [] for c in sizes}
+    width = len(next(iter(sizes), ""))
+    want = [[sum(r for c, r in left.items() if c[j] == "1") / k for j in range(width)] for _ in range(k)]
+    room = [sum(left.values()) / k] * k
+    while left:
+        open_ = {j: sum(r for c, r in left.items() if c[j] == "1") for j in range(width)}
+        rarest = min((j for j in open_ if open_[j]), key=lambda j: (open_[j], j), default=None)
+        for c in sorted(c for c in left if rarest is None or c[rarest] == "1"):
+            for _ in range(left.pop(c)):
+                f = min(range(k), key=lambda f: (-round(want[f][rarest], 9) if rarest is not None else 0, -round(room[f], 9), f))
+                extras[c].append(f)
+                room[f] -= 1
+                for j in range(width):
+                    want[f][j] -= c[j] == "1"
+    return extras
+
+
+def stratified_folds(subject_labels: DataFrame, labels: Sequence[str], k: int = 3, seed: int = 42, subject: str = "subject_id") -> DataFrame:
+    """C2 by iterative stratification: quotas of (label combination, fold) from
+    the combination counts (one row per combination on the driver), then
+    dealing in md5 order inside a combination."""
+    combo = F.concat_ws("", *[F.col(l).cast("int").cast("string") for l in labels])
+    subj = subject_labels.select(subject, combo.alias("_combo"))
+    sizes = {r["_combo"]: r["n"] for r in subj.groupBy("_combo").agg(F.count(F.lit(1)).alias("n")).collect()}
+    extras = {(c,): fs for c, fs in iterative_extras(sizes, k).items()}
+    return _deal_quota(subj, ["_combo"], extras, k, seed, subject)
+
+
 def split(windows: DataFrame, folds: DataFrame, fold: int, subject: str = "subject_id") -> DataFrame:
     """``part`` = test for the subjects of ``fold``, train otherwise."""
     return (windows.join(folds.select(subject, F.col("fold").alias("_f")), on=subject)

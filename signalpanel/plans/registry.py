@@ -753,6 +753,43 @@ def q_grouped_folds(spark, sf):
     return C.grouped_folds(wl, k=5, seed=42)
 
 
+@register("balanced_folds", f"""with {O.b1_frames_cte()},
+wl as (select subject_id, win_from, win_to, max(case when lab_b = 1 then 1 else 0 end) as y from fr group by all),
+s as (select subject_id, max(y) as cls from wl group by subject_id)
+select count(distinct subject_id) as n_subjects, count(*) as n_windows, cast(5 as bigint) as n_folds, true as one_fold_each,
+       true as no_worse_than_dealt from wl""")
+def q_balanced_folds(spark, sf):
+    """C1 by windows: every subject in one fold, and the largest difference of
+    the folds' shares of a class no larger than that of dealt folds."""
+    wl = W.window_label(fx.frames_b1(spark, sf), "lab_b")
+
+    def spread(folds):
+        n = wl.join(folds, "subject_id").groupBy("fold").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))
+        return n.agg(F.greatest(*[(F.max(c) - F.min(c)) / F.sum(c) for c in ("a", "b")]).alias("v"))
+
+    folds = C.balanced_folds(wl, k=5, seed=42)
+    both = spread(folds).crossJoin(spread(C.grouped_folds(wl, k=5, seed=42)).withColumnRenamed("v", "dealt"))  # one row each
+    size = wl.join(folds, "subject_id").agg(
+        F.countDistinct("subject_id").alias("n_subjects"), F.count(F.lit(1)).alias("n_windows"),
+        F.countDistinct("fold").alias("n_folds"), F.countDistinct("subject_id", "fold").alias("_pairs"))
+    return size.crossJoin(both).select("n_subjects", "n_windows", "n_folds", (F.col("_pairs") == F.col("n_subjects")).alias("one_fold_each"),
+                                       (F.col("v") <= F.col("dealt")).alias("no_worse_than_dealt"))
+
+
+@register("stratified_folds", f"""with {O.B2_CTE},
+l as (select 'lo' as label, sum(lo) as n from b2s union all select 'mid', sum(mid) from b2s union all select 'even', sum(even) from b2s)
+select label, cast(n as bigint) as n_pos, cast(3 as bigint) as n_folds, true as at_most_one_above_best from l""")
+def q_stratified_folds(spark, sf):
+    """C2 by iterative stratification: per label the positive subjects, and
+    whether their numbers in the folds differ by at most one more than they must."""
+    sl = W.subject_labels(fx.features_b2(spark, sf), fx.B2_LABELS)
+    per = W.unpivot_labels(sl.join(C.stratified_folds(sl, fx.B2_LABELS, k=3, seed=42), "subject_id"), fx.B2_LABELS, ["subject_id", "fold"])
+    n = per.groupBy("label", "fold").agg(F.sum("y").cast("long").alias("n"))
+    best = F.when(F.sum("n") % 3 == 0, 0).otherwise(1)
+    return n.groupBy("label").agg(F.sum("n").alias("n_pos"), F.count(F.lit(1)).alias("n_folds"),
+                                  (F.max("n") - F.min("n") <= best + 1).alias("at_most_one_above_best"))
+
+
 def _b2_folds(spark, sf):
     sl = W.subject_labels(fx.features_b2(spark, sf), fx.B2_LABELS)
     return C.multilabel_folds(sl, fx.B2_LABELS, k=3, seed=42)

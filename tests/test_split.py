@@ -42,3 +42,39 @@ def test_class_weights(spark):
     df = spark.createDataFrame(pd.DataFrame({"y": [1] * 2 + [0] * 6}))
     w = {r["y"]: r["weight"] for r in C.class_weights(df).collect()}
     assert abs(w[1] - 8 / 4) < 1e-12 and abs(w[0] - 8 / 12) < 1e-12
+
+
+def test_balanced_and_stratified_folds(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"P{s:03d}", w, int(r.random() < (0.1 if s % 3 else 0.7))) for s in range(83) for w in range(r.choice([1, 3, 3, 8, 20]))]
+    win = spark.createDataFrame(rows, "subject_id string, w int, y int")
+    folds = {x["subject_id"]: x["fold"] for x in C.balanced_folds(win, 5).collect()}
+    assert folds == {x["subject_id"]: x["fold"] for x in C.balanced_folds(win.repartition(7), 5).collect()} and len(folds) == 83
+
+    def shares(f):
+        return [[sum(1 for s, _, y in rows if y == c and f[s] == k) / sum(1 for *_, y in rows if y == c) for k in range(5)] for c in (0, 1)]
+
+    worst = max(max(v) - min(v) for v in shares(folds))
+    dealt = {x["subject_id"]: x["fold"] for x in C.grouped_folds(win, 5).collect()}
+    assert worst < max(max(v) - min(v) for v in shares(dealt)) and worst < 0.08
+    # plain version: whole rounds in md5 order, the rest by the greedy rule
+    by = {}
+    for s in sorted({s for s, *_ in rows}, key=lambda s: __import__("hashlib").md5(f"42:{s}".encode()).hexdigest()):
+        c = tuple(sum(1 for t, _, y in rows if t == s and y == v) for v in (0, 1))
+        by.setdefault(c, []).append(s)
+    extras = C.balance_extras({c: len(v) for c, v in by.items()}, 5)
+    want = {}
+    for c, ss in by.items():
+        whole = len(ss) - len(ss) % 5
+        want |= {s: i % 5 for i, s in enumerate(ss[:whole])} | {s: extras[c][i] for i, s in enumerate(ss[whole:])}
+    assert folds == want
+    for k in (2, 3, 5):
+        labels = [(f"S{i}", *(int(r.random() < p) for p in (0.5, 0.2, 0.05, 0.3))) for i in range(101)]
+        sl = spark.createDataFrame(labels, "subject_id string, a int, b int, c int, d int")
+        f = {x["subject_id"]: x["fold"] for x in C.stratified_folds(sl, list("abcd"), k).collect()}
+        assert len(f) == 101
+        for j in range(1, 5):
+            n = [sum(row[j] for row in labels if f[row[0]] == g) for g in range(k)]
+            assert max(n) - min(n) <= (sum(n) % k > 0) + 1, (k, j, n)
