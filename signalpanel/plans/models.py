@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..operators import split as C
 from ..session import ensure_checkpoint_dir
+from .blocks import block_sums
 
 KNN_BLOCK_ROWS = 50_000               # rows per block on the blocked path
 RFF_DIM = 256
@@ -284,21 +285,16 @@ def _blocks(train: DataFrame, col: str, y: str, edges: np.ndarray) -> DataFrame:
 
 
 def _stump_sums(d: int, stumps: list[tuple]):
-    """Weighted counts per feature, bin and class under the stumps so far,
-    summed over a partition: one row of 8·d·bins·2 bytes."""
-    def run(batches):
-        total = np.zeros((d, STUMP_BINS, 2))
-        for b in batches:
-            for n, raw, yy in zip(b.column("n").to_pylist(), b.column("bins").to_pylist(), b.column("y").to_pylist()):
-                bins, y = np.frombuffer(raw, np.uint8).reshape(n, d), np.frombuffer(yy, np.int8)
-                log_w = np.zeros(n)
-                for j, cut, left, right, alpha in stumps:
-                    log_w += alpha * (np.where(bins[:, j] <= cut, left, right) != y)
-                w = np.exp(log_w)
-                for j in range(d):
-                    total[j] += np.bincount(bins[:, j] * 2 + y, w, STUMP_BINS * 2).reshape(STUMP_BINS, 2)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-    return run
+    """Weighted counts of a block per feature, bin and class under the stumps so far."""
+    def work(row: dict) -> dict[str, np.ndarray]:
+        n = row["n"]
+        bins, y = np.frombuffer(row["bins"], np.uint8).reshape(n, d), np.frombuffer(row["y"], np.int8)
+        log_w = np.zeros(n)
+        for j, cut, left, right, alpha in stumps:
+            log_w += alpha * (np.where(bins[:, j] <= cut, left, right) != y)
+        w = np.exp(log_w)
+        return {"sums": np.stack([np.bincount(bins[:, j] * 2 + y, w, STUMP_BINS * 2) for j in range(d)])}
+    return work
 
 
 def _best_stump(sums: np.ndarray) -> tuple[float, tuple[int, int, int, int]]:
@@ -319,8 +315,8 @@ def _best_stump(sums: np.ndarray) -> tuple[float, tuple[int, int, int, int]]:
 def adaboost(train: DataFrame, n_rounds: int = 50, lr: float = 0.5, y: str = "y", col: str = "x") -> Scorer:
     """SAMME with decision stumps on binned features. Rows are kept as binned
     blocks; a round is one pass over them that rebuilds the weights from the
-    stumps so far (no state to lose with an executor) and returns one small
-    table of weighted counts per partition. The score is the logistic of twice
+    stumps so far (no state to lose with an executor); the weighted counts are
+    added up in Spark. The score is the logistic of twice
     the normalised weighted vote."""
     d = train.select(F.max(F.size(col))).first()[0]
     cuts = [i / STUMP_BINS for i in range(1, STUMP_BINS)]
@@ -331,8 +327,7 @@ def adaboost(train: DataFrame, n_rounds: int = 50, lr: float = 0.5, y: str = "y"
     blocks = _blocks(train, col, y, edges).checkpoint()
     stumps: list[tuple] = []
     for _ in range(n_rounds):
-        parts = blocks.mapInArrow(_stump_sums(d, list(stumps)), "sums binary").collect()  # one small row per partition
-        sums = sum(np.frombuffer(r["sums"]).reshape(d, STUMP_BINS, 2) for r in parts)
+        sums = block_sums(blocks, _stump_sums(d, list(stumps)))["sums"].reshape(d, STUMP_BINS, 2)
         miss, (j, cut, left, right) = _best_stump(sums)
         if miss >= 0.5:
             break
