@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..operators import split as C
 from ..session import ensure_checkpoint_dir
+from . import neighbors
 from .blocks import block_sums
 
 KNN_BLOCK_ROWS = 50_000               # rows per block on the blocked path
@@ -411,61 +412,10 @@ def _topk_np(Xq: np.ndarray, Xt: np.ndarray, yt: np.ndarray, idt: np.ndarray, k:
 def knn_neighbors(train: DataFrame, query: DataFrame, k: int, p: int = 2, row_id: str = "row_id",
                   col: str = "x", y: str | None = "y", exclude_self: bool = False,
                   block_rows: int = KNN_BLOCK_ROWS, by: Sequence[str] = ()) -> DataFrame:
-    """Exact k nearest train rows of every query row within its ``by``
-    group: ``(*by, _qid, _rank, _id, _d, _y)``. Train and query rows are cut
-    into blocks of ≤ ``block_rows`` (block counts from the largest group,
-    one small sizing job); each (group, train block, query block) computes a
-    local top-k in NumPy (``cogroup().applyInPandas``) and the ≤ k × blocks
-    candidates of a query row are merged with a rank window over that row
-    only. Many groups run in one job."""
-    by = list(by)
-    sizes = (train.groupBy(*by).agg(F.count(F.lit(1)).alias("_nt")) if by
-             else train.agg(F.count(F.lit(1)).alias("_nt")))
-    qsizes = (query.groupBy(*by).agg(F.count(F.lit(1)).alias("_nq")) if by
-              else query.agg(F.count(F.lit(1)).alias("_nq")))
-    nt = int(sizes.agg(F.max("_nt")).first()[0] or 0)
-    nq = int(qsizes.agg(F.max("_nq")).first()[0] or 0)
-    bt = max(1, -(-nt // block_rows))
-    bq = max(1, -(-nq // block_rows))
-    kk = k + 1 if exclude_self else k
-    ty = F.col(y).cast("double") if y else F.lit(0.0)
-
-    def gkey(c):  # query key = group + row id, so candidates carry their group
-        return F.concat_ws("\u0001", *[F.col(g).cast("string") for g in by], F.col(c).cast("string"))
-
-    # fresh attributes for the group keys: train and query usually derive from one frame
-    tb = (train.select(*[F.col(c).alias(c) for c in by], F.col(row_id).cast("string").alias("_tid"),
-                       F.col(col).alias("_tx"), ty.alias("_ty"))
-          .withColumn("_tb", (F.abs(F.xxhash64("_tid")) % bt).cast("int"))
-          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
-          .withColumn("_qb", F.col("_qb").cast("int")))
-    qb = (query.select(*[F.col(c).alias(c) for c in by], gkey(row_id).alias("_qid"),
-                       F.col(row_id).cast("string").alias("_rid"), F.col(col).alias("_qx"))
-          .withColumn("_qb", (F.abs(F.xxhash64("_rid")) % bq).cast("int"))
-          .withColumn("_tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1))))
-          .withColumn("_tb", F.col("_tb").cast("int")))
-    cand_schema = "_qid string, _rid string, _d double, _y double, _id string"
-
-    def local(tpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(tpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame({"_qid": pd.Series([], dtype=str), "_rid": pd.Series([], dtype=str),
-                                 "_d": pd.Series([], dtype=float), "_y": pd.Series([], dtype=float),
-                                 "_id": pd.Series([], dtype=str)})
-        Xt = np.vstack(tpdf["_tx"].to_numpy())
-        Xq = np.vstack(qpdf["_qx"].to_numpy())
-        dist, ys, ids = _topk_np(Xq, Xt, tpdf["_ty"].to_numpy(float), tpdf["_tid"].to_numpy(), kk, p)
-        m = dist.shape[1]
-        return pd.DataFrame({"_qid": np.repeat(qpdf["_qid"].to_numpy(), m),
-                             "_rid": np.repeat(qpdf["_rid"].to_numpy(), m), "_d": dist.ravel(),
-                             "_y": ys.ravel(), "_id": ids.ravel()})
-
-    gk = [*by, "_tb", "_qb"]
-    cands = (tb.groupBy(*gk).cogroup(qb.groupBy(*gk)).applyInPandas(local, cand_schema))
-    if exclude_self:
-        cands = cands.filter(F.col("_id") != F.col("_rid"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("_qid").orderBy("_d", "_id")   # ≤ k × blocks rows per query row
-    top = cands.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
+    """Exact k nearest train rows of every query row within its ``by`` group:
+    ``(_qid, _rid, _rank, _id, _d, _y)``, by the pruned search of
+    ``neighbors``. Many groups run in one job."""
+    top = neighbors.nearest(train, query, k, p, _topk_np, row_id, col, y, exclude_self, block_rows, by)
     # _qid is the plain row id when there is no group
     return top if by else top.withColumn("_qid", F.col("_rid"))
 

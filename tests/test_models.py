@@ -101,3 +101,20 @@ def test_expand_grid_order():
     assert [n for n, _ in g] == ["SVM_0", "SVM_1", "SVM_2", "SVM_3"]
     assert [p for _, p in g] == [{"C": 1, "gamma": 0.1}, {"C": 1, "gamma": 0.2},
                                  {"C": 3, "gamma": 0.1}, {"C": 3, "gamma": 0.2}]
+
+
+def test_knn_prunes_clustered_rows(spark):
+    """Clustered rows: exact, and under a fifth of all pairs are compared."""
+    from signalpanel.plans import neighbors as N
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 5)) * 30
+    X = np.vstack([c + rng.normal(size=(40, 5)) for c in centres])
+    Q = np.vstack([c + rng.normal(size=(2, 5)) for c in centres])
+    _check_knn(spark, X, Q, k=7)
+    t = _knn_rows(spark, X, "r").select(F.lit("").alias("_g"), F.col("row_id").alias("_tid"), F.col("x").alias("_tx"))
+    q = _knn_rows(spark, Q, "q").select(F.lit("").alias("_g"), F.col("row_id").alias("_qid"), F.col("row_id").alias("_rid"), F.col("x").alias("_qx"))
+    cells = N.make_cells(t, 2, 100)
+    routes = N.query_routes(q, cells, 7, 2).collect()
+    pairs = sum(cells[""].size[c] / cells[""].blocks[c] for r in routes for c in r["_cells"])
+    assert cells[""].size.sum() == len(X) and pairs < len(X) * len(Q) / 5
