@@ -52,12 +52,11 @@ from .slabs import cut_slabs, store_slabs
 FOLDS, HELD_OUT = 5, 1
 
 #: Longest context, 5 at most: a gram of order + 1 symbols of 9 bits, and a flag, fit a long.
-ORDER = 5
+ORDER = 4
 _BITS, _MOST_ORDER = 9, 5
 _END, _START = 256, 257  # the end is coded, the start only context
 N_SYMBOLS = 257
 _WINDOW = 1 << 21  # symbols worked on at a time
-END_TOKEN = ""  # no word is empty
 
 
 def held_out(id_: Column) -> Column:
@@ -76,7 +75,8 @@ class Text:
         # order start marks, the bytes, an end
         self.first = np.cumsum(sizes + order + 1) - (sizes + order + 1)
         self.symbols = np.full(len(data) + n * (order + 1), _START, np.uint16)
-        self.symbols[np.arange(len(data)) + np.repeat((np.arange(n) + 1) * order + np.arange(n), sizes)] = data
+        for a, b, at in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), (self.first + order).tolist()):
+            self.symbols[at:at + b - a] = data[a:b]
         self.symbols[self.first + order + sizes] = _END
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets.to_numpy(), np.int64)
@@ -131,7 +131,7 @@ def _count_slabs(order: int):
             here = np.flatnonzero(np.bincount(x.word, minlength=len(x.words)))
             body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts.cast(pa.binary()).to_pylist()))
             cells = [number, rows.column("id").to_pylist(), held, np.diff(np.concatenate(([0], np.cumsum(pc.binary_length(texts))))),
-                     body, [END_TOKEN, *x.words.take(pa.array(here)).to_pylist()], [int((~held).sum()), *word_n[here].tolist()], grams, gram_n]
+                     body, x.words.take(pa.array(here)).to_pylist(), word_n[here], grams, gram_n]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c], _ARROW[k]) for k, c in enumerate(cells)], names=[c.split(" ")[0] for c in _SLAB.split(", ")])
     return run
@@ -190,7 +190,7 @@ def gram_scores(grams: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def _score_slab(order: int, n_train: int, n_distinct: int):
+def _score_slab(order: int, n_train: int, n_distinct: int, n_ends: int):
     def run(key, slab: pa.Table, own: pa.Table) -> pa.Table:
         import zstandard
 
@@ -202,14 +202,15 @@ def _score_slab(order: int, n_train: int, n_distinct: int):
         is_word = pc.is_valid(own.column("word"))
         words, grams = own.filter(is_word), own.filter(pc.invert(is_word))
 
-        count = words.column("c").to_numpy()
-        cost = np.log10((count + 0.5) / (n_train + 0.5 * (n_distinct + 1)))
-        values = words.column("word").combine_chunks()
-        place = pc.index_in(x.words, value_set=values).fill_null(0).to_numpy()[x.word]
-        end = pc.index_in(pa.array([END_TOKEN]), value_set=values)[0].as_py()
-        base = np.bincount(x.word_doc, cost[place], n) + cost[end]
+        # the slab's own counts, and the corpus's where they differ
+        held = np.array(row["held"], bool)
+        count = np.bincount(x.word[~held[x.word_doc]], minlength=len(x.words))
+        place = pc.index_in(words.column("word").combine_chunks(), value_set=x.words).to_numpy(zero_copy_only=False)
+        count[place[~np.isnan(place)].astype(np.int64)] = words.column("c").to_numpy()[~np.isnan(place)]
+        cost = np.log10((np.append(count, n_ends) + 0.5) / (n_train + 0.5 * (n_distinct + 1)))
+        base = np.bincount(x.word_doc, cost[x.word], n) + cost[-1]
         n_tokens = np.bincount(x.word_doc, minlength=n) + 1
-        n_known = np.bincount(x.word_doc, count[place] > 0, n).astype(np.int64) + int(count[end] > 0)
+        n_known = np.bincount(x.word_doc, count[x.word] > 0, n).astype(np.int64) + int(n_ends > 0)
 
         keys = grams.column("g").to_numpy()
         by_key = np.argsort(keys)
@@ -238,16 +239,19 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text: str
     words = (slabs.select(F.explode(F.arrays_zip("words", "word_n")).alias("x"))
              .groupBy(F.col("x.words").alias("word")).agg(F.sum("x.word_n").alias("c")))
     words = stored(words)
+    ends = slabs.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
     grams = stored(slabs.select(F.explode(F.arrays_zip("grams", "gram_n")).alias("x"))
                    .groupBy(F.col("x.grams").alias("g")).agg(F.sum("x.gram_n").alias("c")))
     totals = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
-    own_words = (slabs.select(F.col("slab").alias("taker"), F.explode("words").alias("word")).join(words, "word")
+    # a word whose count in the slab is its count in the corpus need not come back
+    own_words = (slabs.select(F.col("slab").alias("taker"), F.explode(F.arrays_zip("words", "word_n")).alias("x"))
+                 .select("taker", F.col("x.words").alias("word"), "x.word_n").join(words, "word").filter("c <> word_n")
                  .select("taker", "word", "c", F.lit(None).cast("long").alias("g"), F.lit(None).cast("double").alias("logp")))
     own_grams = (slabs.select(F.col("slab").alias("taker"), F.explode("grams").alias("g")).join(gram_scores(grams, order), "g")
                  .select("taker", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"), "g", "logp"))
     return (slabs.select("slab", "id", "held", "sizes", "body").groupBy("slab")
             .cogroup(own_words.unionByName(own_grams).groupBy("taker"))
-            .applyInArrow(_score_slab(order, totals["n"] or 0, totals["v"] or 0), _RESULT))
+            .applyInArrow(_score_slab(order, (totals["n"] or 0) + ends, (totals["v"] or 0) + int(ends > 0), ends), _RESULT))
 
 
 class AdaptiveModel:
