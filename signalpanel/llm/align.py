@@ -28,7 +28,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +42,7 @@ VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 #: Longer texts are encoded by the vocabulary's own library.
 RANKED_CHARS = 100_000
+TEXTS_AT_ONCE = 64
 _B_BITS = 24  # of the second id in a packed pair
 _B_MASK = (1 << _B_BITS) - 1
 
@@ -70,6 +70,8 @@ class ByteLevel:
         merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if merged != sorted(merged):
             raise ValueError(f"the merges of {path} do not stand in id order")
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError(f"{path} lacks single bytes: a text might not be given back whole")
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.bytes[i] = token
@@ -93,58 +95,70 @@ class Pieces:
         self.bytes = [bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i)
                       else m.id_to_piece(i).replace("▁", " ").encode("utf-8") for i in range(m.get_piece_size())]
 
-    def encode(self, text: str) -> list[int]:
-        return self._model.encode([text], num_threads=1)[0]
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return self._model.encode(texts, num_threads=1) if texts else []
+
 
+def end_index(ends: np.ndarray, length: int) -> np.ndarray:
+    """The end-to-index dictionary of a side: the byte offset is its own hash,
+    so the table is addressed by it; 0 where no token ends, else the number of
+    tokens up to here."""
+    at = np.zeros(length + 1, np.int32)
+    at[ends] = np.arange(1, len(ends) + 1)
+    return at
 
-def cut_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
-    """Slices (from, to) of both token lists between byte ends common to both."""
-    at_a = dict(zip(ends_a, range(1, len(ends_a) + 1)))
-    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = sorted(at_a.keys() & at_b.keys())
-    to_a, to_b = [at_a[e] for e in common], [at_b[e] for e in common]
-    return list(zip([0, *to_a], to_a, [0, *to_b], to_b))
 
+def cut_points(at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the byte ends common to both dictionaries cut the token lists."""
+    common = np.flatnonzero((at_a > 0) & (at_b > 0))
+    return at_a[common], at_b[common]
 
-def overlaps(ends_a: list[int], ends_b: list[int], i: int, j: int, k: int, m: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of a group whose byte ranges overlap, in order."""
-    while i < j and k < m:
-        yield i, k
-        a, b = ends_a[i], ends_b[k]
-        i += a <= b
-        k += b <= a
+
+def linked(ids_a: np.ndarray, at_a: np.ndarray, ids_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Packed id pairs of the tokens whose byte ranges overlap, in order: the
+    stretch up to each end of either side lies in one token of both."""
+    is_a, is_b = at_a > 0, at_b > 0
+    ends = np.flatnonzero(is_a | is_b)
+    in_a, in_b = (np.cumsum(x, dtype=np.int32)[ends] - x[ends] for x in (is_a, is_b))
+    return ids_a[in_a].astype(np.int64) << _B_BITS | ids_b[in_b]
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self._size_a, self._size_b = [len(x) for x in self.a.bytes], [len(x) for x in self.b.bytes]
-        self._name_a, self._name_b = [str(i) for i in range(len(self._size_a))], [str(i) for i in range(len(self._size_b))]
+        self._size_a, self._size_b = (np.array([len(x) for x in side.bytes]) for side in (self.a, self.b))
+        self._name_a, self._name_b = [f"{i}|" for i in range(len(self._size_a))], [str(i) for i in range(len(self._size_b))]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[int]]]:
+        """Ids of both sides of each text, none if the second does not give
+        its bytes back (the first always does: it has every single byte)."""
+        for text, b in zip(texts, self.b.encode_all([t or "" for t in texts])):
+            if not text:
+                yield [], []
+                continue
+            spaced = " " + text
+            same = b"".join(map(self.b.bytes.__getitem__, b)) == spaced.encode("utf-8")
+            yield (self.a.encode(spaced), b) if same else ([], [])
 
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Ids of both sides, none if a side does not give the bytes back."""
-        if not text:
-            return [], []
-        spaced = " " + text
-        want, a, b = spaced.encode("utf-8"), self.a.encode(spaced), self.b.encode(text)
-        if b"".join(map(self.a.bytes.__getitem__, a)) != want or b"".join(map(self.b.bytes.__getitem__, b)) != want:
-            return [], []
-        return a, b
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]]:
+        return next(self.encode_all([text]))
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], np.ndarray]:
         """The groups as ``a1,a2|b1`` and the packed id pairs of all links."""
-        ends_a = list(accumulate(map(self._size_a.__getitem__, a)))
-        ends_b = list(accumulate(map(self._size_b.__getitem__, b)))
-        name_a, name_b = [self._name_a[x] for x in a], [self._name_b[x] for x in b]
-        groups, links = [], []
-        for i, j, k, m in cut_groups(ends_a, ends_b):
-            if j - i == 1 == m - k:
-                groups.append(name_a[i] + "|" + name_b[k])
-                links.append(a[i] << _B_BITS | b[k])
-            else:
-                groups.append(",".join(name_a[i:j]) + "|" + ",".join(name_b[k:m]))
-                links += [a[x] << _B_BITS | b[y] for x, y in overlaps(ends_a, ends_b, i, j, k, m)]
-        return groups, links
+        if not a:
+            return [], np.zeros(0, np.int64)
+        ids_a, ids_b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self._size_a[ids_a]), np.cumsum(self._size_b[ids_b])
+        at_a, at_b = end_index(ends_a, ends_a[-1]), end_index(ends_b, ends_a[-1])
+        to_a, to_b = cut_points(at_a, at_b)
+        from_a, from_b = np.append(0, to_a[:-1]), np.append(0, to_b[:-1])
+        # most groups are one token of each side; the others are put in behind
+        name_a, name_b = self._name_a, self._name_b
+        groups = [name_a[x] + name_b[y] for x, y in zip(ids_a[from_a].tolist(), ids_b[from_b].tolist())]
+        wide = np.flatnonzero((to_a - from_a != 1) | (to_b - from_b != 1))
+        for g, i, j, k, m in zip(*(x.tolist() for x in (wide, from_a[wide], to_a[wide], from_b[wide], to_b[wide]))):
+            groups[g] = f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}"
+        return groups, linked(ids_a, at_a, ids_b, at_b)
 
 
 _aligners: dict[tuple, Aligner] = {}
@@ -182,15 +196,16 @@ def _encode_slabs(path_a: str, path_b: str):
         for number, rows in cut_slabs(batches):
             docs = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "sha")}
             pairs, times = [], []
-            for text in rows.column("t"):
-                a, b = aligner.encode(text.as_py())
-                groups, links = aligner.align(a, b)
-                own, n = np.unique(np.array(links, np.int64), return_counts=True)
-                pairs.append(own)
-                times.append(n)
-                sha = hashlib.sha256(";".join(groups).encode("ascii")).hexdigest() if groups else ""
-                for c, v in zip(docs, (len(a), len(b), len(groups), len(links), sha)):
-                    docs[c].append(v)
+            texts = rows.column("t").combine_chunks()
+            for k in range(0, len(texts), TEXTS_AT_ONCE):
+                for a, b in aligner.encode_all(texts[k:k + TEXTS_AT_ONCE].to_pylist()):
+                    groups, links = aligner.align(a, b)
+                    own, n = np.unique(links, return_counts=True)
+                    pairs.append(own)
+                    times.append(n)
+                    sha = hashlib.sha256(";".join(groups).encode("ascii")).hexdigest() if groups else ""
+                    for c, v in zip(docs, (len(a), len(b), len(groups), len(links), sha)):
+                        docs[c].append(v)
             distinct, places, holders = np.unique(np.concatenate(pairs), return_inverse=True, return_counts=True)
             cells = [number, rows.column("id").to_pylist(), *docs.values(), distinct, holders,
                      [len(p) for p in pairs], _pack(np.diff(places, prepend=0)), _pack(np.concatenate(times))]
@@ -257,13 +272,12 @@ def aligned_groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
         kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
-        for b in batches:
+        for batch in batches:
             out = []
-            for t in b.column("t"):
-                x, y = aligner.encode(t.as_py())
-                ends = [list(accumulate(len(side.bytes[i]) for i in ids)) for side, ids in ((aligner.a, x), (aligner.b, y))]
-                out.append([{"a": x[i:j], "b": y[k:m]} for i, j, k, m in cut_groups(*ends)])
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, kind)], names=["id", "groups"])
+            for t in batch.column("t"):
+                groups, _ = aligner.align(*aligner.encode(t.as_py()))
+                out.append([dict(zip("ab", ([int(i) for i in side.split(",")] for side in g.split("|")))) for g in groups])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, kind)], names=["id", "groups"])
 
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
     return d.mapInArrow(run, "id long, groups array<struct<a: array<int>, b: array<int>>>")

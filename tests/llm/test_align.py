@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment against both libraries and a plain version."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +8,7 @@ from signalpanel.llm import align, slabs
 from tests.conftest import SF_SMALL
 
 from . import brute
-from .test_edges import SCHEMA, _rows, _texts
+from .test_edges import SCHEMA, _texts
 
 P = pytest.importorskip("public_tokenizers")
 PATHS = [P.path(v) for v in (align.VOCABULARY_A, align.VOCABULARY_B)]
@@ -73,8 +74,9 @@ def test_overlaps_brute():
     for _ in range(300):
         n = r.randrange(1, 30)
         ends = [sorted({n, *r.sample(range(1, n + 1), r.randrange(0, n))}) for _ in range(2)]
-        got = [p for i, j, k, m in align.cut_groups(*ends) for p in align.overlaps(*ends, i, j, k, m)]
+        ids = [np.arange(len(e)) for e in ends]
+        at = [align.end_index(np.array(e), n) for e in ends]
+        got = [(p >> 24, p & 0xFFFFFF) for p in align.linked(ids[0], at[0], ids[1], at[1]).tolist()]
         starts = [[0, *e[:-1]] for e in ends]
         assert got == [(x, y) for x in range(len(ends[0])) for y in range(len(ends[1]))
                        if starts[0][x] < ends[1][y] and starts[1][y] < ends[0][x]]
-    assert _rows is not None
