@@ -50,7 +50,8 @@ _PARAMS = {"logreg": {"C", "penalty", "max_iter", "class_weight"}, "sgd_log": {"
            "linear_svc": {"C", "max_iter", "class_weight"}, "rbf_svm": {"C", "gamma", "dim", "class_weight"}}
 CALIBRATION_FOLDS = {"linear_svc": 3, "rbf_svm": 5}
 HINGE_WIDTH = 0.1
-GRADIENT_TOL, MAX_PASSES = 1e-5, 400
+#: Largest gradient entry (of the mean loss) that ends a fit; the rounded hinge needs no more than its library's default.
+GRADIENT_TOL, HINGE_TOL, MAX_PASSES = 1e-5, 2e-3, 400
 _HISTORY = 10
 #: Marks of a row for a label: not in the train part, or in it without a calibration fold.
 _TEST, _TRAIN = -2, -1
@@ -245,11 +246,11 @@ def _broadcast(blocks: DataFrame, groups: dict[str, list[dict]]):
     return blocks.sparkSession.sparkContext.broadcast(plain)
 
 
-def descend(blocks: DataFrame, models: Sequence[_Model], base: Base | None, tol: float = GRADIENT_TOL,
+def descend(blocks: DataFrame, models: Sequence[_Model], base: Base | None, tol: float | None = None,
             max_passes: int = MAX_PASSES) -> int:
     """Fit all models; the number of passes (one Spark job each)."""
     for m in models:
-        m.state = Descent(m.size + 1, tol)
+        m.state = Descent(m.size + 1, tol or (HINGE_TOL if m.spec.family == "rbf_svm" else GRADIENT_TOL))
     for passes in range(max_passes):
         active = [m for m in models if not m.state.done]
         if not active:
@@ -314,7 +315,7 @@ class LinearPanel:
     """Fitted models of a set of configurations over blocks of designs."""
 
     def __init__(self, blocks: DataFrame, specs: Sequence[ModelSpec], labels: Sequence[str], designs: dict[str, str], seed: int = 42,
-                 tol: float = GRADIENT_TOL, whole: bool = False):
+                 tol: float | None = None, whole: bool = False):
         """``designs``: name of each design in the blocks → its scaler;
         ``whole``: fit every configuration on all train rows too."""
         for s in specs:
@@ -497,7 +498,7 @@ def linear_blocks(rows: DataFrame, specs: Sequence[ModelSpec], labels: Sequence[
 
 
 def linear_panel(rows: DataFrame, specs: Sequence[ModelSpec], labels: Sequence[str], seed: int = 42,
-                 tol: float = GRADIENT_TOL) -> tuple[DataFrame, LinearPanel]:
+                 tol: float | None = None) -> tuple[DataFrame, LinearPanel]:
     """Fit and score every (configuration, fold, label):
     ``(scaler, model, fold, label, row_id, p)``, and the fitted panel."""
     blocks, designs = linear_blocks(rows, specs, labels, seed)
