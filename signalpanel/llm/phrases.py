@@ -6,13 +6,15 @@ its first words to its last ones. Each position of a piece gives one edge, cut
 short by the piece's end where fewer words are left; these short rows are the
 piece-end corrections.
 
-1. Slabs of documents list their distinct words; each (lang, word) gets a dense
-   number, and every slab takes back the numbers of its own words.
+1. Slabs of documents count their distinct words; the words that reach the
+   count threshold in their lang (no phrase has others) get dense numbers, and
+   every slab takes back the numbers of its own. A rarer word ends a gram as a
+   piece's end does.
 2. Slabs sum their edges; Spark adds them up to the edges' weights.
 3. Counts of shorter grams are flows: what leaves a node, plus the pieces that
    end there, is the node's count, and so on down to words. Each level is the
-   grouped prefix of the level above, and just grams that reach the count
-   threshold (and all words) are kept on the way.
+   grouped prefix of the level above, and of the longer grams just those that
+   reach the count threshold are kept on the way.
 4. Unary paths are compacted: a node whose whole flow comes in by one edge and
    leaves by one edge only ever occurs inside the longer gram, so it is dropped
    before anything is scored. Paths are contracted by pointer doubling, in
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,19 +45,22 @@ from .slabs import cut_slabs, store_slabs
 # Fixed values of the contract.
 MAX_WORDS, MIN_COUNT, TOP, INSIDE_PERCENT, SCALE = 3, 10, 2000, 50, 1_000_000
 NO_LANG = "und"
+#: Parts in which a lang's candidates are ranked before they meet.
+_PARTS = 64
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _LETTERS = bytes(range(ord("A"), ord("Z") + 1))
 #: Piece ends become line ends, tabs become spaces, A-Z become a-z.
 _PLAIN = bytes.maketrans(_PIECE_ENDS + b"\t" + _LETTERS, b"\n" * len(_PIECE_ENDS) + b" " + _LETTERS.lower())
 
-_SLAB = "slab long, langs array<string>, words array<string>, codes binary"
-_ARROW = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary()]
+_SLAB = "slab long, langs array<string>, words array<string>, counts array<long>, codes binary"
+_ARROW = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
 
 
 def _read_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slab: its distinct (lang, word) pairs, and its words in text order
-    as places in that list, 0 at the end of each piece (places start at 1)."""
+    """Per slab: its distinct (lang, word) pairs with their counts, and its
+    words in text order as places in that list, 0 at the end of each piece
+    (places start at 1)."""
     import zstandard
 
     for number, rows in cut_slabs(batches):
@@ -63,25 +68,27 @@ def _read_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pc.fill_null(rows.column("t").combine_chunks(), "").cast(pa.binary()).to_pylist()]
         lists = pc.split_pattern(pa.array(plain, pa.binary()).cast(pa.string()), " ")
         lang = rows.column("lang").combine_chunks().dictionary_encode()
+        langs = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
         flat = lists.flatten().dictionary_encode()
-        word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        key = np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(lists.offsets.to_numpy())) << 32 | word
-        names = np.array(["", "\n"])
-        empty, end = (pc.index_in(pa.array([x]), value_set=flat.dictionary)[0].as_py() for x in names.tolist())
+        del plain, lists
+        key = langs.astype(np.int64) << 32 | flat.indices.to_numpy(zero_copy_only=False)
+        empty, end = (pc.index_in(pa.array([x]), value_set=flat.dictionary)[0].as_py() for x in ("", "\n"))
+        word = key & 0xFFFFFFFF
+        key[word == end] = -1  # the piece end comes first
         if empty is not None:
-            key, word = key[word != empty], word[word != empty]
-        distinct, place = np.unique(np.where(word == end, -1, key), return_inverse=True)  # the piece end comes first
-        distinct = distinct[1:]
-        cells = [number, lang.dictionary.take(pa.array(distinct >> 32)).to_pylist(),
-                 flat.dictionary.take(pa.array(distinct & 0xFFFFFFFF)).to_pylist(),
+            key = key[word != empty]
+        del word, langs
+        distinct, place, n = np.unique(key, return_inverse=True, return_counts=True)
+        cells = [number, lang.dictionary.take(pa.array(distinct[1:] >> 32)).to_pylist(),
+                 flat.dictionary.take(pa.array(distinct[1:] & 0xFFFFFFFF)).to_pylist(), n[1:],
                  zstandard.ZstdCompressor(level=1).compress(place.astype("<i4").tobytes())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([c], _ARROW[k]) for k, c in enumerate(cells)], names=[c.split(" ")[0] for c in _SLAB.split(", ")])
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` with dense numbers from 1 in ``id``: each task's count gives
-    the next one's start (one row per task)."""
+    """``rows`` with dense numbers from 1 in ``id``, in the order of the tasks:
+    each task's count gives the next one's start (one row per task)."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = stored(rows.select("*", F.spark_partition_id().alias("task"), place.alias("place")))
     before = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
@@ -90,17 +97,33 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(starts), "task").select(*rows.columns, (F.col("start") + F.col("place") + 1).alias("id"))
 
 
-def _names(n: int) -> list[str]:
-    return [f"w{k}" for k in range(n)]
+def _cells(max_words: int) -> list[str]:
+    """Columns of a gram: two word numbers (of 31 bits) to a long, 0 where there is no word."""
+    return [f"c{k}" for k in range((max_words + 1) // 2)]
+
+
+def _word(k: int) -> Column:
+    """The k-th word of the cells."""
+    cell = F.col(f"c{k // 2}")
+    return F.shiftright(cell, 32) if k % 2 == 0 else cell.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _prefix(m: int, max_words: int) -> list[Column]:
+    """The cells with only their first m words."""
+    out = []
+    for k, name in enumerate(_cells(max_words)):
+        cell = F.col(name) if 2 * k + 2 <= m else F.shiftleft(F.shiftright(name, 32), 32) if 2 * k + 1 == m else F.lit(0).cast("long")
+        out.append(cell.alias(name))
+    return out
 
 
 def _sum_edges(max_words: int):
     def run(key, slab: pa.Table, own: pa.Table) -> pa.Table:
-        """Distinct edges of a slab and their counts; 0 behind a piece's end."""
+        """Distinct edges of a slab and their counts; 0 behind the end of a piece, or of its frequent words."""
         import zstandard
 
         codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(slab.column("codes")[0].as_py()), "<i4")
-        ids = np.zeros(own.num_rows + 1, np.int64)
+        ids = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
         ids[own.column("place").to_numpy()] = own.column("id").to_numpy()
         seq = np.concatenate([ids[codes], np.zeros(max_words, np.int64)])
         at = np.flatnonzero(seq)
@@ -115,41 +138,46 @@ def _sum_edges(max_words: int):
             words, word = np.unique(w, return_inverse=True)
             _, prefix = np.unique(np.unique(prefix, return_inverse=True)[1].astype(np.int64) << 32 | word, return_inverse=True)
         _, first, n = np.unique(prefix, return_index=True, return_counts=True)
-        return pa.table({**{c: w[first] for c, w in zip(_names(max_words), columns)}, "n": n.astype(np.int64)})
+        if max_words % 2:
+            columns.append(np.zeros(len(at), np.int64))
+        packed = [columns[k][first] << 32 | columns[k + 1][first] for k in range(0, max_words, 2)]
+        return pa.table({**dict(zip(_cells(max_words), packed)), "n": n.astype(np.int64)})
     return run
 
 
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS,
-                min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
-    """``(grams, words)``: ``gram`` (array of word numbers, 1 to ``max_words``)
-    and its count ``f`` for every word and every longer gram with at least
-    ``min_count``; and ``lang, word, id``."""
+                min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(grams, words, totals)``: ``gram`` (array of word numbers, 1 to
+    ``max_words``) and its count ``f`` for every gram with at least
+    ``min_count``; ``lang, word, id`` of the words in them; ``lang, n`` of all words."""
     d = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text}`").alias("t"))
     slabs = store_slabs(d.mapInArrow(_read_slabs, _SLAB))
-    held = slabs.select(F.col("slab").alias("taker"), F.posexplode(F.arrays_zip("langs", "words")).alias("place", "x"))
-    held = held.select("taker", (F.col("place") + 1).alias("place"), F.col("x.langs").alias("lang"), F.col("x.words").alias("word"))
-    words = stored(_numbered(held.select("lang", "word").distinct()))
-    own = held.join(words, ["lang", "word"]).select("taker", "place", "id")
-    names = _names(max_words)
+    held = slabs.select(F.col("slab").alias("taker"), F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "x"))
+    held = held.select("taker", (F.col("place") + 1).alias("place"), F.col("x.langs").alias("lang"), F.col("x.words").alias("word"),
+                       F.col("x.counts").alias("n"))
+    totals = held.groupBy("lang").agg(F.sum("n").alias("n"))
+    # a word has one row per slab: its total and its first slab in the same pass
+    of_word = W.partitionBy("lang", "word")
+    often = stored(held.select("taker", "place", "lang", "word", F.sum("n").over(of_word).alias("f"), F.min("taker").over(of_word).alias("first"))
+                   .filter(F.col("f") >= min_count))
+    # frequent words first: small numbers make small shuffles
+    words = stored(_numbered(often.filter("taker = first").orderBy(F.col("f").desc(), "lang", "word").select("lang", "word")))
+    own = often.join(words, ["lang", "word"]).select("taker", "place", "id")
+    cells = _cells(max_words)
     edges = (slabs.select("slab", "codes").groupBy("slab").cogroup(own.groupBy("taker"))
-             .applyInArrow(_sum_edges(max_words), ", ".join(f"{c} long" for c in [*names, "n"])))
+             .applyInArrow(_sum_edges(max_words), ", ".join(f"{c} long" for c in [*cells, "n"])))
     # slabs are summed already: no second sum in front of the exchange
-    counts = edges.repartition(*names).groupBy(*names).agg(F.sum("n").alias("n"))
-    zero = F.lit(0).cast("long")
+    counts = edges.repartition(*cells).groupBy(*cells).agg(F.sum("n").alias("n")).withColumn("done", F.lit(False))
     for m in range(max_words - 1, 0, -1):
-        # rows of more than m words pass their weight to their first m; grams that reach the count stay as they are
-        longest = F.col(names[m]) > 0
-        cells = [F.col(c) for c in names]
-        flow = F.struct(*cells[:m], *[zero.alias(c) for c in names[m:]], F.col("n").alias("n"), F.lit(False).alias("done"))
-        whole = F.struct(*cells, F.col("n").alias("n"), F.lit(True).alias("done"))
-        if m < max_words - 1:
-            kept = F.when(F.col("done"), F.array(whole)).when(longest & (F.col("n") >= min_count), F.array(flow, whole)).otherwise(F.array(flow))
-        else:
-            kept = F.when((F.col(names[-1]) > 0) & (F.col("n") >= min_count), F.array(flow, whole)).otherwise(F.array(flow))
+        # every gram passes its weight to its first m words; those of m + 1 words that reach the count stay as well
+        flow = F.struct(*_prefix(m, max_words), F.col("n"), F.lit(False).alias("done"))
+        whole = F.struct(*[F.col(c) for c in cells], F.col("n"), F.lit(True).alias("done"))
+        frequent = (_word(m) > 0) & (F.col("n") >= min_count)
+        kept = F.when(F.col("done"), F.array(whole)).when(frequent, F.array(flow, whole)).otherwise(F.array(flow))
         counts = (counts.select(F.explode(kept).alias("x")).select("x.*")
-                  .groupBy(*names, "done").agg(F.sum("n").alias("n")))
-    gram = F.filter(F.array(*names), lambda w: w > 0)
-    return stored(counts.select(gram.alias("gram"), F.col("n").alias("f"))), words
+                  .groupBy(*cells, "done").agg(F.sum("n").alias("n")))
+    gram = F.filter(F.array(*[_word(k) for k in range(max_words)]), lambda w: w > 0)
+    return stored(counts.select(gram.alias("gram"), F.col("n").alias("f"))), words, totals
 
 
 def unary_paths(grams: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
@@ -220,15 +248,18 @@ def scored_candidates(grams: DataFrame, max_words: int = MAX_WORDS, min_count: i
 def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS,
                  min_count: int = MIN_COUNT, top: int = TOP, inside_percent: int = INSIDE_PERCENT) -> DataFrame:
     """Each lang's ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    grams, words = gram_counts(docs, text, lang, max_words, min_count)
+    grams, words, total = gram_counts(docs, text, lang, max_words, min_count)
     scored = stored(scored_candidates(grams, max_words, min_count, inside_percent))
-    total = (grams.filter(F.size("gram") == 1).select(F.element_at("gram", 1).alias("id"), "f").join(words, "id")
-             .groupBy("lang").agg(F.sum("f").alias("n")))
     spelled = (scored.select("gram", F.posexplode("gram").alias("pos", "id")).join(words, "id")
                .groupBy("gram").agg(F.first("lang").alias("lang"), F.array_join(F.transform(
                    F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("phrase")))
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = scored.join(spelled, "gram").select("*", F.row_number().over(order).cast("long").alias("rank")).filter(F.col("rank") <= top)
+    best = [F.col("score").desc(), F.col("a").desc(), "phrase"]
+    # a lang's first rows are among the first of each of its parts, so the last ranking meets a bounded number of rows
+    part = F.pmod(F.xxhash64("phrase"), F.lit(_PARTS))
+    ranked = scored.join(spelled, "gram").withColumn("part", part)
+    for keys in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*best)).cast("long")
+        ranked = ranked.withColumn("rank", place).filter(F.col("rank") <= top)
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

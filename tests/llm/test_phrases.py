@@ -46,7 +46,7 @@ def test_paths(spark):
     line = [f"l{k}" for k in range(21)]
     texts = [" ".join(line)] * 4 + [f"x{k} l3 y{k}" for k in range(3)]
     docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    grams, words = phrases.gram_counts(docs, min_count=2)
+    grams, words, _ = phrases.gram_counts(docs, min_count=2)
     names = {r["id"]: r["word"] for r in words.collect()}
     paths = [[names[i] for i in r["path"]] for r in phrases.compact_paths(grams, words, min_count=2).collect()]
     assert paths == [line]
