@@ -68,20 +68,27 @@ def _read_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pc.fill_null(rows.column("t").combine_chunks(), "").cast(pa.binary()).to_pylist()]
         lists = pc.split_pattern(pa.array(plain, pa.binary()).cast(pa.string()), " ")
         lang = rows.column("lang").combine_chunks().dictionary_encode()
-        langs = np.repeat(lang.indices.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
         flat = lists.flatten().dictionary_encode()
+        n_langs, n_words = len(lang.dictionary), len(flat.dictionary)
+        # (word, lang) as one number, in as few bytes as hold it
+        kind = np.int32 if n_words * n_langs < 2 ** 31 else np.int64
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(kind) * kind(n_langs)
+        code += np.repeat(lang.indices.to_numpy(zero_copy_only=False).astype(kind), np.diff(lists.offsets.to_numpy()))
         del plain, lists
-        key = langs.astype(np.int64) << 32 | flat.indices.to_numpy(zero_copy_only=False)
         empty, end = (pc.index_in(pa.array([x]), value_set=flat.dictionary)[0].as_py() for x in ("", "\n"))
-        word = key & 0xFFFFFFFF
-        key[word == end] = -1  # the piece end comes first
         if empty is not None:
-            key = key[word != empty]
-        del word, langs
-        distinct, place, n = np.unique(key, return_inverse=True, return_counts=True)
-        cells = [number, lang.dictionary.take(pa.array(distinct[1:] >> 32)).to_pylist(),
-                 flat.dictionary.take(pa.array(distinct[1:] & 0xFFFFFFFF)).to_pylist(), n[1:],
-                 zstandard.ZstdCompressor(level=1).compress(place.astype("<i4").tobytes())]
+            code = code[code // n_langs != empty]
+        if n_words * n_langs <= 4 * len(code):  # a table of all pairs is no larger than the words themselves
+            distinct, n = np.arange(n_words * n_langs), np.bincount(code, minlength=n_words * n_langs)
+        else:
+            distinct, code, n = np.unique(code, return_inverse=True, return_counts=True)
+        is_end = distinct // n_langs == end
+        held = (n > 0) & ~is_end
+        place = np.where(held, np.cumsum(held), 0).astype("<i4")[code]  # the piece end is 0
+        distinct = distinct[held]
+        cells = [number, lang.dictionary.take(pa.array(distinct % n_langs)).to_pylist(),
+                 flat.dictionary.take(pa.array(distinct // n_langs)).to_pylist(), n[held],
+                 zstandard.ZstdCompressor(level=1).compress(place.tobytes())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([c], _ARROW[k]) for k, c in enumerate(cells)], names=[c.split(" ")[0] for c in _SLAB.split(", ")])
 
@@ -123,9 +130,10 @@ def _sum_edges(max_words: int):
         import zstandard
 
         codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(slab.column("codes")[0].as_py()), "<i4")
-        ids = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+        ids = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
         ids[own.column("place").to_numpy()] = own.column("id").to_numpy()
-        seq = np.concatenate([ids[codes], np.zeros(max_words, np.int64)])
+        seq = np.concatenate([ids[codes], np.zeros(max_words, np.int32)])
+        del codes
         at = np.flatnonzero(seq)
         columns, alive = [seq[at]], np.ones(len(at), bool)
         for k in range(1, max_words):
@@ -139,8 +147,8 @@ def _sum_edges(max_words: int):
             _, prefix = np.unique(np.unique(prefix, return_inverse=True)[1].astype(np.int64) << 32 | word, return_inverse=True)
         _, first, n = np.unique(prefix, return_index=True, return_counts=True)
         if max_words % 2:
-            columns.append(np.zeros(len(at), np.int64))
-        packed = [columns[k][first] << 32 | columns[k + 1][first] for k in range(0, max_words, 2)]
+            columns.append(np.zeros(len(at), np.int32))
+        packed = [columns[k][first].astype(np.int64) << 32 | columns[k + 1][first] for k in range(0, max_words, 2)]
         return pa.table({**dict(zip(_cells(max_words), packed)), "n": n.astype(np.int64)})
     return run
 
