@@ -118,3 +118,52 @@ def test_knn_prunes_clustered_rows(spark):
     routes = N.query_routes(q, cells, 7, 2).collect()
     pairs = sum(cells[""].size[c] / cells[""].blocks[c] for r in routes for c in r["_cells"])
     assert cells[""].size.sum() == len(X) and pairs < len(X) * len(Q) / 5
+
+
+def test_knn_rows_meet_in_few_products():
+    """Rows whose cells all differ go together by their nearest pivot, and lose no cell."""
+    import pyarrow as pa
+
+    from signalpanel.plans import neighbors as N
+
+    rng = np.random.default_rng(5)
+    cell = rng.integers(0, 200, 3000)
+    near = rng.integers(0, 6, 500)
+    wanted = [sorted({int(n)} | set(rng.integers(0, 200, 3 if n < 5 else 120).tolist())) for n in near]
+    groups = list(N.meetings(pa.array(wanted, pa.list_(pa.int32())), near, cell))
+    assert len(groups) <= 6 and sorted(np.concatenate([at for at, _ in groups]).tolist()) == list(range(500))
+    for at, own in groups:
+        for i in at:
+            assert np.isin(np.flatnonzero(np.isin(cell, wanted[i])), own).all()
+
+
+def test_knn_computes_few_distances(monkeypatch):
+    """Only pairs near the k-th place are computed directly, also for p = 1, and with an outlier for 32 bits."""
+    rng = np.random.default_rng(6)
+    X, Q, ids, pairs = rng.normal(size=(3000, 8)), rng.normal(size=(60, 8)), np.arange(3000), []
+    far = np.vstack([X[:-1], np.full((1, 8), 1e5)])
+    plain = M._distances
+    monkeypatch.setattr(M, "_distances", lambda q, t, p: pairs.append(len(q)) or plain(q, t, p))
+    for p in (1, 2):
+        for T in (X, far):
+            pairs.clear()
+            d, y, near = M._topk_np(Q, T, ids * 1.0, ids, 7, p)
+            want = _brute_knn(Q, T, ids.tolist(), 7, p)
+            assert near.tolist() == [[i for _, i in w] for w in want] and (y == near).all()
+            assert sum(pairs) < 60 * 100
+    same = np.ones((400, 8))
+    assert M._topk_np(same[:2], same, ids[:400] * 1.0, ids[:400][::-1], 5, 1)[2].tolist() == [[0, 1, 2, 3, 4]] * 2
+
+
+def test_knn_labels_share_a_search(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = [(i % 2, f"r{i // 2:02d}", rng.normal(size=3).tolist(), int(rng.integers(2)), int(rng.integers(2)) if i % 7 else None) for i in range(80)]
+    rows = spark.createDataFrame(data, "fold int, row_id string, x array<double>, a int, b int")
+    calls, plain = [], M.knn_neighbors
+    monkeypatch.setattr(M, "knn_neighbors", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    got = {(r["fold"], r["row_id"], r["label"]): (r["y"], r["p"]) for r in M.knn_scores(rows, rows, ["a", "b"], k=4, by=["fold"]).collect()}
+    assert len(calls) == 1 and len(got) == 160
+    for label in ("a", "b"):
+        one = M.knn_score(rows.select("fold", "row_id", "x", F.col(label).alias("y")), rows.select("fold", "row_id", "x", F.col(label).alias("y")), k=4, by=["fold"])
+        for r in one.collect():
+            assert got[r["fold"], r["row_id"], label] == (r["y"], r["p"])
