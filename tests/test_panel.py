@@ -183,3 +183,41 @@ def test_power_without_bounds(spark):
         fine = np.linspace(centre - 0.01, centre + 0.01, 2001)
         assert abs(lam[j] - fine[np.argmax([value(q) for q in fine])]) <= 1.01e-4, j
     assert max(abs(q) for q in lam) > 3.1
+
+
+def test_knn_variants_share_a_search(spark, monkeypatch):
+    """One search per distance serves every k and weighting of the grid."""
+    import numpy as np
+
+    from signalpanel.plans import l1
+
+    rng = np.random.default_rng(3)
+    split = spark.createDataFrame([(0, "train" if i < 40 else "test", f"s{i}", f"r{i:02d}", i % 2, rng.normal(size=2).tolist()) for i in range(50)],
+                                  "fold int, part string, subject_id string, row_id string, y int, x array<double>")
+    calls, plain = [], l1.M.knn_neighbors
+    monkeypatch.setattr(l1.M, "knn_neighbors", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    specs = l1.l1_specs(l1.SUBJECT_GRIDS, ["knn"])
+    got = l1.l1_scores(split, specs, ("standard",)).toPandas()
+    assert len(calls) == 2 and len(got) == 10 * len(specs)
+    own = l1.l1_scores(split, [s for s in specs if s.params == {"n_neighbors": 3, "weights": "distance", "p": 1}], ("standard",)).toPandas()
+    both = own.merge(got, on=["model", "row_id"])
+    assert len(both) == 10 and np.allclose(both["p_x"], both["p_y"], rtol=0, atol=1e-12)
+
+
+def test_importance_scores_without_lambdas(spark):
+    """The fixed scorer: the sum from left to right, NULL with a NULL in it, no interpreted lambda per element."""
+    import numpy as np
+
+    from signalpanel.plans import registry as G
+
+    x = np.random.default_rng(1).normal(size=(30, 64)) * 1e3
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(30, [None] + [1.0] * 63), (31, None), (32, [1.0])]
+    df = G._linear_scorer(spark.createDataFrame(data, "i int, x array<double>").repartition(2))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["i"]: r["p"] for r in df.collect()}
+    for i, v in enumerate(x):
+        z = 0.0
+        for w, e in zip(G._W, v):
+            z += w * float(e)
+        assert abs(got[i] - (1 / (1 + np.exp(-z)) if z > -700 else 0.0)) < 1e-12
+    assert got[30] is None and got[31] is None and got[32] is None
