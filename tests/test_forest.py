@@ -1,5 +1,7 @@
 """Forests grown over blocks against trees grown row by row with the same hashes."""
 
+import os
+
 import numpy as np
 import pytest
 import xxhash
@@ -98,3 +100,20 @@ def test_parameters_act_or_raise():
     for p in ({"max_depth": None}, {"criterion": "entropy"}, {"max_depth": 40}):
         with pytest.raises(ValueError):
             T.Forest.of(ModelSpec("random_forest", p))
+
+
+def test_cuts_are_made_in_spark(spark, monkeypatch):
+    """With few blocks too the sums meet and the cuts are made in tasks, and all cores get a share of the trees."""
+    driver, plain = os.getpid(), T.best_cuts
+
+    def cuts(*a):
+        assert os.getpid() != driver, "cut made by the driver"
+        return plain(*a)
+
+    monkeypatch.setattr(T, "best_cuts", cuts)
+    _, _, df = _rows(spark)
+    _, panel = T.forest_panel(df.coalesce(1), SPECS, ["a", "one"], bins=BINS)
+    assert any((t.feature >= 0).any() for trees in panel.trees.values() for t in trees)
+    blocks = spark.createDataFrame([("d", 1)], "design string, n long")
+    out = T._shared_out(blocks).collect()
+    assert sorted(r["share"] for r in out) == list(range(spark.sparkContext.defaultParallelism)) and {r["shares"] for r in out} == {len(out)}
