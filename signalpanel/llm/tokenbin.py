@@ -9,11 +9,12 @@ The probability of an id mixes three predictions in one arithmetic-coding
 interval: the id that last followed the two ids before it (order 2), the id
 that last followed the id before it (order 1), and adaptive frequencies
 (order 0). The weight of the first two grows with the hits and falls with the
-misses of each context. Order 0 counts id classes, single ids where ids are
-small and wider (powers of two) where they are large; the place inside a class
-is coded evenly. Many blocks run through
-the coder side by side as NumPy lanes, each with its own state, so the cost of
-a step is shared while every lane stays an independent stream.
+misses of each context. Order 0 counts id classes, narrow where ids are small
+and wider (powers of two) where they are large; the place inside a class is
+coded evenly. Many blocks run through the coder side by side as NumPy lanes,
+each with its own state, so the cost of a step is shared while every lane stays
+an independent stream. The encoder knows all ids, so only its contexts and its
+range go step by step; classes, weights and intervals are taken in spans.
 
 Shards are written by Spark's text writer (raw bytes, one line end per block,
 which the block headers count in) and read by its binary-file reader, so any
@@ -26,9 +27,11 @@ no rows.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, shared_folder, string_hashes
+from .common import bounded_batches, cut, shared_folder
 
 # Fixed values of the contract.
 VOCABULARY = "word_bpe_49k.json"
@@ -45,129 +48,122 @@ N_IDS = 49_408
 END_ID = 1
 
 BLOCK_IDS = 4096
-#: Blocks that run side by side, and texts tokenized at once.
-LANES = 1024
+#: Blocks that run side by side at most.
+LANES = 2048
+#: Text bytes tokenized at once.
+BATCH_BYTES = 16 << 20
 #: Texts per shard file at most (a file is read in one task).
 DOCS_PER_SHARD = 20_000
-_MAGIC = b"TKCM"
+_MAGIC = b"TKC2"
 _HEAD = struct.Struct("<4sIIIIIIII")  # magic, shard, block, ids, documents, index bytes, coded bytes, CRCs
 
-# Coder: 64-bit low and range, 32-bit words out; interval total 2^16, order 0 in 2^12.
+# Coder: 63-bit low and range, 32-bit words out, carries added at the end; interval total 2^16, order 0 in 2^12.
 _TOTAL, _SCALE = 16, 12
-_WORD = np.uint64(32)
-_LOW32 = np.uint64(0xFFFFFFFF)
+_WORD, _TOP, _TO16 = np.uint64(32), np.uint64(31), np.uint64(_TOTAL)
+_LEAST, _LOW31, _LOW32 = np.uint64(1 << 31), np.uint64((1 << 31) - 1), np.uint64(0xFFFFFFFF)
 _SLOTS = 1 << 12  # context slots per lane and order
-_REFRESH = 128  # ids between updates of the order-0 intervals
+_SPAN = 32  # ids whose classes and intervals are taken at once
+_REFRESH = 1024  # ids between updates of the order-0 intervals, at most
+_GAIN = 6  # what an id adds to the count of its class
 
 
 def class_bounds(n_ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """First ids of the classes and the bits of their widths: 32 wide below
+    """First ids of the classes and the bits of their widths: 8 wide below
     512, then the largest power of two within a fortieth of the distance from 512."""
     firsts, bits, at = [], [], 0
     while at < n_ids:
-        b = 5 if at < 512 else max(1, (at - 512) // 40).bit_length() - 1
+        b = 3 if at < 512 else max(1, (at - 512) // 40).bit_length() - 1
         firsts.append(at)
         bits.append(b)
         at += 1 << b
-    return np.array(firsts, np.int32), np.array(bits, np.int32)
+    return np.array(firsts, np.int64), np.array(bits, np.int64)
 
 
-#: Interval share (of 2^16) of a prediction by its confidence: hits over tries, roughly.
-_SHARE = np.array([int(65536 * (c + 0.15) / (c + 3.0)) for c in range(16)], np.int64)
+def _weights() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By 16 times the confidence of order 2 plus that of order 1 (0: no guess
+    of its own): the end of order 2's interval, the end of both orders', and
+    the sixteenths that are left to order 0 (one at least)."""
+    two, both, left = (np.zeros(256, np.int64) for _ in range(3))
+    share = [0.0] + [(c + 0.15) / (c + 3.0) for c in range(15)]  # hits over tries, roughly
+    most = 1 - 2.0 ** (_SCALE - _TOTAL)
+    for k in range(256):
+        w2 = share[k >> 4] * most
+        w12 = w2 + share[k & 15] * (most - w2)
+        left[k] = min(15, max(1, round((1 - w12) * 16))) if k else 16
+        both[k] = (16 - left[k]) << _SCALE
+        two[k] = int(both[k] * w2 / w12) if k & 15 else both[k]
+    return two, both, left
+
+
+_TWO, _BOTH, _LEFT = _weights()
+_PER_LEFT = 1 / _LEFT
+#: What a confidence (0: empty, else 1 to 15) gains by a miss (0 to 15) and by a hit (16 and more).
+_STEP = np.array([((c - 1) >> 1) + 1 - c for c in range(16)] + [1] * 15 + [0], np.int32)
 
 
 class _Lanes:
-    """Model and coder state of blocks that run side by side, longest first."""
+    """Models of blocks that run side by side, longest first."""
 
     def __init__(self, n: int, n_ids: int, decode: bool):
-        self.n, self.decode = n, decode
         self.first, self.bits = class_bounds(n_ids)
         self.classes = len(self.first)
-        width = np.diff(np.append(self.first, n_ids))
-        self.class_of = np.repeat(np.arange(self.classes, dtype=np.int32), width)
-        self.row = np.arange(n, dtype=np.int32)
-        self.base = self.row * _SLOTS
-        self.cum_base = self.row * (self.classes + 1)
-        self.follow = [np.zeros(n * _SLOTS, np.int32) for _ in range(2)]  # (id + 1) * 16 + confidence
+        self.class_of = np.repeat(np.arange(self.classes), np.diff(np.append(self.first, n_ids)))
+        self.base = np.arange(2 * n).reshape(2, n) * _SLOTS  # order 2, order 1
+        self.follow = np.zeros(2 * n * _SLOTS, np.int32)  # (id + 1) * 16 + confidence
+        self.class_base = np.arange(n) * self.classes
         self.counts = np.ones((n, self.classes), np.int32)
-        self.recent = np.zeros((_REFRESH, n), np.int32)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.mixed = np.zeros(n, np.int32)  # hash of the two ids before
-        self.prev = np.zeros(n, np.int32)
-        self.cum = np.zeros((n, self.classes + 1), np.int32)
-        self.slot = np.zeros((n, 1 << _SCALE), np.int16) if decode else None
+        self.part = np.zeros(n * self.classes, np.int32)  # start * 2^13 + size of a class's interval
+        # class of each of the 2^12 parts; 16 spare rows in front are met by lanes that hit a guess
+        self.slot_base = (np.arange(n) + 16) << _SCALE
+        self.slots = np.zeros((n + 16) << _SCALE, np.int16) if decode else None
+        self.range = np.full(n, _LEAST)
         self._intervals(n)
 
     def _intervals(self, a: int) -> None:
         """Order-0 intervals in 2^12 parts, at least one part per class."""
         upto = np.cumsum(self.counts[:a], axis=1, dtype=np.int32)
-        scale = ((1 << _SCALE) - self.classes) / upto[:, -1:]
-        parts = (upto * scale).astype(np.int32)
-        parts[:, -1] = (1 << _SCALE) - self.classes
-        parts += np.arange(1, self.classes + 1, dtype=np.int32)
-        self.cum[:a, 1:] = parts
-        if self.decode:
-            mark = np.zeros((a, 1 << _SCALE), np.int16)
-            mark[self.row[:a, None], parts[:, :-1]] = 1
-            np.cumsum(mark, axis=1, dtype=np.int16, out=self.slot[:a])
-
-    def predict(self, a: int) -> None:
-        """Predicted ids and interval shares of orders 1 and 2 for the first ``a`` lanes."""
-        base = self.base[:a]
-        self.at1, self.at2 = base + (self.prev[:a] & (_SLOTS - 1)), base + (self.mixed[:a] & (_SLOTS - 1))
-        self.held1, self.held2 = self.follow[0].take(self.at1), self.follow[1].take(self.at2)
-        self.guess1, self.guess2 = (self.held1 >> 4) - 1, (self.held2 >> 4) - 1
-        most = (1 << _TOTAL) - (1 << _SCALE)  # order 0 keeps a share for every class
-        w2 = _SHARE.take(self.held2 & 15) * (self.held2 > 0)
-        w1 = _SHARE.take(self.held1 & 15) * ((self.held1 > 0) & (self.guess1 != self.guess2))
-        self.w2 = (w2 * most) >> 16
-        self.w12 = self.w2 + ((w1 * (most - self.w2)) >> 16)
-        self.w0 = (1 << _TOTAL) - self.w12
-
-    def learn(self, a: int, t: int, ids: np.ndarray) -> None:
+        spare = (1 << _SCALE) - self.classes
+        ends = (upto * (spare / upto[:, -1:])).astype(np.int32)
+        ends[:, -1] = spare
+        ends += np.arange(1, self.classes + 1, dtype=np.int32)
+        sizes = np.diff(ends, axis=1, prepend=np.int32(0))
+        self.part[:a * self.classes] = (((ends - sizes) << 13) | sizes).ravel()
+        if self.slots is not None:
+            classes = np.tile(np.arange(self.classes, dtype=np.int16), a)
+            self.slots[16 << _SCALE:(a + 16) << _SCALE] = np.repeat(classes, sizes.ravel())
+
+    def count(self, a: int, ids: np.ndarray) -> None:
+        seen = (self.class_of.take(ids) + self.class_base[:a]).ravel()
+        self.counts[:a] += _GAIN * np.bincount(seen, minlength=a * self.classes).reshape(a, self.classes).astype(np.int32)
+        self._intervals(a)
+
+    def learn(self, at: np.ndarray, held: np.ndarray, fresh: np.ndarray) -> None:
         """A context's guess gains confidence by a hit, loses half by a miss,
         and gives way at none."""
-        fresh = (ids + 1) << 4
-        for follow, at, held, guess in ((self.follow[0], self.at1, self.held1, self.guess1),
-                                        (self.follow[1], self.at2, self.held2, self.guess2)):
-            conf = held & 15
-            missed = np.where(conf > 0, held - conf + (conf >> 1), fresh)
-            follow[at] = np.where(guess == ids, held + (conf < 15), missed)
-        self.mixed[:a] = (self.prev[:a] * 5 + ids * 2333) ^ (ids >> 3)
-        self.prev[:a] = ids ^ (ids >> 12)
-        self.recent[t % _REFRESH, :a] = self.class_of.take(ids)
-        if t % _REFRESH == _REFRESH - 1:
-            seen = (self.recent[:, :a] + self.row[:a] * self.classes).ravel()
-            self.counts[:a] += 24 * np.bincount(seen, minlength=a * self.classes).reshape(a, self.classes).astype(np.int32)
-            self._intervals(a)
-
-    def order0(self, a: int, c: np.ndarray):
-        at = self.cum_base[:a] + c
-        lo = (self.cum.ravel().take(at) * self.w0) >> _SCALE
-        return self.w12 + lo, ((self.cum.ravel().take(at + 1) * self.w0) >> _SCALE) - lo
-
-    def narrow(self, a: int, lo: np.ndarray, size: np.ndarray, bits: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """Shrink to the interval, then to its ``part`` of 2^``bits``; which lanes have words to move."""
-        r = self.range[:a] >> np.uint64(_TOTAL)
-        inner = (r * size.astype(np.uint64)) >> bits.astype(np.uint64)
-        self.low[:a] += r * lo.astype(np.uint64) + inner * part.astype(np.uint64)
-        self.range[:a] = inner
-        return self.moving(a)
-
-    def moving(self, a: int) -> np.ndarray:
-        """Lanes whose range fell below a word; one that straddles a word's
-        border is cut at the border."""
-        move = np.flatnonzero(self.range[:a] <= _LOW32)
-        low, r = self.low[move], self.range[move]
-        border = (np.uint64(0) - low) & _LOW32
-        self.range[move] = np.where((border != 0) & (r > border), border, r)
-        return move
+        conf = held & 15
+        conf += ((held ^ fresh) < 16) * np.int32(16)
+        self.follow[at] = np.where(conf < 2, fresh + 1, held + _STEP.take(conf))
 
 
 def _in_lanes(lengths: list[int]) -> Iterator[np.ndarray]:
     order = np.argsort(-np.array(lengths, np.int64), kind="stable")
-    for k in range(0, len(order), LANES):
-        yield order[k:k + LANES]
+    groups = -(-len(order) // LANES)
+    yield from np.array_split(order, groups) if groups else ()
+
+
+def _due(t: int) -> bool:
+    """Whether the order-0 intervals follow the counts at step ``t``."""
+    return t % _REFRESH == 0 or (t < _REFRESH and t >= _SPAN and t & (t - 1) == 0)
+
+
+def _spans(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Steps (from, to) and the number of lanes at work in all of them."""
+    t = 0
+    while t < lengths[0]:
+        a = int(np.searchsorted(-lengths, -t, "left"))
+        end = min(int(lengths[a - 1]), (t // _SPAN + 1) * _SPAN)
+        yield t, end, a
+        t = end
 
 
 def encode_blocks(blocks: list[np.ndarray], n_ids: int = N_IDS) -> list[bytes]:
@@ -179,79 +175,109 @@ def encode_blocks(blocks: list[np.ndarray], n_ids: int = N_IDS) -> list[bytes]:
         ids = np.zeros((longest, n), np.int32)
         for k, g in enumerate(group):
             ids[:lengths[k], k] = blocks[g]
-        lanes = _Lanes(n, n_ids, False)
-        words, used = np.zeros((n, longest + 8), np.uint32), np.zeros(n, np.int64)
-        active = np.searchsorted(-lengths, -np.arange(longest), "left")
-        for t in range(longest):
-            a = int(active[t])
-            now = ids[t, :a]
-            lanes.predict(a)
-            c = lanes.class_of.take(now)
-            lo, size = lanes.order0(a, c)
-            hit2 = now == lanes.guess2
-            hit1 = (now == lanes.guess1) & ~hit2
-            lo = np.where(hit1, lanes.w2, lo) * ~hit2
-            size = np.where(hit2, lanes.w2, np.where(hit1, lanes.w12 - lanes.w2, size))
+        lanes, seen = _Lanes(n, n_ids, False), 0
+        low, rng = np.zeros(n, np.uint64), lanes.range
+        words, pos = np.zeros((longest + 1) * n, np.uint64), np.arange(n)  # a word of all lanes, then the next
+        prev, mixed = np.zeros((1, n), np.int32), np.zeros((1, n), np.int32)
+        for t, end, a in _spans(lengths):
+            now = ids[t:end, :a] + np.int32(1)
+            prev = np.concatenate([prev[-1:, :a], now ^ (now >> 12)])
+            mixed = np.concatenate([mixed[-1:, :a], _mixed(prev[:-1], now)])
+            at = lanes.base[:, :a] + (np.stack([mixed[:-1], prev[:-1]], 1) & (_SLOTS - 1))
+            held, fresh = np.zeros(at.shape, np.int32), now << 4
+            for k in range(end - t):
+                lanes.follow.take(at[k], out=held[k], mode="clip")
+                lanes.learn(at[k], held[k], fresh[k])
+            guess, conf = held >> 4, held & 15
+            w = conf[:, 0] * 16 + conf[:, 1] * (guess[:, 0] != guess[:, 1])
+            two, both, left = _TWO.take(w), _BOTH.take(w), _LEFT.take(w)
+            hit2 = guess[:, 0] == now
+            hit1 = (guess[:, 1] == now) & ~hit2
             miss = ~(hit1 | hit2)
-            move = lanes.narrow(a, lo, size, lanes.bits.take(c) * miss, (now - lanes.first.take(c)) * miss)
-            while len(move):
-                words[move, used[move]] = lanes.low[move] >> _WORD
-                used[move] += 1
-                lanes.low[move] <<= _WORD
-                lanes.range[move] <<= _WORD
-                move = lanes.moving(a) if (lanes.range[move] <= _LOW32).any() else move[:0]
-            lanes.learn(a, t, now)
+            c = lanes.class_of.take(now - 1)
+            p = lanes.part.take(lanes.class_base[:a] + c)
+            lo = (np.where(hit1, two, both + left * (p >> 13)) * ~hit2).view(np.uint64)
+            size = np.where(hit2, two, np.where(hit1, both - two, left * (p & 8191))).view(np.uint64)
+            bits = (lanes.bits.take(c) * miss).view(np.uint64)
+            place = ((now - 1 - lanes.first.take(c)) * miss).view(np.uint64)
+            low_, rng_, pos_ = low[:a], rng[:a], pos[:a]
+            for k in range(end - t):
+                r = rng_ >> _TO16
+                rng_ = (r * size[k]) >> bits[k]
+                low_ = low_ + r * lo[k] + rng_ * place[k]
+                words[pos_] = low_ >> _TOP  # stays if the lane moves on
+                move = rng_ < _LEAST
+                pos_ = pos_ + move * n
+                low_ = np.where(move, (low_ & _LOW31) << _WORD, low_)
+                rng_ = rng_ << (move * _WORD)
+            low[:a], rng[:a], pos[:a] = low_, rng_, pos_
+            if _due(end) and end < longest:
+                lanes.count(a, ids[seen:end, :a])
+                seen = end
         for k, g in enumerate(group):
-            last = np.array([lanes.low[k] >> _WORD, lanes.low[k] & _LOW32], np.uint64).astype("<u4")
-            out[g] = words[k, :used[k]].astype("<u4").tobytes() + last.tobytes()
+            own = words[k:pos[k]:n]
+            whole = int.from_bytes((own & _LOW32).astype(">u4").tobytes(), "big")
+            whole += int.from_bytes((own >> _WORD).astype(">u4").tobytes(), "big") << 32  # carries
+            out[g] = ((whole << 63) + int(low[k])).to_bytes(4 * len(own) + 4, "big")
     return out
 
 
+def _mixed(prev: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Hash of the last two ids."""
+    return (prev * np.int32(5) + now * np.int32(2333)) ^ (now >> 3)
+
+
 def decode_blocks(coded: list[bytes], lengths_in: list[int], n_ids: int = N_IDS) -> list[np.ndarray]:
     """Ids of each coded block."""
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
     for group in _in_lanes(lengths_in):
         lengths = np.array([lengths_in[g] for g in group], np.int64)
         n, longest = len(group), int(lengths[0])
-        size_of = max(len(coded[g]) for g in group) // 4 + 2
-        words = np.zeros((n, size_of), np.uint64)
+        words = np.zeros((max(len(coded[g]) for g in group) // 4 + 1, n), np.uint64)
         for k, g in enumerate(group):
-            w = np.frombuffer(coded[g], "<u4")
-            words[k, :len(w)] = w
-        lanes = _Lanes(n, n_ids, True)
-        slots, slot_base = lanes.slot.ravel(), lanes.row << _SCALE
-        code = (words[:, 0] << _WORD) | words[:, 1]
-        used = np.full(n, 2, np.int64)
-        ids = np.zeros((longest, n), np.int32)
-        active = np.searchsorted(-lengths, -np.arange(longest), "left")
-        for t in range(longest):
-            a = int(active[t])
-            lanes.predict(a)
-            ahead = code[:a] - lanes.low[:a]
-            r = lanes.range[:a] >> np.uint64(_TOTAL)
-            at = np.minimum(ahead // r, np.uint64(65535)).astype(np.int64)
-            rest = np.maximum(at - lanes.w12, 0)
-            # the last class whose interval starts at or in front of rest (exact in floating point: 28 bits)
-            slot = ((((rest + 1) << _SCALE) - 1) / lanes.w0).astype(np.int32)
-            c = slots.take(slot_base[:a] + slot)
-            lo, size = lanes.order0(a, c)
-            hit2, hit = at < lanes.w2, at < lanes.w12
-            lo = np.where(hit, lanes.w2, lo) * ~hit2
-            size = np.where(hit2, lanes.w2, np.where(hit, lanes.w12 - lanes.w2, size))
-            bits = lanes.bits.take(c) * ~hit
-            inner = (r * size.astype(np.uint64)) >> bits.astype(np.uint64)
-            part = ((ahead - r * lo.astype(np.uint64)) // inner).astype(np.int64)
-            part = np.minimum(part, (1 << bits) - 1)
-            now = np.where(hit2, lanes.guess2, np.where(hit, lanes.guess1, lanes.first.take(c) + part.astype(np.int32)))
-            ids[t, :a] = now
-            move = lanes.narrow(a, lo, size, bits, part)
-            while len(move):
-                code[move] = (code[move] << _WORD) | words[move, np.minimum(used[move], size_of - 1)]
-                used[move] += 1
-                lanes.low[move] <<= _WORD
-                lanes.range[move] <<= _WORD
-                move = lanes.moving(a) if (lanes.range[move] <= _LOW32).any() else move[:0]
-            lanes.learn(a, t, now)
+            own = np.frombuffer(coded[g], ">u4")
+            words[:len(own), k] = own
+        code, pos, words = words[0].copy(), np.arange(n) + n, words.ravel()
+        lanes, seen = _Lanes(n, n_ids, True), 0
+        ids, first = np.zeros((longest, n), np.int32), lanes.first + 1
+        at, prev, rng = lanes.base, np.zeros(n, np.int32), lanes.range
+        for t, end, a in _spans(lengths):
+            at, prev, code, pos, rng = at[:, :a].copy(), prev[:a], code[:a], pos[:a], rng[:a]
+            base2, base1 = lanes.base[:, :a]
+            slot_base, class_base = lanes.slot_base[:a], lanes.class_base[:a]
+            for k in range(t, end):
+                held = lanes.follow.take(at)
+                conf, (guess2, guess1) = held & 15, held >> 4
+                w = conf[0] * 16 + conf[1] * (guess2 != guess1)
+                two, both, left = _TWO.take(w), _BOTH.take(w), _LEFT.take(w)
+                r = rng >> _TO16
+                part = (code // r).view(np.int64)
+                hit2, hit = part < two, part < both
+                # exact in floating point: at least half a sixteenth from any border
+                c = lanes.slots.take(slot_base + ((part - both + 0.5) * _PER_LEFT.take(w)).astype(np.int64))
+                p = lanes.part.take(class_base + c)
+                lo = np.where(hit, two, both + left * (p >> 13)) * ~hit2
+                size = np.where(hit2, two, np.where(hit, both - two, left * (p & 8191)))
+                bits = lanes.bits.take(c) * ~hit
+                code = code - r * lo.view(np.uint64)
+                rng = (r * size.view(np.uint64)) >> bits.view(np.uint64)
+                place = code // rng
+                code -= rng * place
+                now = np.where(hit2, guess2, np.where(hit, guess1, first.take(c) + place.view(np.int64))).astype(np.int32)
+                ids[k, :a] = now
+                move = rng < _LEAST
+                shift = move * _WORD
+                code = (code << shift) | (words.take(pos, mode="clip") * move)
+                rng = rng << shift
+                pos = pos + move * n
+                lanes.learn(at, held, now << 4)
+                np.add(base2, _mixed(prev, now) & (_SLOTS - 1), out=at[0])
+                prev = now ^ (now >> 12)
+                np.add(base1, prev & (_SLOTS - 1), out=at[1])
+            if _due(end) and end < longest:
+                lanes.count(a, ids[seen:end, :a] - 1)
+                seen = end
+        ids -= 1
         for k, g in enumerate(group):
             out[g] = ids[:lengths[k], k]
     return out
@@ -259,50 +285,137 @@ def decode_blocks(coded: list[bytes], lengths_in: list[int], n_ids: int = N_IDS)
 
 # ------------------------------------------------------------------ tokenizing
 
-class WordTokenizer:
-    """The library's tokenizer, asked once per distinct chunk between ASCII
-    white space. The vocabulary's pre-tokenizer always splits at white space,
-    so the ids of a text are those of its chunks in a row. Chunks are known
-    by a 128-bit hash in sorted arrays, their ids stand in one list array."""
+#: How the vocabulary cuts a text: what the pieces below rely on.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Pieces that the library is given as one text; longer ones are not kept.
+_JOINED, _KEPT_CHARS = 200, 100
+
 
-    def __init__(self, path: str, end_id: int = END_ID, keep: int = 2_000_000):
+class WordTokenizer:
+    """The library's tokenizer, asked once per distinct piece.
+
+    The vocabulary's pre-tokenizer always splits at white space, so the ids of
+    a text are those of its chunks between ASCII white space in a row. Plain
+    chunks (printable ASCII but for the apostrophe and ``<``, and letters that
+    the library was seen to take as such) are cut further, into runs of
+    letters, single digits and runs of signs, ASCII letters lower-cased, as the
+    vocabulary does. Pieces go to the library many to a text, one space between
+    them; each is one word to it, so its ids end with the one that closes a
+    word. Other chunks go to it one by one."""
+
+    def __init__(self, path: str, end_id: int = END_ID, keep: int = 750_000):
         from tokenizers import Tokenizer
 
         self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        letters = self._letters() if self._known_cut() else None
+        self.plain = None if letters is None else f"^[!-&(-;=-~{letters}]+$"
+        self.one = f"^([A-Za-z{letters}]+|[0-9]|[^A-Za-z0-9{letters}]+)$"
+        self.cut = f"([A-Za-z{letters}]+|[0-9]|[^A-Za-z0-9{letters}]+)"
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
+    def _known_cut(self) -> bool:
+        """Whether the vocabulary cuts and normalizes texts in the way that plain chunks rely on."""
+        rules = json.loads(self.model.to_str())
+        normal, cuts = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+        cuts = cuts.get("pretokenizers") or [{}]
+        return (normal.get("normalizers") == _NORMAL and rules["model"].get("end_of_word_suffix") == "</w>"
+                and cuts[0] == {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}
+                and [c.get("type") for c in cuts[1:]] == ["ByteLevel"] and not cuts[1].get("use_regex", True)
+                and all("<" in t["content"] for t in rules["added_tokens"]))
+
+    def _letters(self) -> str:
+        """Letters up to the Cyrillic ones that stay letters when the library normalizes them."""
+        def kept(c: str) -> bool:
+            words = self.model.pre_tokenizer.pre_tokenize_str(self.model.normalizer.normalize_str(f"a{c}a.1{c}."))
+            return [at for _, at in words] == [(0, 3), (3, 4), (4, 5), (5, 6), (6, 7)]
+
+        return "".join(c for c in map(chr, range(0xAA, 0x530)) if c.isalpha() and kept(c))
+
     def _forget(self):
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        self.levels = [none, none]  # sorted (hash, second hash, place): many, and the latest
-        self.size = np.ones(1, np.int32)  # place 0: the end id
-        self.lists = pa.array([[self.end_id]], pa.list_(pa.int32()))
-
-    def _places(self, chunks: pa.StringArray) -> np.ndarray:
-        """Place of each distinct chunk in ``lists``; new chunks are added."""
-        if len(self.size) > self.keep:
+        self.known: dict[str, int] = {}  # places of pieces
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int32)
+
+    def _one_by_one(self, names: list[str]) -> list[np.ndarray]:
+        got = []
+        for k in range(0, len(names), 20_000):
+            part = self.model.encode_batch_fast(names[k:k + 20_000], add_special_tokens=False)
+            got += [np.array(e.ids, np.int32) for e in part]
+        return got
+
+    def _words(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their numbers of pieces that are one word each."""
+        ids, sizes = [], []
+        for k in range(0, len(names), 100 * _JOINED):
+            groups = [names[j:j + _JOINED] for j in range(k, min(len(names), k + 100 * _JOINED), _JOINED)]
+            for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+                own = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(self.closes[own]) + 1
+                if len(ends) == len(group) and ends[-1] == len(own):
+                    ids.append(own)
+                    sizes.append(np.diff(ends, prepend=0))
+                else:  # a piece that is not one word to the library
+                    apart = self._one_by_one(group)
+                    ids += apart
+                    sizes.append(np.array([len(x) for x in apart]))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _add(self, names: list[str]) -> np.ndarray:
+        """Places of new pieces."""
+        first, places = len(self.ends) - 1, np.zeros(len(names), np.int64)
+        words = np.zeros(len(names), bool)
+        if self.plain is not None:
+            texts = pa.array(names, pa.string())
+            words = pc.match_substring_regex(texts, self.plain)
+            words = pc.and_(words, pc.match_substring_regex(texts, self.one)).to_numpy(zero_copy_only=False)
+        flat, sizes = [self.flat], []
+        for own in (words, ~words):
+            which = np.flatnonzero(own)
+            if len(which):
+                part = [names[k] for k in which.tolist()]
+                if own is words:
+                    ids, size = self._words(part)
+                else:
+                    got = self._one_by_one(part)
+                    ids, size = np.concatenate(got), np.array([len(x) for x in got])
+                flat.append(ids)
+                sizes.append(size)
+                places[which] = first + np.arange(len(which))
+                first += len(which)
+        self.flat = np.concatenate(flat)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        self.known.update((x, p) for x, p in zip(names, places.tolist()) if len(x) <= _KEPT_CHARS)
+        return places
+
+    def _pieces(self, chunks: pa.StringArray) -> pa.ListArray:
+        """The pieces of distinct chunks."""
+        if self.plain is None:
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(chunks) + 1, dtype=np.int32)), chunks)
+        plain = pc.match_substring_regex(chunks, self.plain)
+        small = pc.and_(plain, pc.string_is_ascii(chunks))
+        chunks = pc.if_else(small, pc.ascii_lower(chunks), chunks)
+        several = pc.and_(plain, pc.invert(pc.match_substring_regex(chunks, self.one)))
+        apart = pc.replace_substring_regex(chunks.filter(several), self.cut, r"\1 ")
+        return pc.ascii_split_whitespace(pc.replace_with_mask(chunks, several, pc.ascii_rtrim_whitespace(apart)))
+
+    def _lists(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in a row, and their numbers."""
+        if len(self.known) > self.keep or len(self.flat) > 8 * self.keep:
             self._forget()
-        h, h2 = string_hashes(chunks)
-        place = np.full(len(chunks), -1, np.int32)
-        for a, b, p in self.levels:
-            if len(a):
-                at = np.minimum(np.searchsorted(a, h), len(a) - 1)
-                same = (a[at] == h) & (b[at] == h2)
-                place[same] = p[at[same]]
-        new = np.flatnonzero(place < 0)
+        lists = self._pieces(chunks)
+        pieces = lists.flatten().dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(places < 0)
         if len(new):
-            names = chunks.take(pa.array(new)).to_pylist()
-            got = [e.ids for k in range(0, len(names), 20_000)
-                   for e in self.model.encode_batch_fast(names[k:k + 20_000], add_special_tokens=False)]
-            place[new] = np.arange(len(self.size), len(self.size) + len(new), dtype=np.int32)
-            self.lists = pa.concat_arrays([self.lists, pa.array(got, pa.list_(pa.int32()))])
-            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int32, len(got))])
-            joined = [np.concatenate([x, y]) for x, y in zip(self.levels[1], (h[new], h2[new], place[new]))]
-            if len(joined[0]) > 100_000:
-                joined = [np.concatenate([x, y]) for x, y in zip(self.levels[0], joined)]
-            order = np.argsort(joined[0], kind="stable")
-            level = tuple(x[order] for x in joined)
-            self.levels = [self.levels[0], level] if len(joined[0]) <= 100_000 else [level, tuple(x[:0] for x in level)]
-        return place
+            places[new] = self._add(names[new].tolist())
+        places = places[pieces.indices.to_numpy(zero_copy_only=False)]
+        got = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(places))
+        offsets = lists.offsets.to_numpy()
+        return got.flatten().to_numpy(), np.diff(got.offsets.to_numpy()[offsets - offsets[0]])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, an end id behind each, and the lengths."""
@@ -310,12 +423,13 @@ class WordTokenizer:
         flat = lists.flatten().dictionary_encode()
         bounds = np.asarray(lists.offsets.to_numpy(), np.int64)
         bounds = bounds - bounds[0]
-        places = self._places(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)]
-        places = np.insert(places, bounds[1:], 0)  # place 0 is the end id
-        upto = np.concatenate(([0], np.cumsum(self.size[places])))
+        own, sizes = self._lists(flat.dictionary)
+        own, sizes = np.append(np.int32(self.end_id), own), np.append(1, sizes)  # place 0 is the end id
+        held = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(own, pa.int32()))
+        places = np.insert(flat.indices.to_numpy(zero_copy_only=False) + np.int32(1), bounds[1:], 0)
+        got = held.take(pa.array(places))
         ends = bounds + np.arange(len(bounds))
-        ids = self.lists.take(pa.array(places)).flatten().to_numpy()
-        return ids, np.diff(upto[ends])
+        return got.flatten().to_numpy(), np.diff(got.offsets.to_numpy()[ends]).astype(np.int64)
 
 
 _tokenizers: dict[tuple, WordTokenizer] = {}
@@ -372,6 +486,19 @@ def unpack_blocks(data: bytes) -> list[tuple[int, int, int, list, bytes, int]]:
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some ``BATCH_BYTES``, so that words in many texts are looked up once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _write(path: str, end_id: int, n_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -394,7 +521,7 @@ def _write(path: str, end_id: int, n_ids: int):
             first += len(blocks)
             return pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["value"])
 
-        for b in batches:
+        for b in _gathered(batches):
             new, sizes = tokenizer(path, end_id).encode(b.column("t"))
             starts = len(ids) + np.cumsum(sizes) - sizes
             ids = np.concatenate([ids, new])

@@ -4,6 +4,8 @@ clashing column names, against the plain versions."""
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,6 +185,62 @@ def test_tokens_doubled_texts(spark, tmp_path):
     assert _rows(got) == sorted(brute.tokens(rows, Tokenizer.from_file(path)), key=str)
 
 
+def test_tokens_asked_in_pieces():
+    """The library is asked for each piece once, many at a time, whatever its case and the signs beside it."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path(tokenbin.VOCABULARY)
+    w, asked = tokenbin.WordTokenizer(path), []
+
+    class Counting:
+        def __init__(self, model):
+            self.model = model
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(texts)
+            return self.model.encode_batch_fast(texts, **how)
+
+    library, w.model = w.model, Counting(w.model)
+    texts = ["House, house. (HOUSE) \u00e9tude; house", "house! \u00e9tude \u00e9tude:", None, ""]
+    ids, sizes = w.encode(pa.array(texts))
+    ids2, _ = w.encode(pa.array(texts))
+    want = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert ids.tolist() == ids2.tolist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+    assert sum(t.split().count("house") for t in asked) == 1 and sum(t.split().count("\u00e9tude") for t in asked) == 1
+    assert len([t for t in asked if t]) == 1
+
+
+def test_tokens_odd_characters():
+    """Random texts of characters that change by case, composition or neighbours: the library's own ids."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path(tokenbin.VOCABULARY)
+    w, rng = tokenbin.WordTokenizer(path, keep=3000), np.random.default_rng(5)
+    odd = list("aAhHkKsStTiI19.,;'!<|>-_=~ \t\n\x0b\x1c\x1f\x7f\x85\xa0") + list(
+        "\u00e9\u00c9\u00df\u0130\u0131\u0149\u017f\u01c5\u0300\u0301\u0307\u0331\u0338\u0345\u037a\u03a3\u03c2\u0416\u1e9e\u1e96"
+        "\u212a\u2126\u00bd\u00b2\u0663\u4e2d\u6587\u1100\u1161\u11a8\u3000\u200b\u2028\ufb01\U0001d400\U0001f600\U00010400") + [
+        "'re", "'S", "don't", "<|endoftext|>", "<|STARTOFTEXT|>", "house", "House."]
+    texts = ["".join(rng.choice(odd, int(rng.integers(1, 25)))) for _ in range(4000)]
+    for k in range(0, 4000, 1000):
+        part = texts[k:k + 1000]
+        ids, sizes = w.encode(pa.array(part))
+        want = [e.ids + [1] for e in w.model.encode_batch_fast(part, add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_tokens_coder_round_trip():
+    """Blocks of unlike lengths and ids at class bounds; guesses that always hit; ids that never repeat."""
+    rng = np.random.default_rng(6)
+    for n_ids in (600, 49_408, 250_000):
+        first, bits = tokenbin.class_bounds(n_ids)
+        edge = np.unique(np.concatenate([first, np.minimum(first + (1 << bits), n_ids) - 1]))
+        blocks = [rng.integers(0, n_ids, int(n)) for n in rng.integers(1, 1300, 20)]
+        blocks += [rng.choice(edge, 700), np.zeros(4096, np.int64), np.full(2049, n_ids - 1), rng.permutation(n_ids)[:4096], edge[:1]]
+        coded = tokenbin.encode_blocks(blocks, n_ids)
+        got = tokenbin.decode_blocks(coded, [len(b) for b in blocks], n_ids)
+        assert all(np.array_equal(x, y) for x, y in zip(blocks, got))
+        assert coded == [tokenbin.encode_blocks([b], n_ids)[0] for b in blocks]  # a block stands alone
+    assert len(tokenbin.encode_blocks([np.zeros(4096, np.int64)])[0]) < 1200
+
+
 def test_quality(docs, empty):
     got = {(r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in quality.judge(docs, "text").select("row.doc_id", "n_words", "n_repeat_words").collect()}
     for i, t in _texts():
