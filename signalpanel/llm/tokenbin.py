@@ -61,7 +61,7 @@ _HEAD = struct.Struct("<4sIIIIIIII")  # magic, shard, block, ids, documents, ind
 _TOTAL, _SCALE = 16, 12
 _WORD, _TOP, _TO16 = np.uint64(32), np.uint64(31), np.uint64(_TOTAL)
 _LEAST, _LOW31, _LOW32 = np.uint64(1 << 31), np.uint64((1 << 31) - 1), np.uint64(0xFFFFFFFF)
-_SLOTS = 1 << 12  # context slots per lane and order
+_SLOTS = 1 << 11  # context slots per lane and order
 _SPAN = 32  # ids whose classes and intervals are taken at once
 _REFRESH = 1024  # ids between updates of the order-0 intervals, at most
 _GAIN = 6  # what an id adds to the count of its class
@@ -133,7 +133,7 @@ class _Lanes:
             self.slots[16 << _SCALE:(a + 16) << _SCALE] = np.repeat(classes, sizes.ravel())
 
     def count(self, a: int, ids: np.ndarray) -> None:
-        seen = (self.class_of.take(ids) + self.class_base[:a]).ravel()
+        seen = (self.class_of.take(ids) + self.class_base[:a, None]).ravel()
         self.counts[:a] += _GAIN * np.bincount(seen, minlength=a * self.classes).reshape(a, self.classes).astype(np.int32)
         self._intervals(a)
 
@@ -153,7 +153,7 @@ def _in_lanes(lengths: list[int]) -> Iterator[np.ndarray]:
 
 def _due(t: int) -> bool:
     """Whether the order-0 intervals follow the counts at step ``t``."""
-    return t % _REFRESH == 0 or (t < _REFRESH and t >= _SPAN and t & (t - 1) == 0)
+    return t % _REFRESH == 0 or (t < _REFRESH and t >= 4 * _SPAN and t & (t - 1) == 0)
 
 
 def _spans(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -172,15 +172,15 @@ def encode_blocks(blocks: list[np.ndarray], n_ids: int = N_IDS) -> list[bytes]:
     for group in _in_lanes([len(b) for b in blocks]):
         lengths = np.array([len(blocks[g]) for g in group], np.int64)
         n, longest = len(group), int(lengths[0])
-        ids = np.zeros((longest, n), np.int32)
+        ids = np.zeros((n, longest), np.int32)
         for k, g in enumerate(group):
-            ids[:lengths[k], k] = blocks[g]
+            ids[k, :lengths[k]] = blocks[g]
         lanes, seen = _Lanes(n, n_ids, False), 0
         low, rng = np.zeros(n, np.uint64), lanes.range
         words, pos = np.zeros((longest + 1) * n, np.uint64), np.arange(n)  # a word of all lanes, then the next
         prev, mixed = np.zeros((1, n), np.int32), np.zeros((1, n), np.int32)
         for t, end, a in _spans(lengths):
-            now = ids[t:end, :a] + np.int32(1)
+            now = np.add(ids[:a, t:end].T, np.int32(1), order="C")
             prev = np.concatenate([prev[-1:, :a], now ^ (now >> 12)])
             mixed = np.concatenate([mixed[-1:, :a], _mixed(prev[:-1], now)])
             at = lanes.base[:, :a] + (np.stack([mixed[:-1], prev[:-1]], 1) & (_SLOTS - 1))
@@ -189,7 +189,7 @@ def encode_blocks(blocks: list[np.ndarray], n_ids: int = N_IDS) -> list[bytes]:
                 lanes.follow.take(at[k], out=held[k], mode="clip")
                 lanes.learn(at[k], held[k], fresh[k])
             guess, conf = held >> 4, held & 15
-            w = conf[:, 0] * 16 + conf[:, 1] * (guess[:, 0] != guess[:, 1])
+            w = (conf[:, 0] * 16 + conf[:, 1] * (guess[:, 0] != guess[:, 1])).astype(np.intp)
             two, both, left = _TWO.take(w), _BOTH.take(w), _LEFT.take(w)
             hit2 = guess[:, 0] == now
             hit1 = (guess[:, 1] == now) & ~hit2
@@ -212,7 +212,7 @@ def encode_blocks(blocks: list[np.ndarray], n_ids: int = N_IDS) -> list[bytes]:
                 rng_ = rng_ << (move * _WORD)
             low[:a], rng[:a], pos[:a] = low_, rng_, pos_
             if _due(end) and end < longest:
-                lanes.count(a, ids[seen:end, :a])
+                lanes.count(a, ids[:a, seen:end])
                 seen = end
         for k, g in enumerate(group):
             own = words[k:pos[k]:n]
@@ -239,22 +239,23 @@ def decode_blocks(coded: list[bytes], lengths_in: list[int], n_ids: int = N_IDS)
             words[:len(own), k] = own
         code, pos, words = words[0].copy(), np.arange(n) + n, words.ravel()
         lanes, seen = _Lanes(n, n_ids, True), 0
-        ids, first = np.zeros((longest, n), np.int32), lanes.first + 1
+        ids, first = np.zeros((n, longest), np.int32), lanes.first + 1
         at, prev, rng = lanes.base, np.zeros(n, np.int32), lanes.range
         for t, end, a in _spans(lengths):
             at, prev, code, pos, rng = at[:, :a].copy(), prev[:a], code[:a], pos[:a], rng[:a]
             base2, base1 = lanes.base[:, :a]
             slot_base, class_base = lanes.slot_base[:a], lanes.class_base[:a]
-            for k in range(t, end):
+            done = np.zeros((end - t, a), np.int32)
+            for k in range(end - t):
                 held = lanes.follow.take(at)
                 conf, (guess2, guess1) = held & 15, held >> 4
-                w = conf[0] * 16 + conf[1] * (guess2 != guess1)
+                w = (conf[0] * 16 + conf[1] * (guess2 != guess1)).astype(np.intp)
                 two, both, left = _TWO.take(w), _BOTH.take(w), _LEFT.take(w)
                 r = rng >> _TO16
                 part = (code // r).view(np.int64)
                 hit2, hit = part < two, part < both
                 # exact in floating point: at least half a sixteenth from any border
-                c = lanes.slots.take(slot_base + ((part - both + 0.5) * _PER_LEFT.take(w)).astype(np.int64))
+                c = lanes.slots.take(slot_base + ((part - both + 0.5) * _PER_LEFT.take(w)).astype(np.intp)).astype(np.intp)
                 p = lanes.part.take(class_base + c)
                 lo = np.where(hit, two, both + left * (p >> 13)) * ~hit2
                 size = np.where(hit2, two, np.where(hit, both - two, left * (p & 8191)))
@@ -264,7 +265,7 @@ def decode_blocks(coded: list[bytes], lengths_in: list[int], n_ids: int = N_IDS)
                 place = code // rng
                 code -= rng * place
                 now = np.where(hit2, guess2, np.where(hit, guess1, first.take(c) + place.view(np.int64))).astype(np.int32)
-                ids[k, :a] = now
+                done[k] = now
                 move = rng < _LEAST
                 shift = move * _WORD
                 code = (code << shift) | (words.take(pos, mode="clip") * move)
@@ -274,12 +275,12 @@ def decode_blocks(coded: list[bytes], lengths_in: list[int], n_ids: int = N_IDS)
                 np.add(base2, _mixed(prev, now) & (_SLOTS - 1), out=at[0])
                 prev = now ^ (now >> 12)
                 np.add(base1, prev & (_SLOTS - 1), out=at[1])
+            ids[:a, t:end] = done.T - 1
             if _due(end) and end < longest:
-                lanes.count(a, ids[seen:end, :a] - 1)
+                lanes.count(a, ids[:a, seen:end])
                 seen = end
-        ids -= 1
         for k, g in enumerate(group):
-            out[g] = ids[:lengths[k], k]
+            out[g] = ids[k, :lengths[k]]
     return out
 
 
@@ -337,7 +338,19 @@ class WordTokenizer:
 
     def _forget(self):
         self.known: dict[str, int] = {}  # places of pieces
-        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int32)
+        self.flat, self.ends, self.met = np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(0, np.int32)
+
+    def _thin(self):
+        """Forget the pieces that one batch alone has met (all, if few are such)."""
+        old, met = self.known, self.met > 1
+        places = [(x, p) for x, p in old.items() if met[p]]
+        held = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat))
+        self._forget()
+        if 0 < len(places) <= self.keep // 2:
+            got = held.take(pa.array([p for _, p in places], pa.int64()))
+            self.known = {x: k for k, (x, _) in enumerate(places)}
+            self.flat, self.ends = got.flatten().to_numpy(), got.offsets.to_numpy()
+            self.met = np.zeros(len(places), np.int32)
 
     def _one_by_one(self, names: list[str]) -> list[np.ndarray]:
         got = []
@@ -387,6 +400,7 @@ class WordTokenizer:
                 first += len(which)
         self.flat = np.concatenate(flat)
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        self.met = np.concatenate([self.met, np.zeros(len(names), np.int32)])
         self.known.update((x, p) for x, p in zip(names, places.tolist()) if len(x) <= _KEPT_CHARS)
         return places
 
@@ -404,7 +418,7 @@ class WordTokenizer:
     def _lists(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct chunks in a row, and their numbers."""
         if len(self.known) > self.keep or len(self.flat) > 8 * self.keep:
-            self._forget()
+            self._thin()
         lists = self._pieces(chunks)
         pieces = lists.flatten().dictionary_encode()
         names = pieces.dictionary.to_numpy(zero_copy_only=False)
@@ -412,6 +426,7 @@ class WordTokenizer:
         new = np.flatnonzero(places < 0)
         if len(new):
             places[new] = self._add(names[new].tolist())
+        self.met[places] += 1
         places = places[pieces.indices.to_numpy(zero_copy_only=False)]
         got = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.flat)).take(pa.array(places))
         offsets = lists.offsets.to_numpy()
