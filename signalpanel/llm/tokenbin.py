@@ -303,12 +303,16 @@ class WordTokenizer:
     letters, single digits and runs of signs, ASCII letters lower-cased, as the
     vocabulary does. Pieces go to the library many to a text, one space between
     them; each is one word to it, so its ids end with the one that closes a
-    word. Other chunks go to it one by one."""
+    word. Pieces in lower-case ASCII are in normal form, so just the library's byte and
+    merge steps are left to them. Other chunks go to it one by one."""
 
     def __init__(self, path: str, end_id: int = END_ID, keep: int = 750_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.model, self.end_id, self.keep = Tokenizer.from_file(path), end_id, keep
+        self.small = Tokenizer(self.model.model)  # for lower-case ASCII pieces, which need no more normalizing or cutting
+        self.small.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         letters = self._letters() if self._known_cut() else None
         self.plain = None if letters is None else f"^[!-&(-;=-~{letters}]+$"
         self.one = f"^([A-Za-z{letters}]+|[0-9]|[^A-Za-z0-9{letters}]+)$"
@@ -359,12 +363,12 @@ class WordTokenizer:
             got += [np.array(e.ids, np.int32) for e in part]
         return got
 
-    def _words(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, model, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids in a row and their numbers of pieces that are one word each."""
         ids, sizes = [], []
         for k in range(0, len(names), 100 * _JOINED):
             groups = [names[j:j + _JOINED] for j in range(k, min(len(names), k + 100 * _JOINED), _JOINED)]
-            for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            for group, e in zip(groups, model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
                 own = np.array(e.ids, np.int32)
                 ends = np.flatnonzero(self.closes[own]) + 1
                 if len(ends) == len(group) and ends[-1] == len(own):
@@ -379,18 +383,19 @@ class WordTokenizer:
     def _add(self, names: list[str]) -> np.ndarray:
         """Places of new pieces."""
         first, places = len(self.ends) - 1, np.zeros(len(names), np.int64)
-        words = np.zeros(len(names), bool)
+        words = low = np.zeros(len(names), bool)
         if self.plain is not None:
             texts = pa.array(names, pa.string())
             words = pc.match_substring_regex(texts, self.plain)
             words = pc.and_(words, pc.match_substring_regex(texts, self.one)).to_numpy(zero_copy_only=False)
+            low = pc.and_(pc.string_is_ascii(texts), pc.equal(pc.ascii_lower(texts), texts)).to_numpy(zero_copy_only=False)
         flat, sizes = [self.flat], []
-        for own in (words, ~words):
+        for own, model in ((words & low, self.small), (words & ~low, self.model), (~words, None)):
             which = np.flatnonzero(own)
             if len(which):
                 part = [names[k] for k in which.tolist()]
-                if own is words:
-                    ids, size = self._words(part)
+                if model is not None:
+                    ids, size = self._words(model, part)
                 else:
                     got = self._one_by_one(part)
                     ids, size = np.concatenate(got), np.array([len(x) for x in got])
