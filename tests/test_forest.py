@@ -117,3 +117,19 @@ def test_cuts_are_made_in_spark(spark, monkeypatch):
     blocks = spark.createDataFrame([("d", 1)], "design string, n long")
     out = T._shared_out(blocks).collect()
     assert sorted(r["share"] for r in out) == list(range(spark.sparkContext.defaultParallelism)) and {r["shares"] for r in out} == {len(out)}
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id: others, and one given twice. Each takes part and has a score."""
+    _, _, df = _rows(spark)
+    other = df.filter("row_id in ('r3', 'r4')").withColumn("x", F.transform("x", lambda v: v + 1.0))
+    many = df.unionByName(other).unionByName(df.filter("row_id = 'r5'"))
+    scores, panel = T.forest_panel(many, SPECS[1:], ["a", "one"], bins=BINS)
+    scored = B.with_scores(many, scores)
+    assert scored.count() == many.count() and scored.filter("p is null").count() == 0
+    keep = ["fold", "part", "label", "y", "row_id"]
+    assert sorted(scored.select(*keep).collect()) == sorted(many.select(*keep).collect())
+    assert scores.groupBy("fold", "label", "row_id", "x_hash").count().filter("count > 1").count() == 0
+    copies = {(r["fold"], r["label"], r["row_id"], r["copy"]) for r in B.wide_rows(many, ["a", "one"]).withColumn("label", F.lit("a")).collect()}
+    assert (0, "a", "r5", 2) in copies and (0, "a", "r3", 2) not in copies
+    assert B.wide_rows(many, ["a", "one"]).count() == many.filter("label = 'a'").count()

@@ -164,3 +164,46 @@ def test_block_sums_in_steps(spark):
         b = B.feature_blocks(df.repartition(parts), 7)
         got = B.block_sums(b, lambda row: {"s": B.open_block(row)[0].sum(0), "n": np.array([row["n"]], float)})
         assert got["s"][0] == 499 * 250 and got["n"][0] == 500
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows of one id, one of them given twice: as many train rows and scores as there are rows."""
+    rows = _rows(spark, 40)
+    other = rows.filter("row_id in ('r3', 'r4')").withColumn("x", F.transform("x", lambda v: v + 1.0))
+    many = rows.unionByName(other).unionByName(rows.filter("row_id = 'r5'"))
+    specs = [s for s in SPECS if s.family in ("logreg", "linear_svc")]
+    blocks, designs = L.linear_blocks(many, specs, LABELS)
+    panel = L.LinearPanel(blocks, specs, LABELS, designs)
+    for m in panel.models:
+        if m.fold is None:
+            fold, label = int(m.design.split("|")[1]), panel.targets[m.label][0]
+            own = many.filter((F.col("fold") == fold) & (F.col("label") == label) & (F.col("part") == "train"))
+            assert m.n.sum() == own.count()
+    scored = B.with_scores(many, L.linear_panel(many, specs, LABELS)[0])
+    assert scored.count() == many.count() * len(specs) and scored.filter("p is null").count() == 0
+    both = panel.labelled_scores(blocks)
+    keys = ["label", "part", "y"]
+    plain = {tuple(r): r["count"] for r in many.groupBy(*keys).count().collect()}
+    for i, s in enumerate(specs):
+        got = {tuple(r): r["count"] for r in both.filter(F.col("config") == i).groupBy(*keys).count().collect()}
+        assert got == plain
+        want = scored.filter(F.col("scaler") == s.scaler).agg(F.sum("p")).first()[0]
+        assert abs(both.filter(F.col("config") == i).agg(F.sum("p")).first()[0] - want) < 1e-6
+
+
+def test_queries_of_many_subjects(spark, tmp_path):
+    """Subject numbers of six digits are cut to five: windows of several subjects share their ids."""
+    from signalpanel.plans import registry as G
+    from signalpanel.sources import fixtures as fx
+
+    ids = [v for s in (*range(30), *range(10000, 10004), *range(100000, 100040)) for v in range(4 * s, 4 * s + 4)]
+    r = np.random.default_rng(2)
+    data = [(v, [float(e) for e in r.normal(size=64)], int(r.integers(10))) for v in ids]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = G._b2_rows(spark, str(tmp_path), fx.features_b2_planted)
+    assert rows.groupBy("fold", "label", "row_id").count().filter("count > 1").count() > 0
+    own = fx.features_b2_planted(spark, str(tmp_path)).filter("subject_id like 'P%'")
+    assert own.filter((F.col("x")[65] == 0) != (F.col("even") == 1)).count() == 0  # the planted features are the row's own
+    out = G.QUERIES["model_scores_logreg"](spark, str(tmp_path)).collect()
+    want = {tuple(w) for w in rows.groupBy("fold", "part", "label").agg(F.count("*"), F.count_if(F.col("y") == 1), F.countDistinct("subject_id")).collect()}
+    assert {(o["fold"], o["part"], o["label"], o["n_rows"], o["n_pos"], o["n_subjects"]) for o in out} == want and not any(o["n_invalid"] for o in out)
